@@ -68,12 +68,13 @@ b AS (
     + 32 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 64 * (10 * n_bullet_lines > 9 * n_lines)::BIGINT + 128 * (10 * n_ellipsis_lines > 3 * n_lines)::BIGINT)::BIGINT AS fail_bits FROM m)
 """
 
+_MASK = quality.mask(quality.PRODUCTION)
 OP1_SQL = f"""WITH {_MEASURES_SQL}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, n_bullet_lines, n_ellipsis_lines, fail_bits, 'v3-full' AS policy FROM b"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & {_MASK}) = 0 AS kept, n_lines, n_bullet_lines, n_ellipsis_lines, fail_bits, '{quality.PRODUCTION}' AS policy FROM b"""
 
-_RULE_ROWS = ", ".join(f"('{name}', {bit}::BIGINT)" for name, bit in quality.BIT.items())
+_RULE_ROWS = ", ".join(f"('{name}', {quality.BIT[name]}::BIGINT)" for name in quality.POLICIES[quality.PRODUCTION])
 ABLATIONS_SQL = f"""WITH {_MEASURES_SQL}
-SELECT rule, count(*) FILTER (WHERE fail_bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (WHERE fail_bits = bit)::BIGINT AS n_only, count(*) FILTER (WHERE fail_bits & ~bit = 0)::BIGINT AS n_kept_without
+SELECT rule, count(*) FILTER (WHERE fail_bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (WHERE fail_bits & {_MASK} = bit)::BIGINT AS n_only, count(*) FILTER (WHERE fail_bits & {_MASK} & ~bit = 0)::BIGINT AS n_kept_without
 FROM b, (VALUES {_RULE_ROWS}) AS rules(rule, bit) GROUP BY rule"""
 
 

@@ -26,11 +26,11 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # greedy and leftmost: exactly the runs of 16 and more
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-PART = re.compile(r"[+/_=-]+")
+PART = re.compile(r"[+/_-]+")
 NAME = re.compile(r"([A-Z]?[a-z]+|[A-Z]+)*\d*")
 #: Characters for each token, below which a run counts as random.
 LEAST_RATIO = 2.2
@@ -43,7 +43,7 @@ def ordinary(run: str) -> bool:
         return True
     if len(run) in DIGEST_LENGTHS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", run) or UUID.fullmatch(run):
         return True
-    return all(NAME.fullmatch(p) for p in PART.split(run))
+    return all(NAME.fullmatch(p) for p in PART.split(run.rstrip("=")))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
