@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, quality, secrets
+from sparkloom.llm import bpe, chat, mixing, quality, secrets, simhash, urls
 from sparkloom.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -49,6 +49,63 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.cluster(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Conversation -7: control strings of a common template inside both texts.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.expand(turns.unionByName(probe)), clustered=True)
+
+
+#: Dated list entries, as fixed examples: (list, domain, day, action).
+LIST_ENTRIES = [
+    (name, f"{stem}.example.{tld}", day, action)
+    for name, stem, events in (
+        ("spam", "cheap-pills", (("2023-11-01", "add"), ("2024-03-01", "remove"), ("2024-05-15", "add"))),
+        ("spam", "spam-farm", (("2024-02-10", "add"),)),
+        ("ads", "ads-track", (("2024-01-20", "add"), ("2024-07-01", "remove"), ("2024-07-01", "add"), ("2024-10-01", "remove"))),
+        ("gambling", "casino-win", (("2023-06-01", "add"), ("2024-06-30", "remove"))),
+        ("gambling", "free-bets", (("2024-04-01", "add"), ("2024-08-01", "add"))),
+        ("adult", "adult-x", (("2022-01-01", "add"),)),
+        ("spam", "tionsh", (("2024-03-05", "add"), ("2024-03-12", "remove"))),
+        ("spam", "blog.tionsh", (("2024-09-01", "add"),)),
+    )
+    for tld in ("com", "net", "org")
+    for day, action in events
+]
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry no fetch time: page_id modulo 366 counts days from the first of 2024."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(DATE'2024-01-01', cast(pmod(coalesce(page_id, 0), 366) as int))").alias("fetched_on"))
+    entries = spark.createDataFrame(LIST_ENTRIES, "list string, domain string, day string, action string").withColumn("day", F.to_date("day"))
+    return urls.evaluate(pages, entries).select("page_id", "url", "fetched_on", "host", "blocked", "list", "domain", "valid_from")
+
+
+LEVELS = ["domain", "language", "source"]
+WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "language": {"en": 5, "de": 2, "fr": 2, "es": 1}}
+SHARE, EPOCHS, SEED = (3, 5), 2, 17
+
+
+def leaf_columns(docs: DataFrame, lang_col: str = "lang", source_col: str = "source") -> list:
+    """Levels of the tree: sources are dealt to four domains by their number."""
+    number = F.coalesce(F.expr(f"try_cast(regexp_extract({source_col}, '([0-9]{{1,9}})$', 1) as int)"), F.lit(0))
+    return [F.concat(F.lit("d"), (number % 4).cast("string")).alias("domain"), F.coalesce(docs[lang_col], F.lit("unknown")).alias("language"), F.coalesce(docs[source_col], F.lit("unknown")).alias("source")]
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    rows = mixing.Scratch(spark, "mix").write(docs.select("doc_id", *leaf_columns(docs), mixing.words(docs["text"]).alias("tokens")))
+    return mixing.mix(rows, LEVELS, WEIGHTS, SHARE, EPOCHS, SEED).select("doc_id", *LEVELS, "tokens", "alloc", "copies")
+
+
 #: Measurements of op1, with SQL's own windows and joins in place of a pass in Python.
 _MEASURES_SQL = r"""
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -78,14 +135,69 @@ SELECT rule, count(*) FILTER (WHERE fail_bits & bit <> 0)::BIGINT AS n_failed, c
 FROM b, (VALUES {_RULE_ROWS}) AS rules(rule, bit) GROUP BY rule"""
 
 
+OP5_SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+r AS (SELECT *, length('<|' || role || '|>' || chr(10)) + length(regexp_replace(regexp_replace(regexp_replace(text, '([\\|])', '\\\1', 'g'), '<(/?s>)', '<\\\1', 'g'), '[[](/?INST[]])', '[\\\1', 'g')) + length('<|end|>' || chr(10)) AS n,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS turns FROM t),
+c AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY k) AS upto, role = 'assistant' AS reply FROM r)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE reply), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE reply), '')) AS loss_sha256,
+  sum(upto) FILTER (WHERE reply OR k = turns)::BIGINT AS formatted_chars, count(*) FILTER (WHERE reply OR k = turns)::BIGINT AS n_examples
+FROM c GROUP BY conv_id"""
+
+_ENTRY_ROWS = ", ".join(f"('{a}', '{b}', DATE '{c}', '{d}')" for a, b, c, d in LIST_ENTRIES)
+OP6_SQL = rf"""WITH e(list, domain, day, action) AS (VALUES {_ENTRY_ROWS}),
+daily AS (SELECT list, domain, day, bool_or(action = 'add') AS is_on FROM e GROUP BY ALL),
+iv AS (SELECT * FROM (SELECT list, domain, is_on, day AS valid_from, coalesce(lead(day) OVER (PARTITION BY list, domain ORDER BY day), DATE '9999-12-31') AS valid_to FROM daily) WHERE is_on),
+p AS (SELECT row_number() OVER () AS rid, page_id, url, (DATE '2024-01-01' + ((coalesce(page_id, 0) % 366 + 366) % 366)::INT)::DATE AS fetched_on, coalesce(rtrim(regexp_extract(lower(url), '{urls.HOST}', 1), '.'), '') AS host FROM pages),
+hits AS (SELECT rid, list, domain, valid_from, row_number() OVER (PARTITION BY rid ORDER BY length(domain) DESC, list, valid_from) AS k
+  FROM p JOIN iv ON (host = domain OR ends_with(host, '.' || domain)) AND fetched_on >= valid_from AND fetched_on < valid_to)
+SELECT page_id, url, fetched_on, host, list IS NOT NULL AS blocked, list, domain, valid_from FROM p LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (rid)"""
+
+
+def _mix_sql() -> str:
+    def weight(level: str) -> str:
+        known = WEIGHTS.get(level, {})
+        return "CASE " + " ".join(f"WHEN {level} = '{v}' THEN {w}" for v, w in known.items()) + " ELSE 1 END" if known else "1"
+
+    def deal(k: int) -> str:
+        """Budgets of level k: saturated children get their capacity, the rest share by weight."""
+        up, keys = ", ".join(["root", *LEVELS[:k]]), ", ".join(["root", *LEVELS[: k + 1]])
+        child = LEVELS[k]
+        budget = f"least(floor(sum(tokens) OVER (PARTITION BY root) * {SHARE[0]} / {SHARE[1]})::HUGEINT, sum(cap) OVER (PARTITION BY root))" if not k else f"(SELECT alloc FROM b{k - 1} u WHERE {' AND '.join(f'u.{x} = n.{x}' for x in LEVELS[:k])})"
+        return f"""n{k} AS (SELECT {keys}, sum(cap) AS cap, sum(tokens) AS tokens, {weight(child)}::HUGEINT AS w FROM leaf GROUP BY {keys}),
+g{k} AS (SELECT *, {budget} AS budget FROM n{k} n),
+o{k} AS (SELECT *, cap * sum(w) OVER (z ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= w * (budget - coalesce(sum(cap) OVER (z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS is_full FROM g{k} WINDOW z AS (PARTITION BY {up} ORDER BY cap::DOUBLE / w, {child})),
+l{k} AS (SELECT *, budget - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER (PARTITION BY {up}) AS remains, sum(CASE WHEN is_full THEN 0 ELSE w END) OVER (PARTITION BY {up}) AS open_w FROM o{k}),
+p{k} AS (SELECT *, CASE WHEN is_full THEN cap ELSE (w * remains) // greatest(open_w, 1) END AS part FROM l{k}),
+b{k} AS (SELECT *, part + CASE WHEN NOT is_full AND sum(CASE WHEN is_full THEN 0 ELSE 1 END) OVER (PARTITION BY {up} ORDER BY {child} ROWS UNBOUNDED PRECEDING) <= remains - sum(CASE WHEN is_full THEN 0 ELSE part END) OVER (PARTITION BY {up}) THEN 1 ELSE 0 END AS alloc FROM p{k})"""
+
+    return rf"""WITH d AS (SELECT 0 AS root, doc_id, 'd' || (coalesce(try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INT), 0) % 4) AS domain, coalesce(lang, 'unknown') AS language, coalesce(source, 'unknown') AS source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS tokens FROM documents),
+leaf AS (SELECT root, domain, language, source, sum(tokens) AS tokens, sum(tokens) * {EPOCHS} AS cap FROM d GROUP BY ALL),
+{deal(0)},
+{deal(1)},
+{deal(2)},
+s AS (SELECT d.*, alloc, (alloc // greatest(b2.tokens, 1))::BIGINT AS whole, alloc - (alloc // greatest(b2.tokens, 1)) * b2.tokens AS rest FROM d JOIN b2 USING (domain, language, source)),
+h AS (SELECT *, md5('{SEED}|' || whole || '|' || coalesce(doc_id::VARCHAR, '')) AS place FROM s),
+r AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, language, source ORDER BY place, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS upto FROM h)
+SELECT doc_id, domain, language, source, tokens, alloc::BIGINT AS alloc, (CASE WHEN tokens <= 0 THEN 0 ELSE whole + (upto <= rest)::BIGINT END)::BIGINT AS copies FROM r"""
+
+
+OP8_SQL = _mix_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "quality_ablations": quality_ablations,
+        "op2_simhash_dedup": op2_simhash_dedup,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_chat_formatting": op5_chat_formatting,
+        "op6_url_filters": op6_url_filters,
         "op7_secret_scans": op7_secret_scans,
+        "op8_mixing": op8_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "quality_ablations": ABLATIONS_SQL}
+    return {"op1_quality_rules": OP1_SQL, "quality_ablations": ABLATIONS_SQL, "op5_chat_formatting": OP5_SQL, "op6_url_filters": OP6_SQL, "op8_mixing": OP8_SQL}
