@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, chat, mixing, quality, secrets, simhash, urls
-from sparkloom.llm.common import read
+from sparkloom.llm import bpe, chat, langid, mixing, quality, secrets, simhash, toxicity, urls
+from sparkloom.llm.common import held_out, read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -54,6 +54,21 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: The labels know one category.  Two finer ones are silver labels: toxic documents that
+#: hold one of a few plain English terms (fixed values, nouns and adjectives).
+CATEGORIES = {
+    "insult": "toxic = 1 AND arrays_overlap(words, array('idiot', 'moron', 'loser', 'clown', 'scum', 'trash'))",
+    "demeaning": "toxic = 1 AND arrays_overlap(words, array('stupid', 'worthless', 'pathetic', 'disgusting'))",
+    "toxic": "toxic = 1",
+}
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    chain = toxicity.learn(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"), CATEGORIES)
+    return toxicity.predict(docs, chain).withColumnRenamed("flagged", "toxic")
+
+
 #: Conversation -7: control strings of a common template inside both texts.
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -106,6 +121,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows, LEVELS, WEIGHTS, SHARE, EPOCHS, SEED).select("doc_id", *LEVELS, "tokens", "alloc", "copies")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(~held_out(docs["doc_id"]) & docs["doc_id"].isNotNull()))
+    return langid.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 #: Measurements of op1, with SQL's own windows and joins in place of a pass in Python.
 _MEASURES_SQL = r"""
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -191,11 +212,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "quality_ablations": quality_ablations,
         "op2_simhash_dedup": op2_simhash_dedup,
+        "op3_toxicity": op3_toxicity,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_url_filters": op6_url_filters,
         "op7_secret_scans": op7_secret_scans,
         "op8_mixing": op8_mixing,
+        "op10_language_id": op10_language_id,
     }
 
 
