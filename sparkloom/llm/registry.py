@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, chat, langid, mixing, quality, secrets, simhash, toxicity, urls
+from sparkloom.llm import ann, bpe, chat, langid, mixing, quality, secrets, simhash, toxicity, urls
 from sparkloom.llm.common import held_out, read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -121,6 +121,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows, LEVELS, WEIGHTS, SHARE, EPOCHS, SEED).select("doc_id", *LEVELS, "tokens", "alloc", "copies")
 
 
+def op9_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    asked = rows.where("pmod(vec_id, 20) = 0").select(F.col("vec_id").cast("long").alias("query_id")).distinct()
+    return ann.Index(rows).search(asked)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.learn(docs.where(~held_out(docs["doc_id"]) & docs["doc_id"].isNotNull()))
@@ -218,6 +224,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_filters": op6_url_filters,
         "op7_secret_scans": op7_secret_scans,
         "op8_mixing": op8_mixing,
+        "op9_ann_search": op9_ann_search,
         "op10_language_id": op10_language_id,
     }
 
