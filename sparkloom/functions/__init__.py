@@ -1 +1 @@
-"""Part of the library; see README."""
+"""Column functions: each takes and returns Columns, stays inside the JVM and never shuffles."""

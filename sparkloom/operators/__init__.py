@@ -1 +1 @@
-"""Part of the library; see README."""
+"""Operators over DataFrames: tensors, features, windows, metrics, signals, models."""

@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from sparkloom.plans import elementwise, signals, tables  # noqa: F401  they register their queries
+from sparkloom.plans.base import QUERIES, SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    return tables.robust_numeric_features(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship": flagship}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"flagship": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL"}
+    return dict(SQL)

@@ -1 +1 @@
-"""Part of the library; see README."""
+"""Scans and sinks."""

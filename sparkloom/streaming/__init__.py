@@ -1 +1 @@
-"""Part of the library; see README."""
+"""Structured Streaming operators."""
