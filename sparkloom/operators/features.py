@@ -195,16 +195,18 @@ def _terms(column: str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(r"([a-z0-9_]{2,})"), F.lit(1))
 
 
-def tfidf_expr(column: str, terms: list[tuple[str, int]], n_docs: int) -> Column:
-    """An array over ``terms``: counts times smooth idf, brought to length 1."""
-    words = _terms(column)
+def tfidf(df: DataFrame, key: str, column: str, most: int = 100) -> DataFrame:
+    """``key, term, weight`` for the ``most`` commonest terms: counts times smooth idf, of length 1 for each row.
 
-    def count(term: str) -> Column:
-        return F.size(F.filter(words, lambda w: w == term))
-
-    raw = F.array(*[count(t) * (math.log((1 + n_docs) / (1 + d)) + 1) for t, d in terms])
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: F.when(length > 0, x / length).otherwise(0.0))
+    One explode of the texts; what is joined back is a list of at most ``most`` terms, and
+    one length for each row.
+    """
+    n_docs = df.count()
+    counts = df.select(key, F.explode(_terms(column)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    top = counts.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df")).orderBy(F.desc("tf"), "term").limit(most)
+    idf = F.broadcast(top.select("term", (F.ln((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")))  # at most ``most`` rows
+    raw = counts.join(idf, "term").select(key, "term", (F.col("n") * F.col("idf")).alias("w"))
+    return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).drop("w")
 
 
 # Structure

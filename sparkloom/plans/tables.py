@@ -126,10 +126,10 @@ def text_vocabulary(spark, sf_dir):
     return terms.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df")).orderBy(F.desc("tf"), "term").limit(50)
 
 
-@query()
+@query("""WITH c AS (SELECT doc_id, t AS term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{2,}')) AS t FROM documents) GROUP BY ALL), top AS (SELECT term, sum(n) AS tf, count(*) AS df FROM c GROUP BY term ORDER BY tf DESC, term LIMIT 20),
+w AS (SELECT doc_id, term, n * (ln((1 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS w FROM c JOIN top USING (term)) SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def text_tfidf(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", E.tfidf_expr("text", E.vocabulary(docs, "text", 20), docs.count()).alias("tfidf"))
+    return E.tfidf(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 20).withColumn("weight", F.round("weight", 6))
 
 
 @query("SELECT o_orderkey, CASE WHEN epoch_us(o_orderdate) <= a THEN 'train' WHEN epoch_us(o_orderdate) <= b THEN 'validation' ELSE 'test' END AS split FROM orders, (SELECT quantile_cont(epoch_us(o_orderdate)::DOUBLE, 0.8) AS a, quantile_cont(epoch_us(o_orderdate)::DOUBLE, 0.9) AS b FROM orders)")
