@@ -6,7 +6,7 @@ a conversation without one, end in an example that trains nothing, so no turn is
 
 A turn is ``<|role|>``, a newline, its text, ``<|end|>`` and a newline.  Control strings
 inside roles and texts, of this template and of common others, are broken up by a
-backslash; a backslash is doubled, so undoing it is exact.
+backslash, and bars replaced; a backslash is doubled, so undoing it is exact.
 
 A conversation's turns are sorted by Spark and streamed through one task, which holds
 its rendered prefix and a few megabytes of output.  The examples of one conversation
@@ -37,11 +37,12 @@ def _arrow(ddl: str) -> pa.Schema:
 
 
 def escape(text: str) -> str:
-    return CONTROL.sub(lambda m: "\\" + m[0] if len(m[0]) == 1 else f"{m[0][0]}\\{m[0][1:]}", text)
+    """Without any bar or control string: ``\\`` doubled, ``|`` as ``\\p``, the others broken after their first sign."""
+    return CONTROL.sub(lambda m: {"\\": "\\\\", "|": "\\p"}.get(m[0]) or f"{m[0][0]}\\{m[0][1:]}", text)
 
 
 def unescape(text: str) -> str:
-    return ESCAPED.sub(r"\1", text)
+    return ESCAPED.sub(lambda m: "|" if m[1] == "p" else m[1], text)
 
 
 def render(role: str, text: str) -> tuple[str, str]:
