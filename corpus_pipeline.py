@@ -3,7 +3,7 @@
 Each stage takes the documents its predecessor kept and gives documents to the next;
 the last gives token ids.  Decisions take effect:
 
-1. ``language_id`` drops documents without a language or with an uncertain one.
+1. ``language_id`` drops documents without a language, or with none for a third of the words.
 2. ``near_dedup`` keeps one document, the smallest id, of each group of near copies.
 3. ``secret_scan`` replaces secrets in the texts by a mark; every document stays.
 4. ``mixing`` takes documents as often as their source's token budget says: those above
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from sparkloom.llm import bpe, langid, mixing, registry, secrets, simhash
 from sparkloom.llm.common import Scratch, held_out
 
-LEAST_SCORE = 0.5
+#: A text that switches between two languages scores about a half for each, and is no reject;
+#: one in which no language has a third of the words is.
+LEAST_SCORE = 1 / 3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Budgets come from a narrow table; texts are moved once, to their source's hash range."""
     extra = [*registry.leaf_columns(docs), mixing.words(docs["text"]).alias("tokens")]
     narrow = Scratch(spark, "mix").write(docs.select("doc_id", *extra))
-    own = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    own = F.struct(*[docs[c] for c in docs.columns]).alias("row")  # kept apart from the levels' names
     mixed = mixing.mix(docs.select("doc_id", *extra, own), registry.LEVELS, registry.WEIGHTS, registry.SHARE, registry.EPOCHS, registry.SEED, narrow)
     taken = mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("epoch"))
     return taken.select("row.*")

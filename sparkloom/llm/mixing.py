@@ -81,13 +81,15 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, i
 def mix(rows: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], share: tuple[int, int] = (1, 2), epochs: int = 2, seed: int = 0, narrow: DataFrame | None = None) -> DataFrame:
     """Adds ``alloc``, its leaf's budget, and ``copies``, how often the epochs take the row.
 
-    ``rows`` has ``doc_id``, the columns ``levels``, ``tokens`` and any others (none named
-    like what is added).  ``narrow`` may hold the same rows without the others, already
+    ``rows`` has ``doc_id``, the columns ``levels``, ``tokens`` and any others, of which
+    those named like what is added give way.  ``narrow`` may hold the same rows without the others, already
     written: sums are then read from it.  ``share`` is the part of all tokens to take, or
     (tokens, 1) for a fixed number.
     """
     scratch = Scratch(rows.sparkSession, "mixing")
-    slim = narrow if narrow is not None else rows
+    slim = (narrow if narrow is not None else rows).select("doc_id", *levels, "tokens")
+    extra = [c for c in rows.columns if c not in ("doc_id", "tokens", *levels)]
+    packed = rows.select("doc_id", *levels, "tokens", *([F.struct(*[F.col(f"`{c}`") for c in extra]).alias("__row")] if extra else []))
     leaves = slim.groupBy(*levels).agg(F.sum("tokens").alias("tokens"))
     dealt = scratch.write(
         budgets(leaves, levels, weights, share, epochs)
@@ -100,10 +102,10 @@ def mix(rows: DataFrame, levels: list[str], weights: dict[str, dict[str, int]],
         key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
         return df.join(dealt, levels).withColumn("place", key).withColumn("range", F.substring("place", 1, PREFIX))
 
-    ranges = placed(slim.select("doc_id", *levels, "tokens")).groupBy(*levels, "range").agg(F.sum("tokens").alias("sum"))
+    ranges = placed(slim).groupBy(*levels, "range").agg(F.sum("tokens").alias("sum"))
     along = Window.partitionBy(*levels).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = scratch.write(ranges.select(*levels, "range", F.coalesce(F.sum("sum").over(along), F.lit(0)).alias("before")))
     inside = Window.partitionBy(*levels, "range").orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    taken = placed(rows).join(ranges, [*levels, "range"]).withColumn("upto", F.col("before") + F.sum("tokens").over(inside))
+    taken = placed(packed).join(ranges, [*levels, "range"]).withColumn("upto", F.col("before") + F.sum("tokens").over(inside))
     copies = F.when(F.col("tokens") <= 0, 0).otherwise(F.col("whole") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0))
-    return taken.withColumn("copies", copies.cast("long")).drop("whole", "rest", "place", "range", "before", "upto")
+    return taken.select("doc_id", *levels, "tokens", *[F.col(f"__row.`{c}`") for c in extra if c not in ("alloc", "copies")], "alloc", copies.cast("long").alias("copies"))

@@ -57,6 +57,6 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_
     )
     asked = keys.select("host", "day", F.explode(suffixes(F.col("host"))).alias("domain")).withColumn("month", _month(F.col("day")))
     met = asked.join(spread, ["domain", "month"]).where((F.col("valid_from") <= F.col("day")) & (F.col("day") < F.col("valid_to")))
-    best = met.groupBy("host", "day").agg(F.min_by(F.struct("list", "domain", "valid_from"), F.struct(-F.length("domain"), "list", "valid_from")).alias("hit"))
+    best = met.groupBy("host", "day").agg(F.min_by(F.struct("list", "domain", "valid_from"), F.struct(-F.length("domain"), "list", "valid_from")).alias("__hit"))
     out = given.join(best.withColumnRenamed("day", day_col), ["host", day_col], "left")
-    return out.withColumn("blocked", F.col("hit").isNotNull()).select("*", "hit.list", "hit.domain", "hit.valid_from").drop("hit")
+    return out.withColumn("blocked", F.col("__hit").isNotNull()).select("*", "__hit.list", "__hit.domain", "__hit.valid_from").drop("__hit")

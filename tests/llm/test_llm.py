@@ -160,7 +160,7 @@ def test_toxicity(spark):
             words += rng.sample(["idiot", "stupid", "clown", "nastily", "nasties"], 2)
         rows.append((i, " ".join(words)))
         labels.append((i, int(bad)))
-    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels[:300], "doc_id long, toxic int")
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels[:300], "doc_id long, toxic int").withColumns({"text": F.lit("x"), "words": F.lit(1), "quality": F.lit(None).cast("int")})
     chain = toxicity.learn(docs, lab, registry.CATEGORIES)
     got = {r["doc_id"]: r["flagged"] for r in toxicity.predict(docs, chain).collect()}
     held = [i for i, _ in labels[300:]]
@@ -239,7 +239,7 @@ def test_chat(spark):
 
 
 def test_url_lists(spark):
-    pages = spark.createDataFrame([(1, "http://a.bad.com/x", "2024-01-05"), (2, "http://a.bad.com/x", "2024-02-05"), (3, None, "2024-01-05"), (4, "nonsense", "2024-01-05"), (5, "https://u@BAD.com.:8/", None), (6, "http://notbad.com", "2024-01-05"), (1, "http://a.bad.com/x", "2024-01-05")], "page_id long, url string, d string").select("*", F.to_date("d").alias("fetched_on"), F.lit(1).alias("domain"))
+    pages = spark.createDataFrame([(1, "http://a.bad.com/x", "2024-01-05"), (2, "http://a.bad.com/x", "2024-02-05"), (3, None, "2024-01-05"), (4, "nonsense", "2024-01-05"), (5, "https://u@BAD.com.:8/", None), (6, "http://notbad.com", "2024-01-05"), (1, "http://a.bad.com/x", "2024-01-05")], "page_id long, url string, d string").select("*", F.to_date("d").alias("fetched_on"), *[F.lit(1).alias(c) for c in ("domain", "hit", "day", "month", "list")])
     entries = spark.createDataFrame([("l", "bad.com", "2024-01-01", "add"), ("l", "bad.com", "2024-02-01", "remove"), ("l", "bad.com", "2024-02-01", "remove"), ("k", "a.bad.com", "2024-02-01", "add"), (None, None, None, None)], "list string, domain string, day string, action string").withColumn("day", F.to_date("day"))
     got = pairs_of(urls.evaluate(pages, entries), "page_id", "blocked", "domain")
     assert got == [(1, True, "bad.com"), (1, True, "bad.com"), (2, True, "a.bad.com"), (3, False, None), (4, False, None), (5, False, None), (6, False, None)]
@@ -305,6 +305,9 @@ def test_mix_prefixes(spark):
         assert out.count() == 303
         assert pairs_of(out.na.fill(-1), "doc_id", "tokens", "copies") == pairs_of(mixing.mix(rows, ["s"], {}, share, 2, 3).na.fill(-1), "doc_id", "tokens", "copies")
     assert mixing.mix(rows.limit(0), ["s"], {}, (1, 2), 2, 3).count() == 0
+    clash = rows.withColumns({c: F.lit(9) for c in ("alloc", "copies", "whole", "rest", "place", "range", "before", "upto", "sum", "cap", "w", "budget")})
+    out = mixing.mix(clash, ["s"], {}, (1, 3), 2, 3)
+    assert out.columns[-2:] == ["alloc", "copies"] and pairs_of(out.na.fill(-1), "doc_id", "tokens", "copies") == pairs_of(mixing.mix(rows, ["s"], {}, (1, 3), 2, 3).na.fill(-1), "doc_id", "tokens", "copies")
 
 
 # Neighbours
