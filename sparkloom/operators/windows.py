@@ -42,10 +42,10 @@ def gradient(df: DataFrame, key: list[str], order: list[str], value: str) -> Dat
 def energy_stability(df: DataFrame, key: list[str], order: list[str], value: str, width: int = 100) -> DataFrame:
     """1 / (1 + variance over mean) of the energies of whole windows; 1 where there are fewer than two."""
     n = df.withColumn("__b", F.expr(f"(row_number() over (partition by {', '.join(key)} order by {', '.join(order)}) - 1) div {width}"))
-    energies = n.groupBy(*key, "__b").agg(F.sum(F.pow(F.col(value).cast("double"), F.lit(2.0))).alias("e"), F.count("*").alias("c"))
-    full = F.when(F.col("c") == width, F.col("e"))
-    got = energies.groupBy(*key).agg(F.avg(full).alias("m"), F.var_pop(full).alias("v"), F.count(full).alias("k"))
-    return got.select(*key, F.when((F.col("k") < 2) | (F.col("m") == 0), F.lit(1.0)).otherwise(1 / (1 + F.col("v") / F.col("m"))).alias("stability"))
+    energies = n.groupBy(*key, "__b").agg(F.sum(F.pow(F.col(value).cast("double"), F.lit(2.0))).alias("__e"), F.count("*").alias("__c"))
+    full = F.when(F.col("__c") == width, F.col("__e"))
+    got = energies.groupBy(*key).agg(F.avg(full).alias("__m"), F.var_pop(full).alias("__v"), F.count(full).alias("__k"))
+    return got.select(*key, F.when((F.col("__k") < 2) | (F.col("__m") == 0), F.lit(1.0)).otherwise(1 / (1 + F.col("__v") / F.col("__m"))).alias("stability"))
 
 
 def cumulative(df: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
