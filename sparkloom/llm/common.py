@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -101,6 +101,23 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def spread_sample(rows: DataFrame, by: str, per: int, hashed: Column, room: int = 3) -> DataFrame:
+    """At most ``per`` rows of each value of ``by``, those with the smallest ``hashed`` (a long).
+
+    Counts come first; of each value only about ``room * per`` rows, by a cut in the range of
+    the hash, then meet in a window.  So the window is small however large a value is.
+    """
+    span = 1 << 30
+    sizes = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}  # a row for each value
+    place = F.pmod(hashed, F.lit(span))
+    cut = F.lit(0).cast("long")
+    for value, n in sizes.items():
+        cut = F.when(F.col(by) == F.lit(value), F.lit(min(span, room * per * span // max(n, 1) + 1)).cast("long")).otherwise(cut)
+    few = rows.withColumn("__place", place).where(F.col("__place") < cut)
+    order = Window.partitionBy(by).orderBy("__place", *[c for c in rows.columns if c != by])
+    return few.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per).drop("__place", "__n")
+
+
 def file_bytes(path: str | os.PathLike) -> bytes:
     with open(path, "rb") as f:
         return f.read()

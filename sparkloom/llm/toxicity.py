@@ -24,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Scratch, map_rows, texts
+from sparkloom.llm.common import Scratch, map_rows, spread_sample, texts
 
 WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 22
@@ -139,10 +139,10 @@ def learn(docs: DataFrame, labels: DataFrame, categories: list[str], per_class:
     spark, names = docs.sparkSession, list(categories)
     rules = categories if isinstance(categories, dict) else {c: c for c in categories}
     last = names[-1]
-    rows = labels.select(labels[id_col].cast("long").alias("doc_id"), *[labels[c] for c in labels.columns if c != id_col]).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    numeric = [c for c, t in labels.dtypes if c not in (id_col, "doc_id", "text", "feats", "words") and t in ("int", "bigint", "boolean", "smallint", "tinyint")]
+    rows = labels.select(labels[id_col].cast("long").alias("doc_id"), *[labels[c] for c in numeric]).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rows = rows.withColumn("__y", F.expr(f"coalesce(cast({rules[last]} as int), 0)"))
-    order = Window.partitionBy("__y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_class).drop("__n")
+    chosen = spread_sample(rows, "__y", per_class, F.xxhash64("doc_id"))
     # At most 2 * per_class rows of a few numbers: a proven bound for a broadcast.
     drawn = texts(docs, id_col, text_col).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
 
@@ -151,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: list[str], per_class:
         own = [[*batch.column(c).to_pylist()] for c in numbers]
         return [*own, [sorted({i for w in x for i in features(w)}) for x in found], [sorted(x & terms) for x in found]]
 
-    numbers = [c for c, t in chosen.dtypes if t in ("int", "bigint", "boolean", "smallint", "tinyint")]
+    numbers = [*numeric, "__y"]
     terms = {t for r in rules.values() for t in re.findall(r"'(\w+)'", r)}
     kinds = dict(chosen.dtypes)
     shape = ", ".join(f"`{c}` {kinds[c]}" for c in numbers) + ", feats array<int>, words array<string>"
