@@ -24,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import map_rows, texts
+from sparkloom.llm.common import map_rows, spread_sample, texts
 
 UND = "und"
 BITS = 16
@@ -220,8 +220,8 @@ def sample(docs: DataFrame, per_lang: int, passage: int, id_col: str, text_col:
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     hashed = F.xxhash64(F.lit("passage"), "doc_id")
     at = F.pmod(hashed, F.greatest(F.length("text") - passage, F.lit(0)) + 1).cast("int") + 1
-    cut = rows.select("lang", hashed.alias("h"), "doc_id", F.substring("text", at, F.lit(passage)).alias("part"))
-    pick = cut.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "part"))).where(F.col("n") <= per_lang)
+    cut = rows.select("lang", "doc_id", F.substring("text", at, F.lit(passage)).alias("part"))
+    pick = spread_sample(cut, "lang", per_lang, F.xxhash64(F.lit("passage"), "doc_id"))
     return sorted((r["lang"], r["part"]) for r in pick.select("lang", "part").collect())
 
 
