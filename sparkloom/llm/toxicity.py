@@ -173,7 +173,8 @@ def learn(docs: DataFrame, labels: DataFrame, categories: list[str], per_class:
     ranked = seen.select("f", F.greatest(*[chi(i) for i in range(len(ys))], F.lit(0.0)).alias("x")).orderBy(F.desc("x"), "f").limit(keep)
     picked = [r["f"] for r in ranked.collect()]
     place = {b: i for i, b in enumerate(picked)}
-    rows = table.select(F.array_intersect("feats", F.array(*map(F.lit, picked)) if picked else F.array().cast("array<int>")).alias("feats"), *ys).collect()
+    wanted = F.filter(F.split(F.lit(",".join(map(str, picked))), ","), lambda x: x != "").cast("array<int>")  # one literal, not thousands
+    rows = table.select(F.array_intersect("feats", wanted).alias("feats"), *ys).collect()
     rows.sort(key=tuple)  # the order of rows must not matter
     x = np.zeros((len(rows), len(picked)), dtype=np.float32)
     for i, r in enumerate(rows):
