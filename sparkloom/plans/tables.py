@@ -297,7 +297,6 @@ def class_metrics(spark, sf_dir):
 # Linear algebra and models
 
 _X3 = ["l_quantity", "l_discount", "l_tax"]
-_CELLS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {{f}} AS v FROM lineitem".replace("{f}", f"{{fn}}({a}, {b})") for a in _X3 for b in _X3)
 
 
 @query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(sum({a} * {b}), 4) AS v FROM lineitem" for a in _X3 for b in _X3))
