@@ -32,11 +32,18 @@ def strided(df: DataFrame, key: list[str], order: list[str], value: str, width:
     return tagged.where(F.col("start") % F.col("stride") == 0).select(*key, "stride", "start", "window")
 
 
-def gradient(df: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
-    """Central differences inside a series, one-sided ones at its ends; null for a single point."""
+def gradient(df: DataFrame, key: list[str], order: list[str], value: str, edge_order: int = 1) -> DataFrame:
+    """Central differences inside a series, one-sided ones of order 1 or 2 at its ends.
+
+    Null for a single point; ends of a series too short for order 2 take order 1.
+    """
     w, x = Window.partitionBy(*key).orderBy(*order), F.col(value).cast("double")
     before, after = F.lag(x).over(w), F.lead(x).over(w)
-    return df.withColumn("gradient", F.when(before.isNull(), after - x).when(after.isNull(), x - before).otherwise((after - before) / 2))
+    first, last = after - x, x - before
+    if edge_order == 2:
+        first = F.coalesce((4 * after - 3 * x - F.lead(x, 2).over(w)) / 2, first)
+        last = F.coalesce((3 * x - 4 * before + F.lag(x, 2).over(w)) / 2, last)
+    return df.withColumn("gradient", F.when(before.isNull(), first).when(after.isNull(), last).otherwise((after - before) / 2))
 
 
 def energy_stability(df: DataFrame, key: list[str], order: list[str], value: str, width: int = 100) -> DataFrame:

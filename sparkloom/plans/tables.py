@@ -72,6 +72,13 @@ def gradient_cumsum(spark, sf_dir):
     return df.select("event_id", F.round("gradient", 6).alias("gradient"), F.round("cumsum", 4).alias("cumsum"))
 
 
+@query("""SELECT event_id, round(CASE WHEN a IS NULL THEN coalesce((4 * b - 3 * value - b2) / 2, b - value) WHEN b IS NULL THEN coalesce((3 * value - 4 * a + a2) / 2, value - a) ELSE (b - a) / 2 END, 6) AS gradient
+FROM (SELECT event_id, value, lag(value) OVER w AS a, lead(value) OVER w AS b, lag(value, 2) OVER w AS a2, lead(value, 2) OVER w AS b2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""")
+def gradient_second_order_edges(spark, sf_dir):
+    df = W.gradient(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 2)
+    return df.select("event_id", F.round("gradient", 6).alias("gradient"))
+
+
 @query("""WITH b AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 10 AS b, value FROM events), e AS (SELECT user_id, b, sum(value * value) AS e FROM b GROUP BY ALL HAVING count(*) = 10),
 g AS (SELECT user_id, avg(e) AS m, var_pop(e) AS v, count(*) AS k FROM e GROUP BY user_id) SELECT u.user_id, round(CASE WHEN coalesce(k, 0) < 2 OR m = 0 THEN 1.0 ELSE 1 / (1 + v / m) END, 6) AS stability FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN g USING (user_id)""")
 def energy_stability(spark, sf_dir):
