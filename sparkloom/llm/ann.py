@@ -143,7 +143,7 @@ class Index:
 
     def __init__(self, rows: DataFrame, k: int = 30, sample: int = 10, rounds: int = 6, trees: int = 4, leaf: int = 1000, seed: int = 5):
         self.spark, self.k = rows.sparkSession, k
-        self.scratch = Scratch(self.spark, "ann")
+        self.scratch = Scratch(self.spark, "ann")  # also makes sure that there is a folder for checkpoints
         rows = valid(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
         self.nodes = self.scratch.write(rows.groupBy("embedding").agg(F.min("vec_id").alias("node")).select("node", "embedding"))
         self.members = self.scratch.write(rows.join(self.nodes, "embedding").select("node", "vec_id"))
@@ -159,8 +159,18 @@ class Index:
         self.adjacency = self._adjacency()
 
     def _dealt(self, df: DataFrame, key: str) -> DataFrame:
-        """Checkpointed in the folder all executors share, as dealt out by ``key``."""
-        return df.repartition(self.parts, key).sortWithinPartitions(key).checkpoint()
+        """Checkpointed in the folder all executors share, as dealt out and sorted by ``key``.
+
+        Adaptive plans don't tell their partitioning, so the checkpoint is made without: joins on
+        ``key`` then move only their other side.
+        """
+        conf, name = self.spark.conf, "spark.sql.adaptive.enabled"
+        before = conf.get(name)
+        conf.set(name, "false")
+        try:
+            return df.repartition(self.parts, key).sortWithinPartitions(key).checkpoint()
+        finally:
+            conf.set(name, before)
 
     def _forget(self, *tables: DataFrame) -> None:
         """Old rounds' files go; their shuffle files do once the JVM has collected the handles."""
