@@ -229,7 +229,7 @@ class Index:
         self._forget()
         return out
 
-    def search(self, queries: DataFrame, n: int = 20, beam: int = 200, width: int = 40, hops: int = 12) -> DataFrame:
+    def search(self, queries: DataFrame, n: int = 20, beam: int = 320, width: int = 64, hops: int = 12) -> DataFrame:
         """``query_id, rank, vec_id, score`` for the ids of ``queries`` (column ``query_id``), all of them indexed."""
         asked = self.scratch.write(queries.join(self.members, queries["query_id"] == self.members["vec_id"]).select("query_id", "node").distinct())
         who = asked.select(F.col("node").alias("q")).distinct()
