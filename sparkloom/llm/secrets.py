@@ -31,7 +31,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 PART = re.compile(r"[+/_-]+")
-NAME = re.compile(r"([A-Z]?[a-z]+|[A-Z]+)*\d*")
+#: Letters, then digits; one way to match each, as nested repeats would take exponential time.
+NAME = re.compile(r"[A-Za-z]*[0-9]*")
 #: Characters for each token, below which a run counts as random.
 LEAST_RATIO = 2.2
 MARK = "[SECRET]"

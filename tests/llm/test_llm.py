@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -262,6 +263,14 @@ def test_secret_spans(enc):
     assert "q9Zx" not in secrets.redact_text(text, found) and secrets.redact_text(text, found).count(secrets.MARK) == 4
 
 
+def test_secret_names_take_linear_time(enc):
+    began = time.process_time()
+    for run in ("a" * 200_000 + "1b", "aB" * 100_000 + "1_x", "A1" * 50_000):
+        secrets.spans_of(run, enc)
+    assert not secrets.ordinary("a" * 40 + "1b") and secrets.ordinary("camelCaseNAME12_x")
+    assert time.process_time() - began < 20
+
+
 def test_secret_query_and_redaction(spark, odd, enc):
     got = {r["doc_id"]: r for r in registry.op7_secret_scans(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
