@@ -195,6 +195,15 @@ def test_bpe_pieces(enc):
         assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("tail", ["", "x", "!", "\x1c", "\nx"])
+def test_bpe_long_blanks(enc, tail):
+    for blank in (" ", " \n\t\u3000", "\x85"):
+        text = "a." + blank * bpe.LONG + tail
+        assert bpe.encode_text(enc, text) == enc.encode_ordinary(text)
+    longest = f"x y{' ' * 1_200_000}{tail}"  # more than the splitter itself can take
+    assert enc.decode_bytes(bpe.encode_text(enc, longest)) == longest.encode()
+
+
 def test_bpe_query(spark, enc):
     got = {r["doc_id"]: r for r in registry.op4_byte_bpe(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
