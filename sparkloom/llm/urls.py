@@ -7,7 +7,9 @@ its host and every parent domain.
 The as-of join is an equi-join: intervals are spread over the months they touch and
 meet captures on (domain, month); inside a key an interval test decides.  Captures are
 reduced to distinct (host, day) pairs first, so a host with a third of all pages sends
-one row a day into the join.
+one row a day into the join.  Only parent domains with as many labels as some entry has
+are asked for: hosts of many labels stay cheap, and a bare ``com`` that no list holds is
+no hot key.
 
 Defined cases: a null or unparsable URL has the empty host, which no entry matches; a
 null day matches nothing.  Of an addition and a removal of the same day the addition
@@ -27,10 +29,12 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.rtrim(F.regexp_extract(F.lower(url), HOST, 1), F.lit(".")), F.lit(""))
 
 
-def suffixes(host: Column) -> Column:
-    """The host and its parent domains: a.b.c, b.c and c."""
+def suffixes(host: Column, least: int, most: int) -> Column:
+    """The host and its parent domains (a.b.c, b.c and c), of ``least`` to ``most`` labels."""
     parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    n = F.size(parts)
+    starts = F.sequence(F.greatest(n - most + 1, F.lit(1)), n - least + 1)
+    return F.when(n >= least, F.transform(starts, lambda i: F.array_join(F.slice(parts, i, n), ".")))
 
 
 def _month(day: Column) -> Column:
@@ -55,7 +59,9 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_
         intervals(entries).where((F.col("valid_from") <= hi) & (F.col("valid_to") > lo))
         .withColumn("month", F.explode(F.sequence(_month(F.greatest("valid_from", lo)), _month(F.least("valid_to", hi)))))
     )
-    asked = keys.select("host", "day", F.explode(suffixes(F.col("host"))).alias("domain")).withColumn("month", _month(F.col("day")))
+    labels = F.size(F.split("domain", r"\."))
+    least, most = entries.where("domain IS NOT NULL").agg(F.min(labels), F.max(labels)).first()  # two numbers
+    asked = keys.select("host", "day", F.explode(suffixes(F.col("host"), least or 1, most or 1)).alias("domain")).withColumn("month", _month(F.col("day")))
     met = asked.join(spread, ["domain", "month"]).where((F.col("valid_from") <= F.col("day")) & (F.col("day") < F.col("valid_to")))
     best = met.groupBy("host", "day").agg(F.min_by(F.struct("list", "domain", "valid_from"), F.struct(-F.length("domain"), "list", "valid_from")).alias("__hit"))
     out = given.join(best.withColumnRenamed("day", day_col), ["host", day_col], "left")

@@ -255,6 +255,10 @@ def test_url_lists(spark):
     assert got == [(1, True, "bad.com"), (1, True, "bad.com"), (2, True, "a.bad.com"), (3, False, None), (4, False, None), (5, False, None), (6, False, None)]
     assert not urls.evaluate(pages, entries.limit(0)).where("blocked").head(1)
     assert urls.evaluate(pages.limit(0), entries).count() == 0
+    long = spark.createDataFrame([(1, f"http://{'a.' * 20_000}bad.com/"), (2, "http://com/"), (3, "http://bad/")], "page_id long, url string").withColumn("fetched_on", F.to_date(F.lit("2024-01-05")))
+    assert pairs_of(urls.evaluate(long, entries), "page_id", "domain") == [(1, "bad.com"), (2, None), (3, None)]
+    bare = entries.union(spark.createDataFrame([("t", "com", "2024-01-01", "add")], "list string, domain string, day string, action string").withColumn("day", F.to_date("day")))
+    assert pairs_of(urls.evaluate(long, bare), "page_id", "domain") == [(1, "bad.com"), (2, "com"), (3, None)]
 
 
 # Secrets
