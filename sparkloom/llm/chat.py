@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 
 CONTROL = re.compile(r"\\|\||</?s>|\[/?INST\]")
 ESCAPED = re.compile(r"\\(.)", re.S)
-TURN = re.compile(r"<\|((?:[^\\|]|\\.)*)\|>\n((?:[^\\|]|\\.)*)<\|end\|>\n", re.S)
+#: Repeats hold whole stretches between escapes: the matcher remembers each repeat it began.
+TURN = re.compile(r"<\|([^\\|]*(?:\\.[^\\|]*)*)\|>\n([^\\|]*(?:\\.[^\\|]*)*)<\|end\|>\n", re.S)
 EXAMPLES = "conv_id long, example long, text string, loss_start long, loss_end long, last boolean"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
 

@@ -230,6 +230,12 @@ def test_escapes(text):
         assert control not in done
 
 
+def test_long_turns_parse():
+    text = "plain words, a \\ and a | " * 100_000
+    head, body = chat.render("a|b", text)
+    assert chat.parse(f"{head}{body}{chat.CLOSE}" * 2) == [("a|b", text)] * 2
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi", 1), (1, 1, "assistant", "yo|", 1), (1, 2, "user", None, 1), (1, 3, "assistant", "", 1), (1, 4, "user", "bye", 1), (2, 0, "system", "x", 1), (None, None, None, None, None), (3, 0, "assistant", "a", 1), (3, 0, "assistant", "a", 1)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, example long")
