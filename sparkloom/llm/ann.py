@@ -4,10 +4,13 @@ The index is a graph of each vector's ``k`` nearest others.  It starts from leav
 random-hyperplane trees and improves by rounds of NN-descent: every node introduces a
 sample of its neighbours and of those it is a neighbour of to each other, which are
 Spark joins of neighbours of neighbours, and nodes keep the best they have met.
+Nodes that the trees leave with fewer than ``k`` neighbours (alone or with few others in
+their leaves) first meet a random part of all nodes, and each other.
 A query walks the graph: each hop expands its best unexpanded candidates by a join with
 the adjacency, until the best ``beam`` are all expanded.  The distances met on the way
 are of vectors rounded to bytes; the candidates left are measured again exactly, in
-double precision on the original vectors.
+double precision on the original vectors.  A query that still has fewer rows than there
+are to have is answered by a scan of all vectors.
 
 Every list is bounded by construction: ``k`` neighbours, samples of ``sample``, leaves
 of about ``leaf`` vectors (fuller ones are split by a hash), ``beam`` candidates.  The
@@ -22,13 +25,15 @@ from __future__ import annotations
 
 import gc
 import math
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Scratch, map_rows
+from sparkloom.llm.common import Scratch, map_rows, slices
 
 PAIRS = "v long, u long, s float"
 
@@ -101,6 +106,48 @@ def _leaf_neighbours(most: int):
     return run
 
 
+def _meet(most: int):
+    """The best of a part for each of its poor nodes, and the poor nodes for those."""
+
+    def run(batches):
+        for batch, cuts in _groups(batches, ["crowd", "part"]):
+            ids, x, found = batch.column("node").to_numpy(), _unpack(batch.column("code"), batch.column("scale")), []
+            poor = np.flatnonzero(batch.column("poor").to_numpy(zero_copy_only=False))
+            for a, b in zip(cuts, cuts[1:]):
+                mine, n = poor[np.searchsorted(poor, a) : np.searchsorted(poor, b)], min(most, b - a - 1)
+                for i in range(0, len(mine) if n else 0, 1024):
+                    rows = mine[i : i + 1024]
+                    s = x[rows] @ x[a:b].T
+                    s[np.arange(len(rows)), rows - a] = -np.inf
+                    best = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                    v, u, score = np.repeat(ids[rows], n), ids[a:b][best].ravel(), np.take_along_axis(s, best, 1).ravel()
+                    found += [(v, u, score), (u, v, score)]
+            yield _pairs(found)
+
+    return run
+
+
+def _exact(queries: list[tuple[int, list[float]]], most: int):
+    """The ``most`` best nodes of a partition for each query, summed in the order of ``product``; ties go to the smaller id."""
+    q, wanted = np.array([r[0] for r in queries], dtype=np.int64), np.array([r[1] for r in queries], dtype=np.float64)
+
+    def run(batches):
+        ids, top = np.zeros((len(q), 0), dtype=np.int64), np.zeros((len(q), 0))
+        for batch in batches:
+            for part in slices(batch, 1 << 20):
+                x = np.array(part.column("embedding").to_pylist(), dtype=np.float64)
+                s = np.zeros((len(q), len(x)))
+                for d in range(x.shape[1]):
+                    s += wanted[:, d, None] * x[None, :, d]
+                ids = np.hstack([ids, np.broadcast_to(part.column("node").to_numpy(), s.shape)])
+                top = np.hstack([top, s])
+                keep = np.lexsort((ids, -top), axis=1)[:, :most]
+                ids, top = np.take_along_axis(ids, keep, 1), np.take_along_axis(top, keep, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, ids.shape[1])), pa.array(ids.ravel())], names=["q", "u"])
+
+    return run
+
+
 def _introduce(batches):
     """For each node, the pairs of its neighbours (one of them new) that improve on a member's worst."""
     for batch, cuts in _groups(batches, ["v"]):
@@ -150,7 +197,7 @@ class Index:
         coded = map_rows(self.nodes, _codes, "node long, code binary, scale float")
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.codes = self._dealt(coded, "node")
-        graph = self._start(trees, leaf, seed)
+        graph = self._fill(self._start(trees, leaf, seed), leaf, seed)
         for i in range(rounds):
             graph, moved = self._descend(graph, sample, i)
             if moved <= 0.001 * k * max(1, self.codes.count()):
@@ -196,6 +243,27 @@ class Index:
         near = cut.select("tree", "leaf", "part", "node", "code", "scale").repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part").mapInArrow(_leaf_neighbours(max(8, self.k // 2)), PAIRS)
         return self.scratch.write(best(near.groupBy("v", "u").agg(F.max("s").alias("s")), "v", self.k).withColumn("fresh", F.lit(True)))
 
+    def _fill(self, graph: DataFrame, leaf: int, seed: int) -> DataFrame:
+        """The graph with at least ``k`` neighbours for every node, or all others where there are fewer."""
+        n = self.codes.count()
+        have = graph.groupBy("v").agg(F.count("*").alias("have"))
+        short = self.codes.join(have, self.codes["node"] == have["v"], "left").where(F.coalesce("have", F.lit(0)) < min(self.k, n - 1))
+        poor = self.scratch.write(short.select("node", F.lit(True).alias("poor")))
+        m = poor.count()
+        if not m:
+            return graph
+        size = max(leaf, 4 * self.k)  # far more than ``k`` in each part
+        marked = self.codes.join(poor, "node", "left").withColumn("poor", F.coalesce("poor", F.lit(False)))
+        put = [
+            rows.withColumn("crowd", F.lit(i)).withColumn("part", F.pmod(F.xxhash64("node", F.lit(seed + i)), F.lit(max(1, of // size))))
+            for i, (rows, of) in enumerate([(marked, n), (marked.where("poor"), m)])
+        ]
+        dealt = put[0].union(put[1]).select("crowd", "part", "node", "poor", "code", "scale").repartition("crowd", "part").sortWithinPartitions("crowd", "part")
+        met = dealt.mapInArrow(_meet(self.k), PAIRS).withColumn("fresh", F.lit(True))
+        new = self.scratch.write(best(graph.union(met).groupBy("v", "u").agg(F.max("s").alias("s"), F.max("fresh").alias("fresh")), "v", self.k))
+        self._forget(graph, poor)
+        return new
+
     def _descend(self, graph: DataFrame, sample: int, turn: int) -> tuple[DataFrame, int]:
         """One round: the new graph, and how many of its edges are new."""
 
@@ -249,13 +317,27 @@ class Index:
             new = self.scratch.write(best(merged, "q", beam))
             self._forget(state, front)
             state = new
-        return self._measured(asked, state, n)
+        return self._completed(asked, state, n)
+
+    def _completed(self, asked: DataFrame, state: DataFrame, n: int, block: int = 256) -> DataFrame:
+        """The rows found; queries with fewer than there are to have are answered by a scan, a block of them at a time."""
+        found = self.scratch.write(self._measured(asked, state.select("q", "u"), n))
+        got = found.groupBy("query_id").agg(F.count("*").alias("got"))
+        due = min(n, self.members.count() - 1)
+        short = self.scratch.write(asked.join(got, "query_id", "left").where(F.coalesce("got", F.lit(0)) < due).select("query_id", "node"))
+        if not short.head(1):
+            return found
+        wanted = self.nodes.join(short.select("node").distinct(), "node", "left_semi").select("node", "embedding").toLocalIterator()
+        scanned = []
+        while some := [tuple(r) for r in islice(wanted, block)]:
+            scanned.append(self.scratch.write(self.nodes.mapInArrow(_exact(some, n + 1), "q long, u long")))
+        return found.join(short, "query_id", "left_anti").union(self._measured(short, reduce(DataFrame.union, scanned), n))
 
     def _measured(self, asked: DataFrame, state: DataFrame, n: int) -> DataFrame:
-        """Exact scores of the candidates, one row for each id of a node, and the query's own copies."""
+        """Exact scores of the candidates ``q``, ``u``, one row for each id of a node, and the query's own copies."""
         left = self.nodes.select(F.col("node").alias("q"), F.col("embedding").alias("a"))
         right = self.nodes.select(F.col("node").alias("u"), F.col("embedding").alias("b"))
-        pairs = state.select("q", "u").union(asked.select(F.col("node").alias("q"), F.col("node").alias("u"))).distinct()
+        pairs = state.union(asked.select(F.col("node").alias("q"), F.col("node").alias("u"))).distinct()
         scored = self.scratch.write(pairs.join(left, "q").join(right, "u").select("q", "u", product(F.col("a"), F.col("b")).alias("score")))
         few = best(scored, "q", n + 1, "score")  # a node's other ids only push nodes out
         ids = best(self.members.withColumn("s", F.lit(0)), "node", n + 1, "s", "vec_id").select(F.col("node").alias("u"), "vec_id")

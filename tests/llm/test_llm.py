@@ -376,6 +376,39 @@ def test_few_neighbours(spark, n):
 # Language
 
 
+def skewed():
+    """A narrow cone, a few vectors opposite it, and a long one across that is the best of many."""
+    rng = np.random.default_rng(3)
+    cone = np.eye(8)[0] + 0.02 * rng.normal(size=(3000, 8))
+    away = -np.eye(8)[0] + 0.02 * rng.normal(size=(6, 8))
+    return np.vstack([cone, away, [0.3, 40, 0, 0, 0, 0, 0, 0]])
+
+
+def test_neighbours_of_outliers(spark):
+    x = skewed()
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    beside = np.argsort(-x[:3000, 1])[:5].tolist()  # of these, 3006 is the best
+    asked, got = [*range(3000, 3007), *beside], {}
+    for r in ann.Index(df, leaf=100, rounds=3).search(spark.createDataFrame([(i,) for i in asked], "query_id long")).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert {q: len(got.get(q, [])) for q in asked} == dict.fromkeys(asked, 20)
+    assert all(set(got[q]) > set(range(3000, 3006)) - {q} for q in range(3000, 3006))
+    assert all(got[q][0] == 3006 for q in beside)
+
+
+def test_short_queries_are_scanned(spark):
+    """Queries without any candidate get exact rows, of copies too."""
+    x = np.vstack([skewed()[:300], skewed()[:1]])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = ann.Index(df, rounds=1)
+    asked = index.members.where("vec_id in (0, 7, 300)").select(F.col("vec_id").alias("query_id"), "node")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in index._completed(asked, spark.createDataFrame([], "q long, u long"), 20, block=1).collect()}
+    for q in (0, 7, 300):
+        s = x @ x[q]
+        want = [i for i in np.lexsort((np.arange(len(x)), -np.round(s, 12))).tolist() if i != q][:20]
+        assert [got[q, i + 1] for i in range(20)] == want
+
+
 def test_language_query(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     rows = registry.op10_language_id(spark, "/root/testdata/sf0.01").join(docs, "doc_id").where("held_out").collect()
