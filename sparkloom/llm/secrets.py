@@ -2,8 +2,10 @@
 
 Three base patterns find assignments, access keys and long hexadecimal runs.  The
 method adds random-looking strings: a vocabulary learned on ordinary text covers words
-with few tokens and random strings with many, so a run with few characters per token
-is flagged, once known digests and identifiers are set aside.
+with few tokens and random strings with many, so a run, or a stretch of it between
+separators, with few characters per token is flagged, once numbers, known digests and
+identifiers are set aside.  An identifier is made of parts whose letters are words by the
+same measure; capitals may be words in small letters.
 
 Defined cases: a null text is empty and has no spans.  Offsets count code points, ends
 are exclusive.  Rows are independent.
@@ -12,6 +14,7 @@ are exclusive.  Rows are independent.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,20 +34,54 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 PART = re.compile(r"[+/_-]+")
+PIECE = re.compile(r"[^+/_-]+")
+LEAST_LENGTH = 16
+#: Letters of a part that are too few to tell words from random ones.
+SHORT = 3
 #: Letters, then digits; one way to match each, as nested repeats would take exponential time.
 NAME = re.compile(r"[A-Za-z]*[0-9]*")
 #: Characters for each token, below which a run counts as random.
 LEAST_RATIO = 2.2
+#: What the limit is less for letters in one case, as long words of little known languages come near it.
+LESS_IN_ONE_CASE = 0.2
+ONE_CASE = re.compile("[A-Za-z]?[a-z]*|[A-Z]*")
 MARK = "[SECRET]"
 
 
-def ordinary(run: str) -> bool:
-    """Whether a run is a known digest or an identifier, or has no mix of letters and digits."""
-    if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
+def ordinary(run: str, wordy: Callable[[str], bool] = lambda letters: True) -> bool:
+    """Whether a run is a number, a known digest or an identifier: parts of words by ``wordy``, then digits."""
+    if not re.search("[A-Za-z]", run):
         return True
-    if len(run) in DIGEST_LENGTHS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", run) or UUID.fullmatch(run):
+    if len(run) in DIGEST_LENGTHS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", run) and re.search("[0-9]", run) or UUID.fullmatch(run):
         return True
-    return all(NAME.fullmatch(p) for p in PART.split(run.rstrip("=")))
+    return all(NAME.fullmatch(p) and wordy(p.rstrip("0123456789")) for p in PART.split(run.rstrip("=")))
+
+
+def random_spans(run: str, enc, least_ratio: float) -> list[tuple[int, int]]:
+    """The whole run if it is random, else the stretches of it that are.
+
+    A stretch is parts in a row none of which is ordinary, so words around can't dilute it.
+    """
+
+    def dense(x: str) -> bool:
+        return len(x) < (least_ratio - LESS_IN_ONE_CASE * bool(ONE_CASE.fullmatch(x))) * len(enc.encode_ordinary(x))
+
+    def wordy(letters: str) -> bool:
+        return len(letters) <= SHORT or not dense(letters) or letters.isupper() and not dense(letters.lower())
+
+    if ordinary(run, wordy):
+        return []
+    if dense(run):
+        return [(0, len(run))]
+    found, start, end = [], None, 0
+    for m in [*PIECE.finditer(run), None]:
+        if m and dense(m[0]) and not ordinary(m[0], wordy):
+            start, end = m.start() if start is None else start, m.end()
+            continue
+        if start is not None and end - start >= LEAST_LENGTH and dense(run[start:end]):
+            found.append((start, end))
+        start = None
+    return found
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -63,8 +100,7 @@ def spans_of(text: str | None, enc, least_ratio: float = LEAST_RATIO) -> list[tu
         return []
     found = base_spans(text)
     for m in RUN.finditer(text):
-        if not ordinary(m[0]) and len(m[0]) < least_ratio * len(enc.encode_ordinary(m[0])):
-            found.append(("random", m.start(), m.end()))
+        found += [("random", m.start() + a, m.start() + b) for a, b in random_spans(m[0], enc, least_ratio)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -282,6 +282,23 @@ def test_secret_spans(enc):
     assert "q9Zx" not in secrets.redact_text(text, found) and secrets.redact_text(text, found).count(secrets.MARK) == 4
 
 
+def test_random_runs_of_any_shape(enc):
+    def found(text):
+        return [text[a:b] for k, a, b in secrets.spans_of(text, enc) if k == "random"]
+
+    path = "/repositories/organization/production/releases/download/configuration/"
+    for key in ("QwxZkPvJrTbNmLsDfGhY", "QwxZkPvJrTbNmLsD48213", "q9Zx7Lk2Vb8Nw4Tr1Ys6"):
+        assert found(f"x {key} y") == [key]
+        assert found(f"x {path}{key} y") == [key]
+    assert found(f"{path}Xy9kQ2mZv-7hT4vW8nq") == ["Xy9kQ2mZv-7hT4vW8nq"]
+    rng = random.Random(7)
+    for letters, least in (("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 285), ("abcdefghijklmnopqrstuvwxyz", 255)):
+        keys = ["".join(rng.choices(letters, k=20)) for _ in range(300)]
+        assert sum(found(k) == [k] for k in keys) >= least
+    for plain in (path, "WARENEINGANGSBESTAETIGUNG", "Donaudampfschifffahrtsgesellschaft", "getElementsByTagNameNS", "IMG20240115123456", "2024-01-15-123456", "CONFIGURATION_DIRECTORY", f"{path}d41d8cd98f00b204e9800998ecf8427e"):
+        assert found(plain) == []
+
+
 def test_secret_names_take_linear_time(enc):
     began = time.process_time()
     for run in ("a" * 200_000 + "1b", "aB" * 100_000 + "1_x", "A1" * 50_000):
