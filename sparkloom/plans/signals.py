@@ -131,10 +131,10 @@ def attention_softmax(spark, sf_dir):
 @query("""WITH s AS (SELECT user_id::VARCHAR AS key, row_number() OVER w - 1 AS start, list(value) OVER (w ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT key, stride, start, round(list_avg(x), 6) AS mean, round(list_sum(list_transform(x, lambda v: v * v)), 4) AS energy FROM s, (VALUES (1), (3)) AS t(stride) WHERE len(x) = 5 AND start % stride = 0""")
 def stream_stride_state(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    folder = _checkpoint(spark)
+    stream = stride.in_order(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "event_id", f"{folder}/events")
     out = stride.strided(stream, "user_id", "event_id", "value", 5, [1, 3])
-    got = stride.drain(out, "stride_state", _checkpoint(spark), "append")
+    got = stride.drain(out, f"{folder}/windows", f"{folder}/state")
     return got.select("key", "stride", "start", F.round("mean", 6).alias("mean"), F.round("energy", 4).alias("energy"))
 
 

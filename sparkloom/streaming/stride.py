@@ -6,6 +6,7 @@ whole window comes out exactly once over all batches.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -44,8 +45,26 @@ def strided(events: DataFrame, key: str, order: str, value: str, width: int, str
     return slim.groupBy(key).applyInPandasWithState(run, WINDOWS, "seen long, tail array<double>", "append", "NoTimeout")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"):
-    """Run what is there to its end into a table in memory, for tests and small replays."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination(300)
-    return stream.sparkSession.table(name)
+def in_order(rows: DataFrame, order: str, path: str, most: int = 1 << 20) -> DataFrame:
+    """A stream over ``rows`` in batches of about ``most``, each after the one before it in ``order``.
+
+    The rows are written to ``path`` in ranges of ``order``; file sources read by time of
+    modification, so the files are given theirs in the order of the ranges.
+    """
+    spark, parts = rows.sparkSession, max(1, -(-rows.count() // most))
+    rows.repartitionByRange(parts, F.col(order).asc_nulls_last()).write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: int(f.getName().split("-")[1]))
+    last = int(time.time()) * 1000
+    for i, f in enumerate(files):
+        fs.setTimes(f, last - (len(files) - 1 - i) * 1000, -1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run what is there to its end, however long that takes, into a table at ``path``."""
+    q = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

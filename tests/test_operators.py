@@ -14,6 +14,7 @@ from sparkloom.operators import signal as S
 from sparkloom.operators import tensor as T
 from sparkloom.operators import windows as W
 from sparkloom.sources import io
+from sparkloom.streaming import stride
 
 
 def coo(spark, rows):
@@ -171,3 +172,17 @@ def test_io(spark, tmp_path):
     io.save_model(spark, str(tmp_path / "m"), {"w": [1.5]})
     assert io.load_model(spark, str(tmp_path / "m")) == {"w": [1.5]}
     assert io.row_count(spark.range(5), "id > 2") == 2
+
+
+def test_stream_of_many_batches(spark, tmp_path):
+    """A key with most rows over batches of bounded size, in order though written out of it."""
+    rows = [((i * 37) % 200, "a" if i % 5 else "b", float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "at long, key string, v double").repartition(3)
+    stream = stride.in_order(df, "at", str(tmp_path / "in"), most=40)
+    got = stride.drain(stride.strided(stream, "key", "at", "v", 5, [1, 3]), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert len(list((tmp_path / "state" / "commits").glob("[0-9]*"))) >= 5
+    want = []
+    for key in "ab":
+        x = [v for _, k, v in sorted(rows) if k == key]
+        want += [(key, s, i, sum(x[i : i + 5]) / 5) for s in (1, 3) for i in range(0, len(x) - 4, s)]
+    assert sorted((r["key"], r["stride"], r["start"], r["mean"]) for r in got.collect()) == sorted(want)
