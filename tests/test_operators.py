@@ -174,6 +174,18 @@ def test_io(spark, tmp_path):
     assert io.row_count(spark.range(5), "id > 2") == 2
 
 
+def test_order_places(spark):
+    big = spark.range(4_000_000).select((F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / 7).alias("v"))
+    x = np.sort(np.array(big.toPandas()["v"]))
+    lo, hi = x[len(x) // 4], x[3 * len(x) // 4]
+    assert E.fit_order_iqr(big, "v") == (lo - 1.5 * (hi - lo), hi + 1.5 * (hi - lo))
+    odd = [-math.inf, 5e-324, 0.0, 1e-323, -1e308, 1e308, 1e308, 2.0, 2.0, 2.5, 1e-9, math.inf, math.nan]
+    df = spark.createDataFrame([(v,) for v in [*odd, None]], "v double")
+    for i, v in enumerate(sorted(odd[:-1])):
+        assert E.at_place(df, F.col("v"), i, most=2, buckets=3) == v
+    assert math.isnan(E.at_place(df, F.col("v"), 12))
+
+
 def test_stream_of_many_batches(spark, tmp_path):
     """A key with most rows over batches of bounded size, in order though written out of it."""
     rows = [((i * 37) % 200, "a" if i % 5 else "b", float(i)) for i in range(200)]
