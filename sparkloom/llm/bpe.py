@@ -28,9 +28,9 @@ LONG = 1 << 16
 #: white space followed by one that is, and no alternative looks ahead from there except
 #: from within white space; so a match always ends here and what follows matches alike.
 SAFE = re.compile(r"(?<=[A-Za-z0-9.,])[ \n]")
-#: White space as the splitting pattern knows it, in a run too long for the library's splitter,
-#: which remembers every place it may go back to and fails beyond a million of them.
-BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG)
+#: Runs of white space as the splitting pattern knows it.  Whole runs, whatever their length: a
+#: least length in the pattern would have each shorter run read again from all its places.
+BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 
 def pieces(text: str, most: int = LONG) -> Iterator[str]:
@@ -55,11 +55,14 @@ def encoder(ranks: bytes, pattern: str) -> tiktoken.Encoding:
 def encode_piece(enc: tiktoken.Encoding, text: str) -> list[int]:
     """The ids of a piece; its long runs of white space are encoded as the one match they are.
 
-    No match before a run reaches into it.  The run is one match, but for its last sign where
-    something follows, which the pattern leaves to the next match.
+    The library's splitter remembers every place in a run that it may go back to and fails
+    beyond a million of them.  No match before a run reaches into it.  The run is one match,
+    but for its last sign where something follows, which the pattern leaves to the next match.
     """
     ids, at = [], 0
     for m in BLANKS.finditer(text):
+        if m.end() - m.start() < LONG:
+            continue
         end = m.end() if m.end() == len(text) else m.end() - 1
         ids += enc.encode_ordinary(text[at : m.start()])
         ids += enc._encode_single_piece(text[m.start() : end])
