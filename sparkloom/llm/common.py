@@ -102,20 +102,20 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 def spread_sample(rows: DataFrame, by: str, per: int, hashed: Column, room: int = 3) -> DataFrame:
-    """At most ``per`` rows of each value of ``by``, those with the smallest ``hashed`` (a long).
+    """At most ``per`` rows of each value of ``by``, those with the smallest ``hashed`` (a long); none for null.
 
-    Counts come first; of each value only about ``room * per`` rows, by a cut in the range of
-    the hash, then meet in a window.  So the window is small however large a value is.
+    Counts come first and are joined back (a written table, whose size Spark knows); of each
+    value only about ``room * per`` rows, by a cut in the range of the hash, then meet in a
+    window.  So the window is small however large a value is, as long as rows differ in the
+    hash: repeated rows are to be made distinct before.
     """
     span = 1 << 30
-    sizes = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}  # a row for each value
-    place = F.pmod(hashed, F.lit(span))
-    cut = F.lit(0).cast("long")
-    for value, n in sizes.items():
-        cut = F.when(F.col(by) == F.lit(value), F.lit(min(span, room * per * span // max(n, 1) + 1)).cast("long")).otherwise(cut)
-    few = rows.withColumn("__place", place).where(F.col("__place") < cut)
+    sizes = Scratch(rows.sparkSession, "sample").write(rows.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__size")))
+    cut = F.least(F.lit(span), F.floor(F.lit(room * per * span) / F.col("__size")) + 1)
+    placed = rows.withColumn("__place", F.pmod(hashed, F.lit(span)))
+    few = placed.join(sizes, placed[by] == sizes["__by"]).where(F.col("__place") < cut)
     order = Window.partitionBy(by).orderBy("__place", *[c for c in rows.columns if c != by])
-    return few.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per).drop("__place", "__n")
+    return few.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per).select(*rows.columns)
 
 
 def file_bytes(path: str | os.PathLike) -> bytes:

@@ -7,14 +7,18 @@ probability of each language, also where a text switches between languages.  A t
 language is the one with the largest mean probability over its words; that mean is the
 score.
 
-The field is fitted on a bounded sample: ``per_lang`` labelled rows for each language,
-chosen by a hash of the id, and of each a passage of ``passage`` characters from a
-hashed place.  A third of the training sequences are code-switched, put together from
-passages of different languages.  Prediction reads whole texts, in one pass without a
-shuffle; the weights it ships hold about 65,000 numbers for each language.
+The field is fitted on a bounded sample of labelled rows: ``per_lang`` for each of the
+``most_langs`` commonest languages, chosen by a hash of id and text, and of each
+``per_text`` segments of 16 words from hashed places of the whole text.  Words that fill
+no segment of their own are in one that overlaps the one before; a text of fewer words
+is one segment, repeated to its length.  A third of the training sequences are
+code-switched, put together from segments of different languages.  Prediction reads whole
+texts, in one pass without a shuffle; the weights it ships hold about 65,000 numbers for
+each language, and fewer beyond 64 languages, 4 million in all at most.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is
-every text if nothing could be learned; rows are independent.
+every text if nothing could be learned; rows are independent.  Labelled rows that are
+repeated count once.
 """
 
 from __future__ import annotations
@@ -30,34 +34,36 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import map_rows, spread_sample, texts
 
 UND = "und"
-BITS = 16
-NONE = 1 << BITS  # the row of no feature, whose weights stay 0; lexicon rows follow
+BITS = 16  # buckets for each language; the row after them is that of no feature, whose weights stay 0, and lexicon rows follow
+WEIGHTS = 1 << 22  # in all
+CELLS = 1 << 16  # training sequences times languages
 WORDS = re.compile(r"[^\W\d_]+")
-UNIT = 16  # words of one language in a row, in a training sequence
+UNIT = 16  # words of a segment
 UNITS = 3
-CACHED = 300_000
-CHUNK = 50_000
+CACHED = 1_200_000  # scores kept
+CHUNK = 200_000  # scores computed at once
 
 
-def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def features(words: list[str], lexicon: dict[str, int], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows of every character of the marked words ``^word$``, and where each word starts.
 
     A character begins an n-gram of 2, 3 and 4 characters, if its word is long enough;
     with the marks these are inner n-grams, prefixes and suffixes of 1 to 3.  The fourth
     column is the word's lexicon entry, at its first character.
     """
+    none = 1 << bits
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     left = np.repeat(starts + sizes, sizes) - np.arange(sizes.sum())  # characters up to the word's end
     codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    out = np.full((len(codes), 4), NONE, dtype=np.int64)
+    out = np.full((len(codes), 4), none, dtype=np.int64)
     gram = codes
     for n in (2, 3, 4):
         gram = gram[:-1] * np.uint64(1000003) + codes[n - 1 :]
         mixed = (gram ^ (gram >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15 + 2 * n)
         whole = left[: len(gram)] >= n
-        out[: len(gram), n - 2][whole] = (mixed >> np.uint64(64 - BITS)).astype(np.int64)[whole]
-    out[starts, 3] = np.fromiter((NONE if (i := lexicon.get(w)) is None else NONE + 1 + i for w in words), dtype=np.int64, count=len(words))
+        out[: len(gram), n - 2][whole] = (mixed >> np.uint64(64 - bits)).astype(np.int64)[whole]
+    out[starts, 3] = np.fromiter((none if (i := lexicon.get(w)) is None else none + 1 + i for w in words), dtype=np.int64, count=len(words))
     return out, starts
 
 
@@ -70,6 +76,7 @@ class Model:
     moves: np.ndarray
     start: np.ndarray
     lexicon: dict[str, int]
+    bits: int = BITS
 
     def __post_init__(self):
         self.cache: dict[str, int] = {}
@@ -84,12 +91,14 @@ class Model:
 
     def rows_of(self, words: list[str]) -> np.ndarray:
         """Emission scores of the words; those of recent words are kept."""
-        if len(self.cache) > CACHED:
+        k = len(self.langs)
+        if len(self.cache) > CACHED // k:
             self.__post_init__()
         cache = self.cache
         new = [w for w in dict.fromkeys(words) if w not in cache]
         if new:
-            fresh = np.concatenate([emissions(self.weights, *features(new[i : i + CHUNK], self.lexicon)) for i in range(0, len(new), CHUNK)])
+            step = max(1, CHUNK // k)
+            fresh = np.concatenate([emissions(self.weights, *features(new[i : i + step], self.lexicon, self.bits)) for i in range(0, len(new), step)])
             base = len(self.scores)
             self.scores = np.concatenate([self.scores, fresh])
             cache.update((w, base + i) for i, w in enumerate(new))
@@ -175,59 +184,89 @@ def lexicons(passages: list[tuple[int, list[str]]], langs: int, least: int = 3,
     return {w: int(c.argmax()) for w, c in counts.items() if c.sum() >= least and c.max() >= share * c.sum()}
 
 
+def segments(words: list[str]) -> list[list[str]]:
+    """The words ``UNIT`` at a time; the last ones with as many before them as it takes, few words repeated."""
+    if not words:
+        return []
+    if len(words) < UNIT:
+        return [(words * UNIT)[:UNIT]]
+    return [words[i : i + UNIT] for i in range(0, len(words) - UNIT + 1, UNIT)] + ([words[-UNIT:]] if len(words) % UNIT else [])
+
+
 def fit(passages: list[tuple[str, str]], rounds: int = 40, rate: float = 0.15, decay: float = 1e-4, seed: int = 7) -> Model:
     """The field from (language, passage) pairs."""
     langs = sorted({lang for lang, _ in passages})
     place, rng, k = {x: i for i, x in enumerate(langs)}, np.random.default_rng(seed), len(langs)
     listed = [(place[lang], WORDS.findall(text.lower())) for lang, text in passages]
-    units = [(lang, words[i : i + UNIT]) for lang, words in listed for i in range(0, len(words) - UNIT + 1, UNIT)]
-    model = Model(langs, np.zeros((NONE + 1 + k, k), dtype=np.float32), np.zeros((k, k)), np.zeros(k), lexicons(listed, k))
+    units = [(lang, part) for lang, words in listed for part in segments(words)]
+    bits = min(BITS, (WEIGHTS // max(1, k)).bit_length() - 1)
+    none = 1 << bits
+    model = Model(langs, np.zeros((none + 1 + k, k), dtype=np.float32), np.zeros((k, k)), np.zeros(k), lexicons(listed, k), bits)
     if k < 2 or not units:
         return model
-    by = [[u for u in units if u[0] == i] for i in range(k)]
-    most = max(map(len, by))
+    by = [[] for _ in langs]
+    for i in rng.permutation(len(units)):
+        by[units[i][0]].append(units[i])
+    many = min(-(-max(map(len, by)) // UNITS), max(2, CELLS // (k * k)))  # sequences: every language as often as the most frequent one
     rows = []
-    for i in range(k):  # every language as often as the most frequent one
-        for j in range(0, most if by[i] else 0, UNITS):
-            mixed = j % (UNITS * UNITS) == 0
-            one = by[i][j % len(by[i])]
-            rest = [units[rng.integers(len(units))] if mixed else by[i][rng.integers(len(by[i]))] for _ in range(UNITS - 1)]
-            rows.append([one, *rest])
+    for own in by:
+        for j in range(many if own else 0):
+            rest = [units[rng.integers(len(units))] if j % UNITS == 0 else own[rng.integers(len(own))] for _ in range(UNITS - 1)]
+            rows.append([own[j * UNITS % len(own)], *rest])
     gold = np.array([[lang for lang, _ in row for _ in range(UNIT)] for row in rows])
     names: dict[str, int] = {}
     ids = np.array([[names.setdefault(w, len(names)) for _, words in row for w in words] for row in rows])
-    rows_of, starts = features(list(names), model.lexicon)
+    rows_of, starts = features(list(names), model.lexicon, bits)
     sizes = np.diff(starts, append=len(rows_of))
+    step = max(1, CHUNK // k)
+    cuts = [(i, min(i + step, len(names)), starts[i], starts[i + step] if i + step < len(names) else len(rows_of)) for i in range(0, len(names), step)]
     params = [np.zeros(model.weights.shape), model.moves, model.start]
     mean, var = [np.zeros_like(q) for q in params], [np.zeros_like(q) for q in params]
-    for step in range(1, rounds + 1):
-        score = emissions(params[0], rows_of, starts)
+    for turn in range(1, rounds + 1):
+        score = np.concatenate([emissions(params[0], rows_of[c:d], starts[a:b] - c) for a, b, c, d in cuts])
         g, move_g, start_g = _gradient(score[ids], gold, params[1], params[2])
-        per_char = np.repeat(np.stack([np.bincount(ids.ravel(), g[..., i].ravel(), len(names)) for i in range(k)], axis=1), sizes, axis=0)
-        weight_g = np.stack([np.bincount(rows_of.ravel(), np.repeat(per_char[:, i], 4), len(params[0])) for i in range(k)], axis=1)
-        weight_g[NONE] = 0
+        weight_g = np.empty_like(params[0])
+        for i in range(k):
+            of_word = np.bincount(ids.ravel(), g[..., i].ravel(), len(names))
+            weight_g[:, i] = np.bincount(rows_of.ravel(), np.repeat(of_word, 4 * sizes), len(params[0]))
+        weight_g[none] = 0
         for q, dq, m, v in zip(params, (weight_g, move_g, start_g), mean, var):
             dq = dq / len(rows) + decay * q
             m += 0.1 * (dq - m)
             v += 0.01 * (dq * dq - v)
-            q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            q -= rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
     model.weights = params[0].astype(np.float32)
     return model
 
 
-def sample(docs: DataFrame, per_lang: int, passage: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most ``per_lang`` (language, passage) pairs of each language."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    hashed = F.xxhash64(F.lit("passage"), "doc_id")
-    at = F.pmod(hashed, F.greatest(F.length("text") - passage, F.lit(0)) + 1).cast("int") + 1
-    cut = rows.select("lang", "doc_id", F.substring("text", at, F.lit(passage)).alias("part"))
-    pick = spread_sample(cut, "lang", per_lang, F.xxhash64(F.lit("passage"), "doc_id"))
-    return sorted((r["lang"], r["part"]) for r in pick.select("lang", "part").collect())
+def drawn(text: str, mark: int, per_text: int) -> list[str]:
+    """Up to ``per_text`` segments of the whole text, from places that ``mark`` decides; a short text whole."""
+    words = WORDS.findall(text.lower())
+    if len(words) < UNIT:
+        return [" ".join(words)] if words else []
+    parts = segments(words)
+    some = np.random.default_rng(mark % (1 << 63)).choice(len(parts), min(per_text, len(parts)), replace=False)
+    return [" ".join(parts[i]) for i in sorted(some)]
+
 
+def sample(docs: DataFrame, per_lang: int, per_text: int, most_langs: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
+    """Segments with their languages: at most ``per_text`` of each of ``per_lang`` rows of ``most_langs`` languages."""
+    rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"), F.xxhash64(F.lit("passage"), docs[id_col].cast("long"), docs[text_col].cast("string")).alias("mark")).where("lang IS NOT NULL AND text IS NOT NULL")
+    marks = rows.select("lang", "mark").distinct()
+    common = marks.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).select("lang")
+    picked = spread_sample(marks.join(F.broadcast(common), "lang"), "lang", per_lang, F.col("mark"))  # at most ``most_langs`` rows
+    once = rows.join(F.broadcast(picked), ["lang", "mark"]).groupBy("lang", "mark").agg(F.min("text").alias("text"))  # at most ``per_lang`` rows for each of them
+
+    def run(batch: pa.RecordBatch) -> list:
+        lang, text, mark = (batch.column(c).to_pylist() for c in ("lang", "text", "mark"))
+        return [lang, [drawn(t, m, per_text) for t, m in zip(text, mark)]]
 
-def learn(docs: DataFrame, per_lang: int = 400, passage: int = 600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    return sorted((r["lang"], part) for r in map_rows(once, run, "lang string, parts array<string>").collect() for part in r["parts"])
+
+
+def learn(docs: DataFrame, per_lang: int = 400, per_text: int = 6, most_langs: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model fitted on a bounded sample of the labelled rows of ``docs``."""
-    return fit(sample(docs, per_lang, passage, id_col, text_col, lang_col))
+    return fit(sample(docs, per_lang, per_text, most_langs, id_col, text_col, lang_col))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -244,7 +283,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         said = shipped.value.predict([words_of(t) for t in batch.column("text").to_pylist()])
         return [batch.column("doc_id"), [x for x, _ in said], [x for _, x in said]]
 
-    return map_rows(texts(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double")
+    return map_rows(texts(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double", _slice(model))
+
+
+def _slice(model: Model) -> int:
+    """Bytes of text at once: less the more languages there are."""
+    return max(1 << 16, (8 << 20) * 4 // max(4, len(model.langs)))
 
 
 def keep(docs: DataFrame, model: Model, least: float = 0.5, langs: list[str] | None = None, text_col: str = "text") -> DataFrame:
@@ -257,4 +301,4 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5, langs: list[str] | N
         good = pa.array([x != UND and s >= least and (langs is None or x in langs) for x, s in said])
         return list(batch.filter(good).columns)
 
-    return map_rows(docs, run, docs.schema)
+    return map_rows(docs, run, docs.schema, _slice(model))

@@ -1,16 +1,17 @@
-"""SimHash near-duplicates, linked through Gray-order hierarchical indexes.
+"""SimHash near-duplicates, linked through one Gray-order hierarchical index.
 
-Fingerprints that differ in two bits or fewer agree on at least two of four 16-bit
-blocks.  So each distinct fingerprint goes to six tables, one for each pair of blocks,
-and is keyed there by its bits under that pair's mask.  Inside a key the fingerprints
-are sorted by Gray rank and indexed: neighbours in that order share long bit patterns,
-which are factored, level by level, into upper nodes.  A search adds up the differences
-to the patterns it passes and drops a whole group once they exceed two.
+All distinct fingerprints are put in Gray order, in which neighbours differ in few bits,
+and cut into blocks of at most ``BLOCK``.  The index is a tree over that order.  A node
+holds the mask of the bits that everything below it shares, and their pattern; these are
+factored upwards, ``FAN`` children at a time inside a block and ``SPREAD`` above it.
+Going down, the tree is held against itself: two groups differ at least in the bits that
+both masks fix and the patterns contradict.  These differences add up from level to level
+as the masks widen, and a pair of groups with more than two is dropped whole.
 
-Keys with more than ``most`` fingerprints take a way whose groups are bounded by
-construction: fingerprints within two bits share a value that is at most one flipped
-bit from both, and no value has more than one taker for each bit.  Either way a key
-yields a forest, one link for each linked fingerprint, never all pairs.
+Above the blocks a level is a small table, made by bitwise aggregates, and going down it
+is two equi-joins on the parent.  Pairs of blocks that stay are compared in one task each,
+in bounded slices, and yield a forest: one link for each linked fingerprint.  Work for a
+block grows with the square of the logarithm of their number.
 
 Defined cases: a text without words has fingerprint zero and is linked like any other;
 fewer than three words hash as one sequence.  A null id is no candidate for a
@@ -20,23 +21,26 @@ their row.
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Scratch, map_rows, texts
+from sparkloom.llm.common import Scratch, map_rows, slices, texts
 from sparkloom.llm.graph import components
 
 SEED = 42
 DISTANCE = 2
-FAN = 8
-#: Fingerprints under one key that one task indexes at once: 128 KB of codes.
-MOST = 1 << 14
-MASKS = [(0xFFFF << 16 * a) | (0xFFFF << 16 * b) for a, b in combinations(range(4), 2)]
+FAN = 4
+#: Fingerprints in a block, 64 KB of them, and levels above them until one node is left.
+BLOCK, HEIGHT = 1 << 13, 7
+#: Bits of a node's number that tell it from others of its parent, above the blocks.
+SPREAD = 6
+ALL = ~np.uint64(0)
 
 
 def _signed(x: int) -> int:
@@ -59,136 +63,190 @@ def fingerprint(text: str | None, step: int = 1 << 16) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint as a signed long); one pass, no shuffle."""
+    """``doc_id``, ``digest`` (MD5 of the text) and ``fp`` (the fingerprint as a signed long); one pass, no shuffle."""
 
     def run(batch: pa.RecordBatch) -> list:
-        return [batch.column("doc_id"), [_signed(fingerprint(t)) for t in batch.column("text").to_pylist()]]
+        return [batch.column("doc_id"), batch.column("digest"), [_signed(fingerprint(t)) for t in batch.column("text").to_pylist()]]
 
-    return map_rows(texts(docs, id_col, text_col), run, "doc_id long, fp long")
+    return map_rows(texts(docs, id_col, text_col).withColumn("digest", _digest(F.col("text"))), run, "doc_id long, digest binary, fp long")
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def gray_rank(code: Column) -> Column:
-    """Place of a code in Gray order: the running exclusive or of its bits from the top."""
+    """Place of a code in Gray order, as a signed long: the running exclusive or of its bits from the top."""
     for s in (1, 2, 4, 8, 16, 32):
         code = code.bitwiseXOR(F.shiftrightunsigned(code, s))
-    return code
-
-
-class GrayIndex:
-    """Levels of (mask, pattern) over codes in Gray order; leaves are the codes."""
-
-    def __init__(self, codes: np.ndarray, fan: int = FAN):
-        self.codes, self.fan = codes, fan
-        masks, patterns = np.full(len(codes), ~np.uint64(0)), codes
-        levels = []
-        while len(masks) > fan:
-            starts = np.arange(0, len(masks), fan)
-            own = np.bitwise_and.reduceat(masks, starts)
-            first = np.repeat(patterns[starts], fan)[: len(masks)]
-            shared = own & ~np.bitwise_or.reduceat(patterns ^ first, starts)
-            levels.append((masks & ~np.repeat(shared, fan)[: len(masks)], patterns))  # what the parent does not tell
-            masks, patterns = shared, patterns[starts] & shared
-        levels.append((masks, patterns))
-        self.levels = levels[::-1]
-
-    def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, other) places of codes within ``DISTANCE`` of the codes at ``at``, other before query."""
-        masks, patterns = self.levels[0]
-        q, node = np.repeat(at, len(masks)), np.tile(np.arange(len(masks)), len(at))
-        gone = np.zeros(len(q), dtype=np.uint8)
-        for depth, (masks, patterns) in enumerate(self.levels):
-            if depth:
-                q, gone = np.repeat(q, self.fan), np.repeat(gone, self.fan)
-                node = (node[:, None] * self.fan + np.arange(self.fan)).ravel()
-                real = node < len(masks)
-                q, gone, node = q[real], gone[real], node[real]
-            gone = gone + np.bitwise_count((self.codes[q] ^ patterns[node]) & masks[node])
-            near = gone <= DISTANCE
-            q, gone, node = q[near], gone[near], node[near]
-        before = node < q
-        return q[before], node[before]
-
-
-def forest(codes: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Links (code, root) that join exactly the codes reachable by steps of ``DISTANCE``."""
-    index, root = GrayIndex(codes), np.arange(len(codes))
-    for i in range(0, len(codes), step):
-        a, b = index.pairs(np.arange(i, min(i + step, len(codes))))
-        while len(a):
-            ra, rb = root[a], root[b]
-            open_ = ra != rb
+    return code.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def levels(codes: np.ndarray, fan: int = FAN, height: int = HEIGHT) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(shared masks, patterns) of the nodes of each level, from the codes upwards."""
+    out = [(np.full(len(codes), ALL), codes)]
+    for _ in range(height):
+        masks, patterns = out[-1]
+        starts = np.arange(0, len(masks), fan)
+        low, high = np.bitwise_and.reduceat(patterns, starts), np.bitwise_or.reduceat(patterns, starts)
+        shared = np.bitwise_and.reduceat(masks, starts) & ~(low ^ high)
+        out.append((shared, low & shared))
+    return out
+
+
+def near(a: list, b: list, same: bool, fan: int = FAN, step: int = 1 << 14) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Level by level, pairs of nodes that may hold codes within ``DISTANCE``: (level, place in a, place in b).
+
+    Level 0 gives the pairs of codes themselves.  At most ``step`` pairs are opened at once,
+    deepest first, which bounds the memory.  In one block (``same``) a pair comes once.
+    """
+    work = [(len(a) - 1, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
+    while work:
+        level, i, j = work.pop()
+        (ma, pa_), (mb, pb) = a[level], b[level]
+        keep = np.bitwise_count((pa_[i] ^ pb[j]) & ma[i] & mb[j]) <= DISTANCE
+        if same:
+            keep &= (i < j) if level == 0 else (i <= j)
+        i, j = i[keep], j[keep]
+        if len(i):
+            yield level, i, j
+        for at in range(0, len(i) if level else 0, step):
+            x = np.repeat(i[at : at + step, None] * fan + np.arange(fan), fan, axis=1).ravel()
+            y = np.tile(j[at : at + step, None] * fan + np.arange(fan), fan).ravel()
+            real = (x < len(a[level - 1][0])) & (y < len(b[level - 1][0]))
+            work.append((level - 1, x[real], y[real]))
+
+
+def forest(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (code, root) that join exactly the codes of two blocks (or one) reachable by steps of ``DISTANCE`` between them."""
+    codes = a if b is None else np.concatenate([a, b])
+    root, shift = np.arange(len(codes)), 0 if b is None else len(a)
+    of_a = levels(a)
+    for level, x, y in near(of_a, of_a if b is None else levels(b), b is None):
+        y = y + shift
+        while not level and len(x):
+            rx, ry = root[x], root[y]
+            open_ = rx != ry
             if not open_.any():
                 break
-            a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+            x, y, rx, ry = x[open_], y[open_], rx[open_], ry[open_]
+            np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
             while (root != (up := root[root])).any():
                 root = up
     linked = root != np.arange(len(codes))
     return codes[linked], codes[root[linked]]
 
 
+BLOCKS = "part long, place long, mask long, pattern long, codes binary"
+
+
+def _cut(size: int):
+    """A sorted partition in blocks of ``size`` codes, each with what they share."""
+
+    def run(batches):
+        part, held, place = TaskContext.get().partitionId(), np.zeros(0, dtype=np.int64), 0
+
+        def block(codes: np.ndarray, place: int) -> pa.RecordBatch:
+            low, high = np.bitwise_and.reduce(codes), np.bitwise_or.reduce(codes)
+            row = [[part], [place], [~(low ^ high)], [low & ~(low ^ high)], [codes.tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int64()] * 4 + [pa.binary()])], names=["part", "place", "mask", "pattern", "codes"])
+
+        for batch in batches:
+            held = np.concatenate([held, batch.column("fp").to_numpy()])
+            while len(held) >= size:
+                yield block(held[:size], place)
+                held, place = held[size:], place + 1
+        if len(held):
+            yield block(held, place)
+
+    return run
+
+
+def blocks(codes: DataFrame, size: int = BLOCK) -> DataFrame:
+    """The distinct fingerprints of ``codes`` in Gray order, ``size`` in a row, with the mask and pattern they share."""
+    ordered = codes.select("fp", gray_rank(F.col("fp")).alias("gray")).repartitionByRange("gray").sortWithinPartitions("gray")
+    return ordered.select("fp").mapInArrow(_cut(size), BLOCKS)
+
+
+def block_pairs(cut: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of block numbers that may hold near fingerprints, by going down the tree above the blocks."""
+    most = cut.agg(F.max("part"), F.max("place")).first()  # two numbers
+    width = int(most[1] or 0).bit_length()
+    tree = [numbered(cut, width).select("node", "mask", "pattern")]
+    for _ in range(-(-((int(most[0] or 0) << width) + int(most[1] or 0)).bit_length() // SPREAD)):
+        up = tree[-1].groupBy(F.shiftright("node", SPREAD).alias("node")).agg(F.bit_and("mask").alias("m"), F.bit_and("pattern").alias("low"), F.bit_or("pattern").alias("high"))
+        shared = F.col("m").bitwiseAND(F.bitwise_not(F.col("low").bitwiseXOR(F.col("high"))))
+        tree.append(up.select("node", shared.alias("mask"), F.col("low").bitwiseAND(shared).alias("pattern")))
+    pairs = tree[-1].select(F.col("node").alias("a"), F.col("node").alias("b"))
+    for nodes in reversed(tree[:-1]):
+        x, y = (nodes.select(F.shiftright("node", SPREAD).alias(c), F.col("node").alias(f"{c}_node"), F.col("mask").alias(f"{c}_mask"), F.col("pattern").alias(f"{c}_pattern")) for c in "ab")
+        differ = F.bit_count(F.col("a_pattern").bitwiseXOR(F.col("b_pattern")).bitwiseAND(F.col("a_mask")).bitwiseAND(F.col("b_mask")))
+        pairs = pairs.join(x, "a").join(y, "b").where((F.col("a_node") <= F.col("b_node")) & (differ <= DISTANCE)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return pairs
+
+
+def numbered(cut: DataFrame, width: int) -> DataFrame:
+    """Blocks with ``node``, a number in Gray order."""
+    return cut.withColumn("node", F.shiftleft("part", width).bitwiseOR(F.col("place")))
+
+
 def _links(batches):
-    """Per run of equal (t, key) in a sorted partition, the forest of its fingerprints."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    held = np.zeros((0, 3), dtype=np.int64)
+    for batch in batches:
+        for part in slices(batch, 1 << 22):
+            for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist()):
+                u, v = forest(np.frombuffer(x, dtype="<u8"), None if y is None else np.frombuffer(y, dtype="<u8"))
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=schema)
 
-    def emit(rows: np.ndarray):
-        cuts = np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], axis=1)) + 1
-        found = [forest(g.view(np.uint64)) for g in np.split(np.ascontiguousarray(rows[:, 2]), cuts) if len(g) > 1]
-        if found:
-            u, v = (np.concatenate(x).view(np.int64) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=schema)
 
-    for batch in batches:
-        rows = np.column_stack([batch.column(c).to_numpy() for c in ("t", "key", "fp")]).astype(np.int64)
-        rows = np.concatenate([held, rows])
-        if not len(rows):
-            continue
-        last = np.flatnonzero(np.any(rows[:, :2] != rows[-1, :2], axis=1))
-        cut = last[-1] + 1 if len(last) else 0
-        yield from emit(rows[:cut])
-        held = rows[cut:]
-    yield from emit(held)
-
-
-def links(codes: DataFrame, most: int = MOST) -> DataFrame:
+def links(codes: DataFrame, scratch: Scratch, size: int = BLOCK) -> DataFrame:
     """Links ``u``, ``v`` between distinct fingerprints that connect what is within reach."""
-    tables = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(_signed(m)).alias("mask")) for t, m in enumerate(MASKS)])
-    keyed = codes.select("fp", F.explode(tables).alias("x")).select(
-        F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.mask")).alias("key"), "fp", F.col("x.mask").alias("mask")
-    )
-    ranked = keyed.withColumn("gray", gray_rank(F.col("fp").bitwiseAND(F.bitwise_not("mask"))))
-    sized = ranked.repartition("t", "key").sortWithinPartitions("t", "key", "gray").withColumn("n", F.count("*").over(Window.partitionBy("t", "key")))
-    usual = sized.where((F.col("n") > 1) & (F.col("n") <= most)).select("t", "key", "fp").mapInArrow(_links, "u long, v long")
-    free = F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)), lambda f: F.col("mask").bitwiseAND(f) == 0)
-    near = sized.where(F.col("n") > most).select("t", "key", "fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), free)).alias("flip"))
-    met = near.withColumn("v", F.min("fp").over(Window.partitionBy("t", "key", F.col("fp").bitwiseXOR(F.col("flip")))))
-    return usual.union(met.where("fp <> v").select("fp", "v"))
-
-
-def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id``, the smallest id reachable, for every row.
+    spark = codes.sparkSession
+    cut = scratch.write(blocks(codes, size))
+    width = int(cut.agg(F.max("place")).first()[0] or 0).bit_length()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = scratch.write(block_pairs(cut).repartition(parts, "a", "b"))  # a few bytes each, dealt out for what follows
+    held = numbered(cut, width)
+    x, y = held.select(F.col("node").alias("a"), F.col("codes").alias("x")), held.select(F.col("node").alias("b"), F.col("codes").alias("y"))
+    met = pairs.join(x, "a").join(y, "b").select("x", F.when(F.col("a") != F.col("b"), F.col("y")).alias("y"))
+    return met.mapInArrow(_links, "u long, v long")
+
+
+def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The fingerprint of every row, and the ``root`` fingerprint of the component of every distinct one.
 
     Texts are read once; from there on rows are a few bytes.  Only linked fingerprints
     take part in the component rounds.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.write(fingerprints(docs, id_col, text_col))
-    nodes = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(nodes.select("fp"), most), scratch)
-    rooted = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    least = scratch.write(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    codes = scratch.write(prints.select("fp").distinct())
+    roots = components(links(codes, scratch), scratch)
+    return prints, codes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``fp`` and ``component_id``, the smallest id reachable, for every row."""
+    prints, rooted = _rooted(docs, id_col, text_col)
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(rooted, "fp")
+    least = first.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.join(first.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's, once for each id.
+    """One row of each component: that with the smallest id (none counts as the largest), then the least MD5 of its text.
 
-    Rows without an id can't be told apart and stay.
+    Rows are judged by their own text, so an id that stands on unrelated texts stays once for
+    each.  Of rows that share id and text the one with the least hash of all columns stays.
     """
-    first = cluster(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.where(docs[id_col].isNotNull())
-    kept = named.join(first, named[id_col] == first["__id"], "left_semi")
-    order = [F.col(f"`{c}`") for c, t in docs.dtypes if c != id_col and not t.startswith(("map", "variant"))]
-    once = kept.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(*order, F.lit(0)))).where("__n = 1").drop("__n")
-    return once.unionByName(docs.where(docs[id_col].isNull()))
+    prints, rooted = _rooted(docs, id_col, text_col)
+
+    def key() -> list[Column]:  # without nulls, so that grouping and join share one shuffle
+        return [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.coalesce("digest", F.lit(b"")).alias("digest")]
+
+    first = prints.groupBy("fp").agg(F.min(F.struct(*key())).alias("first")).join(rooted, "fp")
+    kept = first.groupBy("root").agg(F.min("first").alias("k")).select("k.*")
+    hashed = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), _digest(docs[text_col].cast("string")).alias("digest"), F.xxhash64(*hashed).alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    once = rows.select(*key(), "hash", "row").groupBy("none", "id", "digest").agg(F.min_by("row", "hash").alias("row"))  # combined before the shuffle
+    return once.join(kept, ["none", "id", "digest"], "left_semi").select("row.*")

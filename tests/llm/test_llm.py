@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkloom.llm import ann, bpe, chat, langid, mixing, quality, registry, secrets, simhash, toxicity, urls
-from sparkloom.llm.common import file_bytes, held_out
+from sparkloom.llm.common import Scratch, file_bytes, held_out, spread_sample
 from tests.conftest import SF
 from verify import compare
 
@@ -98,8 +98,8 @@ def test_fingerprints(spark, odd):
     assert simhash.cluster(odd.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("most", [simhash.MOST, 3])
-def test_links_against_brute_force(spark, most):
+def clouds():
+    """Fingerprints within a few bits of twelve others, and both ends of the range."""
     rng = random.Random(4)
     codes = {0, (1 << 64) - 1}
     for _ in range(12):
@@ -108,7 +108,12 @@ def test_links_against_brute_force(spark, most):
             codes.add(c)
             for _ in range(rng.choice([1, 1, 2, 3])):
                 c ^= 1 << rng.randrange(64)
-    codes = sorted(codes)
+    return sorted(codes)
+
+
+@pytest.mark.parametrize("size", [simhash.BLOCK, 3])
+def test_links_against_brute_force(spark, size):
+    codes = clouds()
     df = spark.createDataFrame([(simhash._signed(c),) for c in codes], "fp long")
     up = {simhash._signed(c): simhash._signed(c) for c in codes}
 
@@ -117,21 +122,50 @@ def test_links_against_brute_force(spark, most):
             c = up[c]
         return c
 
-    for r in simhash.links(df, most).collect():
-        assert bin((r["u"] ^ r["v"]) & (2**64 - 1)).count("1") <= 4 or most > 3
+    for r in simhash.links(df, Scratch(spark, "test"), size).collect():
         up[find(r["u"])] = find(r["v"])
     want = components(codes, range(len(codes)))
     got = [find(simhash._signed(c)) for c in codes]
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+    assert simhash.links(df.limit(0), Scratch(spark, "test"), size).count() == 0
+
+
+def in_gray_order(codes):
+    def rank(c):
+        for s in (1, 2, 4, 8, 16, 32):
+            c ^= c >> s
+        return c
+
+    return np.array(sorted(map(int, codes), key=rank), dtype=np.uint64)
 
 
 def test_gray_index_prunes_nothing_near():
     rng = np.random.default_rng(0)
-    codes = np.unique(rng.integers(0, 1 << 12, 600).astype(np.uint64))
-    codes = codes[np.argsort([int(c) ^ int(c) >> 1 for c in codes])]
-    a, b = simhash.GrayIndex(codes).pairs(np.arange(len(codes)))
-    near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 2
-    assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i in range(len(codes)) for j in range(i) if near[i, j]}
+    codes = in_gray_order(np.unique(rng.integers(0, 1 << 12, 600)))
+    close = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 2
+    for a, b in ((0, 600), (100, 7), (0, 1)):
+        x, y = codes[a:], codes[:b]
+        got = {(i, j) for level, p, q in simhash.near(simhash.levels(x), simhash.levels(y), False, step=50) if level == 0 for i, j in zip(p.tolist(), q.tolist())}
+        assert got == {(i, j) for i in range(len(x)) for j in range(len(y)) if close[i + a, j]}
+    own = simhash.levels(codes)
+    assert {(i, j) for level, p, q in simhash.near(own, own, True) if level == 0 for i, j in zip(p.tolist(), q.tolist())} == {(i, j) for j in range(len(codes)) for i in range(j) if close[i, j]}
+
+
+def test_gray_levels_prune_the_data_of_the_query(spark):
+    """The fingerprints of the registered query make levels, and both kinds of levels drop groups."""
+    sf = "/root/testdata/sf0.1"
+    prints = simhash.fingerprints(spark.read.parquet(f"{sf}/documents.parquet")).select("fp").distinct()
+    codes = in_gray_order([r["fp"] & (2**64 - 1) for r in prints.collect()])
+    own, met = simhash.levels(codes), {}
+    for level, i, _ in simhash.near(own, own, True):
+        met[level] = met.get(level, 0) + len(i)
+    sizes = [len(m) for m, _ in own]
+    assert sizes[0] > 9000 and sizes[3] > 100
+    for level, most in ((1, 0.1), (2, 0.25), (3, 0.5)):  # pairs of groups left, of all there are
+        assert met[level] < most * sizes[level] * (sizes[level] + 1) / 2
+    cut = Scratch(spark, "test").write(simhash.blocks(prints, 16))
+    n = cut.count()
+    assert n > 500 and simhash.block_pairs(cut).count() < 0.25 * n * (n + 1) / 2
 
 
 def test_simhash_query_against_brute_force(spark):
@@ -143,8 +177,20 @@ def test_simhash_query_against_brute_force(spark):
 
 def test_keep_one(spark, odd):
     got = simhash.keep_one(odd)
-    assert got.columns == odd.columns
+    assert got.dtypes == odd.dtypes
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == [(False, 1), (False, 4), (True, 0)]
+    assert simhash.keep_one(odd.limit(0)).count() == 0
+
+
+def test_keep_one_judges_rows_by_their_texts(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(600)) for w in ("a", "b", "c"))
+    near = f"{one} zz"
+    assert bin(simhash.fingerprint(one) ^ simhash.fingerprint(near)).count("1") <= 2
+    rows = [(3, one, 1), (7, one, 1), (7, near, 1), (7, two, 2), (7, two, 1), (7, two, 1), (None, two, 0), (None, three, 0), (None, three, 0), (None, near, 0), (9, None, 0), (None, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __n long").withColumns({"__id": F.lit(1), "id": F.lit(2), "digest": F.lit("x"), "row": F.lit("y"), "none": F.lit(None).cast("string"), "tags": F.create_map(F.lit("k"), F.lit(1))})
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got.select("doc_id", F.coalesce("text", F.lit("null")).alias("text")).collect()) == sorted([(3, one), (7, two), (-1, three), (9, "null")])
 
 
 # Toxicity
@@ -204,6 +250,17 @@ def test_bpe_long_blanks(enc, tail):
     assert enc.decode_bytes(bpe.encode_text(enc, longest)) == longest.encode()
 
 
+def test_bpe_many_long_blanks_take_linear_time(enc):
+    for n in (5_000, 60_000, bpe.LONG - 1):
+        text = ("a word, " + " " * n) * (1_200_000 // n)
+        began = time.process_time()
+        ids = bpe.encode_text(enc, text)
+        assert time.process_time() - began < 2
+        assert enc.decode_bytes(ids) == text.encode()
+        short = text[:200_000]
+        assert bpe.encode_text(enc, short) == enc.encode_ordinary(short)
+
+
 def test_bpe_query(spark, enc):
     got = {r["doc_id"]: r for r in registry.op4_byte_bpe(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
@@ -444,6 +501,32 @@ def test_language_edges(spark, odd):
     assert langid.learn(odd.limit(0)).langs == []
 
 
+def test_many_languages(spark):
+    """Thousands of values: the commonest are learned, in bounded memory."""
+    many = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("lang"), F.col("id") % 4000).alias("lang"), F.concat(F.lit("w"), "id", F.lit(" ab cd q"), F.md5(F.col("id").cast("string"))).alias("text"))
+    model = langid.learn(many, most_langs=40)
+    assert len(model.langs) == 40 and all(int(x[4:]) < 1000 for x in model.langs)
+    assert langid.predict(many, model).where(F.col("lang_pred").isin(model.langs)).count() == 5000
+    assert langid.fit([(f"l{i}", f"w{i}") for i in range(200)], rounds=1).bits == 14
+
+
+def test_short_texts_teach_their_language(spark):
+    rows = [(i, "xa", f"zork blib {i % 7}", None) for i in range(50)] + [(100 + i, "xb", "the and of that with house " * 9, 1) for i in range(50)] + [(7, "xb", "the and", 1)] * 30 + [(None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, mark long")
+    model = langid.learn(docs)
+    assert {(r["lang"], r["lang_pred"]) for r in langid.predict(docs.where("lang IS NOT NULL"), model).join(docs, "doc_id").where("doc_id <> 7").collect()} == {("xa", "xa"), ("xb", "xb")}
+    words = [f"w{i}" for i in range(40)]
+    assert {w for part in langid.segments(words) for w in part} == set(words) and langid.segments([]) == [] and langid.segments(["a", "b"]) == [["a", "b"] * 8]
+    assert len(langid.drawn(" ".join("ab" * (i % 9 + 1) for i in range(500)), -5, 6)) == 6
+
+
+def test_spread_sample(spark):
+    rows = spark.range(9000).select(F.when(F.col("id") < 6000, "a").when(F.col("id") < 6003, "b").when(F.col("id") < 8000, "c").alias("k"), "id")
+    got = spread_sample(rows, "k", 50, F.xxhash64("id")).collect()
+    assert {k: sum(r["k"] == k for r in got) for k in ("a", "b", "c", None)} == {"a": 50, "b": 3, "c": 50, None: 0}
+    assert sorted(map(tuple, got)) == sorted(map(tuple, spread_sample(rows.repartition(7), "k", 50, F.xxhash64("id")).collect()))
+
+
 def test_forward_backward_against_enumeration():
     from itertools import product
 
