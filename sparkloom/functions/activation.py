@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkloom.functions.ieee import dbl, maximum
+from sparkloom.functions.vector import let
 
 
 def relu(x: Column) -> Column:
@@ -32,9 +33,8 @@ def lecun_tanh(x: Column) -> Column:
 
 def softmax(xs: Column) -> Column:
     """Over an array; the maximum is taken out first."""
-    e = F.transform(xs, lambda x: F.exp(dbl(x) - dbl(F.array_max(xs))))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    e = let(dbl(F.array_max(xs)), lambda top: F.transform(xs, lambda x: F.exp(dbl(x) - top)))
+    return let(e, lambda es: let(F.aggregate(es, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(es, lambda x: x / total)))
 
 
 def blocky_sigmoid(x: Column, steps: int = 10) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from sparkloom.functions.ieee import dbl
 
 
+def let(x: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(x)`` with ``x`` computed once for the row, also where ``fn`` uses it for every element."""
+    return F.transform(F.array(x), fn)[0]
+
+
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + dbl(x))
 
@@ -38,8 +44,7 @@ def norm(xs: Column, p: float = 2) -> Column:
 
 def normalize(xs: Column, p: float = 2) -> Column:
     """Divided by its norm; a zero vector stays as it is."""
-    n = norm(xs, p)
-    return F.transform(xs, lambda x: F.when(n > 0, dbl(x) / n).otherwise(dbl(x)))
+    return let(xs, lambda ys: let(norm(ys, p), lambda n: F.transform(ys, lambda x: F.when(n > 0, dbl(x) / n).otherwise(dbl(x)))))
 
 
 def euclidean_distance(a: Column, b: Column) -> Column:
@@ -52,8 +57,7 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 def variance(xs: Column) -> Column:
     """Population variance."""
-    m = mean(xs)
-    return total(F.transform(xs, lambda x: (dbl(x) - m) * (dbl(x) - m))) / F.size(xs)
+    return let(mean(xs), lambda m: total(F.transform(xs, lambda x: (dbl(x) - m) * (dbl(x) - m)))) / F.size(xs)
 
 
 def one_hot(index: Column, classes: int) -> Column:
@@ -117,8 +121,7 @@ def phase_angle(xs: Column) -> Column:
 def partial_interference(base: Column, new: Column, alpha: float, eps: float = 1e-12) -> Column:
     """The blend (1 - alpha) base + alpha new, brought to length 1."""
     mixed = F.zip_with(base, new, lambda x, y: (1 - alpha) * dbl(x) + alpha * dbl(y))
-    n = norm(mixed)
-    return F.transform(mixed, lambda x: x / F.greatest(n, F.lit(eps)))
+    return let(mixed, lambda ys: let(F.greatest(norm(ys), F.lit(eps)), lambda n: F.transform(ys, lambda x: x / n)))
 
 
 def pattern_similarity(a: Column, b: Column) -> Column:

@@ -29,16 +29,103 @@ def _agg(df: DataFrame, **columns: Column):
 # Numbers
 
 
-def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
-    """Exact, with linear interpolation."""
-    return list(df.agg(F.percentile(dbl(F.col(column)), F.array(*map(F.lit, shares)))).first()[0] or [None] * len(shares))
+def order_statistics(df: DataFrame, x: Column, places: list[int], most: int = 1 << 14, buckets: int = 4096) -> dict[int, float]:
+    """The values at ``places`` (from 0) of ``x`` in order, nulls left out and NaN last; exact.
 
+    Rows are counted by value range, and each range that holds a place is split again until it
+    has ``most`` rows or one value; only those are counted by value.  One aggregate for all
+    places of a round; what comes to the driver is bounded by the number of ranges.
+    """
+    inf = float("inf")
+    rows = df.select(dbl(x).alias("x"))  # no filter: it would be pushed below with a copy of the expression
+    inner = (F.col("x") > -inf) & (F.col("x") < inf)
+    below, n, above, lo, hi = rows.agg(F.count_if(F.col("x") == -inf), F.count_if(inner), F.count_if(F.col("x") == inf), F.min(F.when(inner, F.col("x"))), F.max(F.when(inner, F.col("x")))).first()
+    out, todo = {}, {}  # todo: (lo, hi, rows) with the places inside it, counted from its first row
+    for p in places:
+        if p < below or p >= below + n:
+            out[p] = -inf if p < below else inf if p < below + n + above else math.nan
+        else:
+            todo.setdefault((lo, hi, n), []).append((p, p - below))
+    while todo:
+        spans = [k for k in todo if k[0] < k[1]]
+        out |= {p: k[0] for k in todo if k not in spans for p, _ in todo[k]}
+        if not spans:
+            break
+        part, by = F.lit(None).cast("int"), F.lit(None).cast("double")
+        for i, (lo, hi, n) in reversed(list(enumerate(spans))):
+            inside, width = F.col("x").between(lo, hi), hi / 2 - lo / 2  # halves can't overflow
+            cut = F.col("x") if n <= most or not width else F.least(F.floor((F.col("x") / 2 - lo / 2) / width * buckets), F.lit(buckets - 1)).cast("double")
+            part, by = F.when(inside, F.lit(i)).otherwise(part), F.when(inside, cut).otherwise(by)
+        found = rows.select("x", part.alias("part"), by.alias("b")).groupBy("part", "b").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("part IS NOT NULL")
+        new = {}
+        counted = sorted(found.collect(), key=lambda r: (r["part"], r["b"]))
+        for i, span in enumerate(spans):
+            start = 0
+            for r in (r for r in counted if r["part"] == i):
+                new_places = [(p, k - start) for p, k in todo[span] if start <= k < start + r["n"]]
+                if new_places:
+                    new[r["lo"], r["hi"], r["n"]] = new_places
+                start += r["n"]
+        todo = new
+    return out
+
+
+def _between(n: int, share: float) -> tuple[int, int, float]:
+    """The places around a quantile of ``n`` values, and how far it lies from the first to the second."""
+    at = share * (n - 1)
+    return math.floor(at), math.ceil(at), at - math.floor(at)
 
-def fit_median(df: DataFrame, column: str, zero_filled: bool = False) -> float:
-    """Of the values there are, or of all rows with missing ones as 0."""
+
+def quantiles(df: DataFrame, column: str | Column, shares: list[float]) -> list[float | None]:
+    """Exact, with linear interpolation, NaN last; None for each if there are no values.
+
+    No task holds the column: values are found by counts over ranges.
+    """
+    x = F.col(column) if isinstance(column, str) else column
+    n = df.agg(F.count(x)).first()[0]
+    if not n:
+        return [None] * len(shares)
+    ends = [_between(n, s) for s in shares]
+    v = order_statistics(df, x, sorted({p for a, b, _ in ends for p in (a, b)}))
+    return [v[a] if a == b else v[a] + (v[b] - v[a]) * w for a, b, w in ends]
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], columns: dict[str, tuple[str, float]], ranges: int = 256) -> DataFrame:
+    """``by`` and, for each name in ``columns``, the exact quantile (column, share) of each group, interpolated.
+
+    Values are counted first, so that ties cost nothing.  Approximate quantiles then cut a
+    group in ranges of about equal size; running sums over these (at most ``ranges`` rows
+    of a group) tell which ones hold the wanted places, and only there values are ranked.
+    """
+    def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+        """By equal keys, nulls included; the right side's keys go."""
+        other = right.withColumnsRenamed({c: f"__{c}" for c in on})
+        same = [F.col(f"`{c}`").eqNullSafe(F.col(f"`__{c}`")) for c in on]
+        return left.join(other, same, how).drop(*[f"__{c}" for c in on])
+
+    out = None
+    for name, (column, share) in columns.items():
+        rows = df.select(*by, dbl(F.col(column)).alias("x")).where("x IS NOT NULL")
+        points = rows.groupBy(*by, "x").agg(F.count("*").alias("n"))
+        ends = points.groupBy(*by).agg(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], ranges * 40).alias("ends"), F.sum("n").alias("all"))
+        cut = joined(points, ends, by).withColumn("r", F.size(F.filter("ends", lambda e: e < F.col("x")))).drop("ends")
+        at, group = share * (F.col("all") - 1), Window.partitionBy(*by)
+        sums = cut.groupBy(*by, "all", "r").agg(F.sum("n").alias("m")).withColumn("before", F.sum("m").over(group.orderBy("r")) - F.col("m"))
+        held = sums.where((F.col("before") <= F.ceil(at)) & (F.col("before") + F.col("m") > F.floor(at))).select(*by, "r", "before")
+        few = joined(cut, held, [*by, "r"])
+        upto = F.col("before") + F.sum("n").over(Window.partitionBy(*by, "r").orderBy("x"))
+        value = [F.min(F.when(F.col("upto") > place(at), F.col("x"))) for place in (F.floor, F.ceil)]
+        got = few.withColumn("upto", upto).groupBy(*by, "all").agg(value[0].alias("a"), value[1].alias("b"))
+        one = got.select(*by, F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (at - F.floor(at))).alias(name))
+        out = one if out is None else joined(out, one, by, "left")
+    return out
+
+
+def fit_median(df: DataFrame, column: str, zero_filled: bool = False) -> float | None:
+    """Of the values there are, or of all rows with missing ones as 0; None if there are none."""
     x = dbl(F.col(column))
     x = F.when(F.isnan(x), None).otherwise(x)
-    return df.agg(F.median(F.coalesce(x, F.lit(0.0)) if zero_filled else x)).first()[0]
+    return quantiles(df, F.coalesce(x, F.lit(0.0)) if zero_filled else x, [0.5])[0]
 
 
 def impute_expr(column: str | Column, value: float) -> Column:
@@ -46,44 +133,29 @@ def impute_expr(column: str | Column, value: float) -> Column:
     return F.when(x.isNull() | F.isnan(x), F.lit(value)).otherwise(x)
 
 
-def fit_iqr(df: DataFrame, column: str, factor: float = 1.5) -> tuple[float, float]:
+def fit_iqr(df: DataFrame, column: str, factor: float = 1.5) -> tuple[float | None, float | None]:
+    """The fences of interpolated quartiles; None for both if there are no values."""
     lo, hi = quantiles(df, column, [0.25, 0.75])
-    return lo - factor * (hi - lo), hi + factor * (hi - lo)
-
-
-def at_place(df: DataFrame, x: Column, place: int, most: int = 1 << 16, buckets: int = 4096) -> float:
-    """The value at ``place`` (from 0) of ``x`` in order, nulls left out and NaN last; exact.
-
-    Rows are counted by value range, and the range that holds the place is split again until it
-    has ``most`` rows or one value; only those are ranked.
-    """
-    inf = float("inf")
-    rows = df.select(dbl(x).alias("x")).where("x IS NOT NULL")
-    inner = (F.col("x") > -inf) & (F.col("x") < inf)
-    below, n, above, lo, hi = rows.agg(F.count_if(F.col("x") == -inf), F.count_if(inner), F.count_if(F.col("x") == inf), F.min(F.when(inner, F.col("x"))), F.max(F.when(inner, F.col("x")))).first()
-    if place < below:
-        return -inf
-    if place >= below + n:
-        return inf if place < below + n + above else math.nan
-    place -= below
-    while lo < hi:
-        inside, width = rows.where(F.col("x").between(lo, hi)), hi / 2 - lo / 2  # halves can't overflow
-        whole = n <= most or not width
-        by = F.col("x") if whole else F.least(F.floor((F.col("x") / 2 - lo / 2) / width * buckets), F.lit(buckets - 1))
-        for r in inside.groupBy(by.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b").collect():
-            if place < r["n"]:
-                lo, hi, n = r["lo"], r["hi"], r["n"]
-                break
-            place -= r["n"]
-    return lo
+    return (None, None) if lo is None else (lo - factor * (hi - lo), hi + factor * (hi - lo))
 
 
 def fit_order_iqr(df: DataFrame, column: str, factor: float = 1.5) -> tuple[float, float]:
     """The same fences from order statistics: the values at places n // 4 and 3 n // 4."""
     x = dbl(F.col(column))
     n = df.where(x.isNotNull()).count()
-    lo, hi = (at_place(df, x, n // 4), at_place(df, x, 3 * n // 4)) if n else (None, None)
-    return (lo - factor * (hi - lo), hi + factor * (hi - lo)) if n else (None, None)
+    if not n:
+        return None, None
+    v = order_statistics(df, x, [n // 4, 3 * n // 4])
+    lo, hi = v[n // 4], v[3 * n // 4]
+    return lo - factor * (hi - lo), hi + factor * (hi - lo)
+
+
+def fit_order_scale(df: DataFrame, column: str) -> tuple[float | None, float | None]:
+    """Ends for scaling from order statistics: the values at places n // 20 and 19 n // 20."""
+    x = dbl(F.col(column))
+    n = df.where(x.isNotNull()).count()
+    v = order_statistics(df, x, [n // 20, 19 * n // 20]) if n else {}
+    return v.get(n // 20), v.get(19 * n // 20)
 
 
 def robust_expr(x: Column, low: float, high: float) -> Column:
@@ -111,14 +183,25 @@ def minmax_expr(x: Column, low: float, high: float) -> Column:
 def robust_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """Impute by the median, winsorise at 1.5 IQR, scale by the 5th and 95th percentile.
 
-    Each step's numbers are of the step before: three aggregates of all columns each.
+    Each step's numbers are of the step before.  As winsorising keeps the order, its
+    percentiles are those of the imputed values, clipped.  A column without values is 0.
     """
-    med = df.agg(*[F.median(F.when(~F.isnan(dbl(F.col(c))), dbl(F.col(c)))) for c in columns]).first()
-    one = df.withColumns({f"{c}_scaled": impute_expr(c, m) for c, m in zip(columns, med)})
-    quart = one.agg(*[F.percentile(f"{c}_scaled", F.array(F.lit(0.25), F.lit(0.75))) for c in columns]).first()
-    two = one.withColumns({f"{c}_scaled": clip(F.col(f"{c}_scaled"), q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])) for c, q in zip(columns, quart)})
-    ends = two.agg(*[F.percentile(f"{c}_scaled", F.array(F.lit(0.05), F.lit(0.95))) for c in columns]).first()
-    return two.withColumns({f"{c}_scaled": robust_expr(F.col(f"{c}_scaled"), *e) for c, e in zip(columns, ends)})
+    out = {}
+    for c in columns:
+        name, m = f"{c}_scaled", fit_median(df, c)
+        if m is None:
+            out[name] = F.lit(0.0)
+            continue
+        x = impute_expr(c, m)
+        n = df.count()
+        ends = [_between(n, s) for s in (0.25, 0.75, 0.05, 0.95)]
+        v = order_statistics(df, x, sorted({p for a, b, _ in ends for p in (a, b)}))
+        q1, q3 = (v[a] + (v[b] - v[a]) * w for a, b, w in ends[:2])
+        fence = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        v = {p: min(max(y, fence[0]), fence[1]) for p, y in v.items()}
+        low, high = (v[a] + (v[b] - v[a]) * w for a, b, w in ends[2:])
+        out[name] = robust_expr(clip(x, *fence), low, high)
+    return df.withColumns(out)
 
 
 # Categories
@@ -160,13 +243,14 @@ def hash_exprs(column: str, n: int = 16, seed: int = 42) -> dict[str, Column]:
 def target_encode(df: DataFrame, column: str, target: str, smoothing: float = 10.0) -> DataFrame:
     """Adds ``{column}_target``: the category's mean drawn towards the overall mean; that mean for null.
 
-    The grouped table is joined by key; Spark broadcasts it only if its size allows.
+    The grouped table is joined by key; Spark broadcasts it only if its size allows.  Without
+    any target the code is null.
     """
-    overall = df.agg(F.avg(dbl(F.col(target)))).first()[0]
+    overall = F.lit(df.agg(F.avg(dbl(F.col(target)))).first()[0]).cast("double")
     stats = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.avg(dbl(F.col(target))).alias("__m"), F.count(F.col(target)).alias("__n"))
-    code = (F.coalesce("__m", F.lit(overall)) * F.col("__n") + overall * smoothing) / (F.col("__n") + smoothing)
+    code = (F.coalesce("__m", overall) * F.col("__n") + overall * smoothing) / (F.col("__n") + smoothing)
     out = df.join(stats.withColumn("__c", code).select(column, "__c"), column, "left")
-    return out.withColumn(f"{column}_target", F.coalesce("__c", F.lit(overall))).drop("__c")
+    return out.withColumn(f"{column}_target", F.coalesce("__c", overall)).drop("__c")
 
 
 # Times
@@ -287,9 +371,9 @@ def detect_types(df: DataFrame) -> dict[str, str]:
 
 
 def temporal_split(df: DataFrame, column: str, train: float = 0.8) -> DataFrame:
-    """Adds ``split``: train up to the quantile of time, then halves of the rest."""
+    """Adds ``split``: train up to the quantile of time, then halves of the rest; rows without a time are test."""
     t = F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    a, b = df.agg(F.percentile(t, F.array(F.lit(train), F.lit((1 + train) / 2)))).first()[0]
+    a, b = quantiles(df, t, [train, (1 + train) / 2])
     return df.withColumn("split", F.when(t <= a, "train").when(t <= b, "validation").otherwise("test"))
 
 

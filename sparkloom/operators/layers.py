@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import vector as V
-from sparkloom.functions.activation import sigmoid
+from sparkloom.functions.activation import sigmoid, softmax
 from sparkloom.functions.ieee import dbl
 from sparkloom.functions.random import keyed_uniform
 from sparkloom.operators.features import fit_standard
@@ -24,8 +26,8 @@ def batch_norm(df: DataFrame, columns: list[str], gain: float = 1.0, shift: floa
 
 
 def layer_norm(xs: Column, eps: float = 1e-5) -> Column:
-    m, v = V.mean(xs), V.variance(xs)
-    return F.transform(xs, lambda x: (dbl(x) - m) / F.sqrt(v + eps))
+    stats = F.struct(V.mean(xs).alias("m"), F.sqrt(V.variance(xs) + eps).alias("s"))
+    return V.let(stats, lambda t: F.transform(xs, lambda x: (dbl(x) - t["m"]) / t["s"]))
 
 
 def dropout(x: Column, key: Column, rate: float, seed: int = 0) -> Column:
@@ -43,7 +45,10 @@ def positional_encoding(position: Column, width: int) -> Column:
 
 
 def causal_attention(df: DataFrame, key: list[str], order: list[str], query: str, value: str, span: int = 8) -> DataFrame:
-    """Each row's softmax-weighted mean of ``value`` over itself and ``span - 1`` rows before, by likeness of ``query``."""
+    """Each row's weighted mean of ``value`` over itself and ``span - 1`` rows before, by likeness of one number, ``query``.
+
+    A kernel over the past; for scores from products and predictions see :func:`prediction_attention`.
+    """
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(-(span - 1), 0)
     past = F.collect_list(F.struct(F.col(query).alias("q"), F.col(value).alias("v"))).over(w)
     rows = df.withColumn("__past", past)
@@ -53,6 +58,27 @@ def causal_attention(df: DataFrame, key: list[str], order: list[str], query: str
     return rows.withColumn("attended", top / F.aggregate("__s", F.lit(0.0), lambda a, s: a + s["e"])).drop("__past", "__s")
 
 
+def prediction_attention(df: DataFrame, key: list[str], order: list[str], query: str, item: str, value: str, predicted: str, span: int = 8) -> DataFrame:
+    """Attention over itself and ``span - 1`` rows before, in which well predicted rows count more.
+
+    Scores are products of ``query`` and ``item``, times the softmax over the rows of the
+    negative error between ``predicted`` and ``value``; ``attended`` is the mean of ``value``
+    by the softmax of the scores.
+    """
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(-(span - 1), 0)
+    past = F.collect_list(F.struct(dbl(F.col(item)).alias("k"), dbl(F.col(value)).alias("v"), (-F.abs(dbl(F.col(predicted)) - dbl(F.col(value)))).alias("e"))).over(w)
+    rows = df.withColumn("__past", past).withColumn("__q", dbl(F.col(query)))
+    sure = softmax(F.transform("__past", lambda p: p["e"]))
+    score = softmax(F.zip_with("__past", sure, lambda p, s: F.col("__q") * p["k"] * s))
+    parts = F.zip_with("__past", score, lambda p, s: p["v"] * s)
+    return rows.withColumn("attended", F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)).drop("__past", "__q")
+
+
+def attention_state(temporal: Column, causal: Column, novelty: Column) -> Column:
+    """The weight of a row from its recency, the success of predictions from it, and its novelty: their mean."""
+    return (dbl(temporal) + dbl(causal) + dbl(novelty)) / 3
+
+
 def hebbian(df: DataFrame, xs: list[str], ys: list[str], rate: float = 0.01) -> DataFrame:
     """The Hebbian weight change, rate times the mean product, as rows ``x, y, w``."""
     cells = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), (rate * F.avg(dbl(F.col(a)) * dbl(F.col(b)))).alias("w")) for a in xs for b in ys]
@@ -98,23 +124,25 @@ def to_sphere(v: Column) -> Column:
 
 def log_map(p: Column, q: Column) -> Column:
     """The tangent vector at ``p`` that leads to ``q``."""
-    c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(p, q)))
-    off = F.zip_with(p, q, lambda a, b: dbl(b) - c * dbl(a))
-    n = V.norm(off)
-    return F.transform(off, lambda x: F.when(n > 1e-12, F.acos(c) * x / F.greatest(n, F.lit(1e-12))).otherwise(0.0))
+
+    def tangent(t: Column) -> Column:
+        off = F.zip_with(t["p"], t["q"], lambda a, b: dbl(b) - t["c"] * dbl(a))
+        return V.let(off, lambda o: V.let(V.norm(o), lambda n: F.transform(o, lambda x: F.when(n > 1e-12, F.acos(t["c"]) * x / F.greatest(n, F.lit(1e-12))).otherwise(0.0))))
+
+    both = V.let(F.struct(p.alias("p"), q.alias("q")), lambda t: F.struct(t["p"].alias("p"), t["q"].alias("q"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(t["p"], t["q"]))).alias("c")))
+    return V.let(both, tangent)
 
 
 def exp_map(p: Column, v: Column) -> Column:
     """The point reached from ``p`` along the tangent vector ``v``."""
-    n = V.norm(v)
-    return F.zip_with(p, v, lambda a, b: F.cos(n) * dbl(a) + F.when(n > 1e-12, F.sin(n) * dbl(b) / F.greatest(n, F.lit(1e-12))).otherwise(0.0))
+    return V.let(V.norm(v), lambda n: F.zip_with(p, v, lambda a, b: F.cos(n) * dbl(a) + F.when(n > 1e-12, F.sin(n) * dbl(b) / F.greatest(n, F.lit(1e-12))).otherwise(0.0)))
 
 
 def parallel_transport(p: Column, q: Column, v: Column) -> Column:
     """A tangent vector at ``p`` carried along the great circle to ``q``."""
     scale = V.dot(q, v) / (1 + V.dot(p, q))
     both = F.zip_with(p, q, lambda a, b: dbl(a) + dbl(b))
-    return F.zip_with(v, both, lambda x, s: dbl(x) - scale * s)
+    return V.let(scale, lambda k: F.zip_with(v, both, lambda x, s: dbl(x) - k * s))
 
 
 # Pattern memory
@@ -125,20 +153,46 @@ def remember(store: DataFrame, new: DataFrame, order: str, most: int = 1000) ->
     return store.unionByName(new).orderBy(F.desc(order)).limit(most)
 
 
-def recall_patterns(store: DataFrame, queries: DataFrame, threshold: float = 0.8, bands: int = 4) -> DataFrame:
-    """``query_id, pattern_id, similarity`` of stored binary patterns at or above the threshold.
+def recall_patterns(store: DataFrame, queries: DataFrame, threshold: float = 0.8, block: int = 4096) -> DataFrame:
+    """``query_id, pattern_id, similarity`` of stored binary patterns at or above the threshold; exact.
 
-    Patterns are cut into bands; a pair meets by an equi-join on an equal band.  Of n bits
-    at most floor((1 - threshold) n) differ; with more bands than that no pair is lost.
+    The queries are a stated set, taken ``block`` at a time; each block scans the store once,
+    comparing packed bits.  Only patterns of one length are compared; null ones match nothing.
     """
 
-    def banded(df: DataFrame, key: str) -> DataFrame:
-        n = F.size("pattern")
-        cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.array_join(F.slice("pattern", F.expr("0") + F.floor(b * n / bands).cast("int") + 1, F.floor((b + 1) * n / bands).cast("int") - F.floor(b * n / bands).cast("int")), "").alias("bits")))
-        return df.select(F.col(key), "pattern", F.explode(cut).alias("c")).select(key, F.col("pattern").alias(f"{key}_pattern"), "c.band", "c.bits")
-
-    met = banded(queries, "query_id").join(banded(store, "pattern_id"), ["band", "bits"]).dropDuplicates(["query_id", "pattern_id"])
-    return met.withColumn("similarity", V.pattern_similarity(F.col("query_id_pattern"), F.col("pattern_id_pattern"))).where(F.col("similarity") >= threshold).select("query_id", "pattern_id", "similarity")
+    def packed(patterns: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Places and packed bits of the patterns of each length."""
+        by: dict[int, list[int]] = {}
+        for i, p in enumerate(patterns):
+            if p:
+                by.setdefault(len(p), []).append(i)
+        return {n: (np.array(at), np.packbits(np.array([patterns[i] for i in at], dtype=np.uint8), axis=1)) for n, at in by.items()}
+
+    def scan(ids: np.ndarray, wanted: dict[int, tuple[np.ndarray, np.ndarray]]):
+        def run(batches):
+            for batch in batches:
+                found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+                mine = batch.column("pattern_id").to_numpy()
+                for n, (at, bits) in packed(batch.column("pattern").to_pylist()).items():
+                    if n not in wanted:
+                        continue
+                    places, asked = wanted[n]
+                    for q, row in zip(ids[places], asked):
+                        differ = np.bitwise_count(bits ^ row).sum(axis=1, dtype=np.int64)
+                        likeness = 1 - differ / n
+                        good = likeness >= threshold
+                        found.append((np.full(good.sum(), q), mine[at[good]], likeness[good]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["query_id", "pattern_id", "similarity"])
+
+        return run
+
+    rows = store.where("pattern_id IS NOT NULL AND pattern IS NOT NULL").select(F.col("pattern_id").cast("long").alias("pattern_id"), F.col("pattern").cast("array<int>").alias("pattern"))
+    each = queries.where("query_id IS NOT NULL AND pattern IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("pattern").cast("array<int>").alias("pattern")).toLocalIterator()
+    shape, out = "query_id long, pattern_id long, similarity double", None
+    while some := list(islice(each, block)):
+        part = rows.mapInArrow(scan(np.array([r["query_id"] for r in some], dtype=np.int64), packed([r["pattern"] for r in some])), shape)
+        out = part if out is None else out.union(part)
+    return out if out is not None else rows.limit(0).selectExpr("pattern_id AS query_id", "pattern_id", "0D AS similarity")
 
 
 def detect_interference(a: Column, b: Column) -> Column:

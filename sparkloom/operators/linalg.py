@@ -1,7 +1,8 @@
-"""Linear algebra by one distributed aggregate and a small dense step on the driver.
+"""Linear algebra of tables: one distributed aggregate and a small dense step.
 
 For a table of n rows and d columns only d x d sums ever leave the executors, whatever
-n is; d is the number of columns named.
+n is; d is the number of columns named.  Many small matrices, one for each key, are
+solved where Spark has put them.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,28 +127,57 @@ def qr(df: DataFrame, columns: list[str]) -> np.ndarray:
     return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
 
 
-def solve(a: DataFrame, n: int, b: DataFrame) -> np.ndarray:
-    """Of a small square system in coordinate form (``i, j, v`` and ``i, v``), n up to a few hundred."""
-    return np.linalg.solve(dense(a, n), np.array([r["v"] for r in b.orderBy("i").limit(n).collect()]))
+def _of_each(a: DataFrame, key: list[str], n: int, fn, kind: str, most: int = 512) -> DataFrame:
+    """``key`` and ``out``, ``fn`` of the ``n`` x ``n`` matrix of each key; absent cells are 0.
 
-
-def dense(a: DataFrame, n: int, most: int = 1024) -> np.ndarray:
-    """A small coordinate matrix as an array; refuses more than ``most`` rows."""
+    ``a`` holds many small matrices as rows ``key, i, j, v``.  Spark brings the cells of a
+    key together (at most ``most`` squared) and deals the matrices out.
+    """
     if n > most:
         raise ValueError(f"{n} rows are more than {most}: use the distributed forms")
-    out = np.zeros((n, n))
-    for r in a.where((F.col("i") < n) & (F.col("j") < n)).select("i", "j", "v").collect():
-        out[r["i"], r["j"]] = r["v"]
-    return out
+
+    @F.pandas_udf(kind)
+    def run(cells: pd.Series) -> pd.Series:
+        out = []
+        for some in cells:
+            m = np.zeros((n, n))
+            for c in some:
+                m[c["i"], c["j"]] = c["v"]
+            out.append(fn(m))
+        return pd.Series(out)
+
+    inside = F.col("i").between(0, n - 1) & F.col("j").between(0, n - 1)
+    summed = a.where(inside).groupBy(*key, "i", "j").agg(F.sum(dbl(F.col("v"))).alias("v"))
+    return summed.groupBy(*key).agg(F.collect_list(F.struct("i", "j", "v")).alias("cells")).where(F.size("cells") > 0).select(*key, run("cells").alias("out"))
+
+
+def det(a: DataFrame, n: int, key: list[str] | None = None) -> DataFrame:
+    """``key`` and ``det`` of each matrix."""
+    return _of_each(a, key or [], n, lambda m: float(np.linalg.det(m)), "double").withColumnRenamed("out", "det")
 
 
-def det(a: DataFrame, n: int) -> float:
-    return float(np.linalg.det(dense(a, n)))
+def inverse(a: DataFrame, n: int, key: list[str] | None = None) -> DataFrame:
+    """``key, i, j, v`` of the inverse of each matrix; the task fails on a singular one."""
+    out = _of_each(a, key or [], n, lambda m: np.linalg.inv(m).ravel().tolist(), "array<double>")
+    return out.select(*(key or []), F.posexplode("out").alias("at", "v")).select(*(key or []), F.floor(F.col("at") / n).alias("i"), (F.col("at") % n).cast("long").alias("j"), "v")
 
 
-def inverse(a: DataFrame, n: int) -> DataFrame:
-    inv = np.linalg.inv(dense(a, n))
-    return a.sparkSession.createDataFrame([(i, j, float(inv[i, j])) for i in range(n) for j in range(n)], "i long, j long, v double")
+def solve(a: DataFrame, n: int, b: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """``key, i, v``: the solution of each system; ``b`` has rows ``key, i, v``, absent ones 0."""
+    key = key or []
+    inv = inverse(a, n, key).withColumnRenamed("v", "__w")
+    right = b.select(*key, F.col("i").alias("j"), dbl(F.col("v")).alias("__b"))
+    return inv.join(right, [*key, "j"], "left").groupBy(*key, "i").agg(F.sum(F.col("__w") * F.coalesce("__b", F.lit(0.0))).alias("v"))
+
+
+def eigenvalues(a: DataFrame, n: int, key: list[str] | None = None) -> DataFrame:
+    """``key, i, re, im``: the eigenvalues of each matrix, sorted by real and then imaginary part."""
+
+    def values(m: np.ndarray) -> list[dict]:
+        return [{"re": float(z.real), "im": float(z.imag)} for z in np.sort_complex(np.linalg.eigvals(m))]
+
+    out = _of_each(a, key or [], n, values, "array<struct<re:double,im:double>>")
+    return out.select(*(key or []), F.posexplode("out").alias("i", "z")).select(*(key or []), "i", "z.re", "z.im")
 
 
 def cholesky(df: DataFrame, columns: list[str]) -> np.ndarray:
@@ -154,10 +185,6 @@ def cholesky(df: DataFrame, columns: list[str]) -> np.ndarray:
     return np.linalg.cholesky(gram(df, columns)[2])
 
 
-def eigenvalues(a: DataFrame, n: int) -> np.ndarray:
-    return np.sort_complex(np.linalg.eigvals(dense(a, n)))
-
-
 def orthogonal(n: int, m: int, gain: float = 1.0, seed: int = 0) -> np.ndarray:
     """A (semi-)orthogonal start matrix."""
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(max(n, m), min(n, m))))

@@ -13,12 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.activation import sigmoid, softmax, softplus
 from sparkloom.functions.ieee import dbl
 from sparkloom.functions.vector import dot
+from sparkloom.operators.features import quantiles
 from sparkloom.operators.linalg import gram, linear
 
 
@@ -77,7 +78,7 @@ def train_rbm(df: DataFrame, columns: list[str], hidden: int = 4, epochs: int =
         step = np.array([x or 0.0 for x in got])
         m.weights = m.weights + rate * step[: d * hidden].reshape(d, hidden)
         m.visible, m.hidden = m.visible + rate * step[d * hidden : d * hidden + d], m.hidden + rate * step[d * hidden + d :]
-    m.threshold = m.reconstruction_error(rows).agg(F.percentile("error", F.lit(percentile))).first()[0] or 0.0
+    m.threshold = quantiles(m.reconstruction_error(rows), "error", [percentile])[0] or 0.0
     return m
 
 
@@ -104,6 +105,21 @@ def last_state(xs: Column, tau: float = 1.0, dt: float = 1.0, weight: float = 1.
     return F.aggregate(xs, F.lit(0.0), lambda h, x: h * keep + (1 - keep) * F.tanh(weight * dbl(x)))
 
 
+def leaky_state(df: DataFrame, key: list[str], block: list[str], order: list[str], x: Column, tau: float = 1.0, dt: float = 1.0) -> DataFrame:
+    """``key`` and ``state``, the last state of the leaky fold over each key's rows.
+
+    The state is a sum of (1 - d) d^(rows after) tanh(x) with d = exp(-dt / tau).  Rows after
+    are counted in two levels: inside a ``block`` (columns that come first in the order, such
+    as the day) and over the blocks that follow, so no key's rows meet in one task.
+    """
+    d = math.exp(-dt / tau)
+    within = Window.partitionBy(*key, *block).orderBy(*[F.desc(c) for c in order])
+    part = df.select(*key, *block, *[c for c in order if c not in block], F.tanh(dbl(x)).alias("__x")).withColumn("__after", F.row_number().over(within) - 1)
+    sums = part.groupBy(*key, *block).agg(F.sum((1 - d) * F.pow(F.lit(d), F.col("__after")) * F.col("__x")).alias("__s"), F.count("*").alias("__n"))
+    later = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in block]).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn("__after", F.coalesce(F.sum("__n").over(later), F.lit(0))).groupBy(*key).agg(F.coalesce(F.sum(F.pow(F.lit(d), F.col("__after")) * F.col("__s")), F.lit(0.0)).alias("state"))
+
+
 def attention(query: Column, keys: Column, values: Column) -> Column:
     """Scaled dot-product attention of one query over arrays of keys and values."""
     weights = softmax(F.transform(keys, lambda k: dot(query, k) / F.sqrt(F.size(query).cast("double"))))
@@ -115,46 +131,79 @@ def attention(query: Column, keys: Column, values: Column) -> Column:
 # Sequences as rows, one state for each key
 
 
+GATES = {"rnn": 1, "gru": 3, "lstm": 4, "cfc": 4, "ctrnn": 1, "ctgru": 3, "ltc": 1, "stride": 1}
+
+
 @dataclass
 class Cell:
-    """A recurrent cell: ``kind`` rnn, gru, lstm, ltc or cfc; seeded weights for d inputs and h units."""
+    """A recurrent cell with seeded weights for d inputs and h units.
+
+    Kinds: ``rnn``, ``gru`` (gates z, r, candidate), ``lstm`` and ``cfc`` (i, f, o, c), ``ctrnn``,
+    ``ctgru`` (u, r, candidate), ``ltc`` (``unfolds`` Euler steps of the full elapsed time) and
+    ``stride`` (the elapsed time divides).
+    """
 
     kind: str
     d: int
     h: int
     seed: int = 0
+    tau: float = 1.0
+    unfolds: int = 6
+    stride: float = 1.0
+    clip: float | None = None
+    eps: float = 1e-8
 
     def __post_init__(self):
-        gates = {"rnn": 1, "gru": 3, "lstm": 4, "ltc": 1, "cfc": 3}[self.kind]
-        rng = np.random.default_rng(self.seed)
+        rng, gates = np.random.default_rng(self.seed), GATES[self.kind]
         limit = math.sqrt(6 / (self.d + self.h))
         self.w = rng.uniform(-limit, limit, (gates, self.d, self.h))
         self.u = rng.uniform(-limit, limit, (gates, self.h, self.h))
-        self.b = np.zeros((gates, self.h))
-        self.tau = np.ones(self.h)
+        self.b, self.ub = np.zeros((gates, self.h)), np.zeros((gates, self.h))
+        if self.kind == "ltc":
+            self.leak, self.rest, self.cm = np.ones(self.h), np.zeros(self.h), np.ones(self.h)
+            self.erev, self.sensory = rng.uniform(-1, 1, (self.h, self.h)), rng.uniform(-limit, limit, (self.d, self.d))
+            self.sensory_erev = rng.uniform(-1, 1, (self.d, self.h))
 
     def step(self, state: tuple[np.ndarray, np.ndarray], x: np.ndarray, dt: float) -> tuple[np.ndarray, np.ndarray]:
         h, c = state
         s = lambda z: 1 / (1 + np.exp(-z))
-        z = np.einsum("i,gij->gj", x, self.w) + np.einsum("i,gij->gj", h, self.u) + self.b
+        if self.kind == "ltc":
+            return self._flow(h, x, dt), c
+        a, r = x @ self.w + self.b, h @ self.u + self.ub
         if self.kind == "rnn":
-            return np.tanh(z[0]), c
-        if self.kind == "lstm":
-            c = s(z[1]) * c + s(z[0]) * np.tanh(z[3])
-            return s(z[2]) * np.tanh(c), c
+            return np.tanh(a[0] + r[0]), c
         if self.kind == "gru":
-            r, u = s(z[0]), s(z[1])
-            new = np.tanh(x @ self.w[2] + (r * h) @ self.u[2] + self.b[2])
-            return (1 - u) * new + u * h, c
-        if self.kind == "ltc":
-            f = s(z[0])
-            return (h + dt * f) / (1 + dt * (1 / self.tau + f)), c
-        gate = s(-z[0] * dt)
-        return gate * np.tanh(z[1]) + (1 - gate) * np.tanh(z[2]), c
-
-
-def run_cell(df: DataFrame, cell: Cell, key: str, order: str, xs: list[str], dt: str | None = None) -> DataFrame:
-    """``key``, ``order`` and the state ``h`` after each row.
+            z, reset = s(a[0] + r[0]), s(a[1] + r[1])
+            return z * h + (1 - z) * np.tanh(a[2] + reset * r[2]), c
+        if self.kind in ("lstm", "cfc"):
+            i, f, o = (s(a[k] + r[k]) for k in range(3))
+            c = f * c + i * np.tanh(a[3] + r[3])
+            if self.kind == "lstm":
+                return o * np.tanh(c), c
+            keep = math.exp(-dt / self.tau)
+            return o * np.tanh(keep * h + (1 - keep) * c), c
+        if self.kind == "stride":
+            return h + (a[0] + r[0] - h) / (self.tau * dt * self.stride), c
+        target = np.tanh(a[0] + r[0])
+        if self.kind == "ctgru":  # the reset gate has no part in the candidate
+            gate = s(a[0] + r[0])
+            target = (1 - gate) * h + gate * np.tanh(a[2] + r[2])
+        h = h + dt * (target - h) / (self.tau + self.eps)
+        return (h if self.clip is None else np.clip(h, -self.clip, self.clip)), c
+
+    def _flow(self, v: np.ndarray, x: np.ndarray, dt: float) -> np.ndarray:
+        """Leak, synaptic and sensory currents with reversal potentials."""
+        leak, cm = np.abs(self.leak) + self.eps, np.abs(self.cm) + self.eps
+        felt = np.tanh(x) @ self.sensory.T
+        for _ in range(self.unfolds):
+            met = np.tanh(v) @ self.u[0]
+            current = leak * (self.rest - v) + (met[None, :] * (self.erev - v[:, None])).sum(axis=1) + (felt[:, None] * (self.sensory_erev - v[None, :])).sum(axis=0)
+            v = v + dt * current / cm
+        return v
+
+
+def run_cell(df: DataFrame, cell: Cell, key: str, order: str, xs: list[str], dt: str | None = None, backward: bool = False) -> DataFrame:
+    """``key``, ``order`` and the state ``h`` after each row, from the first or (``backward``) from the last.
 
     Rows are sorted by Spark and streamed; a task holds one state, not a sequence.
     """
@@ -173,7 +222,14 @@ def run_cell(df: DataFrame, cell: Cell, key: str, order: str, xs: list[str], dt:
             yield pd.DataFrame({key: batch[key], order: batch[order], "h": out})
 
     kinds = dict(df.dtypes)
-    return df.select(*cols).repartition(key).sortWithinPartitions(key, order).mapInPandas(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, h array<double>")
+    sort = F.desc(order) if backward else F.asc(order)
+    return df.select(*cols).repartition(key).sortWithinPartitions(F.asc(key), sort).mapInPandas(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, h array<double>")
+
+
+def run_both_ways(df: DataFrame, ahead: Cell, back: Cell, key: str, order: str, xs: list[str], dt: str | None = None) -> DataFrame:
+    """A bidirectional layer: ``h`` is the state of both cells, one run from each end."""
+    one, two = run_cell(df, ahead, key, order, xs, dt), run_cell(df, back, key, order, xs, dt, True).withColumnRenamed("h", "__b")
+    return one.join(two, [key, order]).select(key, order, F.concat("h", "__b").alias("h"))
 
 
 # Wirings

@@ -38,9 +38,30 @@ def zero_crossings(xs: Column) -> Column:
     return F.aggregate(pairs, F.lit(0), lambda a, x: a + x) / F.size(xs)
 
 
+def dft_rows(df: DataFrame, key: str, xs: str, n: int) -> DataFrame:
+    """``key`` and ``z``, the transform of arrays of ``n`` values, as rows joined with a table of n squared factors.
+
+    Vectors are dealt out by key once; both aggregates then need no other shuffle.  The factors
+    are bounded by ``n``, which is checked against what may be broadcast.
+    """
+    if n > 512:
+        raise ValueError("use fft for long signals")
+    turn = F.col("id") % n * F.floor(F.col("id") / n) % n * (2 * math.pi / n)
+    factors = df.sparkSession.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("k"), (F.col("id") % n).cast("int").alias("j"), F.cos(turn).alias("c"), (-F.sin(turn)).alias("s"))
+    parts = df.select(key, F.col(xs).alias("__x")).repartition(key).select(key, F.posexplode("__x").alias("j", "x"))
+    terms = parts.join(F.broadcast(factors), "j").groupBy(key, "k").agg(F.sum(dbl(F.col("x")) * F.col("c")).alias("re"), F.sum(dbl(F.col("x")) * F.col("s")).alias("im"))
+    z = F.array_sort(F.collect_list(F.struct("k", "re", "im")))
+    return terms.groupBy(key).agg(z.alias("z")).select(key, F.transform("z", lambda v: F.struct(v["re"].alias("re"), v["im"].alias("im"))).alias("z"))
+
+
 def magnitudes(xs: Column) -> Column:
     """Of the non-negative frequencies."""
-    return F.transform(F.slice(V.dft(xs), 1, (F.size(xs) / 2).cast("int") + 1), lambda z: F.sqrt(z["re"] * z["re"] + z["im"] * z["im"]))
+
+    @F.pandas_udf("array<double>")
+    def run(col: pd.Series) -> pd.Series:
+        return pd.Series([np.abs(np.fft.rfft(np.asarray(x, dtype=float))) if x is not None and len(x) else None for x in col])
+
+    return run(xs.cast("array<double>"))
 
 
 def spectral_centroid(mags: Column, step: float | Column) -> Column:
@@ -50,14 +71,14 @@ def spectral_centroid(mags: Column, step: float | Column) -> Column:
 
 
 def spectral_bandwidth(mags: Column, step: float | Column) -> Column:
-    c, total = spectral_centroid(mags, step), V.total(mags)
-    return F.when(total > 0, F.sqrt(V.total(F.transform(mags, lambda m, k: m * F.pow(k * step - c, F.lit(2.0)))) / F.when(total > 0, total))).otherwise(0.0)
+    total = V.total(mags)
+    spread = V.let(spectral_centroid(mags, step), lambda c: V.total(F.transform(mags, lambda m, k: m * F.pow(k * step - c, F.lit(2.0)))))
+    return F.when(total > 0, F.sqrt(spread / F.when(total > 0, total))).otherwise(0.0)
 
 
 def spectral_rolloff(mags: Column, step: float | Column, share: float = 0.85) -> Column:
     """The frequency under which that share of the magnitude lies."""
-    sums = V.cumsum(mags)
-    below = F.size(F.filter(sums, lambda s: s < share * V.total(mags)))
+    below = V.let(share * V.total(mags), lambda most: F.size(F.filter(V.cumsum(mags), lambda s: s < most)))
     return below * step
 
 
@@ -186,7 +207,8 @@ def fft_nd(xs: Column, shape: tuple[int, ...], inverse: bool = False, real: bool
 
 
 def phases(xs: Column) -> Column:
-    return F.transform(fft(xs), lambda z: F.atan2(z["im"], z["re"]))
+    """Of all frequencies; an imaginary part of zero has no sign."""
+    return F.transform(fft(xs), lambda z: F.atan2(z["im"] + 0.0, z["re"]))
 
 
 def stft(xs: Column, width: int = 64, hop: int = 16) -> Column:
@@ -233,8 +255,8 @@ def phase_coherence(a: Column, b: Column) -> Column:
 
 
 def correlation(a: Column, b: Column) -> Column:
-    ma, mb = V.mean(a), V.mean(b)
-    cov = V.total(F.zip_with(a, b, lambda x, y: (dbl(x) - ma) * (dbl(y) - mb))) / F.size(a)
+    means = F.struct(V.mean(a).alias("a"), V.mean(b).alias("b"))
+    cov = V.let(means, lambda m: V.total(F.zip_with(a, b, lambda x, y: (dbl(x) - m["a"]) * (dbl(y) - m["b"])))) / F.size(a)
     s = F.sqrt(V.variance(a) * V.variance(b))
     return F.when(s > 0, cov / F.when(s > 0, s)).otherwise(0.0)
 

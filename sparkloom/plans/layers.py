@@ -1,5 +1,6 @@
 """Queries of layers, training steps, geometry and pattern memory."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import layers as L
@@ -17,9 +18,9 @@ def batch_norm(spark, sf_dir):
     return L.batch_norm(li, ["l_quantity"], 2.0, 1.0).withColumn("l_quantity", r(C("l_quantity")))
 
 
-@query("SELECT vec_id, list_transform(e, lambda x: round((x - list_avg(e)) / sqrt(list_var_pop(e) + 1e-5), 5) + 0.0) AS y FROM (SELECT vec_id, list_transform(embedding[1:16], lambda x: x::DOUBLE) AS e FROM embeddings)")
+@query("SELECT vec_id, list_transform(e, lambda x: round((x - list_avg(e)) / sqrt(list_var_pop(e) + 1e-5), 5) + 0.0) AS y FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)")
 def layer_norm(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(L.layer_norm(F.slice("embedding", 1, 16)), lambda x: r(x, 5)).alias("y"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(L.layer_norm(C("embedding")), lambda x: r(x, 5)).alias("y"))
 
 
 @query("SELECT o_orderkey, CASE WHEN ('0x' || substr(md5(o_orderkey || ':3'), 1, 13))::BIGINT / 4503599627370496.0 < 0.25 THEN 0.0 ELSE round(o_totalprice / 0.75, 4) END AS kept FROM orders")
@@ -47,6 +48,16 @@ def causal_attention(spark, sf_dir):
     return L.causal_attention(ev, ["user_id"], ["event_id"], "q", "value", 4).select("event_id", F.round("attended", 5).alias("attended"))
 
 
+@query("""WITH w AS (SELECT event_id, value / 50 AS q, list({'k': value / 25, 'v': value, 'e': -abs(coalesce(before, 0) - value)}) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS p FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)),
+s AS (SELECT event_id, p, list_transform(p, lambda x: q * x.k * exp(x.e) / list_sum(list_transform(p, lambda y: exp(y.e)))) AS s FROM w)
+SELECT event_id, round(list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i].v * exp(s[i]))) / list_sum(list_transform(s, lambda x: exp(x))), 5) AS attended FROM s""")
+def prediction_attention(spark, sf_dir):
+    """A row's prediction is the value before it; rows that were foreseen count more."""
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "value", (C("value") / 50).alias("q"), (C("value") / 25).alias("k"))
+    ev = ev.withColumn("said", F.coalesce(F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id")), F.lit(0.0)))
+    return L.prediction_attention(ev, ["user_id"], ["event_id"], "q", "k", "value", "said", 4).select("event_id", F.round("attended", 5).alias("attended"))
+
+
 @query(" UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(0.01 * avg({a} * {b}), 8) AS w FROM lineitem" for a in ("l_discount", "l_tax") for b in ("l_quantity", "l_tax")))
 def hebbian_update(spark, sf_dir):
     return L.hebbian(table(spark, sf_dir, "lineitem"), ["l_discount", "l_tax"], ["l_quantity", "l_tax"]).withColumn("w", F.round("w", 8))
@@ -62,29 +73,30 @@ def logistic_training(spark, sf_dir):
 _D = "list_sum(list_transform(list_zip(x, y), lambda p: p[1]::DOUBLE * p[2]))"
 
 
-@query(f"""SELECT vec_id, round(sqrt(list_sum(list_transform(range(1, 9), lambda i: pow(acos(d) * (y[i]::DOUBLE - d * x[i]) / sqrt(1 - d * d), 2)))), 4) AS length FROM (SELECT vec_id, x, y, {_D} AS d FROM (SELECT vec_id, list_transform(x[1:8], lambda v: v::DOUBLE / sqrt(list_sum(list_transform(x[1:8], lambda w: w::DOUBLE * w)))) AS x, list_transform(y[1:8], lambda v: v::DOUBLE / sqrt(list_sum(list_transform(y[1:8], lambda w: w::DOUBLE * w)))) AS y FROM {_PAIR}))""")
+@query(f"""SELECT vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(acos(d) * (y[i]::DOUBLE - d * x[i]) / sqrt(1 - d * d), 2)))), 4) AS length FROM (SELECT vec_id, x, y, {_D} AS d FROM (SELECT vec_id, list_transform(x, lambda v: v::DOUBLE / sqrt(list_sum(list_transform(x, lambda w: w::DOUBLE * w)))) AS x, list_transform(y, lambda v: v::DOUBLE / sqrt(list_sum(list_transform(y, lambda w: w::DOUBLE * w)))) AS y FROM {_PAIR}))""")
 def sphere_log_map(spark, sf_dir):
     from sparkloom.functions.vector import norm
 
-    p = _pairs(spark, sf_dir).select("vec_id", L.to_sphere(F.slice("x", 1, 8)).alias("x"), L.to_sphere(F.slice("y", 1, 8)).alias("y"))
+    p = _pairs(spark, sf_dir).select("vec_id", L.to_sphere(C("x")).alias("x"), L.to_sphere(C("y")).alias("y"))
     return p.select("vec_id", F.round(norm(L.log_map(C("x"), C("y"))), 4).alias("length"))
 
 
-@query(f"""SELECT vec_id, round(list_sum(list_transform(range(1, 17), lambda i: pow(x[i]::DOUBLE + y[i], 2))) / e, 6) AS constructive, round(list_sum(list_transform(range(1, 17), lambda i: pow(x[i]::DOUBLE - y[i], 2))) / e, 6) AS destructive, round(list_sum(list_transform(range(1, 17), lambda i: pow(x[i]::DOUBLE * y[i], 2))) / e, 6) AS multiplicative
-FROM (SELECT *, list_sum(list_transform(range(1, 17), lambda i: x[i]::DOUBLE * x[i] + y[i]::DOUBLE * y[i])) AS e FROM {_PAIR})""")
+@query(f"""SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: pow(x[i]::DOUBLE + y[i], 2))) / e, 6) AS constructive, round(list_sum(list_transform(range(1, 65), lambda i: pow(x[i]::DOUBLE - y[i], 2))) / e, 6) AS destructive, round(list_sum(list_transform(range(1, 65), lambda i: pow(x[i]::DOUBLE * y[i], 2))) / e, 6) AS multiplicative
+FROM (SELECT *, list_sum(list_transform(range(1, 65), lambda i: x[i]::DOUBLE * x[i] + y[i]::DOUBLE * y[i])) AS e FROM {_PAIR})""")
 def interference_parts(spark, sf_dir):
-    z = L.detect_interference(F.slice("x", 1, 16), F.slice("y", 1, 16))
+    z = L.detect_interference(C("x"), C("y"))
     return _pairs(spark, sf_dir).select("vec_id", *[F.round(z[k], 6).alias(k) for k in ("constructive", "destructive", "multiplicative")])
 
 
-@query("SELECT vec_id, list_transform(range(4), lambda s: round(list_sum(list_transform(range(16), lambda i: embedding[i + 1]::DOUBLE * embedding[(i - s + 16) % 16 + 1])) / 16, 7) + 0.0) AS resonance FROM embeddings")
+@query("SELECT vec_id, list_transform(range(4), lambda s: round(list_sum(list_transform(range(64), lambda i: embedding[i + 1]::DOUBLE * embedding[(i - s + 64) % 64 + 1])) / 64, 7) + 0.0) AS resonance FROM embeddings")
 def wave_resonance(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(L.resonance(F.slice("embedding", 1, 16), 4), lambda x: r(x, 7)).alias("resonance"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(L.resonance(C("embedding"), 4), lambda x: r(x, 7)).alias("resonance"))
 
 
-@query("""WITH b AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: (x > 0)::INT) AS p FROM embeddings) SELECT a.vec_id AS query_id, b.vec_id AS pattern_id, round(1 - list_sum(list_transform(range(1, 17), lambda i: abs(a.p[i] - b.p[i]))) / 16.0, 6) AS similarity FROM b a, b WHERE a.vec_id % 10 = 0
-AND list_sum(list_transform(range(1, 17), lambda i: abs(a.p[i] - b.p[i]))) <= 3""")
+@query("""WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INT) AS p FROM embeddings) SELECT a.vec_id AS query_id, b.vec_id AS pattern_id, round(1 - list_sum(list_transform(range(1, 65), lambda i: abs(a.p[i] - b.p[i]))) / 64.0, 6) AS similarity FROM b a, b WHERE a.vec_id % 10 = 0
+AND list_sum(list_transform(range(1, 65), lambda i: abs(a.p[i] - b.p[i]))) <= 19""")
 def pattern_retrieval(spark, sf_dir):
-    bits = table(spark, sf_dir, "embeddings").select("vec_id", S.to_binary(F.slice("embedding", 1, 16)).alias("pattern"))
+    """Every tenth vector's signs against all: at most 19 of 64 differ, a likeness of 0.7."""
+    bits = table(spark, sf_dir, "embeddings").select("vec_id", S.to_binary(C("embedding")).alias("pattern"))
     asked = bits.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
-    return L.recall_patterns(bits.withColumnRenamed("vec_id", "pattern_id"), asked, 0.8, 4).withColumn("similarity", F.round("similarity", 6))
+    return L.recall_patterns(bits.withColumnRenamed("vec_id", "pattern_id"), asked, 0.7).withColumn("similarity", F.round("similarity", 6))

@@ -12,7 +12,6 @@ from sparkloom.plans.base import named, query, r, table
 from sparkloom.streaming import stride
 
 C = F.col
-X16 = "embedding[1:16]"
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)), 6) AS energy, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))), 6) AS norm, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 5) AS norm1, round(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))), 6) AS norm_inf,
@@ -49,43 +48,58 @@ def array_reshaping(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", *named(hot=V.one_hot(C("label"), 10), padded=V.pad(F.slice(e, 1, 3), 2, 1), tiled=V.tile(F.slice(e, 1, 2), 2), taken=V.gather(e, F.array(F.lit(2), F.lit(0), F.lit(-1))), cut=F.slice(e, 2, 3)))
 
 
-@query(f"""SELECT vec_id, list_transform(range(16), lambda k: round(list_sum(list_transform(range(16), lambda j: {X16}[j + 1]::DOUBLE * cos(2 * pi() * ((k * j) % 16) / 16.0))), 6) + 0.0) AS re, list_transform(range(16), lambda k: round(-list_sum(list_transform(range(16), lambda j: {X16}[j + 1]::DOUBLE * sin(2 * pi() * ((k * j) % 16) / 16.0))), 6) + 0.0) AS im FROM embeddings""")
+_RE = "list_sum(list_transform(range(64), lambda j: embedding[j + 1]::DOUBLE * cos(2 * pi() * ((k * j) % 64) / 64.0)))"
+_IM = "-list_sum(list_transform(range(64), lambda j: embedding[j + 1]::DOUBLE * sin(2 * pi() * ((k * j) % 64) / 64.0)))"
+
+
+@query(f"SELECT vec_id, list_transform(range(64), lambda k: round({_RE}, 6) + 0.0) AS re, list_transform(range(64), lambda k: round({_IM}, 6) + 0.0) AS im FROM embeddings")
 def dft_native(spark, sf_dir):
-    z = V.dft(F.slice("embedding", 1, 16))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(z, lambda x: r(x["re"])).alias("re"), F.transform(z, lambda x: r(x["im"])).alias("im"))
+    z = S.dft_rows(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
+    return z.select("vec_id", F.transform("z", lambda x: r(x["re"])).alias("re"), F.transform("z", lambda x: r(x["im"])).alias("im"))
 
 
-@query(f"""SELECT vec_id, list_transform(range(16), lambda k: round(list_sum(list_transform(range(16), lambda j: {X16}[j + 1]::DOUBLE * cos(2 * pi() * ((k * j) % 16) / 16.0))), 6) + 0.0) AS re, true AS inverted FROM embeddings""")
+@query(f"SELECT vec_id, list_transform(range(64), lambda k: round({_RE}, 6) + 0.0) AS re, true AS inverted FROM embeddings")
 def fft_arrow(spark, sf_dir):
-    x = F.slice("embedding", 1, 16)
-    df = table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"), S.fft(x).alias("z")).withColumn("back", S.fft(C("z"), inverse=True))
+    df = table(spark, sf_dir, "embeddings").select("vec_id", C("embedding").alias("x"), S.fft(C("embedding")).alias("z")).withColumn("back", S.fft(C("z"), inverse=True))
     same = F.forall(F.zip_with("x", "back", lambda a, b: F.abs(a - b["re"]) < 1e-9), lambda ok: ok)
     return df.select("vec_id", F.transform("z", lambda z: r(z["re"])).alias("re"), same.alias("inverted"))
 
 
-@query()
+_HALF = "list_transform(range(33), lambda k: [round({}, 6) + 0.0, round({}, 6) + 0.0])".format(_RE, _IM)
+_GRID = "list_transform(range(64), lambda k: round(list_sum(list_transform(range(64), lambda j: embedding[j + 1]::DOUBLE * cos(2 * pi() * (((k // 8) * (j // 8) + (k % 8) * (j % 8)) % 8) / 8.0))), 6) + 0.0)"
+
+
+@query(f"SELECT vec_id, {_HALF} AS half, true AS half_back, {_GRID} AS grid, true AS grid_back, 48 AS cube FROM embeddings")
 def fft_other_forms(spark, sf_dir):
-    x = F.slice("embedding", 1, 16)
-    return table(spark, sf_dir, "embeddings").select("vec_id", S.fft(x, real=True).alias("half"), S.fft(S.fft(x, real=True), inverse=True, real=True).alias("back"), S.fft_nd(x, (4, 4)).alias("grid"), S.fft_nd(S.fft_nd(x, (4, 4)), (4, 4), inverse=True).alias("grid_back"), S.fft_nd(x, (2, 2, 4), real=True).alias("cube"))
+    """Real, inverse real and n-dimensional forms, over 64 values as a line, an 8 x 8 grid and a 4 x 4 x 4 cube (whose half spectrum has 48 values)."""
+    x = C("embedding")
+    df = table(spark, sf_dir, "embeddings").select("vec_id", x, S.fft(x, real=True).alias("half"), S.fft_nd(x, (8, 8)).alias("grid"), F.size(S.fft_nd(x, (4, 4, 4), real=True)).alias("cube"))
+    back, grid_back = S.fft(C("half"), inverse=True, real=True), S.fft_nd(C("grid"), (8, 8), inverse=True)
+
+    def same(y, part=lambda v: v):
+        return F.forall(F.zip_with("embedding", y, lambda a, b: F.abs(a - part(b)) < 1e-9), lambda ok: ok)
 
+    df = df.withColumns({"half_back": same(back), "grid_back": same(grid_back, lambda v: v["re"])})
+    return df.select("vec_id", F.transform("half", lambda z: F.array(r(z["re"]), r(z["im"]))).alias("half"), "half_back", F.transform("grid", lambda z: r(z["re"])).alias("grid"), "grid_back", "cube")
 
-@query(f"""WITH m AS (SELECT vec_id, {X16} AS x, list_transform(range(9), lambda k: sqrt(pow(list_sum(list_transform(range(16), lambda j: {X16}[j + 1]::DOUBLE * cos(2 * pi() * k * j / 16.0))), 2) + pow(list_sum(list_transform(range(16), lambda j: {X16}[j + 1]::DOUBLE * sin(2 * pi() * k * j / 16.0))), 2))) AS m FROM embeddings),
-c AS (SELECT *, list_sum(list_transform(range(9), lambda k: m[k + 1] * k * 100.0)) / list_sum(m) AS c, sqrt(list_avg(list_transform(x, lambda v: v::DOUBLE * v))) AS rms, list_max(list_transform(x, lambda v: abs(v::DOUBLE))) AS peak FROM m)
-SELECT vec_id, round(c, 3) AS centroid, round(sqrt(list_sum(list_transform(range(9), lambda k: m[k + 1] * pow(k * 100.0 - c, 2))) / list_sum(m)), 3) AS bandwidth, (list_position(m, list_max(m)) - 1) * 100.0 AS dominant, round(rms, 6) AS rms, round(peak, 6) AS peak, round(peak / rms, 5) AS crest,
-list_sum(list_transform(range(1, 16), lambda i: ((x[i] >= 0) <> (x[i + 1] >= 0))::INT)) / 16.0 AS crossings FROM c""")
+
+@query(f"""WITH m AS (SELECT vec_id, embedding AS x, list_transform(range(33), lambda k: sqrt(pow({_RE}, 2) + pow({_IM}, 2))) AS m FROM embeddings),
+c AS (SELECT *, list_sum(list_transform(range(33), lambda k: m[k + 1] * k * 100.0)) / list_sum(m) AS c, sqrt(list_avg(list_transform(x, lambda v: v::DOUBLE * v))) AS rms, list_max(list_transform(x, lambda v: abs(v::DOUBLE))) AS peak FROM m)
+SELECT vec_id, round(c, 3) AS centroid, round(sqrt(list_sum(list_transform(range(33), lambda k: m[k + 1] * pow(k * 100.0 - c, 2))) / list_sum(m)), 3) AS bandwidth, (list_position(m, list_max(m)) - 1) * 100.0 AS dominant, len(list_filter(range(1, 34), lambda i: list_sum(m[1:i]) < 0.85 * list_sum(m))) * 100.0 AS rolloff, round(rms, 6) AS rms, round(peak, 6) AS peak, round(peak / rms, 5) AS crest,
+list_sum(list_transform(range(1, 64), lambda i: ((x[i] >= 0) <> (x[i + 1] >= 0))::INT)) / 64.0 AS crossings FROM c""")
 def spectral_features(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 16).alias("x")).withColumn("m", S.magnitudes(C("x")))
+    df = table(spark, sf_dir, "embeddings").select("vec_id", C("embedding").alias("x")).withColumn("m", S.magnitudes(C("x")))
     x, m = C("x"), C("m")
-    return df.select("vec_id", *named(centroid=F.round(S.spectral_centroid(m, 100.0), 3), bandwidth=F.round(S.spectral_bandwidth(m, 100.0), 3), dominant=S.dominant_frequency(m, 100.0), rms=F.round(S.rms(x), 6), peak=F.round(S.peak(x), 6), crest=F.round(S.crest_factor(x), 5), crossings=S.zero_crossings(x)))
+    return df.select("vec_id", *named(centroid=F.round(S.spectral_centroid(m, 100.0), 3), bandwidth=F.round(S.spectral_bandwidth(m, 100.0), 3), dominant=S.dominant_frequency(m, 100.0), rolloff=S.spectral_rolloff(m, 100.0), rms=F.round(S.rms(x), 6), peak=F.round(S.peak(x), 6), crest=F.round(S.crest_factor(x), 5), crossings=S.zero_crossings(x)))
 
 
-@query(f"""WITH b AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: (x > 0)::INT) AS a, list_transform(embedding[17:32], lambda x: (x > 0)::INT) AS b FROM embeddings)
-SELECT vec_id, list_transform(list_zip(a, b), lambda p: (p[1] <> p[2])::INT) AS x, list_transform(list_zip(a, b), lambda p: p[1] * p[2]) AS n, list_transform(list_zip(a, b), lambda p: greatest(p[1], p[2])) AS o, list_avg(a) AS density, list_sum(list_transform(range(1, 16), lambda i: abs(a[i] - a[i + 1])))::DOUBLE AS transitions,
-1 - list_sum(list_transform(range(1, 17), lambda i: abs(a[i] - a[17 - i]))) / 16.0 AS symmetry, list_concat(a[14:16], a[1:13]) AS turned FROM b""")
+@query(f"""WITH b AS (SELECT vec_id, list_transform(x, lambda v: (v > 0)::INT) AS a, list_transform(y, lambda v: (v > 0)::INT) AS b FROM (SELECT a.vec_id, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1))
+SELECT vec_id, list_transform(list_zip(a, b), lambda p: (p[1] <> p[2])::INT) AS x, list_transform(list_zip(a, b), lambda p: p[1] * p[2]) AS n, list_transform(list_zip(a, b), lambda p: greatest(p[1], p[2])) AS o, list_avg(a) AS density, list_sum(list_transform(range(1, 64), lambda i: abs(a[i] - a[i + 1])))::DOUBLE AS transitions,
+1 - list_sum(list_transform(range(1, 65), lambda i: abs(a[i] - a[65 - i]))) / 64.0 AS symmetry, list_concat(a[62:64], a[1:61]) AS turned FROM b""")
 def binary_wave_ops(spark, sf_dir):
     from sparkloom.functions.bits import rotate_elements
 
-    e = table(spark, sf_dir, "embeddings").select("vec_id", S.to_binary(F.slice("embedding", 1, 16)).alias("a"), S.to_binary(F.slice("embedding", 17, 16)).alias("b"))
+    e = _pairs(spark, sf_dir).select("vec_id", S.to_binary(C("x")).alias("a"), S.to_binary(C("y")).alias("b"))
     f = S.binary_features(C("a"))
     return e.select("vec_id", *named(x=S.binary_interference(C("a"), C("b")), n=S.binary_interference(C("a"), C("b"), "and"), o=S.binary_interference(C("a"), C("b"), "or"), density=f["density"], transitions=f["transitions"], symmetry=f["symmetry"], turned=rotate_elements(C("a"), 3)))
 
@@ -114,17 +128,28 @@ def spectrogram(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", S.stft(C("embedding"), 16, 8).alias("frames"), S.mfcc(C("embedding"), 8000, 5, 8).alias("mfcc"))
 
 
-@query()
+_AT = "(SELECT vec_id, list_transform(range(64), lambda k: atan2(round({im}, 9) + 0.0, {re})) AS p FROM embeddings)".format(re=_RE, im=_IM)
+
+
+@query(f"""WITH a AS {_AT}, p AS (SELECT w.vec_id, x, y, a.p AS p, b.p AS q FROM {_PAIR} w JOIN a ON a.vec_id = w.vec_id JOIN a b ON b.vec_id = w.vec_id + 1),
+d AS (SELECT *, list_transform(range(1, 65), lambda i: p[i] - q[i]) AS d, list_avg(list_transform(x, lambda v: v::DOUBLE)) AS mx, list_avg(list_transform(y, lambda v: v::DOUBLE)) AS my, list_transform(range(1, 65), lambda i: 0.7 * x[i]::DOUBLE + 0.3 * y[i]::DOUBLE) AS mixed,
+  list_transform(range(4), lambda s: 1 - list_sum(list_transform(range(64), lambda i: abs((x[i + 1] > 0)::INT - (y[(i - s + 64) % 64 + 1] > 0)::INT))) / 64.0) AS likeness FROM p)
+SELECT vec_id, round(sqrt(pow(list_avg(list_transform(d, lambda v: cos(v))), 2) + pow(list_avg(list_transform(d, lambda v: sin(v))), 2)), 6) AS coherence,
+  round(list_avg(list_transform(range(1, 65), lambda i: (x[i] - mx) * (y[i] - my))) / sqrt(list_var_pop(list_transform(x, lambda v: v::DOUBLE)) * list_var_pop(list_transform(y, lambda v: v::DOUBLE))) * (1 - list_avg(list_transform(d, lambda v: abs(v))) / pi()), 6) + 0.0 AS strength,
+  (list_position(likeness, list_max(likeness)) - 1)::INT AS shift, list_max(likeness) AS likeness, round(atan2(sqrt(list_sum(list_transform(x[2:64], lambda v: v::DOUBLE * v))), x[1]::DOUBLE), 6) AS angle,
+  list_transform(mixed, lambda v: round(v / sqrt(list_sum(list_transform(mixed, lambda u: u * u))), 6) + 0.0) AS blend FROM d""")
 def wave_pair_measures(spark, sf_dir):
-    x, y = F.slice("x", 1, 16), F.slice("y", 1, 16)
-    return _pairs(spark, sf_dir).select("vec_id", S.phase_coherence(x, y).alias("coherence"), S.interference_strength(x, y).alias("strength"), S.best_shift(S.to_binary(x), S.to_binary(y), 4).alias("shift"), V.phase_angle(x).alias("angle"), V.partial_interference(x, y, 0.3).alias("blend"))
+    x, y = C("x"), C("y")
+    shift = S.best_shift(S.to_binary(x), S.to_binary(y), 4)
+    return _pairs(spark, sf_dir).select("vec_id", *named(coherence=F.round(S.phase_coherence(x, y), 6), strength=r(S.interference_strength(x, y)), shift=shift["shift"], likeness=shift["similarity"], angle=F.round(V.phase_angle(x), 6), blend=F.transform(V.partial_interference(x, y, 0.3), lambda v: r(v))))
 
 
-@query("""WITH p AS (SELECT vec_id, x[1:4] AS q, x[5:8] AS k1, x[9:12] AS k2, y[1:2] AS v1, y[3:4] AS v2 FROM """ + _PAIR + """), s AS (SELECT *, exp(list_sum(list_transform(list_zip(q, k1), lambda p: p[1]::DOUBLE * p[2])) / 2) AS e1, exp(list_sum(list_transform(list_zip(q, k2), lambda p: p[1]::DOUBLE * p[2])) / 2) AS e2 FROM p)
-SELECT vec_id, [round((e1 * v1[1]::DOUBLE + e2 * v2[1]::DOUBLE) / (e1 + e2), 6) + 0.0, round((e1 * v1[2]::DOUBLE + e2 * v2[2]::DOUBLE) / (e1 + e2), 6) + 0.0] AS attended FROM s""")
+@query(f"""WITH p AS (SELECT vec_id, x[1:16] AS q, [x[17:32], x[33:48], x[49:64]] AS ks, [y[1:32], y[33:64], x[1:32]] AS vs FROM {_PAIR}), e AS (SELECT *, list_transform(ks, lambda k: exp(list_sum(list_transform(list_zip(q, k), lambda p: p[1]::DOUBLE * p[2])) / 4)) AS e FROM p)
+SELECT vec_id, list_transform(range(1, 33), lambda i: round((e[1] * vs[1][i]::DOUBLE + e[2] * vs[2][i]::DOUBLE + e[3] * vs[3][i]::DOUBLE) / list_sum(e), 6) + 0.0) AS attended FROM e""")
 def attention_softmax(spark, sf_dir):
+    """The first quarter of a vector asks the three others; values are the halves of the next vector and of its own."""
     x, y = "x", "y"
-    out = N.attention(F.slice(x, 1, 4), F.array(F.slice(x, 5, 4), F.slice(x, 9, 4)), F.array(F.slice(y, 1, 2), F.slice(y, 3, 2)))
+    out = N.attention(F.slice(x, 1, 16), F.array(*[F.slice(x, i, 16) for i in (17, 33, 49)]), F.array(F.slice(y, 1, 32), F.slice(y, 33, 32), F.slice(x, 1, 32)))
     return _pairs(spark, sf_dir).select("vec_id", F.transform(out, lambda v: r(v)).alias("attended"))
 
 

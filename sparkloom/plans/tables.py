@@ -46,8 +46,10 @@ def warehouse_sql(spark, sf_dir):
 @query("""SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, round(var_pop(l_quantity), 6) AS var, round(stddev_pop(l_quantity), 6) AS std, round(var_samp(l_quantity), 6) AS var1, round(stddev_samp(l_quantity), 6) AS std1, sum(l_quantity) AS total, min(l_quantity) AS low, max(l_quantity) AS high,
 median(l_quantity) AS median, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90 FROM lineitem GROUP BY l_returnflag""")
 def stats_axis0(spark, sf_dir):
-    q = C("l_quantity")
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*named(mean=F.round(F.avg(q), 6), var=F.round(F.var_pop(q), 6), std=F.round(F.stddev_pop(q), 6), var1=F.round(F.var_samp(q), 6), std1=F.round(F.stddev_samp(q), 6), total=F.sum(q), low=M.agg_min(q), high=M.agg_max(q), median=F.median(q), p90=F.round(F.percentile("l_extendedprice", F.lit(0.9)), 6)))
+    q, li = C("l_quantity"), table(spark, sf_dir, "lineitem")
+    moments = li.groupBy("l_returnflag").agg(*named(mean=F.round(F.avg(q), 6), var=F.round(F.var_pop(q), 6), std=F.round(F.stddev_pop(q), 6), var1=F.round(F.var_samp(q), 6), std1=F.round(F.stddev_samp(q), 6), total=F.sum(q), low=M.agg_min(q), high=M.agg_max(q)))
+    places = E.grouped_quantiles(li, ["l_returnflag"], {"median": ("l_quantity", 0.5), "p90": ("l_extendedprice", 0.9)})
+    return moments.join(places.withColumn("p90", F.round("p90", 6)), "l_returnflag")
 
 
 @query("""WITH s AS (SELECT user_id, ts, event_id, value, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
@@ -322,6 +324,31 @@ def least_squares(spark, sf_dir):
     return spark.range(1).select(F.round(F.lit(float(beta[0])), 3).alias("intercept"), F.round(F.lit(float(beta[1])), 5).alias("slope"))
 
 
+_GROUPS = "SELECT l_returnflag, covar_pop(l_quantity, l_quantity) AS a, covar_pop(l_quantity, l_discount) AS b, covar_pop(l_discount, l_discount) AS c, covar_pop(l_quantity, l_extendedprice) AS p, covar_pop(l_discount, l_extendedprice) AS q FROM lineitem GROUP BY 1"
+
+
+def _systems(spark, sf_dir):
+    """Normal equations of one small regression for each return flag, as cells."""
+    x, y = ["l_quantity", "l_discount"], "l_extendedprice"
+    pairs = [(i, j, F.covar_pop(a, b)) for i, a in enumerate(x) for j, b in enumerate([*x, y])]
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), c.alias("v")) for i, j, c in pairs]
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.array(*cells).alias("c")).select("l_returnflag", F.explode("c").alias("c")).select("l_returnflag", "c.*")
+    return rows.where("j < 2"), rows.where("j = 2").select("l_returnflag", "i", "v")
+
+
+@query(f"WITH g AS ({_GROUPS}) SELECT l_returnflag, 0::BIGINT AS i, round((c * p - b * q) / (a * c - b * b), 3) AS v FROM g UNION ALL SELECT l_returnflag, 1, round((a * q - b * p) / (a * c - b * b), 3) FROM g")
+def solve_by_group(spark, sf_dir):
+    a, b = _systems(spark, sf_dir)
+    return LA.solve(a, 2, b, ["l_returnflag"]).withColumn("v", F.round("v", 3))
+
+
+@query(f"WITH g AS ({_GROUPS}), e AS (SELECT *, (a + c) / 2 AS m, sqrt(pow((a - c) / 2, 2) + b * b) AS d FROM g) SELECT l_returnflag, round(a * c - b * b, 6) AS det, round(m - d, 6) AS low, round(m + d, 4) AS high FROM e")
+def matrix_measures_by_group(spark, sf_dir):
+    a = _systems(spark, sf_dir)[0]
+    e = LA.eigenvalues(a, 2, ["l_returnflag"]).groupBy("l_returnflag").agg(F.round(F.min("re"), 6).alias("low"), F.round(F.max("re"), 4).alias("high"))
+    return LA.det(a, 2, ["l_returnflag"]).withColumn("det", F.round("det", 6)).join(e, "l_returnflag")
+
+
 @query()
 def pca_scores(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", *_X3, "l_extendedprice")
@@ -361,8 +388,8 @@ _DECAY = math.exp(-1.0)
 
 @query(f"""WITH s AS (SELECT user_id, list(value / 100 ORDER BY ts, event_id) AS xs FROM events GROUP BY user_id) SELECT user_id, round(list_reduce(list_prepend(0.0, xs), lambda h, x: h * {_DECAY!r} + (1 - {_DECAY!r}) * tanh(x)), 6) AS state FROM s""")
 def ctrnn_fold(spark, sf_dir):
-    ev = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
-    return ev.select("user_id", F.round(N.last_state(F.transform("e", lambda x: x["value"] / 100)), 6).alias("state"))
+    ev = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return N.leaky_state(ev, ["user_id"], ["day"], ["ts", "event_id"], C("value") / 100).select("user_id", F.round("state", 6).alias("state"))
 
 
 @query()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import features as E
+from sparkloom.operators import layers as L
 from sparkloom.operators import linalg as LA
 from sparkloom.operators import metrics as X
 from sparkloom.operators import models as N
@@ -29,15 +30,18 @@ def test_matrices(spark):
     a, b = coo(spark, [[1, 2], [3, 4]]), coo(spark, [[5, 6], [7, 8]])
     assert cells(T.matmul(a, b)) == {(0, 0): 19, (0, 1): 22, (1, 0): 43, (1, 1): 50}
     assert cells(T.transpose(a))[(0, 1)] == 3
-    assert LA.det(a, 2) == pytest.approx(-2) and LA.det(coo(spark, [[1, 2], [2, 4]]), 2) == pytest.approx(0)
+    assert LA.det(a, 2).first()["det"] == pytest.approx(-2) and LA.det(coo(spark, [[1, 2], [2, 4]]), 2).first()["det"] == pytest.approx(0)
     assert cells(LA.inverse(a, 2))[(0, 0)] == pytest.approx(-2)
-    assert LA.solve(a, 2, spark.createDataFrame([(0, 5.0), (1, 11.0)], "i long, v double")) == pytest.approx([1, 2])
+    assert [r["v"] for r in LA.solve(a, 2, spark.createDataFrame([(0, 5.0), (1, 11.0)], "i long, v double")).orderBy("i").collect()] == pytest.approx([1, 2])
+    assert [r["v"] for r in LA.solve(a, 2, spark.createDataFrame([(1, 2.0)], "i long, v double")).orderBy("i").collect()] == pytest.approx([2, -1])
+    turn = LA.eigenvalues(coo(spark, [[0, -1], [1, 0]]), 2).orderBy("i").collect()
+    assert [(r["re"], r["im"]) for r in turn] == [pytest.approx((0, -1)), pytest.approx((0, 1))]
     assert T.norm_inf(a).first()[0] == 7 and T.norm_1(a).first()[0] == 6
     assert sorted(r["v"] for r in T.diagonal(a).collect()) == [1, 4]
     assert cells(T.concatenate([a, b], [2, 2], 1))[(1, 3)] == 8
     assert cells(T.split(a, [1, 1])[1]) == {(0, 0): 3, (0, 1): 4}
     with pytest.raises(ValueError):
-        LA.dense(a, 5000)
+        LA.det(a, 5000)
 
 
 def test_scatter(spark):
@@ -130,14 +134,86 @@ def test_gradient_ends_and_short_series(spark):
     assert {r["k"]: r["stability"] for r in W.energy_stability(df, ["k"], ["t"], "v", 1).collect()}["b"] == 1.0
 
 
-def test_cells_keep_state_apart(spark):
+@pytest.mark.parametrize("kind", sorted(N.GATES))
+def test_cells_keep_state_apart(spark, kind):
     df = spark.createDataFrame([(k, t, 1.0) for k in range(3) for t in range(4)], "k int, t int, x double")
-    for kind in ("rnn", "gru", "lstm", "ltc", "cfc"):
-        out = N.run_cell(df, N.Cell(kind, 1, 2), "k", "t", ["x"]).collect()
-        by = {}
-        for r in out:
-            by.setdefault(r["t"], set()).add(tuple(round(v, 12) for v in r["h"]))
-        assert len(out) == 12 and all(len(s) == 1 for s in by.values()), kind
+    cell, by = N.Cell(kind, 1, 2), {}
+    out = N.run_cell(df, cell, "k", "t", ["x"]).collect()
+    for r in out:
+        by.setdefault(r["t"], set()).add(tuple(round(v, 12) for v in r["h"]))
+    assert len(out) == 12 and all(len(s) == 1 for s in by.values())
+    state = (np.zeros(2), np.zeros(2))
+    for t in range(4):
+        state = cell.step(state, np.ones(1), 1.0)
+        assert list(by[t])[0] == pytest.approx(state[0], abs=1e-11)
+
+
+def test_cell_recurrences():
+    """One unit with plain weights, worked out by hand."""
+    sg, th = (lambda z: 1 / (1 + math.exp(-z))), math.tanh
+
+    def after(kind, x=0.5, h=0.2, c=0.3, dt=2.0, **more):
+        cell = N.Cell(kind, 1, 1, **more)
+        cell.w[:], cell.u[:], cell.b[:] = 0.4, -0.6, 0.1
+        if kind == "ltc":
+            cell.leak[:], cell.rest[:], cell.cm[:], cell.erev[:], cell.sensory[:], cell.sensory_erev[:] = 0.5, -0.1, 2, 0.8, 0.7, 0.9
+        h, c = cell.step((np.array([h]), np.array([c])), np.array([x]), dt)
+        return h[0], c[0]
+
+    a, r = 0.5 * 0.4 + 0.1, -0.6 * 0.2
+    z = sg(a + r)
+    assert after("rnn")[0] == pytest.approx(th(a + r))
+    assert after("gru")[0] == pytest.approx(z * 0.2 + (1 - z) * th(a + z * r))  # the reset gate acts after the product
+    c = z * 0.3 + z * th(a + r)
+    assert after("lstm") == pytest.approx((z * th(c), c))
+    d = math.exp(-2 / 1.5)
+    assert after("cfc", tau=1.5) == pytest.approx((z * th(d * 0.2 + (1 - d) * c), c))
+    assert after("ctrnn", tau=4)[0] == pytest.approx(0.2 + 2 * (th(a + r) - 0.2) / 4)
+    assert after("ctrnn", tau=0.01, clip=0.9)[0] == -0.9
+    assert after("ctgru", tau=4)[0] == pytest.approx(0.2 + 2 * ((1 - z) * 0.2 + z * th(a + r) - 0.2) / 4)
+    assert after("stride", tau=4, stride=3)[0] == pytest.approx(0.2 + (a + r - 0.2) / (4 * 2 * 3))
+    v = 0.2
+    for _ in range(3):
+        v += 2 * (0.5 * (-0.1 - v) + th(v) * -0.6 * (0.8 - v) + th(0.5) * 0.7 * (0.9 - v)) / 2
+    assert after("ltc", unfolds=3)[0] == pytest.approx(v)
+
+
+def test_both_ways(spark):
+    df = spark.createDataFrame([(0, t, float(t)) for t in range(3)], "k int, t int, x double")
+    one, two = N.Cell("gru", 1, 2, 1), N.Cell("gru", 1, 2, 2)
+    got = {r["t"]: r["h"] for r in N.run_both_ways(df, one, two, "k", "t", ["x"]).collect()}
+    state = (np.zeros(2), np.zeros(2))
+    for t in (2, 1, 0):
+        state = two.step(state, np.array([float(t)]), 1.0)
+        assert got[t][2:] == pytest.approx(state[0])
+
+
+def test_leaky_state_over_blocks(spark):
+    x = np.random.default_rng(2).normal(size=60)
+    df = spark.createDataFrame([("a" if i % 4 else "b", i // 7, i, float(v)) for i, v in enumerate(x)], "k string, b int, i int, v double")
+    got = {r["k"]: r["state"] for r in N.leaky_state(df, ["k"], ["b"], ["i"], F.col("v"), 2.0).collect()}
+    for k in "ab":
+        h, d = 0.0, math.exp(-0.5)
+        for i, v in enumerate(x):
+            if ("a" if i % 4 else "b") == k:
+                h = h * d + (1 - d) * math.tanh(v)
+        assert got[k] == pytest.approx(h)
+
+
+def test_recall_patterns_loses_no_pair(spark):
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2, (120, 64))
+    for i in range(60):
+        bits[60 + i] = bits[i]
+        bits[60 + i, rng.choice(64, i % 15, replace=False)] ^= 1
+    store = spark.createDataFrame([(i, b.tolist()) for i, b in enumerate(bits)] + [(500, None), (501, [1, 0])], "pattern_id long, pattern array<int>").repartition(3)
+    asked = spark.createDataFrame([(i, bits[i].tolist()) for i in range(0, 60, 3)] + [(900, None), (901, [1, 1])], "query_id long, pattern array<int>")
+    for threshold, block in ((0.8, 7), (0.5, 4096)):
+        got = {(r["query_id"], r["pattern_id"]): r["similarity"] for r in L.recall_patterns(store, asked, threshold, block).collect()}
+        want = {(i, j): 1 - (bits[i] != bits[j]).mean() for i in range(0, 60, 3) for j in range(120) if 1 - (bits[i] != bits[j]).mean() >= threshold}
+        want |= {(901, 501): 0.5} if threshold <= 0.5 else {}
+        assert got == pytest.approx(want)
+    assert L.recall_patterns(store, asked.limit(0)).count() == 0
 
 
 def test_leaky_fold(spark):
@@ -179,11 +255,34 @@ def test_order_places(spark):
     x = np.sort(np.array(big.toPandas()["v"]))
     lo, hi = x[len(x) // 4], x[3 * len(x) // 4]
     assert E.fit_order_iqr(big, "v") == (lo - 1.5 * (hi - lo), hi + 1.5 * (hi - lo))
+    assert E.fit_order_scale(big, "v") == (x[len(x) // 20], x[19 * len(x) // 20])
     odd = [-math.inf, 5e-324, 0.0, 1e-323, -1e308, 1e308, 1e308, 2.0, 2.0, 2.5, 1e-9, math.inf, math.nan]
     df = spark.createDataFrame([(v,) for v in [*odd, None]], "v double")
-    for i, v in enumerate(sorted(odd[:-1])):
-        assert E.at_place(df, F.col("v"), i, most=2, buckets=3) == v
-    assert math.isnan(E.at_place(df, F.col("v"), 12))
+    got = E.order_statistics(df, F.col("v"), list(range(13)), most=2, buckets=3)
+    assert [got[i] for i in range(12)] == sorted(odd[:-1]) and math.isnan(got[12])
+
+
+def test_quantiles_without_a_single_task(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=3000).round(2), np.zeros(3000), rng.lognormal(3, 3, 3000)])
+    df = spark.createDataFrame([(int(i % 3) if i % 7 else None, float(v)) for i, v in enumerate(x)] + [(1, None), (9, None)], "g int, v double")
+    shares = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    assert E.quantiles(df, "v", shares) == pytest.approx(np.quantile(x, shares).tolist())
+    got = {r["g"]: (r["a"], r["b"]) for r in E.grouped_quantiles(df, ["g"], {"a": ("v", 0.5), "b": ("v", 0.93)}, ranges=16).collect()}
+    by = {g: [v for i, v in enumerate(x) if (int(i % 3) if i % 7 else None) == g] for g in (0, 1, 2, None)}
+    assert set(got) == set(by) and all(got[g] == pytest.approx(tuple(np.quantile(v, [0.5, 0.93]))) for g, v in by.items())
+
+
+def test_fits_of_empty_tables(spark):
+    none = spark.createDataFrame([], "v double, k string, t timestamp")
+    assert E.quantiles(none, "v", [0.5]) == [None] and E.fit_median(none, "v") is None
+    assert E.fit_iqr(none, "v") == E.fit_order_iqr(none, "v") == E.fit_order_scale(none, "v") == (None, None)
+    assert E.grouped_quantiles(none, ["k"], {"m": ("v", 0.5)}).count() == 0
+    assert E.robust_numeric(none, ["v"]).columns[-1] == "v_scaled" and E.robust_numeric(none, ["v"]).count() == 0
+    assert E.temporal_split(none, "t").count() == E.target_encode(none, "k", "v").count() == 0
+    void = spark.createDataFrame([(None, "a", None), (float("nan"), None, None)], "v double, k string, t timestamp")
+    assert [r["v_scaled"] for r in E.robust_numeric(void.where("v IS NULL"), ["v"]).collect()] == [0.0]
+    assert [r["split"] for r in E.temporal_split(void, "t").collect()] == ["test", "test"]
 
 
 def test_stream_of_many_batches(spark, tmp_path):
