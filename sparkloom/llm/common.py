@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,16 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_swept: ContextVar[list | None] = ContextVar("swept", default=None)
+
+
 class Scratch:
     """Tables written to the shared folder, so that a later step has no lineage to replay.
 
     Lost executors then cost a re-read rather than a recomputation.  ``drop`` deletes a
-    superseded table at once; the rest stay for the session, as lazy results read them.
+    superseded table at once; the rest stay, as lazy results read them, unless made inside
+    :meth:`sweep`.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        if (made := _swept.get()) is not None:
+            made.append(self)
+
+    @classmethod
+    @contextmanager
+    def sweep(cls):
+        """What is made inside goes at the end: for steps whose result is written by then."""
+        token = _swept.set([])
+        try:
+            yield
+        finally:
+            for s in _swept.get():
+                s._delete(s.root)
+            _swept.reset(token)
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"
@@ -53,9 +73,11 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

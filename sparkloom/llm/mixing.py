@@ -10,12 +10,13 @@ Sharing out is the water level of each parent in closed form: children sorted by
 capacity over weight, running sums of capacity before and weight after, all in integers.
 A leaf takes whole seeded epochs and then a prefix of the next: documents in order of
 md5(seed, epoch, id) while their running sum of tokens stays within the rest.  The
-running sum has two levels, over 4,096 ranges of the hash and inside one range, so a
-leaf with a third of all rows is spread over as many window groups.
+running sum has levels: over 4,096 ranges of the hash, in leaves of over 16 million rows
+over 4,096 parts of each range, and inside one of them.  So a leaf with a third of all
+rows is spread over as many window groups, of some thousand rows however large it is.
 
 Defined cases: null levels are ``unknown``; documents without tokens are never taken;
 a weight of zero takes nothing; a budget above all capacity takes all of it; rows with
-the same id are adjacent, by their tokens.
+the same id are adjacent, by their tokens and then by a hash of their other columns.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import WORD, Scratch
 
-PREFIX = 3  # hexadecimal digits of the hash that name a range
+PREFIX = 3  # hexadecimal digits of the hash that name a range, and as many a part of it
+DEEP = 1 << 24  # rows of a leaf from which on its ranges have parts
 
 
 def words(text: Column) -> Column:
@@ -78,7 +80,7 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, i
     return dealt.select(*levels, "tokens", "alloc")
 
 
-def mix(rows: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], share: tuple[int, int] = (1, 2), epochs: int = 2, seed: int = 0, narrow: DataFrame | None = None) -> DataFrame:
+def mix(rows: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], share: tuple[int, int] = (1, 2), epochs: int = 2, seed: int = 0, narrow: DataFrame | None = None, deep: int = DEEP) -> DataFrame:
     """Adds ``alloc``, its leaf's budget, and ``copies``, how often the epochs take the row.
 
     ``rows`` has ``doc_id``, the columns ``levels``, ``tokens`` and any others, of which
@@ -90,9 +92,10 @@ def mix(rows: DataFrame, levels: list[str], weights: dict[str, dict[str, int]],
     slim = (narrow if narrow is not None else rows).select("doc_id", *levels, "tokens")
     extra = [c for c in rows.columns if c not in ("doc_id", "tokens", *levels)]
     packed = rows.select("doc_id", *levels, "tokens", *([F.struct(*[F.col(f"`{c}`") for c in extra]).alias("__row")] if extra else []))
-    leaves = slim.groupBy(*levels).agg(F.sum("tokens").alias("tokens"))
+    leaves = scratch.write(slim.groupBy(*levels).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("many")))
     dealt = scratch.write(
-        budgets(leaves, levels, weights, share, epochs)
+        budgets(leaves.drop("many"), levels, weights, share, epochs)
+        .join(leaves.select(*levels, (F.col("many") > deep).alias("deep")), levels)
         .withColumn("whole", F.when(F.col("tokens") > 0, F.expr("alloc div greatest(tokens, 1)")).otherwise(0))
         .withColumn("rest", F.col("alloc") - F.col("whole") * F.col("tokens"))
         .drop("tokens")
@@ -100,12 +103,19 @@ def mix(rows: DataFrame, levels: list[str], weights: dict[str, dict[str, int]],
 
     def placed(df: DataFrame) -> DataFrame:
         key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-        return df.join(dealt, levels).withColumn("place", key).withColumn("range", F.substring("place", 1, PREFIX))
-
-    ranges = placed(slim).groupBy(*levels, "range").agg(F.sum("tokens").alias("sum"))
-    along = Window.partitionBy(*levels).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = scratch.write(ranges.select(*levels, "range", F.coalesce(F.sum("sum").over(along), F.lit(0)).alias("before")))
-    inside = Window.partitionBy(*levels, "range").orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    taken = placed(packed).join(ranges, [*levels, "range"]).withColumn("upto", F.col("before") + F.sum("tokens").over(inside))
+        out = df.join(dealt, levels).withColumn("place", key).withColumn("range", F.substring("place", 1, PREFIX))
+        return out.withColumn("part", F.when(F.col("deep"), F.substring("place", 1 + PREFIX, PREFIX)).otherwise(F.lit("")))
+
+    cells = placed(slim).groupBy(*levels, "range", "part").agg(F.sum("tokens").alias("sum"))
+    unbounded = Window.unboundedPreceding
+    ranges = cells.groupBy(*levels, "range").agg(F.sum("sum").alias("sum"))
+    along = Window.partitionBy(*levels).orderBy("range").rowsBetween(unbounded, -1)
+    within = Window.partitionBy(*levels, "range").orderBy("part").rowsBetween(unbounded, -1)
+    first = ranges.select(*levels, "range", F.coalesce(F.sum("sum").over(along), F.lit(0)).alias("before"))
+    parts = cells.select(*levels, "range", "part", F.coalesce(F.sum("sum").over(within), F.lit(0)).alias("inner"))
+    starts = scratch.write(first.join(parts, [*levels, "range"]).select(*levels, "range", "part", (F.col("before") + F.col("inner")).alias("before")))
+    hashable = [F.col(f"__row.`{c}`") for c, t in rows.dtypes if c in extra and "map<" not in t and "variant" not in t]
+    inside = Window.partitionBy(*levels, "range", "part").orderBy("place", "doc_id", "tokens", *([F.xxhash64(*hashable)] if hashable else [])).rowsBetween(unbounded, 0)
+    taken = placed(packed).join(starts, [*levels, "range", "part"]).withColumn("upto", F.col("before") + F.sum("tokens").over(inside))
     copies = F.when(F.col("tokens") <= 0, 0).otherwise(F.col("whole") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0))
     return taken.select("doc_id", *levels, "tokens", *[F.col(f"__row.`{c}`") for c in extra if c not in ("alloc", "copies")], "alloc", copies.cast("long").alias("copies"))

@@ -407,7 +407,11 @@ def test_mix_prefixes(spark):
         assert out.count() == 303
         assert pairs_of(out.na.fill(-1), "doc_id", "tokens", "copies") == pairs_of(mixing.mix(rows, ["s"], {}, share, 2, 3).na.fill(-1), "doc_id", "tokens", "copies")
     assert mixing.mix(rows.limit(0), ["s"], {}, (1, 2), 2, 3).count() == 0
-    clash = rows.withColumns({c: F.lit(9) for c in ("alloc", "copies", "whole", "rest", "place", "range", "before", "upto", "sum", "cap", "w", "budget")})
+    deep = mixing.mix(rows, ["s"], {}, (1, 3), 2, 3, deep=10)
+    assert pairs_of(deep.na.fill(-1), "doc_id", "tokens", "copies") == pairs_of(mixing.mix(rows, ["s"], {}, (1, 3), 2, 3).na.fill(-1), "doc_id", "tokens", "copies")
+    twins = spark.createDataFrame([(1, "x", 5, f"t{i}") for i in range(6)], "doc_id long, s string, tokens long, text string")
+    assert pairs_of(mixing.mix(twins.repartition(3), ["s"], {}, (1, 2), 1, 3), "text", "copies") == pairs_of(mixing.mix(twins, ["s"], {}, (1, 2), 1, 3), "text", "copies")
+    clash = rows.withColumns({c: F.lit(9) for c in ("deep", "part", "many", "inner", "alloc", "copies", "whole", "rest", "place", "range", "before", "upto", "sum", "cap", "w", "budget")})
     out = mixing.mix(clash, ["s"], {}, (1, 3), 2, 3)
     assert out.columns[-2:] == ["alloc", "copies"] and pairs_of(out.na.fill(-1), "doc_id", "tokens", "copies") == pairs_of(mixing.mix(rows, ["s"], {}, (1, 3), 2, 3).na.fill(-1), "doc_id", "tokens", "copies")
 
@@ -572,3 +576,5 @@ def test_pipeline(spark, enc):
     for r in by["encode"].collect():
         assert enc.decode(r["ids"]) == texts[r["doc_id"]] and r["n_tokens"] == len(r["ids"])
     assert by["encode"].count() == by["mixing"].count() > 0
+    run = corpus_pipeline.run(spark, SF)
+    assert pairs_of(run, "doc_id", "n_tokens", "ids") == pairs_of(by["encode"], "doc_id", "n_tokens", "ids")
