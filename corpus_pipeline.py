@@ -4,14 +4,15 @@ Each stage takes the documents its predecessor kept and gives documents to the n
 the last gives token ids.  Decisions take effect:
 
 1. ``language_id`` drops documents without a language, or with none for a third of the words.
-2. ``near_dedup`` keeps one document, the smallest id, of each group of near copies.
+2. ``near_dedup`` keeps one document, that with the smallest id, of each group of near copies.
 3. ``secret_scan`` replaces secrets in the texts by a mark; every document stays.
 4. ``mixing`` takes documents as often as their source's token budget says: those above
    it are left out, those of a second epoch come twice.
 5. ``encode`` turns texts to token ids.
 
-Defined cases: rows with a null id pass the dedup stage, which can't name them; null or
-empty texts have no language and go in the first stage.
+Defined cases: rows with a null id, or with one that stands on several texts, are judged
+by their texts like any other; null or empty texts have no language and go in the first
+stage.
 """
 
 from __future__ import annotations
@@ -65,8 +66,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over ``documents``, each written and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = scratch.write(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with Scratch.sweep():  # a stage's own tables go once its result is written
+            kept = scratch.write(stage(spark, docs, sf_dir))
+        scratch.drop(docs)  # what it has read goes too, if it was written here
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
