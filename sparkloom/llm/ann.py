@@ -7,7 +7,8 @@ Spark joins of neighbours of neighbours, and nodes keep the best they have met.
 Nodes that the trees leave with fewer than ``k`` neighbours (alone or with few others in
 their leaves) first meet a random part of all nodes, and each other.
 A query walks the graph: each hop expands its best unexpanded candidates by a join with
-the adjacency, until the best ``beam`` are all expanded.  The distances met on the way
+the adjacency, until the best ``beam`` are all expanded (a warning tells if ``hops`` ended
+it before).  The distances met on the way
 are of vectors rounded to bytes; the candidates left are measured again exactly, in
 double precision on the original vectors.  A query that still has fewer rows than there
 are to have is answered by a scan of all vectors.
@@ -16,15 +17,17 @@ Every list is bounded by construction: ``k`` neighbours, samples of ``sample``,
 of about ``leaf`` vectors (fuller ones are split by a hash), ``beam`` candidates.  The
 adjacency and the codes are checkpointed as dealt out by node, so no hop shuffles them.
 
-Defined cases: a vector that is null, all zero, of another length than most, or has a
-null or non-finite component takes no part, nor does a null id.  Equal vectors are one
-node; its ids come in order.  Ties go to the smaller id.  Repeated rows count once.
+Defined cases: a vector that is null, all zero, or has a null or non-finite component
+takes no part, nor does a null id.  Vectors of another length than most have no inner
+product with these: they are left out too, with a warning.  Equal vectors are one node;
+its ids come in order.  Ties go to the smaller id.  Repeated rows count once.
 """
 
 from __future__ import annotations
 
 import gc
 import math
+import warnings
 from functools import reduce
 from itertools import islice
 
@@ -44,12 +47,17 @@ def product(a: Column, b: Column) -> Column:
 
 
 def valid(rows: DataFrame) -> DataFrame:
-    """The rows that take part; the common length is one number for the driver."""
+    """The rows that take part; the common length and the count of others are two numbers for the driver."""
     e = F.col("embedding")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = rows.where(F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0)).where(finite & F.exists(e, lambda x: x != 0))
-    most = good.groupBy(F.size(e).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return good.where(F.size(e) == F.lit(most["d"] if most else 0)).distinct()
+    sizes = good.groupBy(F.size(e).alias("d")).agg(F.count("*").alias("n"))
+    most = sizes.orderBy(F.desc("n"), "d").first()
+    if not most:
+        return good.distinct()
+    if odd := sizes.where(F.col("d") != most["d"]).agg(F.sum("n")).first()[0]:
+        warnings.warn(f"{odd} vectors do not have {most['d']} components and take no part", stacklevel=2)
+    return good.where(F.size(e) == most["d"]).distinct()
 
 
 def _unpack(col: pa.Array, scale: pa.Array) -> np.ndarray:
@@ -297,7 +305,7 @@ class Index:
         self._forget()
         return out
 
-    def search(self, queries: DataFrame, n: int = 20, beam: int = 320, width: int = 64, hops: int = 12) -> DataFrame:
+    def search(self, queries: DataFrame, n: int = 20, beam: int = 320, width: int = 64, hops: int = 60) -> DataFrame:
         """``query_id, rank, vec_id, score`` for the ids of ``queries`` (column ``query_id``), all of them indexed."""
         asked = self.scratch.write(queries.join(self.members, queries["query_id"] == self.members["vec_id"]).select("query_id", "node").distinct())
         who = asked.select(F.col("node").alias("q")).distinct()
@@ -317,6 +325,10 @@ class Index:
             new = self.scratch.write(best(merged, "q", beam))
             self._forget(state, front)
             state = new
+        else:
+            open_ = state.where("NOT done").select("q").distinct().count()
+            if open_:
+                warnings.warn(f"{open_} searches ended after {hops} hops with candidates left", stacklevel=2)
         return self._completed(asked, state, n)
 
     def _completed(self, asked: DataFrame, state: DataFrame, n: int, block: int = 256) -> DataFrame:
@@ -334,13 +346,18 @@ class Index:
         return found.join(short, "query_id", "left_anti").union(self._measured(short, reduce(DataFrame.union, scanned), n))
 
     def _measured(self, asked: DataFrame, state: DataFrame, n: int) -> DataFrame:
-        """Exact scores of the candidates ``q``, ``u``, one row for each id of a node, and the query's own copies."""
+        """Exact scores of the candidates ``q``, ``u``, one row for each id of a node, and the query's own copies.
+
+        The best ids are picked for a node before its queries, of which it may have many, join.
+        """
         left = self.nodes.select(F.col("node").alias("q"), F.col("embedding").alias("a"))
         right = self.nodes.select(F.col("node").alias("u"), F.col("embedding").alias("b"))
         pairs = state.union(asked.select(F.col("node").alias("q"), F.col("node").alias("u"))).distinct()
         scored = self.scratch.write(pairs.join(left, "q").join(right, "u").select("q", "u", product(F.col("a"), F.col("b")).alias("score")))
         few = best(scored, "q", n + 1, "score")  # a node's other ids only push nodes out
         ids = best(self.members.withColumn("s", F.lit(0)), "node", n + 1, "s", "vec_id").select(F.col("node").alias("u"), "vec_id")
-        rows = few.join(ids, "u").join(asked.withColumnRenamed("node", "q"), "q").where("vec_id <> query_id")
+        top = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+        each = few.join(ids, "u").withColumn("__r", F.row_number().over(top)).where(F.col("__r") <= n + 1).drop("__r", "u")
+        rows = each.join(asked.withColumnRenamed("node", "q"), "q").where("vec_id <> query_id")
         ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
         return ranked.where(F.col("rank") <= n).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

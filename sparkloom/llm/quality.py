@@ -1,9 +1,9 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once for a document.  The ledger stores the measurements and
-one long whose bit ``i`` says that rule ``i`` failed.  Policies are named, versioned
-sets of rules: applying one is a single AND with its mask, so a policy can change
-without touching a text again.  Ablations (what would each rule, left out, give back?)
+one long whose bit ``i`` says that rule ``i`` failed; :class:`Ledger` writes it as a
+table.  Policies are named, versioned sets of rules: applying one is a single AND with
+its mask, so a policy can change without touching a text again.  Ablations (what would each rule, left out, give back?)
 are counts over masked bit patterns, of which there are at most ``2 ** len(RULES)``.
 
 Defined cases: a null or empty text has no words, measures 0 everywhere and fails
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import map_rows, texts
+from sparkloom.llm.common import Scratch, map_rows, texts
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -99,6 +99,27 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.withColumn("fail_bits", bits)
 
 
+class Ledger:
+    """The ledger of ``docs``, measured and written once; whatever is asked of it reads that table."""
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+        self.rows = Scratch(docs.sparkSession, "quality").write(ledger(docs, id_col, text_col))
+
+    def apply(self, policy: str = PRODUCTION) -> DataFrame:
+        return apply_policy(self.rows, policy)
+
+    def ablations(self, policy: str = PRODUCTION) -> DataFrame:
+        return ablations(self.rows, policy)
+
+    def compare(self) -> DataFrame:
+        """``policy, n_docs, n_kept`` for every policy, from counts of bit patterns."""
+        patterns = self.rows.groupBy("fail_bits").agg(F.count("*").alias("n"))
+        masks = F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(mask(p)).cast("long").alias("mask")) for p in POLICIES])
+        each = patterns.select("fail_bits", "n", F.explode(masks).alias("p"))
+        good = F.col("fail_bits").bitwiseAND(F.col("p.mask")) == 0
+        return each.groupBy("p.policy").agg(F.sum("n").alias("n_docs"), F.sum(F.when(good, F.col("n")).otherwise(0)).alias("n_kept"))
+
+
 def apply_policy(rows: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     """Adds ``policy`` and ``kept``."""
     return rows.withColumn("policy", F.lit(policy)).withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(mask(policy))) == 0)

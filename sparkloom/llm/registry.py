@@ -16,7 +16,7 @@ PATTERN = public_tokenizers.PATTERN
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.apply_policy(quality.ledger(read(spark, sf_dir, "documents")))
+    rows = quality.Ledger(read(spark, sf_dir, "documents")).apply()
     base = sum(quality.BIT[r] for r in quality.BASE)
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("fail_bits").bitwiseAND(F.lit(base)) != 0).alias("base_failed"), "kept", "n_lines", "n_bullet_lines", "n_ellipsis_lines", "fail_bits", "policy"
@@ -24,7 +24,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.ablations(quality.ledger(read(spark, sf_dir, "documents")))
+    return quality.Ledger(read(spark, sf_dir, "documents")).ablations()
+
+
+def quality_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.Ledger(read(spark, sf_dir, "documents")).compare()
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +165,10 @@ ABLATIONS_SQL = f"""WITH {_MEASURES_SQL}
 SELECT rule, count(*) FILTER (WHERE fail_bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (WHERE fail_bits & {_MASK} = bit)::BIGINT AS n_only, count(*) FILTER (WHERE fail_bits & {_MASK} & ~bit = 0)::BIGINT AS n_kept_without
 FROM b, (VALUES {_RULE_ROWS}) AS rules(rule, bit) GROUP BY rule"""
 
+_POLICY_ROWS = ", ".join(f"('{p}', {quality.mask(p)}::BIGINT)" for p in quality.POLICIES)
+POLICIES_SQL = f"""WITH {_MEASURES_SQL}
+SELECT policy, count(*)::BIGINT AS n_docs, count(*) FILTER (WHERE fail_bits & mask = 0)::BIGINT AS n_kept FROM b, (VALUES {_POLICY_ROWS}) AS p(policy, mask) GROUP BY policy"""
+
 
 OP5_SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -217,6 +225,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "quality_ablations": quality_ablations,
+        "quality_policies": quality_policies,
         "op2_simhash_dedup": op2_simhash_dedup,
         "op3_toxicity": op3_toxicity,
         "op4_byte_bpe": op4_byte_bpe,
@@ -230,4 +239,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "quality_ablations": ABLATIONS_SQL, "op5_chat_formatting": OP5_SQL, "op6_url_filters": OP6_SQL, "op8_mixing": OP8_SQL}
+    return {"op1_quality_rules": OP1_SQL, "quality_ablations": ABLATIONS_SQL, "quality_policies": POLICIES_SQL, "op5_chat_formatting": OP5_SQL, "op6_url_filters": OP6_SQL, "op8_mixing": OP8_SQL}

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import warnings
 
 import numpy as np
 import pytest
@@ -48,6 +49,18 @@ def test_quality_edges(spark, odd):
     assert quality.measure_text("a a a a")[5] == 4
     assert quality.measure_text("x\n\nx\ny \x0b")[4] == 1
     assert quality.ledger(odd.limit(0)).count() == 0
+    none = quality.Ledger(odd.limit(0))
+    assert none.apply().count() == none.compare().count() == none.ablations().count() == 0
+
+
+def test_quality_measures_once(spark, monkeypatch):
+    """Policies and ablations read what was written."""
+    book = quality.Ledger(spark.createDataFrame([(1, "a b"), (2, " ".join(f"w{i}" for i in range(60)))], "doc_id long, text string"))
+    monkeypatch.setattr(quality, "map_rows", None)
+    assert pairs_of(book.apply("v1-base"), "doc_id", "kept") == [(1, False), (2, True)]
+    assert {r["policy"]: r["n_kept"] for r in book.compare().collect()} == dict.fromkeys(quality.POLICIES, 1)
+    assert book.ablations().count() == len(quality.POLICIES[quality.PRODUCTION])
+    assert all("MapInArrow" not in df._jdf.queryExecution().toString() for df in (book.apply(), book.compare()))
 
 
 def test_quality_ablations(spark):
@@ -320,6 +333,12 @@ def test_url_lists(spark):
     assert urls.evaluate(pages.limit(0), entries).count() == 0
     long = spark.createDataFrame([(1, f"http://{'a.' * 20_000}bad.com/"), (2, "http://com/"), (3, "http://bad/")], "page_id long, url string").withColumn("fetched_on", F.to_date(F.lit("2024-01-05")))
     assert pairs_of(urls.evaluate(long, entries), "page_id", "domain") == [(1, "bad.com"), (2, None), (3, None)]
+    hosts = {"http://u:p@q@bad.com/x": "bad.com", "  HTTPS://Bad.com?q": "bad.com", "//bad.com#f": "bad.com", "http://[2001:DB8::1]:80/x": "[2001:db8::1]", "ftp://bad.com..:21": "bad.com", "http://a/b@bad.com": "a", "mailto:x@bad.com": "", "bad.com/x": "", "http://": "", "": ""}
+    got = spark.createDataFrame([(u,) for u in hosts], "url string").select("url", urls.host_of(F.col("url")).alias("h")).collect()
+    assert {r["url"]: r["h"] for r in got} == hosts
+    days = spark.sql("SELECT id AS page_id, 'http://x.bad.com/' AS url, day AS fetched_on FROM VALUES (1, DATE'0001-01-01'), (2, DATE'9999-12-30'), (3, DATE'+12000-01-01'), (4, DATE'-0044-03-15'), (5, DATE'2024-01-31') AS t(id, day)")
+    dotted = spark.createDataFrame([("l", " Bad.COM. ", "2024-01-01", "add")], "list string, domain string, day string, action string").withColumn("day", F.to_date("day"))
+    assert pairs_of(urls.evaluate(days, dotted), "page_id", "blocked") == [(1, False), (2, True), (3, False), (4, False), (5, True)]
     bare = entries.union(spark.createDataFrame([("t", "com", "2024-01-01", "add")], "list string, domain string, day string, action string").withColumn("day", F.to_date("day")))
     assert pairs_of(urls.evaluate(long, bare), "page_id", "domain") == [(1, "bad.com"), (2, "com"), (3, None)]
 
@@ -430,6 +449,8 @@ def test_neighbours(spark):
     got = {}
     for r in ann.Index(df, leaf=100).search(asked).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    clash = df.withColumns({c: F.lit(None).cast("string") for c in ("node", "q", "u", "score", "rank", "query_id")})
+    assert ann.Index(clash, leaf=100, rounds=1).nodes.count() == 598
     y = x.astype(float)
     hit = 0
     for q, found in got.items():
@@ -444,6 +465,38 @@ def test_neighbours(spark):
     assert {1, 2} <= {i for _, i, _ in got[0]}
 
 
+def test_neighbours_query(spark):
+    """The registered query, held against brute force in double precision."""
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=np.float64)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)  # no search may end early
+        found = registry.op9_ann_search(spark, sf).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    asked = [i for i in range(len(ids)) if ids[i] % 20 == 0]
+    assert set(got) == {ids[i] for i in asked}
+    hit = 0
+    for i in asked:
+        s = x @ x[i]
+        want = [j for j in np.lexsort((ids, -s)) if j != i][:20]
+        mine = got[ids[i]]
+        assert sorted(mine) == list(range(1, 21)) and all(abs(s[list(ids).index(v)] - y) < 1e-9 for v, y in mine.values())
+        hit += len({ids[j] for j in want} & {v for v, _ in mine.values()})
+    assert hit >= 0.95 * 20 * len(asked)
+
+
+def test_searches_that_end_early_are_told(spark):
+    x = np.random.default_rng(1).normal(size=(400, 8))
+    index = ann.Index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), leaf=50, rounds=1)
+    with pytest.warns(UserWarning, match="ended after 1 hops"):
+        index.search(spark.createDataFrame([(0,), (1,)], "query_id long"), beam=40, width=2, hops=1)
+    with pytest.warns(UserWarning, match="1 vectors do not have 1 components"):
+        ann.valid(spark.createDataFrame([(1, [1.0]), (2, [2.0]), (3, [1.0, 2.0])], "vec_id long, embedding array<double>"))
+
+
 @pytest.mark.parametrize("n", [0, 1, 5])
 def test_few_neighbours(spark, n):
     df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(n)], "vec_id long, embedding array<float>")
