@@ -98,23 +98,27 @@ def near(a: list, b: list, same: bool, fan: int = FAN, step: int = 1 << 14) -> I
     """Level by level, pairs of nodes that may hold codes within ``DISTANCE``: (level, place in a, place in b).
 
     Level 0 gives the pairs of codes themselves.  At most ``step`` pairs are opened at once,
-    deepest first, which bounds the memory.  In one block (``same``) a pair comes once.
+    deepest first, and the rest wait unopened, which bounds the memory.  In one block
+    (``same``) a pair comes once.
     """
-    work = [(len(a) - 1, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
+    work = [(len(a), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
     while work:
         level, i, j = work.pop()
+        work += [(level, i[at : at + step], j[at : at + step]) for at in range(step, len(i), step)]
+        x = np.repeat(i[:step, None] * fan + np.arange(fan), fan, axis=1).ravel()
+        y = np.tile(j[:step, None] * fan + np.arange(fan), fan).ravel()
+        level -= 1
         (ma, pa_), (mb, pb) = a[level], b[level]
-        keep = np.bitwise_count((pa_[i] ^ pb[j]) & ma[i] & mb[j]) <= DISTANCE
+        real = (x < len(ma)) & (y < len(mb))
         if same:
-            keep &= (i < j) if level == 0 else (i <= j)
-        i, j = i[keep], j[keep]
-        if len(i):
-            yield level, i, j
-        for at in range(0, len(i) if level else 0, step):
-            x = np.repeat(i[at : at + step, None] * fan + np.arange(fan), fan, axis=1).ravel()
-            y = np.tile(j[at : at + step, None] * fan + np.arange(fan), fan).ravel()
-            real = (x < len(a[level - 1][0])) & (y < len(b[level - 1][0]))
-            work.append((level - 1, x[real], y[real]))
+            real &= (x < y) if level == 0 else (x <= y)
+        x, y = x[real], y[real]
+        keep = np.bitwise_count((pa_[x] ^ pb[y]) & ma[x] & mb[y]) <= DISTANCE
+        x, y = x[keep], y[keep]
+        if len(x):
+            yield level, x, y
+            if level:
+                work.append((level, x, y))
 
 
 def forest(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +168,8 @@ def _cut(size: int):
 
 def blocks(codes: DataFrame, size: int = BLOCK) -> DataFrame:
     """The distinct fingerprints of ``codes`` in Gray order, ``size`` in a row, with the mask and pattern they share."""
-    ordered = codes.select("fp", gray_rank(F.col("fp")).alias("gray")).repartitionByRange("gray").sortWithinPartitions("gray")
+    parts = -(-max(1, codes.count()) // (16 * size))
+    ordered = codes.select("fp", gray_rank(F.col("fp")).alias("gray")).repartitionByRange(parts, "gray").sortWithinPartitions("gray")
     return ordered.select("fp").mapInArrow(_cut(size), BLOCKS)
 
 
