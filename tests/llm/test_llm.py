@@ -1,10 +1,14 @@
 """The training-data operators: contracts, brute force, round trips and edge cases."""
 
 import hashlib
+import math
 import random
 import re
+import string
 import time
+import uuid
 import warnings
+import zlib
 
 import numpy as np
 import pytest
@@ -232,6 +236,47 @@ def test_toxicity(spark):
     assert not any(r["flagged"] for r in empty)
 
 
+def test_toxicity_query(spark):
+    """The registered query against the chain written out, and held-out scores with the chain and without."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    chain = toxicity.learn(docs, labels, registry.CATEGORIES)
+    got = {r["doc_id"]: r for r in registry.op3_toxicity(spark, sf).collect()}
+    places, n = chain.buckets, len(chain.buckets)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert set(got) == set(texts)
+    for doc_id, text in texts.items():
+        names = {x for w in re.findall(r"[^\W\d_]+", text.lower()) for x in [f"w{w}", *(f"p{w[:k]}" for k in (4, 5, 6) if len(w) >= k)]}
+        hits = {places[b] for x in names if (b := zlib.crc32(x.encode()) % (1 << 22)) in places}
+        said = []
+        for w in chain.weights:
+            z = sum(float(w[i]) for i in hits) + sum(float(w[n + j]) * math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4))) for j, p in enumerate(said)) + float(w[-1])
+            said.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+        assert [got[doc_id][f"p_{c}"] for c in chain.categories] == pytest.approx(said, abs=1e-6)
+        assert got[doc_id]["toxic"] == (got[doc_id]["p_toxic"] >= chain.threshold)
+
+
+def test_the_chain_helps_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    held = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0)
+    rest, unseen, loss = labels.join(held, "doc_id", "left_anti"), docs.join(held.select("doc_id"), "doc_id", "left_semi"), {}
+    for name, categories in (("chain", registry.CATEGORIES), ("alone", {"toxic": "toxic = 1"})):
+        rows = toxicity.predict(unseen, toxicity.learn(docs, rest, categories)).join(held, "doc_id").collect()
+        p, y = np.clip([r["p_toxic"] for r in rows], 1e-9, 1 - 1e-9), np.array([r["toxic"] for r in rows])
+        loss[name] = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+        assert sum(r["flagged"] == bool(r["toxic"]) for r in rows) >= 0.98 * len(rows)
+    assert loss["chain"] < loss["alone"]
+
+
+def test_toxicity_edges(spark):
+    docs = spark.createDataFrame([(i, ("idiot stupid " if i % 2 else "fine words ") * 3) for i in range(40)] + [(1, "x " * 200_000), (None, "idiot"), (3, None)], "doc_id long, text string").withColumns({"toxic": F.lit(9), "feats": F.lit("f"), "words": F.lit("w"), "flagged": F.lit(0), "p_toxic": F.lit(1.5)})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    got = toxicity.predict(docs, toxicity.learn(docs, labels, registry.CATEGORIES))
+    assert got.count() == 43 and all(r["flagged"] == bool(r["doc_id"] % 2) for r in got.where("doc_id > 3 AND doc_id < 40").collect())
+    assert toxicity.predict(docs.limit(0), toxicity.learn(docs.limit(0), labels, registry.CATEGORIES)).count() == 0
+
+
 # Byte-level BPE
 
 
@@ -375,6 +420,101 @@ def test_random_runs_of_any_shape(enc):
         assert found(plain) == []
 
 
+def slow_random_spans(text, enc):
+    """The token-efficiency test once more, sign by sign."""
+    letters, digits = set(string.ascii_letters), set(string.digits)
+
+    def dense(x):
+        lower_tail, upper = x[1:] == x[1:].lower() and set(x) <= letters, x == x.upper() and set(x) <= letters
+        return len(x) < (2.0 if lower_tail or upper else 2.2) * len(enc.encode_ordinary(x))
+
+    def wordy(x):
+        return len(x) <= 3 or not dense(x) or (x.isupper() and not dense(x.lower()))
+
+    def named(part):
+        stem = part.rstrip(string.digits)
+        return set(stem) <= letters and wordy(stem)
+
+    def plain(run):
+        if not set(run) & letters:
+            return True
+        hexed = set(run) <= set("0123456789abcdef") or set(run) <= set("0123456789ABCDEF")
+        if len(run) in (32, 40, 56, 64, 96, 128) and hexed and set(run) & digits:
+            return True
+        if [len(p) for p in run.split("-")] == [8, 4, 4, 4, 12] and set(run) <= set(string.hexdigits + "-"):
+            return True
+        return all(named(p) for p in "".join(" " if c in "+/_-" else c for c in run.rstrip("=")).split(" "))
+
+    out, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in letters | digits | set("+/_-"):
+            j += 1
+        if j - i < 16:
+            i = max(j, i + 1)
+            continue
+        end = j
+        while end < len(text) and end < j + 2 and text[end] == "=":
+            end += 1
+        run = text[i:end]
+        if not plain(run):
+            if dense(run):
+                out.append((i, end))
+            else:
+                stretch, k = None, 0
+                for part in [*re.split(r"([+/_-]+)", run), None]:
+                    if part and part[0] in "+/_-":
+                        k += len(part)
+                        continue
+                    if part and dense(part) and not plain(part):
+                        stretch = (stretch[0] if stretch else k, k + len(part))
+                    elif part != "":
+                        if stretch and stretch[1] - stretch[0] >= 16 and dense(run[slice(*stretch)]):
+                            out.append((i + stretch[0], i + stretch[1]))
+                        stretch = None
+                    k += len(part or "")
+        i = end
+    return out
+
+
+def test_random_spans_against_brute_force(spark, enc, tmp_path):
+    """The registered query's spans of the method, on documents with mixtures of what runs are made of."""
+    rng = random.Random(11)
+    parts = ["config", "Main", "QwxZkPvJr", "q9Zx7Lk2Vb8N", "/", "-", "_", "+", "=", " ", "12", "HTTP", "deadbeef", "\n", "é", "x"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    mixed = spark.createDataFrame([(10**6 + i, "".join(rng.choices(parts, k=rng.randrange(1, 30)))) for i in range(2000)], "doc_id long, text string")
+    docs.union(mixed).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("random:")] for r in registry.op7_secret_scans(spark, str(tmp_path)).select("doc_id", "spans").collect()}
+    want = {r["doc_id"]: slow_random_spans(r["text"] or "", enc) for r in docs.union(mixed).collect()}
+    assert found == want and sum(map(len, want.values())) > 500
+
+
+def test_random_spans_precision_and_recall(enc):
+    """Planted keys of five kinds are found; names, paths, digests and words are not."""
+    rng = random.Random(5)
+    words = "table order customer region nation supply line item price tax return flag ship date quarter revenue total average index search window stream batch cluster memory shuffle partition filter project join group planner catalog column matrix gradient signal wave language model corpus document passage quality template assistant".split()
+    kinds = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters, string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits]
+    planted = ["".join(rng.choices(a, k=rng.randrange(20, 41))) for a in kinds for _ in range(100)]
+
+    def clean():
+        w = rng.choices(words, k=4)
+        return rng.choice(["/".join(w), "_".join(w), "".join(x.title() for x in w), f"{'-'.join(w)}-{rng.randrange(10**6)}", "_".join(w).upper(), hashlib.sha1(w[0].encode()).hexdigest(), str(uuid.UUID(int=rng.getrandbits(128))), str(rng.getrandbits(80))])
+
+    def told(run):
+        return any(k == "random" for k, *_ in secrets.spans_of(f"{rng.choice(words)} {run} {rng.choice(words)}", enc))
+
+    hit, wrong = sum(map(told, planted)), sum(told(clean()) for _ in range(500))
+    assert hit >= 0.98 * len(planted) and wrong <= 0.01 * 500, (hit, wrong)
+
+
+def test_secret_edges(spark):
+    """An empty table, repeated rows and null ids through the registered columns."""
+    rows = spark.createDataFrame([(1, "token=abcdefghijkl1"), (1, "token=abcdefghijkl1"), (None, None), (2, "")], "doc_id long, text string")
+    got = secrets.scan(rows, registry.RANKS, registry.PATTERN)
+    assert sorted((r["doc_id"] or 0, len(r["spans"])) for r in got.collect()) == [(0, 0), (1, 1), (1, 1), (2, 0)]
+    assert secrets.scan(rows.limit(0), registry.RANKS, registry.PATTERN).count() == 0
+
+
 def test_secret_names_take_linear_time(enc):
     began = time.process_time()
     for run in ("a" * 200_000 + "1b", "aB" * 100_000 + "1_x", "A1" * 50_000):
