@@ -64,6 +64,7 @@ class PCA:
     components: np.ndarray
     variance: np.ndarray
     ratio: np.ndarray
+    n: int = 0
 
     def exprs(self, prefix: str = "pca", whiten: bool = False) -> dict[str, Column]:
         scale = np.sqrt(np.maximum(self.variance, 1e-12)) if whiten else np.ones(len(self.variance))
@@ -91,7 +92,7 @@ def fit_pca(df: DataFrame, columns: list[str], k: int | float | None = None) ->
         k = int(np.searchsorted(np.cumsum(ratio), k) + 1)
     k = min(len(columns), k or len(columns))
     flip = np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(axis=1)])
-    return PCA(columns, mean, (vectors * np.where(flip == 0, 1, flip)[:, None])[:k], values[:k], ratio[:k])
+    return PCA(columns, mean, (vectors * np.where(flip == 0, 1, flip)[:, None])[:k], values[:k], ratio[:k], n)
 
 
 def svd(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:

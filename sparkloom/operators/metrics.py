@@ -24,6 +24,14 @@ def confusion(df: DataFrame, y: str, p: str, normalize: bool = False) -> DataFra
     return out.join(out.groupBy("y").agg(F.sum("n").alias("all")), "y").select("y", "p", (F.col("n") / F.col("all")).alias("n"))
 
 
+def confusion_matrix(df: DataFrame, y: str, p: str, classes: int) -> DataFrame:
+    """``y, p, n`` for all pairs of ``classes`` numbered classes, absent ones 0."""
+    n = classes * classes
+    grid = df.sparkSession.range(n).select(F.floor(F.col("id") / classes).cast("int").alias("y"), (F.col("id") % classes).cast("int").alias("p"))
+    cells = confusion(df.select(F.col(y).cast("int").alias("y"), F.col(p).cast("int").alias("p")), "y", "p")
+    return grid.join(cells, ["y", "p"], "left").select("y", "p", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def per_class(df: DataFrame, y: str, p: str) -> DataFrame:
     """Precision, recall, F1 and support of every class, from the confusion counts."""
     cells = confusion(df, y, p)

@@ -63,25 +63,91 @@ class RBM:
         return self.reconstruction_error(df).withColumn("anomaly", F.col("error") > self.threshold)
 
 
-def train_rbm(df: DataFrame, columns: list[str], hidden: int = 4, epochs: int = 5, rate: float = 0.1, seed: int = 0, percentile: float = 0.95) -> RBM:
-    """Full-batch contrastive divergence with mean-field states: one aggregate for each epoch."""
+def _divergence_step(m: RBM, rows: DataFrame, steps: int) -> np.ndarray:
+    """Mean products and values of the data less those after ``steps`` rounds of mean-field states: one aggregate."""
+    columns, hidden = m.columns, len(m.hidden)
+    hs = [f"h_{j}" for j in range(hidden)]
+    out, seen = m.with_hidden(rows), hs
+    for k in range(steps):
+        back = {f"r{k}_{c}": sigmoid(linear(seen, m.weights[i], m.visible[i])) for i, c in enumerate(columns)}
+        again = [f"g{k}_{j}" for j in range(hidden)]
+        out = out.withColumns(back).withColumns({g: sigmoid(linear(list(back), m.weights[:, j], m.hidden[j])) for j, g in enumerate(again)})
+        seen, made = again, list(back)
+    cells = [F.avg(F.col(c) * F.col(h) - F.col(r) * F.col(g)) for c, r in zip(columns, made) for h, g in zip(hs, seen)]
+    got = out.agg(*cells, *[F.avg(F.col(c) - F.col(r)) for c, r in zip(columns, made)], *[F.avg(F.col(h) - F.col(g)) for h, g in zip(hs, seen)]).first()
+    return np.array([x or 0.0 for x in got])
+
+
+def train_rbm(
+    df: DataFrame, columns: list[str], hidden: int = 4, epochs: int = 5, rate: float = 0.1, seed: int = 0, percentile: float = 0.95,
+    steps: int = 1, momentum: float = 0.0, decay: float = 0.0, validation: DataFrame | None = None, patience: int = 5,
+) -> RBM:
+    """Full-batch contrastive divergence with mean-field states: one aggregate for each epoch.
+
+    With ``validation`` rows training ends once their mean error has not fallen for ``patience`` epochs.
+    """
     rng, d = np.random.default_rng(seed), len(columns)
     m = RBM(columns, rng.normal(scale=0.1, size=(d, hidden)), np.zeros(d), np.zeros(hidden))
-    hs = [f"h_{j}" for j in range(hidden)]
     rows = df.select(*[dbl(F.col(c)).alias(c) for c in columns])
+    speed, best, waited = np.zeros(d * hidden + d + hidden), math.inf, 0
     for _ in range(epochs):
-        first = m.reconstruct(rows)
-        again = [sigmoid(linear([f"r_{c}" for c in columns], m.weights[:, j], m.hidden[j])) for j in range(hidden)]
-        second = first.withColumns({f"g_{j}": e for j, e in enumerate(again)})
-        cells = [F.avg(F.col(c) * F.col(h) - F.col(f"r_{c}") * F.col(h.replace("h_", "g_"))) for c in columns for h in hs]
-        got = second.agg(*cells, *[F.avg(F.col(c) - F.col(f"r_{c}")) for c in columns], *[F.avg(F.col(h) - F.col(h.replace("h_", "g_"))) for h in hs]).first()
-        step = np.array([x or 0.0 for x in got])
-        m.weights = m.weights + rate * step[: d * hidden].reshape(d, hidden)
-        m.visible, m.hidden = m.visible + rate * step[d * hidden : d * hidden + d], m.hidden + rate * step[d * hidden + d :]
-    m.threshold = quantiles(m.reconstruction_error(rows), "error", [percentile])[0] or 0.0
+        speed = momentum * speed + _divergence_step(m, rows, steps)
+        m.weights = m.weights + rate * (speed[: d * hidden].reshape(d, hidden) - decay * m.weights)
+        m.visible, m.hidden = m.visible + rate * speed[d * hidden : d * hidden + d], m.hidden + rate * speed[d * hidden + d :]
+        if validation is not None:
+            error = m.reconstruction_error(validation).agg(F.avg("error")).first()[0]
+            waited, best = (0, error) if error is not None and error < best else (waited + 1, best)
+            if waited >= patience:
+                break
+    m.threshold = quantiles(m.reconstruction_error(rows).select("error"), "error", [percentile])[0] or 0.0
     return m
 
 
+@dataclass
+class Detector:
+    """Anomaly scores of a machine over scaled columns, with a threshold from the data it was fitted on."""
+
+    machine: RBM
+    scaling: dict[str, tuple[float, float]]
+    method: str
+    threshold: float
+    mean: float
+    std: float
+
+    def scaled(self, df: DataFrame) -> DataFrame:
+        """Adds the scaled columns under the machine's names."""
+        return df.withColumns({n: (dbl(F.col(c)) - shift) / size for n, (c, (shift, size)) in zip(self.machine.columns, self.scaling.items())})
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """Adds ``score``: the reconstruction error, or the negative free energy."""
+        rows = self.scaled(df)
+        out = self.machine.reconstruction_error(rows, "score") if self.method == "reconstruction" else rows.withColumn("score", -self.machine.free_energy())
+        return out.drop(*self.machine.columns)
+
+    def detect(self, df: DataFrame) -> DataFrame:
+        """Adds ``score``, ``anomaly`` (over the threshold) and ``probability``, the sigmoid of the standardised score."""
+        return self.score(df).withColumn("anomaly", F.col("score") > self.threshold).withColumn("probability", sigmoid((F.col("score") - self.mean) / (self.std or 1.0)))
+
+
+def fit_detector(df: DataFrame, columns: list[str], hidden: int = 4, scaling: str = "standard", method: str = "reconstruction", percentile: float = 0.95, validation: DataFrame | None = None, **training) -> Detector:
+    """Scale (``standard`` or ``minmax``), train, and take the threshold and the scores' moments from ``df``."""
+    x = [dbl(F.col(c)) for c in columns]
+    if scaling == "standard":
+        row = df.agg(*[F.avg(c) for c in x], *[F.stddev_pop(c) for c in x]).first()
+        sizes = [(row[i] or 0.0, row[len(x) + i] or 1.0) for i in range(len(x))]
+    else:
+        row = df.agg(*[F.min(c) for c in x], *[F.max(c) for c in x]).first()
+        sizes = [(row[i] or 0.0, (row[len(x) + i] or 0.0) - (row[i] or 0.0) or 1e-8) for i in range(len(x))]
+    names = [f"__x{i}" for i in range(len(columns))]
+    out = Detector(RBM(names, np.zeros((len(x), hidden)), np.zeros(len(x)), np.zeros(hidden)), dict(zip(columns, sizes)), method, 0.0, 0.0, 1.0)
+    held = out.scaled(validation).select(*names) if validation is not None else None
+    out.machine = train_rbm(out.scaled(df), names, hidden, percentile=percentile, validation=held, **training)
+    scores = out.score(df).select("score")
+    out.mean, out.std = (v or 0.0 for v in scores.agg(F.avg("score"), F.stddev_pop("score")).first())
+    out.threshold = quantiles(scores, "score", [percentile])[0] or 0.0
+    return out
+
+
 def expectation_solver(df: DataFrame, xs: list[str], y: str, ridge: float = 1e-6) -> np.ndarray:
     """Slopes -P_xy / P_yy from the inverse P of the ridged covariance matrix."""
     n, s, g = gram(df, [*xs, y])
