@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -333,19 +334,61 @@ def flatten_struct(df: DataFrame, column: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != column], *leaves(column, df.schema[column].dataType))
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """One row for each column: type, null share, distinct values, mean text length; one aggregate."""
+def profile(df: DataFrame, exact: int = 100_000) -> DataFrame:
+    """One row for each column: type, null share, distinct values, mean text length and mean words.
+
+    Distinct values are estimated first; only columns with about ``exact`` or fewer are then
+    counted exactly, so that no aggregate moves a row for each value of a wide column.
+    """
+    plain = [n for n, k in df.dtypes if not k.startswith(("array", "map", "struct", "variant"))]
+    rough = df.agg(F.lit(0), *[F.approx_count_distinct(F.col(f"`{c}`"), 0.02) for c in plain]).first()[1:]
+    small = [c for c, n in zip(plain, rough) if n <= exact]
+    counted = dict(zip(plain, rough)) | dict(zip(small, df.agg(F.lit(0), *[F.count_distinct(F.col(f"`{c}`")) for c in small]).first()[1:]))
     aggs = []
     for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
-        simple = not kind.startswith(("array", "map", "struct", "variant"))
+        c, none = F.col(f"`{name}`"), F.lit(None).cast("double")
         aggs.append(F.struct(
-            F.lit(name).alias("column"), F.lit(kind).alias("type"), F.avg(c.isNull().cast("int")).alias("null_ratio"),
-            (F.count_distinct(c) if simple else F.lit(None).cast("long")).alias("n_distinct"), (F.avg(F.length(c)) if kind == "string" else F.lit(None).cast("double")).alias("avg_length"),
+            F.lit(name).alias("column"), F.lit(kind).alias("type"), F.avg(c.isNull().cast("int")).alias("null_ratio"), F.lit(counted.get(name)).cast("long").alias("n_distinct"),
+            (F.avg(F.length(c)) if kind == "string" else none).alias("avg_length"), (F.avg(F.regexp_count(c, F.lit(r"\S+"))) if kind == "string" else none).alias("avg_words"),
         ))
     return df.agg(F.array(*aggs).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
 
 
+#: Parts of names that tell an identifier (fixed values).
+ID_PARTS = ("id", "identifier", "uuid", "guid", "key", "num", "code")
+
+
+def type_table(df: DataFrame, few: int = 10, many: int = 100, null_ratio: float = 0.2) -> DataFrame:
+    """``column, kind, strategy, null_ratio, n_distinct``: what each column is and how to encode it.
+
+    A string column is text if its values have 0.3 words or more on average over all rows
+    (three in ten values); lengths then decide how.  All rows count, not a sample.
+    """
+    out = []
+    for r in profile(df).collect():  # a row for each column
+        kind, n = r["type"], r["n_distinct"] or 0
+        one_hot = ("categorical", "one_hot_encoding")
+        if kind.startswith(("timestamp", "date")):
+            said = "datetime", "cyclical_encoding"
+        elif kind == "boolean":
+            said = "boolean", "direct"
+        elif kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")):
+            said = one_hot if n <= few else ("numeric", "robust_scaling_with_imputation" if (r["null_ratio"] or 0) > null_ratio else "robust_scaling")
+        elif kind.startswith("struct"):
+            said = "struct", "recursive_flatten"
+        elif kind != "string":
+            said = one_hot
+        elif (r["avg_words"] or 0) >= 0.3:
+            length = r["avg_length"] or 0
+            said = ("text", "embeddings") if length > 100 else ("text", "tfidf") if length > 20 else ("text", "hash_encoding") if n > many else one_hot
+        elif n > many:
+            said = ("identifier" if any(p in r["column"].lower() for p in ID_PARTS) else "categorical"), "hash_encoding"
+        else:
+            said = ("categorical", "target_encoding") if n > few else one_hot
+        out.append((r["column"], *said, r["null_ratio"], r["n_distinct"]))
+    return df.sparkSession.createDataFrame(out, "column string, kind string, strategy string, null_ratio double, n_distinct long")
+
+
 def detect_types(df: DataFrame) -> dict[str, str]:
     """Column kinds: boolean, datetime, numeric, struct, identifier, categorical or text."""
     out, n = {}, df.count()
@@ -383,24 +426,90 @@ def hash_split(df: DataFrame, key: str, train: int = 80, validation: int = 10) -
     return df.withColumn("split", F.when(bucket < train, "train").when(bucket < train + validation, "validation").otherwise("test"))
 
 
-def engineer(df: DataFrame, kinds: dict[str, str], drop_original: bool = True) -> DataFrame:
-    """One select of all expressions for the detected kinds; categorical columns with too many values stay."""
-    new: dict[str, Column] = {}
-    numbers = [c for c, k in kinds.items() if k == "numeric"]
+#: What stands for null where it is a category of its own.
+MISSING = "MISSING"
+
+
+@dataclass
+class Extractor:
+    """Statistics of a table, and the projection they make of it or of any other with its columns.
+
+    Numbers are standardised (nulls as the mean), times become cycles, texts measures, flags
+    numbers.  Categories are one-hot columns, in which null may be one of its own; those with
+    more than ``MAX_CATEGORIES`` values are hashed.  ``target`` codes replace them where asked.
+    """
+
+    kinds: dict[str, str]
+    scales: dict[str, tuple[float, float]]
+    values: dict[str, list | None]
+    missing: bool = False
+    codes: dict[str, DataFrame] = field(default_factory=dict)
+    overall: float = 0.0
+
+    def exprs(self) -> dict[str, Column]:
+        new: dict[str, Column] = {}
+        for c, k in self.kinds.items():
+            if k == "numeric":
+                new[f"{c}_scaled"] = standard_expr(F.coalesce(dbl(F.col(c)), F.lit(self.scales[c][0])), *self.scales[c])
+            elif k == "datetime":
+                new |= cyclical_exprs(c)
+            elif c in self.codes:
+                new[f"{c}_target"] = F.coalesce(F.col(f"__{c}"), F.lit(self.overall))
+            elif k == "categorical" and self.values[c] is None:
+                new |= hash_exprs(c)
+            elif k == "categorical":
+                new |= one_hot_exprs(c, self.values[c]) | ({f"{c}_{MISSING}": dbl(F.col(c).isNull())} if self.missing else {})
+            elif k == "text":
+                new |= text_exprs(c)
+            elif k == "boolean":
+                new[f"{c}_flag"] = dbl(F.col(c))
+        return new
+
+    def transform(self, df: DataFrame, drop_original: bool = True) -> DataFrame:
+        """One projection; a target code is a join with a table of one row for each category."""
+        new, rows = self.exprs(), df
+        for c, codes in self.codes.items():
+            rows = rows.join(codes.withColumnsRenamed({c: f"__k_{c}"}), F.col(c) == F.col(f"__k_{c}"), "left")
+        rest = [F.col(c) for c in df.columns if not drop_original or not any(n.startswith(f"{c}_") for n in new)]
+        return rows.select(*rest, *[e.alias(n) for n, e in new.items()])
+
+
+def fit_extractor(df: DataFrame, kinds: dict[str, str], target: str | None = None, missing: bool = False, smoothing: float = 10.0) -> Extractor:
+    """Learn from ``df``; with a ``target`` column, categories are coded by its smoothed mean."""
+    kinds = {c: k for c, k in kinds.items() if c != target}
+    numbers, named = ([c for c, k in kinds.items() if k == kind] for kind in ("numeric", "categorical"))
     scales = fit_standard(df, numbers) if numbers else {}
-    for c, k in kinds.items():
-        if k == "numeric":
-            new[f"{c}_scaled"] = standard_expr(F.coalesce(dbl(F.col(c)), F.lit(scales[c][0])), *scales[c])
-        elif k == "datetime":
-            new |= cyclical_exprs(c)
-        elif k == "categorical" and (values := categories(df, c)) is not None:
-            new |= one_hot_exprs(c, values)
-        elif k == "text":
-            new |= text_exprs(c)
-        elif k == "boolean":
-            new[f"{c}_flag"] = dbl(F.col(c))
-    rest = [F.col(c) for c in df.columns if not drop_original or not any(n.startswith(f"{c}_") for n in new)]
-    return df.select(*rest, *[e.alias(n) for n, e in new.items()])
+    if target is None:
+        return Extractor(kinds, scales, {c: categories(df, c) for c in named}, missing)
+    y, out = dbl(F.col(target)), Extractor(kinds, scales, {}, missing)
+    out.overall = df.agg(F.avg(y)).first()[0] or 0.0
+    for c in named:
+        code = (F.coalesce(F.avg(y), F.lit(out.overall)) * F.count(y) + out.overall * smoothing) / (F.count(y) + smoothing)
+        out.codes[c] = df.where(F.col(c).isNotNull()).groupBy(c).agg(code.alias(f"__{c}"))
+    return out
+
+
+def engineer(df: DataFrame, kinds: dict[str, str], drop_original: bool = True) -> DataFrame:
+    """Fit and transform in one step."""
+    return fit_extractor(df, kinds).transform(df, drop_original)
+
+
+def prepare(df: DataFrame, key: str, kinds: dict[str, str] | None = None, target: str | None = None, force_categorical: tuple = (), drop: tuple = (), high_null: float = 0.9, time: str | None = None) -> tuple[DataFrame, Extractor]:
+    """The whole way to features: ``key``, the target, ``split`` and the features of every row, and what was learned.
+
+    Named columns are dropped, as are those with a larger share of nulls than ``high_null``;
+    forced ones are categorical whatever they hold.  The split is by quantiles of ``time``, or
+    by a hash of the key.  Statistics are of the training rows alone.
+    """
+    nulls = {r["column"]: r["null_ratio"] or 0.0 for r in profile(df).select("column", "null_ratio").collect()}
+    kept = [c for c in df.columns if c not in drop and (c in (key, target, time) or nulls[c] <= high_null)]
+    found = kinds or detect_types(df.select(kept))
+    found = {c: "categorical" if c in force_categorical else k for c, k in found.items() if c in kept and c not in (key, target)}
+    rows = df.select(kept)
+    rows = temporal_split(rows, time) if time else hash_split(rows, key)
+    learned = fit_extractor(rows.where("split = 'train'"), found, target)
+    out = learned.transform(rows)
+    return out.select(key, *([target] if target else []), "split", *[c for c in out.columns if c in learned.exprs()]), learned
 
 
 def quantile_rank(df: DataFrame, key: list[str], value: str) -> DataFrame:

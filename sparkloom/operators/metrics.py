@@ -65,12 +65,13 @@ def regression(df: DataFrame, y: str, p: str) -> DataFrame:
 def curve(df: DataFrame, y: str, score: str, buckets: int = 256) -> DataFrame:
     """``score, pos, neg, tp, fp``: one row for each distinct score, with counts at or above it.
 
-    Two levels: sums of ranges of the score, whose running total starts each range.
+    Two levels: sums of ranges of the score, whose running total starts each range.  Ranges end
+    at estimated quantiles, so skewed scores spread over them as well.
     """
     points = df.groupBy(dbl(F.col(score)).alias("score")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")).where("score IS NOT NULL")
-    ends = df.agg(F.min(dbl(F.col(score))), F.max(dbl(F.col(score)))).first()
-    lo, hi = (ends[0] or 0.0), (ends[1] or 0.0)
-    placed = points.withColumn("b", F.least(F.floor((F.col("score") - lo) / ((hi - lo) or 1.0) * buckets), F.lit(buckets - 1)).cast("int"))
+    cuts = df.agg(F.percentile_approx(dbl(F.col(score)), [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] or []
+    ends = F.array(*[F.lit(x) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    placed = points.withColumn("b", F.size(F.filter(ends, lambda e: e < F.col("score"))))
     sums = placed.groupBy("b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))  # at most ``buckets`` rows
     above = Window.partitionBy(F.lit(0)).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("b", F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"))

@@ -151,8 +151,8 @@ def hash_split(spark, sf_dir):
     return E.hash_split(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", "split")
 
 
-@query("""SELECT 'c_custkey' AS "column", 'bigint' AS type, avg((c_custkey IS NULL)::INT) AS null_ratio, count(DISTINCT c_custkey) AS n_distinct, NULL::DOUBLE AS avg_length FROM customer UNION ALL SELECT 'c_mktsegment', 'string', avg((c_mktsegment IS NULL)::INT), count(DISTINCT c_mktsegment), avg(length(c_mktsegment)) FROM customer
-UNION ALL SELECT 'c_acctbal', 'double', avg((c_acctbal IS NULL)::INT), count(DISTINCT c_acctbal), NULL FROM customer""")
+@query("""SELECT 'c_custkey' AS "column", 'bigint' AS type, avg((c_custkey IS NULL)::INT) AS null_ratio, count(DISTINCT c_custkey) AS n_distinct, NULL::DOUBLE AS avg_length, NULL::DOUBLE AS avg_words FROM customer UNION ALL SELECT 'c_mktsegment', 'string', avg((c_mktsegment IS NULL)::INT), count(DISTINCT c_mktsegment), avg(length(c_mktsegment)), 1.0 FROM customer
+UNION ALL SELECT 'c_acctbal', 'double', avg((c_acctbal IS NULL)::INT), count(DISTINCT c_acctbal), NULL, NULL FROM customer""")
 def profile_columns(spark, sf_dir):
     return E.profile(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"))
 
@@ -162,10 +162,32 @@ def type_detect(spark, sf_dir):
     return spark.createDataFrame(list(E.detect_types(table(spark, sf_dir, "customer")).items()), "name string, kind string")
 
 
-@query()
+@query("SELECT column_name AS \"column\", kind, strategy FROM (VALUES ('event_id', 'numeric', 'robust_scaling'), ('user_id', 'numeric', 'robust_scaling'), ('ts', 'datetime', 'cyclical_encoding'), ('value', 'numeric', 'robust_scaling')) AS t(column_name, kind, strategy)")
+def type_decisions(spark, sf_dir):
+    return E.type_table(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")).select("column", "kind", "strategy")
+
+
+_CUSTOMER = "SELECT *, avg(c_acctbal) OVER () AS ma, sqrt(var_pop(c_acctbal) OVER ()) AS sa FROM customer"
+_HOT = ", ".join(f"(c_mktsegment = '{v}')::DOUBLE AS c_mktsegment_{v}" for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))
+_HASHED = ", ".join(f"(('0x' || substr(md5(c_name || '{42 + j}'), 1, 7))::BIGINT % 10000) / 10000.0 AS c_name_hash_{j}" for j in range(16))
+
+
+@query(f"SELECT c_custkey, round((c_acctbal - ma) / sa, 6) + 0.0 AS c_acctbal_scaled, {_HOT}, 0.0 AS c_mktsegment_MISSING, {_HASHED} FROM ({_CUSTOMER})")
 def engineered(spark, sf_dir):
-    df = table(spark, sf_dir, "customer")
-    return E.engineer(df, E.detect_types(df))
+    """Scaled numbers, one-hot categories with one for null, and hashes of a column with too many values."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", "c_name")
+    out = E.fit_extractor(df, {"c_acctbal": "numeric", "c_mktsegment": "categorical", "c_name": "categorical"}, missing=True).transform(df)
+    return out.withColumn("c_acctbal_scaled", r(C("c_acctbal_scaled")))
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'validation' ELSE 'test' END AS split FROM (SELECT *, ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 7))::BIGINT % 100 AS b FROM orders)),
+m AS (SELECT avg(o_totalprice) AS m, avg(o_custkey) AS c, sqrt(var_pop(o_custkey)) AS d FROM s WHERE split = 'train'), p AS (SELECT o_orderpriority, avg(o_totalprice) AS v, count(*) AS n FROM s WHERE split = 'train' GROUP BY 1)
+SELECT o_orderkey, o_totalprice, split, round((o_custkey - c) / d, 6) + 0.0 AS o_custkey_scaled, round((v * n + m * 10) / (n + 10), 4) AS o_orderpriority_target FROM s JOIN p USING (o_orderpriority), m""")
+def prepared(spark, sf_dir):
+    """From a table to split features: a dropped column, one of nulls alone, a forced category coded by the target of the training rows."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", C("o_orderstatus").alias("unused"), F.lit(None).cast("double").alias("empty"))
+    out, _ = E.prepare(df, "o_orderkey", {"o_custkey": "numeric", "o_orderpriority": "text", "empty": "numeric", "unused": "categorical"}, "o_totalprice", ("o_orderpriority",), ("unused",))
+    return out.withColumn("o_custkey_scaled", r(C("o_custkey_scaled"))).withColumn("o_orderpriority_target", F.round("o_orderpriority_target", 4))
 
 
 @query("""WITH s AS (SELECT l_quantity, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice) - 1 AS k, count(*) OVER () AS n FROM lineitem), q AS (SELECT max(CASE WHEN k = n // 4 THEN l_extendedprice END) AS a, max(CASE WHEN k = 3 * n // 4 THEN l_extendedprice END) AS b FROM s)

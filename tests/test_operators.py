@@ -297,3 +297,43 @@ def test_stream_of_many_batches(spark, tmp_path):
         x = [v for _, k, v in sorted(rows) if k == key]
         want += [(key, s, i, sum(x[i : i + 5]) / 5) for s in (1, 3) for i in range(0, len(x) - 4, s)]
     assert sorted((r["key"], r["stride"], r["start"], r["mean"]) for r in got.collect()) == sorted(want)
+
+
+def test_type_table(spark):
+    rows = [(i, f"n{i}", f"u{i}", "ab"[i % 2], f"w{i} x y", f"{i} " + "long text " * 15, bool(i % 2), i % 5, float(i) if i % 3 else None, f"c{i % 40}", [i]) for i in range(150)]
+    df = spark.createDataFrame(rows, "k int, name string, user_id string, c string, t string, l string, b boolean, few int, x double, mid string, a array<int>")
+    got = {r["column"]: (r["kind"], r["strategy"]) for r in E.type_table(df).collect()}
+    assert got == {
+        "k": ("numeric", "robust_scaling"), "name": ("text", "hash_encoding"), "user_id": ("text", "hash_encoding"), "c": ("categorical", "one_hot_encoding"), "t": ("text", "hash_encoding"),
+        "l": ("text", "embeddings"), "b": ("boolean", "direct"), "few": ("categorical", "one_hot_encoding"), "x": ("numeric", "robust_scaling_with_imputation"), "mid": ("categorical", "one_hot_encoding"), "a": ("categorical", "one_hot_encoding"),
+    }
+    blank = spark.createDataFrame([(" " if i % 5 else f"v{i}",) * 2 for i in range(600)], "code string, other string")
+    assert {r["column"]: r["kind"] for r in E.type_table(blank).collect()} == {"code": "identifier", "other": "categorical"}
+    wide = E.profile(df, exact=50).where("column = 'name'").first()
+    assert abs(wide["n_distinct"] - 150) <= 10 and E.type_table(df.limit(0)).count() == 11
+
+
+def test_extractor_on_other_rows(spark):
+    kinds = {"x": "numeric", "c": "categorical", "t": "text", "b": "boolean"}
+    df = spark.createDataFrame([(1.0, "a", "p q", True), (3.0, "b", None, False), (None, None, "r", None)], "x double, c string, t string, b boolean")
+    new = spark.createDataFrame([(5.0, "z", "p", True), (None, None, None, None)], df.schema)
+    m = E.fit_extractor(df, kinds, missing=True)
+    got = m.transform(new).collect()
+    assert (got[0]["x_scaled"], got[0]["c_a"], got[0]["c_MISSING"], got[0]["t_word_count"], got[0]["b_flag"]) == (3.0, 0.0, 0.0, 1.0, 1.0)
+    assert (got[1]["x_scaled"], got[1]["c_MISSING"], got[1]["b_flag"]) == (0.0, 1.0, None)
+    coded = E.fit_extractor(df.withColumn("y", F.col("x") * 2), kinds, target="y", smoothing=1.0)
+    assert [r["c_target"] for r in coded.transform(new).collect()] == [4.0, 4.0]
+    assert {r["c_target"] for r in coded.transform(df).collect()} == {(2 + 4) / 2, (6 + 4) / 2, 4.0}
+    assert E.fit_extractor(df.limit(0), {"c": "categorical"}).transform(df.limit(0)).count() == 0
+
+
+def test_curves_of_skewed_scores(spark):
+    rng = np.random.default_rng(9)
+    s = np.concatenate([rng.lognormal(0, 6, 4000), [0.0] * 50])
+    y = (rng.uniform(size=len(s)) < 0.3).astype(int)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, s double")
+    c = X.curve(df, "y", "s", 16)
+    got = {r["score"]: (r["tp"], r["fp"]) for r in c.collect()}
+    for v in (s.max(), 0.0, s[0], s[17]):
+        assert got[v] == (y[s >= v].sum(), (1 - y)[s >= v].sum())
+    assert X.curve(df.limit(0), "y", "s").count() == 0
