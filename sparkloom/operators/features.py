@@ -205,6 +205,11 @@ def robust_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns(out)
 
 
+def binarise_expr(x: Column, threshold: float = 0.5) -> Column:
+    """1 above the threshold, else 0; null stays null."""
+    return (dbl(x) > threshold).cast("double")
+
+
 # Categories
 
 
@@ -494,16 +499,17 @@ def engineer(df: DataFrame, kinds: dict[str, str], drop_original: bool = True) -
     return fit_extractor(df, kinds).transform(df, drop_original)
 
 
-def prepare(df: DataFrame, key: str, kinds: dict[str, str] | None = None, target: str | None = None, force_categorical: tuple = (), drop: tuple = (), high_null: float = 0.9, time: str | None = None) -> tuple[DataFrame, Extractor]:
+def prepare(df: DataFrame, key: str, kinds: dict[str, str] | None = None, target: str | None = None, force_categorical: tuple = (), drop: tuple = (), force: dict[str, str] | None = None, high_null: float = 0.9, time: str | None = None) -> tuple[DataFrame, Extractor]:
     """The whole way to features: ``key``, the target, ``split`` and the features of every row, and what was learned.
 
     Named columns are dropped, as are those with a larger share of nulls than ``high_null``;
-    forced ones are categorical whatever they hold.  The split is by quantiles of ``time``, or
+    forced ones are categorical, or of the kind that ``force`` names, whatever they hold.  The split is by quantiles of ``time``, or
     by a hash of the key.  Statistics are of the training rows alone.
     """
     nulls = {r["column"]: r["null_ratio"] or 0.0 for r in profile(df).select("column", "null_ratio").collect()}
     kept = [c for c in df.columns if c not in drop and (c in (key, target, time) or nulls[c] <= high_null)]
     found = kinds or detect_types(df.select(kept))
+    found |= {c: k for c, k in (force or {}).items() if c in found}
     found = {c: "categorical" if c in force_categorical else k for c, k in found.items() if c in kept and c not in (key, target)}
     rows = df.select(kept)
     rows = temporal_split(rows, time) if time else hash_split(rows, key)

@@ -81,8 +81,21 @@ class PCA:
         return dict(zip(self.columns, np.abs(self.components).sum(axis=0).tolist()))
 
 
-def fit_pca(df: DataFrame, columns: list[str], k: int | float | None = None) -> PCA:
-    """``k`` components, or as many as explain the share ``k``; all of them if None."""
+def likely_components(variance: np.ndarray, n: int) -> int:
+    """How many components make ``n`` rows with these variances likeliest, by the log-likelihood of the rest as noise."""
+    m, best = len(variance), []
+    for kept in range(1, m + 1):
+        head, rest = variance[:kept], m - kept
+        noise = variance[kept:].mean() if rest else 0.0
+        fit = np.log(np.maximum(head, 1e-300)).sum()
+        if rest and noise > 0:
+            fit += rest * np.log(noise) + rest / (rest + 1) + head.sum() / noise + rest
+        best.append(0.0 if rest and noise <= 0 else -0.5 * n * fit)
+    return int(np.argmax(best)) + 1 if m else 0
+
+
+def fit_pca(df: DataFrame, columns: list[str], k: int | float | str | None = None) -> PCA:
+    """``k`` components, as many as explain the share ``k``, the likeliest number (``"mle"``), or all of them."""
     n, s, g = gram(df, columns)
     mean = s / max(n, 1)
     values, vectors = np.linalg.eigh((g - n * np.outer(mean, mean)) / max(n - 1, 1))
@@ -90,6 +103,8 @@ def fit_pca(df: DataFrame, columns: list[str], k: int | float | None = None) ->
     ratio = values / (values.sum() or 1.0)
     if isinstance(k, float):
         k = int(np.searchsorted(np.cumsum(ratio), k) + 1)
+    elif k == "mle":
+        k = likely_components(values, n)
     k = min(len(columns), k or len(columns))
     flip = np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(axis=1)])
     return PCA(columns, mean, (vectors * np.where(flip == 0, 1, flip)[:, None])[:k], values[:k], ratio[:k], n)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.activation import sigmoid, softmax, softplus
 from sparkloom.functions.ieee import dbl
+from sparkloom.functions.random import keyed_uniform
 from sparkloom.functions.vector import dot
 from sparkloom.operators.features import quantiles
 from sparkloom.operators.linalg import gram, linear
@@ -58,6 +59,21 @@ class RBM:
         pulled = sum((softplus(linear(self.columns, self.weights[:, j], self.hidden[j])) for j in range(len(self.hidden))), F.lit(0.0))
         return -(pulled + linear(self.columns, self.visible))
 
+    def sample_hidden(self, df: DataFrame, key: Column, seed: int = 0) -> DataFrame:
+        """Adds ``s_j``, 0 or 1 by each hidden unit's probability; the same for the same key."""
+        return df.withColumns({f"s_{j}": (e > keyed_uniform(key, seed + j)).cast("double") for j, e in enumerate(self.hidden_exprs())})
+
+    def sample_visible(self, df: DataFrame, key: Column, seed: int = 0) -> DataFrame:
+        """Adds ``v_column``, 0 or 1 by the probability that the states ``s_j`` give; the same for the same key."""
+        hs = [f"s_{j}" for j in range(len(self.hidden))]
+        return df.withColumns({f"v_{c}": (sigmoid(linear(hs, self.weights[i], self.visible[i])) > keyed_uniform(key, seed + 1000 + i)).cast("double") for i, c in enumerate(self.columns)})
+
+    def is_anomaly(self, df: DataFrame, method: str = "reconstruction", threshold: float | None = None) -> DataFrame:
+        """Adds ``anomaly``: an error above the threshold (1), or a negative free energy below it (0)."""
+        if method == "reconstruction":
+            return self.reconstruction_error(df, "__e").withColumn("anomaly", F.col("__e") > (1.0 if threshold is None else threshold)).drop("__e")
+        return df.withColumn("anomaly", -self.free_energy() < (0.0 if threshold is None else threshold))
+
     def detect(self, df: DataFrame) -> DataFrame:
         """Adds ``error`` and ``anomaly`` (an error above the threshold)."""
         return self.reconstruction_error(df).withColumn("anomaly", F.col("error") > self.threshold)
@@ -124,6 +140,12 @@ class Detector:
         out = self.machine.reconstruction_error(rows, "score") if self.method == "reconstruction" else rows.withColumn("score", -self.machine.free_energy())
         return out.drop(*self.machine.columns)
 
+    def reconstruct(self, df: DataFrame) -> DataFrame:
+        """Adds ``r_column``, what the machine makes of each column, in the column's own scale."""
+        out = self.machine.reconstruct(self.scaled(df))
+        back = {f"r_{c}": F.col(f"r_{n}") * size + shift for n, (c, (shift, size)) in zip(self.machine.columns, self.scaling.items())}
+        return out.withColumns(back).drop(*[f"r_{n}" for n in self.machine.columns], *[f"h_{j}" for j in range(len(self.machine.hidden))], *self.machine.columns)
+
     def detect(self, df: DataFrame) -> DataFrame:
         """Adds ``score``, ``anomaly`` (over the threshold) and ``probability``, the sigmoid of the standardised score."""
         return self.score(df).withColumn("anomaly", F.col("score") > self.threshold).withColumn("probability", sigmoid((F.col("score") - self.mean) / (self.std or 1.0)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import vector as V
 from sparkloom.functions.ieee import dbl
+from sparkloom.functions.random import keyed_uniform
 
 PEAKS = "array<struct<frequency:bigint,amplitude:double>>"
 
@@ -195,3 +196,122 @@ def activity(df: DataFrame, key: list[str], order: list[str], v: str, threshold:
         F.max(F.when(F.col("__z") == 1, x)).alias("last"), (F.avg(F.when(F.col("__z") <= ends, x)) - F.avg(F.when(F.col("__a") <= ends, x))).alias("trend"),
     )
     return got.withColumn("trend", F.when(F.col("n") > least, F.col("trend")).otherwise(0.0))
+
+
+# Patterns on grids
+
+
+def wave_grid(spark: SparkSession, frequency: float, seconds: float, size: int) -> DataFrame:
+    """``i, j, v``: products of two sines over a square of ``seconds``, both ends included, brought to [0, 1]."""
+    return interference_grid(spark, [frequency], [1.0], seconds, size)
+
+
+def interference_grid(spark: SparkSession, frequencies: list[float], amplitudes: list[float], seconds: float, size: int) -> DataFrame:
+    """``i, j, v``: the sum of wave grids by amplitude, clipped to [0, 1]."""
+    i, j, step = F.floor(F.col("id") / size), F.col("id") % size, seconds / max(size - 1, 1)
+    parts = [a * 0.5 * (F.sin(2 * math.pi * f * step * i) * F.sin(2 * math.pi * f * step * j) + 1) for f, a in zip(frequencies, amplitudes)]
+    v = F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum(parts, F.lit(0.0))))
+    return spark.range(size * size).select(i.alias("i"), j.alias("j"), v.alias("v"))
+
+
+def binary_grid(spark: SparkSession, size: int, density: float, seed: int = 0) -> DataFrame:
+    """``i, j, v``: ones at a share of the cells, the same in every rerun."""
+    return spark.range(size * size).select(F.floor(F.col("id") / size).alias("i"), (F.col("id") % size).alias("j"), (keyed_uniform(F.col("id"), seed) < density).cast("double").alias("v"))
+
+
+def noise(spark: SparkSession, n: int, amplitude: float = 1.0, kind: str = "uniform", seed: int = 0) -> DataFrame:
+    """``i, v``: uniform noise in [-amplitude, amplitude) or gaussian with that deviation, the same in every rerun."""
+    u, w = keyed_uniform(F.col("id"), seed), keyed_uniform(F.col("id"), seed + 1)
+    if kind not in ("uniform", "gaussian"):
+        raise ValueError(kind)
+    v = 2 * amplitude * (u - 0.5) if kind == "uniform" else amplitude * F.sqrt(-2 * F.ln(1 - u)) * F.cos(2 * math.pi * w)
+    return spark.range(n).select(F.col("id").alias("i"), v.alias("v"))
+
+
+def text_waves(text: Column, phases: int = 4, fade: float = 0.1) -> Column:
+    """For each character its code's 16 bits as a 4 x 4 grid, row by row, in ``phases`` slices.
+
+    Slice t is the grid rolled by t along its rows, times 1 - t * ``fade`` (0 at least).
+    Codes above 65,535 keep their last 16 bits.
+    """
+
+    def cell(code: Column, t: Column, at: Column) -> Column:
+        source = F.floor(at / 4) * 4 + F.pmod(at - t, F.lit(4))
+        bit = F.getbit(code, (15 - source).cast("int"))
+        return bit * F.greatest(F.lit(0.0), 1.0 - t * fade)
+
+    def waves(char: Column) -> Column:
+        return V.let(F.ascii(char), lambda code: F.transform(F.sequence(F.lit(0), F.lit(phases - 1)), lambda t: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda at: cell(code, t, at))))
+
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.transform(chars, waves)
+
+
+def _basis(phases: int, n: int, scale: float, shift: float) -> np.ndarray:
+    return scale * np.sin(2 * np.pi * np.outer(np.arange(phases) + shift, np.linspace(0, 1, n)))
+
+
+def encode_wave(xs: Column, phases: int = 8, scale: float = 1.0, shift: float = 0.5) -> Column:
+    """The values on ``phases`` sine waves along them, as one array for each wave."""
+
+    @F.pandas_udf("array<array<double>>")
+    def run(col: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else (_basis(phases, len(x), scale, shift) * np.asarray(x, dtype=float)).tolist() for x in col])
+
+    return run(xs.cast("array<double>"))
+
+
+def decode_wave(waves: Column, scale: float = 1.0, shift: float = 0.5) -> Column:
+    """The values whose waves come nearest by least squares; 0 where every wave is 0."""
+
+    @F.pandas_udf("array<double>")
+    def run(col: pd.Series) -> pd.Series:
+        out = []
+        for w in col:
+            if w is None:
+                out.append(None)
+                continue
+            w = np.array([np.asarray(r, dtype=float) for r in w])
+            basis = _basis(len(w), w.shape[1] if w.ndim > 1 else 0, scale, shift)
+            size = (basis**2).sum(axis=0)
+            out.append(np.where(size > 1e-12, (basis * w).sum(axis=0) / np.where(size > 1e-12, size, 1), 0.0).tolist())
+        return pd.Series(out)
+
+    return run(waves)
+
+
+def phase_to_pcm(phases: Column, magnitudes: Column | None = None) -> Column:
+    """Samples of 16 bits from phases and magnitudes (1 if not given), by the inverse transform."""
+    from sparkloom.operators.signal import fft, float_to_pcm
+
+    sizes = magnitudes if magnitudes is not None else F.transform(phases, lambda _: F.lit(1.0))
+    z = F.zip_with(phases, sizes, lambda p, m: F.struct((dbl(m) * F.cos(dbl(p))).alias("re"), (dbl(m) * F.sin(dbl(p))).alias("im")))
+    return F.transform(fft(z, inverse=True), lambda v: float_to_pcm(v["re"]))
+
+
+def match_pattern(template: Column, target: Column, shifts: int = 8) -> Column:
+    """The roll of the template that is most like the target, by the product of both at length 1: ``similarity`` and ``shift``."""
+
+    def at(a: Column, b: Column) -> Column:
+        tried = F.transform(F.sequence(F.lit(0), F.lit(shifts - 1)), lambda s: F.struct(V.dot(V.roll(a, s), b).alias("similarity"), (-s).alias("s")))
+        return V.let(F.array_max(tried), lambda best: F.struct(best["similarity"].alias("similarity"), (-best["s"]).alias("shift")))
+
+    return V.let(V.normalize(template), lambda a: V.let(V.normalize(target), lambda b: at(a, b)))
+
+
+def energy_history_stability(xs: Column) -> Column:
+    """1 / (1 + deviation) of an array of energies; 1 for an empty one."""
+    return F.when(F.size(xs) == 0, F.lit(1.0)).otherwise(1 / (1 + F.sqrt(V.variance(xs))))
+
+
+#: The planes of four dimensions: xy, xz, xw, yz, yw, zw.
+PLANES = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
+
+
+def rotate(xs: Column, angle: float, plane: int = 0) -> Column:
+    """An array of four values turned by ``angle`` in one of ``PLANES``."""
+    a, b = PLANES[plane]
+    c, s = math.cos(angle), math.sin(angle)
+    parts = [dbl(xs[i]) for i in range(4)]
+    parts[a], parts[b] = c * dbl(xs[a]) - s * dbl(xs[b]), s * dbl(xs[a]) + c * dbl(xs[b])
+    return F.array(*parts)

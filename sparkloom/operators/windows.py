@@ -74,3 +74,20 @@ def incident_labels(df: DataFrame, key: list[str], order: list[str], severity: s
     alone = F.size(F.collect_set(place).over(frame)) == 1
     bad = (count("critical") >= 2) | ((count("critical") >= 1) & repeat) | (alone & (count("high") >= 3) & repeat)
     return df.withColumn("__whole", whole).withColumn("label", bad.cast("int")).where("__whole").drop("__whole")
+
+
+#: Weights of severities (fixed values).
+SEVERITIES = {"Low": 0.25, "Medium": 0.5, "High": 0.75, "Critical": 1.0}
+
+
+def log_features(df: DataFrame, severity: str, places: list, messages: list, place: str = "location", message: str = "message") -> DataFrame:
+    """Adds 0/1 columns for the listed places and messages and ``severity_weight``; unknown severities are null."""
+    weight = F.lit(None).cast("double")
+    for name, w in SEVERITIES.items():
+        weight = F.when(F.col(severity) == name, w).otherwise(weight)
+    hot = {f"{c}_{i}": F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)) for c, values in ((place, places), (message, messages)) for i, v in enumerate(values)}
+    return df.withColumns({**hot, "severity_weight": weight})
+
+
+def over_threshold(score: Column, threshold: float = 0.8) -> Column:
+    return score > threshold

@@ -9,7 +9,7 @@ from sparkloom.operators import metrics as X
 from sparkloom.operators import models as N
 from sparkloom.operators import waves as H
 from sparkloom.plans.base import named, query, r, table
-from sparkloom.plans.signals import _IM, _RE, _pairs
+from sparkloom.plans.signals import _IM, _PAIR, _RE, _pairs
 from sparkloom.plans.tables import _S, _scored
 
 C = F.col
@@ -88,11 +88,11 @@ def quantised_blocks(spark, sf_dir):
     return H.quantisation_error(rows, ["user_id"], "v").select("user_id", "block", F.round("scale", 8).alias("scale"), F.round("mse", 8).alias("mse"))
 
 
-@query(f"""WITH s AS (SELECT *, count(*) OVER (PARTITION BY user_id) - i AS z FROM {_SERIES}) SELECT user_id, count(*) AS n, round(avg((value > 60)::INT), 6) AS active, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high, round(stddev_pop(value), 5) AS std, max(CASE WHEN z = 1 THEN value END) AS last,
+@query(f"""WITH s AS (SELECT *, count(*) OVER (PARTITION BY user_id) - i AS z FROM {_SERIES}) SELECT user_id, count(*) AS n, round(avg((value > 60)::INT), 6) AS active, round(avg(value), 5) AS mean, min(value) AS low, max(value) AS high, round(stddev_pop(value), 5) AS std, max(CASE WHEN z = 1 THEN value END) AS last,
 CASE WHEN count(*) > 10 THEN round(avg(CASE WHEN z <= 5 THEN value END) - avg(CASE WHEN i < 5 THEN value END), 6) + 0.0 ELSE 0.0 END AS trend FROM s GROUP BY user_id""")
 def activity_measures(spark, sf_dir):
     a = H.activity(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], "value", 60.0)
-    return a.select("user_id", "n", *named(active=F.round("active", 6), mean=F.round("mean", 6)), "low", "high", F.round("std", 5).alias("std"), "last", r(C("trend")).alias("trend"))
+    return a.select("user_id", "n", *named(active=F.round("active", 6), mean=F.round("mean", 5)), "low", "high", F.round("std", 5).alias("std"), "last", r(C("trend")).alias("trend"))
 
 
 @query("SELECT k AS i, round(0.5 * sin(2 * pi() * 3 * k * (2.0 / 199)) - 0.25 * sin(2 * pi() * 7 * k * (2.0 / 199)) + 0.25 * sin(2 * pi() * 11 * k * (2.0 / 199) + 0.5), 6) + 0.0 AS v FROM range(200) AS t(k)")
@@ -112,6 +112,28 @@ def harmonic_peaks(spark, sf_dir):
     return df.select("vec_id", F.size("p").alias("n_peaks"), F.array_sort(F.transform("p", lambda p: p["frequency"])).alias("frequencies"), F.round(H.harmonic_ratio(C("m"), C("p")), 6).alias("ratio"))
 
 
+@query("SELECT k // 12 AS i, k % 12 AS j, round(least(1, greatest(0, 0.6 * 0.5 * (sin(2 * pi() * 1 * (k // 12) * (2.0 / 11)) * sin(2 * pi() * 1 * (k % 12) * (2.0 / 11)) + 1) + 0.8 * 0.5 * (sin(2 * pi() * 3 * (k // 12) * (2.0 / 11)) * sin(2 * pi() * 3 * (k % 12) * (2.0 / 11)) + 1))), 6) AS v FROM range(144) AS t(k)")
+def interference_grid(spark, sf_dir):
+    return H.interference_grid(spark, [1, 3], [0.6, 0.8], 2.0, 12).withColumn("v", F.round("v", 6))
+
+
+@query("""WITH c AS (SELECT r_name, unicode(substr(r_name, p::INT, 1)) AS code, p::INT - 1 AS place FROM region, unnest(range(1, length(r_name) + 1)) AS u(p))
+SELECT r_name, place, t::INT AS slice, list_transform(range(16), lambda a: round(((code >> (15 - ((a // 4) * 4 + ((a % 4) - t + 4) % 4))) & 1) * (1 - t * 0.1), 6)) AS cells FROM c, range(3) AS s(t)""")
+def text_waves(spark, sf_dir):
+    w = table(spark, sf_dir, "region").select("r_name", F.posexplode(H.text_waves(C("r_name"), 3)).alias("place", "w"))
+    return w.select("r_name", "place", F.posexplode("w").alias("slice", "cells")).withColumn("cells", F.transform("cells", lambda x: F.round(x, 6)))
+
+
+_NORMED = "list_transform({0}, lambda v: v::DOUBLE / sqrt(list_sum(list_transform({0}, lambda u: u::DOUBLE * u))))"
+
+
+@query(f"""WITH p AS (SELECT vec_id, {_NORMED.format("x")} AS a, {_NORMED.format("y")} AS b FROM {_PAIR}), s AS (SELECT vec_id, list_transform(range(4), lambda s: list_sum(list_transform(range(64), lambda i: a[(i - s + 64) % 64 + 1] * b[i + 1]))) AS s FROM p)
+SELECT vec_id, round(list_max(s), 6) AS similarity, (list_position(s, list_max(s)) - 1)::INT AS shift FROM s""")
+def pattern_match(spark, sf_dir):
+    m = _pairs(spark, sf_dir).select("vec_id", H.match_pattern(C("x"), C("y"), 4).alias("m"))
+    return m.select("vec_id", F.round("m.similarity", 6).alias("similarity"), "m.shift")
+
+
 @query()
 def sliding_interference(spark, sf_dir):
     return _pairs(spark, sf_dir).select("vec_id", H.sliding_interference(C("x"), C("y"), 16).alias("strength"), H.banded_coherence(C("x"), C("y"), 0.1, 0.3).alias("coherence"))

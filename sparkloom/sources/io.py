@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def load_csv(spark: SparkSession, path: str, schema: str | None = None, datetimes: list[str] | None = None, header: bool = True) -> DataFrame:
-    """A CSV file or folder, also gzipped.  Types are given, or inferred in a second scan; ``datetimes`` become timestamps."""
-    reader = spark.read.option("header", header)
+def load_csv(spark: SparkSession, path: str, schema: str | None = None, datetimes: list[str] | None = None, header: bool = True, header_file: str | None = None) -> DataFrame:
+    """A CSV file or folder, also gzipped.  Types are given, or inferred in a second scan; ``datetimes`` become timestamps.
+
+    ``header_file`` has the columns' names, separated by commas or lines, for files without.
+    """
+    reader = spark.read.option("header", header and not header_file)
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+    if header_file:
+        lines = [r[0] for r in spark.read.text(header_file).limit(10_000).collect()]  # names of columns, not data
+        df = df.toDF(*[n.strip() for x in lines for n in x.split(",") if n.strip()])
     return df.withColumns({c: F.try_to_timestamp(F.col(c).cast("string")) for c in datetimes or []})
 
 

@@ -7,10 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import blend as B
+from sparkloom.operators import linalg as LA
 from sparkloom.operators import metrics as X
 from sparkloom.operators import models as N
 from sparkloom.operators import signal as S
 from sparkloom.operators import waves as H
+from sparkloom.operators import windows as W
+from sparkloom.sources import io
 
 
 def pca(x, k):
@@ -164,3 +167,68 @@ def test_full_confusion(spark):
     df = spark.createDataFrame([(0, 1), (0, 1), (2, 2)], "y int, p int")
     got = {(r["y"], r["p"]): r["n"] for r in X.confusion_matrix(df, "y", "p", 3).collect()}
     assert len(got) == 9 and got[0, 1] == 2 and got[2, 2] == 1 and sum(got.values()) == 3
+
+
+def test_patterns_and_noise(spark):
+    x = np.random.default_rng(3).normal(size=16)
+    df = spark.createDataFrame([(x.tolist(),)], "x array<double>")
+    back = df.select(H.decode_wave(H.encode_wave(F.col("x"), 5))).first()[0]
+    basis = H._basis(5, 16, 1.0, 0.5)
+    alive = (basis**2).sum(axis=0) > 1e-12
+    assert np.array(back)[alive] == pytest.approx(x[alive]) and not np.array(back)[~alive].any()
+    turned = df.select(H.match_pattern(F.col("x"), F.array(*[F.col("x")[(i - 3) % 16] for i in range(16)])).alias("m")).first()["m"]
+    assert turned["shift"] == 3 and turned["similarity"] == pytest.approx(1)
+    z = np.fft.fft(x / 4)
+    pcm = spark.createDataFrame([(np.angle(z).tolist(), np.abs(z).tolist())], "p array<double>, m array<double>").select(H.phase_to_pcm(F.col("p"), F.col("m"))).first()[0]
+    assert pcm == np.clip(np.round(x / 4 * 32768), -32768, 32767).astype(int).tolist()
+    assert spark.range(1).select(H.energy_history_stability(F.array(F.lit(1.0), F.lit(3.0))), H.energy_history_stability(F.array().cast("array<double>"))).first() == (0.5, 1.0)
+    spun = spark.range(1).select(H.rotate(F.array(*[F.lit(float(i)) for i in (1, 2, 3, 4)]), math.pi / 2, 4)).first()[0]
+    assert spun == pytest.approx([1, -4, 3, 2])
+    ones = H.binary_grid(spark, 60, 0.3, 4)
+    assert ones.count() == 3600 and abs(ones.agg(F.avg("v")).first()[0] - 0.3) < 0.03 and sorted(ones.collect()) == sorted(H.binary_grid(spark, 60, 0.3, 4).repartition(3).collect())
+    g = H.noise(spark, 4000, 2.0, "gaussian", 1).agg(F.avg("v"), F.stddev_pop("v")).first()
+    u = H.noise(spark, 4000, 2.0, "uniform", 1).agg(F.min("v"), F.max("v"), F.avg("v")).first()
+    assert abs(g[0]) < 0.1 and abs(g[1] - 2) < 0.1 and -2 <= u[0] < -1.9 and 1.9 < u[1] < 2 and abs(u[2]) < 0.1
+    with pytest.raises(ValueError):
+        H.noise(spark, 3, kind="pink")
+    one = [r["v"] for r in H.wave_grid(spark, 1.0, 1.0, 5).orderBy("i", "j").collect()]
+    assert one[:5] == pytest.approx([0.5] * 5) and one[6] == pytest.approx(1)
+
+
+def test_rbm_states_and_rules(spark):
+    m = N.RBM(["a", "b"], np.array([[2.0], [-1.0]]), np.zeros(2), np.zeros(1))
+    df = spark.range(2000).select("id", F.lit(1.0).alias("a"), F.lit(0.5).alias("b"))
+    s = m.sample_visible(m.sample_hidden(df, F.col("id"), 3), F.col("id"), 3)
+    p = 1 / (1 + math.exp(-1.5))
+    assert abs(s.agg(F.avg("s_0")).first()[0] - p) < 0.04
+    want = p / (1 + math.exp(-2)) + (1 - p) / 2
+    assert abs(s.agg(F.avg("v_a")).first()[0] - want) < 0.04
+    assert sorted(s.select("id", "s_0", "v_b").collect()) == sorted(m.sample_visible(m.sample_hidden(df.repartition(5), F.col("id"), 3), F.col("id"), 3).select("id", "s_0", "v_b").collect())
+    one = df.limit(1)
+    assert not m.is_anomaly(one).first()["anomaly"] and m.is_anomaly(one, threshold=0.01).first()["anomaly"]
+    assert not m.is_anomaly(one, "free_energy").first()["anomaly"] and m.is_anomaly(one, "free_energy", 9.0).first()["anomaly"]
+    d = N.Detector(N.RBM(["__x0"], np.array([[0.5]]), np.zeros(1), np.zeros(1)), {"a": (3.0, 2.0)}, "reconstruction", 0, 0, 1)
+    x = (1.0 - 3) / 2
+    assert d.reconstruct(one).columns == ["id", "a", "b", "r_a"]
+    assert d.reconstruct(one).first()["r_a"] == pytest.approx(2 / (1 + math.exp(-0.5 / (1 + math.exp(-0.5 * x)))) + 3)
+
+
+def test_log_features(spark):
+    df = spark.createDataFrame([("A", "up", "High"), ("B", None, "odd"), (None, "down", "Critical")], "location string, message string, severity string")
+    got = W.log_features(df, "severity", ["A", "B"], ["up", "down"]).collect()
+    assert [tuple(r)[3:] for r in got] == [(1.0, 0.0, 1.0, 0.0, 0.75), (0.0, 1.0, 0.0, 0.0, None), (0.0, 0.0, 0.0, 1.0, 1.0)]
+
+
+def test_likely_number_of_components(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 5)) * [9, 5, 0.1, 0.1, 0.1]
+    df = spark.createDataFrame(x.tolist(), ", ".join(f"c{i} double" for i in range(5)))
+    m = LA.fit_pca(df, [f"c{i}" for i in range(5)], "mle")
+    assert len(m.components) == LA.likely_components(np.linalg.eigvalsh(np.cov(x.T))[::-1], 300)
+    assert LA.likely_components(np.array([4.0]), 9) == 1
+
+
+def test_csv_with_a_header_file(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("1,a\n2,b\n")
+    (tmp_path / "names.txt").write_text("n, s\n")
+    assert io.load_csv(spark, str(tmp_path / "x.csv"), header_file=str(tmp_path / "names.txt")).dtypes == [("n", "int"), ("s", "string")]
