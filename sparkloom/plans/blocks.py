@@ -88,11 +88,11 @@ def quantised_blocks(spark, sf_dir):
     return H.quantisation_error(rows, ["user_id"], "v").select("user_id", "block", F.round("scale", 8).alias("scale"), F.round("mse", 8).alias("mse"))
 
 
-@query(f"""WITH s AS (SELECT *, count(*) OVER (PARTITION BY user_id) - i AS z FROM {_SERIES}) SELECT user_id, count(*) AS n, round(avg((value > 60)::INT), 6) AS active, round(avg(value), 5) AS mean, min(value) AS low, max(value) AS high, round(stddev_pop(value), 5) AS std, max(CASE WHEN z = 1 THEN value END) AS last,
+@query(f"""WITH s AS (SELECT *, count(*) OVER (PARTITION BY user_id) - i AS z FROM {_SERIES}) SELECT user_id, count(*) AS n, round(avg((value > 60)::INT), 6) AS active, round(avg(value), 9) AS mean, min(value) AS low, max(value) AS high, round(stddev_pop(value), 5) AS std, max(CASE WHEN z = 1 THEN value END) AS last,
 CASE WHEN count(*) > 10 THEN round(avg(CASE WHEN z <= 5 THEN value END) - avg(CASE WHEN i < 5 THEN value END), 6) + 0.0 ELSE 0.0 END AS trend FROM s GROUP BY user_id""")
 def activity_measures(spark, sf_dir):
     a = H.activity(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], "value", 60.0)
-    return a.select("user_id", "n", *named(active=F.round("active", 6), mean=F.round("mean", 5)), "low", "high", F.round("std", 5).alias("std"), "last", r(C("trend")).alias("trend"))
+    return a.select("user_id", "n", *named(active=F.round("active", 6), mean=F.round("mean", 9)), "low", "high", F.round("std", 5).alias("std"), "last", r(C("trend")).alias("trend"))
 
 
 @query("SELECT k AS i, round(0.5 * sin(2 * pi() * 3 * k * (2.0 / 199)) - 0.25 * sin(2 * pi() * 7 * k * (2.0 / 199)) + 0.25 * sin(2 * pi() * 11 * k * (2.0 / 199) + 0.5), 6) + 0.0 AS v FROM range(200) AS t(k)")

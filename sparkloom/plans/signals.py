@@ -123,9 +123,18 @@ def pcm_conversions(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *named(f=F.round(S.pcm_to_float(q), 8), pcm=S.float_to_pcm((q - 25) / 20), db=F.round(S.amplitude_to_db(C("l_discount")), 6), power_db=F.round(S.power_to_db(C("l_tax")), 6), amplitude=F.round(S.db_to_amplitude(C("l_linenumber")), 6)))
 
 
-@query()
+_FRAME = "list_sum(list_transform(range(16), lambda j: embedding[f * 8 + j + 1]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * j / 16.0)) * {}(2 * pi() * ((k * j) % 16) / 16.0)))"
+
+
+@query(f"SELECT vec_id, list_transform(range(7), lambda f: list_transform(range(9), lambda k: round(sqrt(pow({_FRAME.format('cos')}, 2) + pow({_FRAME.format('sin')}, 2)), 5))) AS frames FROM embeddings")
 def spectrogram(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", S.stft(C("embedding"), 16, 8).alias("frames"), S.mfcc(C("embedding"), 8000, 5, 8).alias("mfcc"))
+    frames = S.stft(C("embedding"), 16, 8)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(frames, lambda f: F.transform(f, lambda x: F.round(x, 5))).alias("frames"))
+
+
+@query()
+def cepstra(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", S.mfcc(C("embedding"), 8000, 5, 8).alias("mfcc"))
 
 
 _AT = "(SELECT vec_id, list_transform(range(64), lambda k: atan2(round({im}, 9) + 0.0, {re})) AS p FROM embeddings)".format(re=_RE, im=_IM)

@@ -377,10 +377,14 @@ def pca_scores(spark, sf_dir):
     return LA.fit_pca(li, [*_X3, "l_extendedprice"], 2).transform(li).select("l_orderkey", "pca_0", "pca_1")
 
 
-@query()
+_G = ", ".join(f"sum({a} * {b}) AS g{i}{j}" for i, a in enumerate(_X3) for j, b in enumerate(_X3) if i <= j)
+
+
+@query(f"""WITH g AS (SELECT {_G} FROM lineitem), a AS (SELECT *, sqrt(g00) AS r00, g01 / sqrt(g00) AS r01, g02 / sqrt(g00) AS r02 FROM g), b AS (SELECT *, sqrt(g11 - r01 * r01) AS r11 FROM a), c AS (SELECT *, (g12 - r01 * r02) / r11 AS r12 FROM b), d AS (SELECT *, sqrt(g22 - r02 * r02 - r12 * r12) AS r22 FROM c)
+SELECT i, j, round(v, 5) + 0.0 AS v FROM d, LATERAL (VALUES (0, 0, r00), (0, 1, r01), (0, 2, r02), (1, 0, 0.0), (1, 1, r11), (1, 2, r12), (2, 0, 0.0), (2, 1, 0.0), (2, 2, r22)) AS t(i, j, v)""")
 def qr_factor(spark, sf_dir):
     rr = LA.qr(table(spark, sf_dir, "lineitem"), _X3)
-    return spark.createDataFrame([(i, j, float(rr[i, j])) for i in range(3) for j in range(3)], "i int, j int, v double")
+    return spark.createDataFrame([(i, j, round(float(rr[i, j]), 5) + 0.0) for i in range(3) for j in range(3)], "i int, j int, v double")
 
 
 _W = np.array([[0.5, -0.3], [0.2, 0.8]])
@@ -420,7 +424,8 @@ def recurrent_cells(spark, sf_dir):
     return N.run_cell(ev, N.Cell("gru", 1, 3), "user_id", "event_id", ["x"]).select("user_id", "event_id", "h")
 
 
-@query()
+@query("""WITH c AS (SELECT var_samp(l_quantity) + 1e-6 AS a, covar_samp(l_quantity, l_discount) AS b, var_samp(l_discount) + 1e-6 AS d, covar_samp(l_quantity, l_extendedprice) AS p, covar_samp(l_discount, l_extendedprice) AS q FROM lineitem)
+SELECT 0 AS i, round((d * p - b * q) / (a * d - b * b), 3) AS beta FROM c UNION ALL SELECT 1, round((a * q - b * p) / (a * d - b * b), 2) FROM c""")
 def expectation_regression(spark, sf_dir):
     beta = N.expectation_solver(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")
-    return spark.createDataFrame([(i, float(b)) for i, b in enumerate(beta)], "i int, beta double")
+    return spark.createDataFrame([(i, round(float(b), 3 - i)) for i, b in enumerate(beta)], "i int, beta double")

@@ -337,3 +337,50 @@ def test_curves_of_skewed_scores(spark):
     for v in (s.max(), 0.0, s[0], s[17]):
         assert got[v] == (y[s >= v].sum(), (1 - y)[s >= v].sum())
     assert X.curve(df.limit(0), "y", "s").count() == 0
+
+
+def test_cepstra_by_hand(spark):
+    """Power through triangles at equal mel steps, logarithms, and their cosine sums, written out."""
+    x, rate, n_mels, n = np.random.default_rng(4).normal(size=64), 8000.0, 8, 5
+    power = [abs(sum(x[j] * np.exp(-2j * math.pi * k * j / 64) for j in range(64))) ** 2 for k in range(33)]
+    mel = [i * 2595 * math.log10(1 + rate / 1400) / (n_mels + 1) for i in range(n_mels + 2)]
+    at, logs = [700 * (10 ** (m / 2595) - 1) for m in mel], []
+    for a, b, c in zip(at, at[1:], at[2:]):
+        total = 0.0
+        for k, p in enumerate(power):
+            f = k * rate / 64
+            total += p * ((f - a) / (b - a) if a < f <= b else (c - f) / (c - b) if b < f < c else 0.0)
+        logs.append(math.log(max(total, 1e-10)))
+    want = [sum(v * math.cos(math.pi * k * (i + 0.5) / n_mels) for i, v in enumerate(logs)) for k in range(n)]
+    got = spark.createDataFrame([(x.tolist(),)], "x array<double>").select(S.mfcc(F.col("x"), rate, n, n_mels)).first()[0]
+    assert got == pytest.approx(want)
+
+
+def test_random_draws_have_their_moments(spark):
+    from sparkloom.functions import random as R
+
+    df = spark.range(6000)
+    cols = {"u": R.uniform(-1, 3, 1), "n": R.normal(2, 3, 2), "b": R.bernoulli(0.3, 3), "e": R.exponential(2.0, 4), "g": R.gamma(F.col("id"), 2.0, 1.5), "p": R.poisson(F.col("id"), 4.0), "w": R.glorot_uniform(10, 14, 1.0, 5), "k": R.categorical([0.0, math.log(3)], 6)}
+    got = df.select(*[c.alias(n) for n, c in cols.items()]).agg(*[F.avg(n) for n in cols], *[F.stddev_pop(n) for n in cols]).first()
+    means, devs = dict(zip(cols, got)), dict(zip(cols, got[len(cols) :]))
+    want = {"u": (1, 4 / 12**0.5), "n": (2, 3), "b": (0.3, 0.21**0.5), "e": (2, 2), "g": (3, 2**0.5 * 1.5), "p": (4, 2), "w": (0, 0.5 / 3**0.5), "k": (0.75, 0.1875**0.5)}
+    for name, (m, d) in want.items():
+        assert abs(means[name] - m) < 0.06 * d + 1e-9 and abs(devs[name] - d) < 0.06 * d, name
+
+
+def test_logistic_training_by_hand(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(80, 2))
+    y = (x[:, 0] - x[:, 1] > 0.2).astype(float)
+    df = spark.createDataFrame([(*map(float, a), int(b)) for a, b in zip(x, y)], "p double, q double, y int")
+    full, w, m, v = np.column_stack([x, np.ones(80)]), np.zeros(3), np.zeros(3), np.zeros(3)
+    for t in range(1, 5):
+        g = full.T @ (1 / (1 + np.exp(-full @ w)) - y) / 80
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert L.train_logistic(df, ["p", "q"], "y", L.Optimizer("adam", 0.3), 4) == pytest.approx(w)
+    w, v = np.zeros(3), np.zeros(3)
+    for _ in range(3):
+        v = 0.5 * v - 0.3 * full.T @ (1 / (1 + np.exp(-full @ w)) - y) / 80
+        w = w + v
+    assert L.train_logistic(df, ["p", "q"], "y", L.Optimizer("sgd", 0.3, 0.5), 3) == pytest.approx(w)
