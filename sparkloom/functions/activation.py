@@ -14,9 +14,8 @@ def relu(x: Column) -> Column:
 
 
 def sigmoid(x: Column) -> Column:
-    """Exponentials of non-positive numbers only, so neither end overflows."""
-    x, e = dbl(x), F.exp(-F.abs(dbl(x)))
-    return F.when(x >= 0, 1 / (1 + e)).otherwise(e / (1 + e))
+    """Large negative values overflow the exponential to infinity, whose inverse is the right 0."""
+    return 1 / (1 + F.exp(-dbl(x)))
 
 
 def tanh(x: Column) -> Column:
