@@ -2,6 +2,7 @@
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -173,7 +174,8 @@ def stream_stride_state(spark, sf_dir):
 
 
 def _checkpoint(spark) -> str:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex[:12]}"
+    """A new folder that all executors share; a temporary one for local sessions that have none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='sparkloom-')).rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
