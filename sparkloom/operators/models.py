@@ -227,8 +227,8 @@ class Cell:
     """A recurrent cell with seeded weights for d inputs and h units.
 
     Kinds: ``rnn``, ``gru`` (gates z, r, candidate), ``lstm`` and ``cfc`` (i, f, o, c), ``ctrnn``,
-    ``ctgru`` (u, r, candidate), ``ltc`` (``unfolds`` Euler steps of the full elapsed time) and
-    ``stride`` (the elapsed time divides).
+    ``ctgru`` (u, r, candidate), ``ltc`` (``unfolds`` steps of the full elapsed time, by the
+    ``solver`` euler, heun or rk4) and ``stride`` (the elapsed time divides).
     """
 
     kind: str
@@ -240,6 +240,7 @@ class Cell:
     stride: float = 1.0
     clip: float | None = None
     eps: float = 1e-8
+    solver: str = "euler"
 
     def __post_init__(self):
         rng, gates = np.random.default_rng(self.seed), GATES[self.kind]
@@ -283,10 +284,21 @@ class Cell:
         """Leak, synaptic and sensory currents with reversal potentials."""
         leak, cm = np.abs(self.leak) + self.eps, np.abs(self.cm) + self.eps
         felt = np.tanh(x) @ self.sensory.T
-        for _ in range(self.unfolds):
+
+        def slope(v: np.ndarray) -> np.ndarray:
             met = np.tanh(v) @ self.u[0]
-            current = leak * (self.rest - v) + (met[None, :] * (self.erev - v[:, None])).sum(axis=1) + (felt[:, None] * (self.sensory_erev - v[None, :])).sum(axis=0)
-            v = v + dt * current / cm
+            synaptic = (met[None, :] * (self.erev - v[:, None])).sum(axis=1)
+            return (leak * (self.rest - v) + synaptic + (felt[:, None] * (self.sensory_erev - v[None, :])).sum(axis=0)) / cm
+
+        for _ in range(self.unfolds):
+            k = slope(v)
+            if self.solver == "heun":
+                k = (k + slope(v + dt * k)) / 2
+            elif self.solver == "rk4":
+                mid = slope(v + dt * k / 2)
+                again = slope(v + dt * mid / 2)
+                k = (k + 2 * mid + 2 * again + slope(v + dt * again)) / 6
+            v = v + dt * k
         return v
 
 

@@ -280,6 +280,66 @@ def decode_wave(waves: Column, scale: float = 1.0, shift: float = 0.5) -> Column
     return run(waves)
 
 
+def delta_sigma(xs: Column) -> Column:
+    """A signal in [-1, 1] as bits: each is 1 if the value with the weighted errors before it (1.5 and -0.5) is positive."""
+
+    @F.pandas_udf("array<int>")
+    def run(col: pd.Series) -> pd.Series:
+        out = []
+        for x in col:
+            one, two, bits = 0.0, 0.0, []
+            for v in x if x is not None else []:
+                v = v + 1.5 * one - 0.5 * two
+                bits.append(int(v > 0))
+                one, two = v - bits[-1], one + 0.5 * (v - bits[-1])
+            out.append(None if x is None else bits)
+        return pd.Series(out)
+
+    return run(xs.cast("array<double>"))
+
+
+def band_bits(bits: Column, low: float, high: float, rate: float, slack: float = 0.1) -> Column:
+    """Bits of one band: the Hann-windowed signal of -1 and 1 under a response of fourth order
+    around the band's middle, made bits again; a bit turns only ``slack`` beyond zero.
+    """
+
+    @F.pandas_udf("array<int>")
+    def run(col: pd.Series) -> pd.Series:
+        out = []
+        for b in col:
+            if b is None or len(b) < 2:
+                out.append(None if b is None else [0] * len(b))
+                continue
+            x = (np.asarray(b, dtype=float) * 2 - 1) * np.hanning(len(b))
+            response = 1 / (1 + ((np.fft.rfftfreq(len(x), 1 / rate) - (low + high) / 2) / ((high - low) / 2)) ** 4)
+            y = np.fft.irfft(np.fft.rfft(x) * response, len(x))
+            turns = np.where(y > slack, 1, np.where(y < -slack, 0, -1))  # -1: as before
+            last = np.maximum.accumulate(np.where(turns >= 0, np.arange(len(y)), -1))
+            out.append(np.where(last >= 0, turns[last], 0).tolist())
+        return pd.Series(out)
+
+    return run(bits)
+
+
+def mean_phase(bits: Column) -> Column:
+    """The mean phase of the analytic signal of bits as -1 and 1, from 0 to 2 pi."""
+
+    @F.pandas_udf("double")
+    def run(col: pd.Series) -> pd.Series:
+        out = []
+        for b in col:
+            if b is None or not len(b):
+                out.append(None)
+                continue
+            n = len(b)
+            twice = np.where(np.arange(n) == 0, 1.0, np.where(np.arange(n) < (n + 1) // 2, 2.0, np.where((np.arange(n) == n // 2) & (n % 2 == 0), 1.0, 0.0)))
+            z = np.fft.ifft(np.fft.fft(np.asarray(b, dtype=float) * 2 - 1) * twice)
+            out.append(float(np.angle(z).mean() % (2 * np.pi)))
+        return pd.Series(out)
+
+    return run(bits)
+
+
 def phase_to_pcm(phases: Column, magnitudes: Column | None = None) -> Column:
     """Samples of 16 bits from phases and magnitudes (1 if not given), by the inverse transform."""
     from sparkloom.operators.signal import fft, float_to_pcm

@@ -232,3 +232,28 @@ def test_csv_with_a_header_file(spark, tmp_path):
     (tmp_path / "x.csv").write_text("1,a\n2,b\n")
     (tmp_path / "names.txt").write_text("n, s\n")
     assert io.load_csv(spark, str(tmp_path / "x.csv"), header_file=str(tmp_path / "names.txt")).dtypes == [("n", "int"), ("s", "string")]
+
+
+def test_binary_wave_codes(spark):
+    x = (0.8 * np.sin(np.arange(96) / 5)).tolist()
+    df = spark.createDataFrame([(x,), ([],), (None,)], "x array<double>").withColumn("b", H.delta_sigma(F.col("x")))
+    got, empty, none = (r["b"] for r in df.collect())
+    errors, want = [0.0, 0.0], []
+    for v in x:
+        y = v + errors[0] * 1.5 - errors[1] * 0.5
+        want.append(1 if y > 0 else 0)
+        q = y - 1 if y > 0 else y
+        errors = [q, errors[0] + q * 0.5]
+    assert got == want and empty == [] and none is None
+    out = df.select(H.band_bits(F.col("b"), 2, 6, 96.0).alias("band"), H.mean_phase(F.col("b")).alias("p")).collect()
+    w = (np.array(want) * 2.0 - 1) * np.hanning(96)
+    y = np.fft.irfft(np.fft.rfft(w) / (1 + ((np.fft.rfftfreq(96, 1 / 96) - 4) / 2) ** 4), 96)
+    state, bits = 0, []
+    for v in y:
+        state = 1 if state == 0 and v > 0.1 else 0 if state == 1 and v < -0.1 else state
+        bits.append(state)
+    assert out[0]["band"] == bits and out[1]["band"] == [] and out[1]["p"] is None
+    f = np.fft.fft(np.array(want) * 2.0 - 1)
+    f[1:48] *= 2
+    f[49:] = 0
+    assert out[0]["p"] == pytest.approx(np.angle(np.fft.ifft(f)).mean() % (2 * math.pi))

@@ -177,6 +177,15 @@ def test_cell_recurrences():
         v += 2 * (0.5 * (-0.1 - v) + th(v) * -0.6 * (0.8 - v) + th(0.5) * 0.7 * (0.9 - v)) / 2
     assert after("ltc", unfolds=3)[0] == pytest.approx(v)
 
+    def slope(v):
+        return (0.5 * (-0.1 - v) + th(v) * -0.6 * (0.8 - v) + th(0.5) * 0.7 * (0.9 - v)) / 2
+
+    k = slope(0.2)
+    assert after("ltc", unfolds=1, solver="heun")[0] == pytest.approx(0.2 + 2 * (k + slope(0.2 + 2 * k)) / 2)
+    k2 = slope(0.2 + k)
+    k3 = slope(0.2 + k2)
+    assert after("ltc", unfolds=1, solver="rk4")[0] == pytest.approx(0.2 + 2 * (k + 2 * k2 + 2 * k3 + slope(0.2 + 2 * k3)) / 6)
+
 
 def test_both_ways(spark):
     df = spark.createDataFrame([(0, t, float(t)) for t in range(3)], "k int, t int, x double")
