@@ -91,34 +91,42 @@ def quantiles(df: DataFrame, column: str | Column, shares: list[float]) -> list[
     return [v[a] if a == b else v[a] + (v[b] - v[a]) * w for a, b, w in ends]
 
 
-def grouped_quantiles(df: DataFrame, by: list[str], columns: dict[str, tuple[str, float]], ranges: int = 256) -> DataFrame:
+def _small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """The table for a broadcast if it has at most ``most`` rows, which the driver then holds; else as it is."""
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], columns: dict[str, tuple[str, float]], accuracy: int = 20_000) -> DataFrame:
     """``by`` and, for each name in ``columns``, the exact quantile (column, share) of each group, interpolated.
 
-    Values are counted first, so that ties cost nothing.  Approximate quantiles then cut a
-    group in ranges of about equal size; running sums over these (at most ``ranges`` rows
-    of a group) tell which ones hold the wanted places, and only there values are ranked.
+    Nulls and NaN are left out.  Approximate quantiles on both sides of the wanted one, whose
+    rank is known to one part in ``accuracy``, bound where it lies; what is below is counted,
+    and only the values between are ranked.  Groups of up to four times ``accuracy`` rows are
+    ranked whole.
     """
-    def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+
+    def joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
         """By equal keys, nulls included; the right side's keys go."""
-        other = right.withColumnsRenamed({c: f"__{c}" for c in on})
-        same = [F.col(f"`{c}`").eqNullSafe(F.col(f"`__{c}`")) for c in on]
-        return left.join(other, same, how).drop(*[f"__{c}" for c in on])
+        other = right.withColumnsRenamed({c: f"__{c}" for c in by})
+        same = [F.col(f"`{c}`").eqNullSafe(F.col(f"`__{c}`")) for c in by]
+        return left.join(other, same, how).drop(*[f"__{c}" for c in by])
 
     out = None
     for name, (column, share) in columns.items():
-        rows = df.select(*by, dbl(F.col(column)).alias("x")).where("x IS NOT NULL")
-        points = rows.groupBy(*by, "x").agg(F.count("*").alias("n"))
-        ends = points.groupBy(*by).agg(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], ranges * 40).alias("ends"), F.sum("n").alias("all"))
-        cut = joined(points, ends, by).withColumn("r", F.size(F.filter("ends", lambda e: e < F.col("x")))).drop("ends")
-        at, group = share * (F.col("all") - 1), Window.partitionBy(*by)
-        sums = cut.groupBy(*by, "all", "r").agg(F.sum("n").alias("m")).withColumn("before", F.sum("m").over(group.orderBy("r")) - F.col("m"))
-        held = sums.where((F.col("before") <= F.ceil(at)) & (F.col("before") + F.col("m") > F.floor(at))).select(*by, "r", "before")
-        few = joined(cut, held, [*by, "r"])
-        upto = F.col("before") + F.sum("n").over(Window.partitionBy(*by, "r").orderBy("x"))
+        x = dbl(F.col(column))
+        rows = df.select(*by, x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+        around = [max(0.0, share - 2 / accuracy), min(1.0, share + 2 / accuracy)]
+        found = rows.groupBy(*by).agg(F.percentile_approx("x", around, accuracy).alias("e"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("all"))
+        few = F.col("all") <= 4 * accuracy
+        ends = _small(found.select(*by, "all", F.when(few, F.col("lo")).otherwise(F.col("e")[0]).alias("lo"), F.when(few, F.col("hi")).otherwise(F.col("e")[1]).alias("hi")))
+        near = joined(rows, ends).where("x <= hi").groupBy(*by, "all", F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("x")).agg(F.count("*").alias("n"))  # all below as one null
+        at = share * (F.col("all") - 1)
+        upto = near.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy(F.col("x").asc_nulls_first())))
         value = [F.min(F.when(F.col("upto") > place(at), F.col("x"))) for place in (F.floor, F.ceil)]
-        got = few.withColumn("upto", upto).groupBy(*by, "all").agg(value[0].alias("a"), value[1].alias("b"))
+        got = upto.groupBy(*by, "all").agg(value[0].alias("a"), value[1].alias("b"))
         one = got.select(*by, F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (at - F.floor(at))).alias(name))
-        out = one if out is None else joined(out, one, by, "left")
+        out = one if out is None else joined(out, one, "left")
     return out
 
 

@@ -277,7 +277,7 @@ def test_quantiles_without_a_single_task(spark):
     df = spark.createDataFrame([(int(i % 3) if i % 7 else None, float(v)) for i, v in enumerate(x)] + [(1, None), (9, None)], "g int, v double")
     shares = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
     assert E.quantiles(df, "v", shares) == pytest.approx(np.quantile(x, shares).tolist())
-    got = {r["g"]: (r["a"], r["b"]) for r in E.grouped_quantiles(df, ["g"], {"a": ("v", 0.5), "b": ("v", 0.93)}, ranges=16).collect()}
+    got = {r["g"]: (r["a"], r["b"]) for r in E.grouped_quantiles(df.union(spark.createDataFrame([(0, float("nan"))], df.schema)), ["g"], {"a": ("v", 0.5), "b": ("v", 0.93)}, accuracy=100).collect()}
     by = {g: [v for i, v in enumerate(x) if (int(i % 3) if i % 7 else None) == g] for g in (0, 1, 2, None)}
     assert set(got) == set(by) and all(got[g] == pytest.approx(tuple(np.quantile(v, [0.5, 0.93]))) for g, v in by.items())
 
