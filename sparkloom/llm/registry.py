@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import ann, bpe, chat, langid, mixing, quality, secrets, simhash, toxicity, urls
+from sparkloom.llm import ann, bpe, chat, decontam, divergence, langid, mixing, quality, secrets, simhash, toxicity, urls, variants
 from sparkloom.llm.common import held_out, read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -137,6 +137,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontam.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 #: Measurements of op1, with SQL's own windows and joins in place of a pass in Python.
 _MEASURES_SQL = r"""
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -221,6 +235,34 @@ SELECT doc_id, domain, language, source, tokens, alloc::BIGINT AS alloc, (CASE W
 OP8_SQL = _mix_sql()
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP11_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents),
+t AS (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= {divergence.LEAST_DOCS}),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY ALL),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + ({divergence.ONE}::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(s.total, 0) + 2 * v.v) AS p, 1 + ({divergence.ONE}::HUGEINT * (k.n + 2)) // (v.total + 2 * v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source LEFT JOIN x y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+one AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM x WHERE n > 0 AND p > q),
+r AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM one)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= {divergence.TOP}"""
+
+OP13_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+w AS (SELECT DISTINCT item, n, array_to_string(ws[k + 1:k + n], ' ') AS g FROM (SELECT item, ws, least({decontam.WINDOW}, len(ws)) AS n, unnest(range(len(ws) - least({decontam.WINDOW}, len(ws)) + 1)) AS k FROM b WHERE len(ws) > 0)),
+p AS (SELECT rid, n, k, array_to_string(ws[k + 1:k + n], ' ') AS g FROM (SELECT rid, ws, n, unnest(range(len(ws) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM w) WHERE len(ws) >= n)),
+h AS (SELECT DISTINCT rid, k, n, item FROM p JOIN w USING (n, g)),
+hit AS (SELECT rid, count(DISTINCT spot) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS spot FROM h) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -235,8 +277,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_ann_search": op9_ann_search,
         "op10_language_id": op10_language_id,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_decontamination": op13_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "quality_ablations": ABLATIONS_SQL, "quality_policies": POLICIES_SQL, "op5_chat_formatting": OP5_SQL, "op6_url_filters": OP6_SQL, "op8_mixing": OP8_SQL}
+    return {"op1_quality_rules": OP1_SQL, "quality_ablations": ABLATIONS_SQL, "quality_policies": POLICIES_SQL, "op5_chat_formatting": OP5_SQL, "op6_url_filters": OP6_SQL, "op8_mixing": OP8_SQL, "op11_source_divergence": OP11_SQL, "op13_decontamination": OP13_SQL}
