@@ -97,6 +97,18 @@ def pad(xs: Column, before: int, after: int, value: float = 0.0) -> Column:
     return F.concat(F.array_repeat(edge, before), xs.cast("array<double>"), F.array_repeat(edge, after))
 
 
+def stretch(xs: Column, n: Column) -> Column:
+    """The array brought to ``n`` entries on straight lines between the middles of its own; null for an empty one."""
+
+    def at(m: Column, i: Column) -> Column:
+        spot = F.greatest((i + 0.5) * m / n - 0.5, F.lit(0.0))
+        low = F.least(F.floor(spot).cast("int"), m - 1)
+        a, b = dbl(F.get(xs, low)), dbl(F.get(xs, F.least(low + 1, m - 1)))
+        return a + (b - a) * (spot - low)
+
+    return F.when((F.size(xs) > 0) & (n > 0), F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: at(F.size(xs), i)))
+
+
 def roll(xs: Column, shift: Column) -> Column:
     n = F.size(xs)
     return F.transform(xs, lambda x, i: F.element_at(xs, (F.pmod(i - shift, n) + 1).cast("int")))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -347,16 +348,14 @@ def flatten_struct(df: DataFrame, column: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != column], *leaves(column, df.schema[column].dataType))
 
 
-def profile(df: DataFrame, exact: int = 100_000) -> DataFrame:
+def profile(df: DataFrame) -> DataFrame:
     """One row for each column: type, null share, distinct values, mean text length and mean words.
 
-    Distinct values are estimated first; only columns with about ``exact`` or fewer are then
-    counted exactly, so that no aggregate moves a row for each value of a wide column.
+    Distinct values are counted exactly at any size, each column by an aggregate of its own over a scan of that column alone.
     """
     plain = [n for n, k in df.dtypes if not k.startswith(("array", "map", "struct", "variant"))]
-    rough = df.agg(F.lit(0), *[F.approx_count_distinct(F.col(f"`{c}`"), 0.02) for c in plain]).first()[1:]
-    small = [c for c, n in zip(plain, rough) if n <= exact]
-    counted = dict(zip(plain, rough)) | dict(zip(small, df.agg(F.lit(0), *[F.count_distinct(F.col(f"`{c}`")) for c in small]).first()[1:]))
+    each = [df.select(F.col(f"`{c}`").alias("v")).agg(F.lit(c).alias("column"), F.count_distinct("v").alias("n")) for c in plain]
+    counted = {r["column"]: r["n"] for r in reduce(DataFrame.unionByName, each).collect()} if each else {}  # a row for each column
     aggs = []
     for name, kind in df.dtypes:
         c, none = F.col(f"`{name}`"), F.lit(None).cast("double")

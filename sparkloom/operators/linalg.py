@@ -15,11 +15,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.ieee import dbl
+from sparkloom.operators.dense import as_rows, moments, triangle
+
+#: More columns than this give their products in blocks.
+WIDE = 32
 
 
 def gram(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, column sums and the matrix of sums of products, in one pass."""
     d = len(columns)
+    if d > WIDE:  # an aggregate for each pair would take longer to compile than to run
+        m = np.zeros((d + 1, d + 1))
+        for r in moments(as_rows(df, columns), d).collect():  # d + 1 rows
+            m[r["i"]] = r["x"]
+        return int(m[0, 0]), m[0, 1:], m[1:, 1:]
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     row = df.agg(F.count("*"), *[F.sum(dbl(F.col(c))) for c in columns], *[F.sum(dbl(F.col(columns[i])) * dbl(F.col(columns[j]))) for i, j in pairs]).first()
     g = np.zeros((d, d))
@@ -96,7 +105,11 @@ def likely_components(variance: np.ndarray, n: int) -> int:
 
 def fit_pca(df: DataFrame, columns: list[str], k: int | float | str | None = None) -> PCA:
     """``k`` components, as many as explain the share ``k``, the likeliest number (``"mle"``), or all of them."""
-    n, s, g = gram(df, columns)
+    return pca_of(columns, *gram(df, columns), k)
+
+
+def pca_of(columns: list[str], n: int, s: np.ndarray, g: np.ndarray, k: int | float | str | None = None) -> PCA:
+    """The components that count, sums and sums of products give: those of one pass, or merged ones of many batches."""
     mean = s / max(n, 1)
     values, vectors = np.linalg.eigh((g - n * np.outer(mean, mean)) / max(n - 1, 1))
     values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1].T
@@ -117,30 +130,12 @@ def svd(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def qr(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """R of the reduced QR by a tree of small ones: a d x d factor from each partition.
+    """R of the reduced QR by a tree of small ones: a factor of d rows from each partition.
 
-    Factors are combined on the executors level by level, so that the driver gets one.
+    Factors are combined on the executors level by level, each behind an exchange of d rows a
+    partition, so that every partition is read by its own task and the driver gets one factor.
     """
-    d = len(columns)
-
-    def local(batches):
-        import pandas as pd
-
-        r = np.zeros((0, d))
-        for batch in batches:
-            x = batch[columns].to_numpy(dtype=float) if "p" in batch else batch.to_numpy(dtype=float)
-            r = np.linalg.qr(np.concatenate([r, x]), mode="r")
-        yield pd.DataFrame(np.pad(r, ((0, 0), (0, 0))), columns=columns)
-
-    shape = ", ".join(f"`{c}` double" for c in columns)
-    parts = df.select(*[dbl(F.col(c)).alias(c) for c in columns]).mapInPandas(local, shape)
-    n = parts.rdd.getNumPartitions()
-    while n > 1:  # each level leaves d rows for every 32 factors
-        n = -(-n // 32)
-        parts = parts.coalesce(n).mapInPandas(local, shape)
-    r = np.array([list(x) for x in parts.collect()]).reshape(-1, d)
-    r = np.linalg.qr(r, mode="r")
-    return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
+    return triangle(as_rows(df, columns), len(columns))
 
 
 def _of_each(a: DataFrame, key: list[str], n: int, fn, kind: str, most: int = 512) -> DataFrame:
@@ -150,7 +145,7 @@ def _of_each(a: DataFrame, key: list[str], n: int, fn, kind: str, most: int = 51
     key together (at most ``most`` squared) and deals the matrices out.
     """
     if n > most:
-        raise ValueError(f"{n} rows are more than {most}: use the distributed forms")
+        raise ValueError(f"{n} rows are more than {most}: use solve_large, inverse_large or log_det_large of the module dense")
 
     @F.pandas_udf(kind)
     def run(cells: pd.Series) -> pd.Series:

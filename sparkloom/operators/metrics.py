@@ -66,8 +66,9 @@ def curve(df: DataFrame, y: str, score: str, buckets: int = 256) -> DataFrame:
     """``score, pos, neg, tp, fp``: one row for each distinct score, with counts at or above it.
 
     Two levels: sums of ranges of the score, whose running total starts each range.  Ranges end
-    at estimated quantiles, so skewed scores spread over them as well.
+    at estimated quantiles, so skewed scores spread over them as well.  Rows without a label or score are left out.
     """
+    df = df.where(F.col(y).isNotNull() & F.col(score).isNotNull())
     points = df.groupBy(dbl(F.col(score)).alias("score")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")).where("score IS NOT NULL")
     cuts = df.agg(F.percentile_approx(dbl(F.col(score)), [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] or []
     ends = F.array(*[F.lit(x) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
@@ -87,7 +88,7 @@ def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
 
 
 def precision_recall(df: DataFrame, y: str, score: str) -> DataFrame:
-    total = df.agg(F.count_if(F.col(y) == 1)).first()[0]
+    total = df.agg(F.count_if((F.col(y) == 1) & F.col(score).isNotNull())).first()[0]
     return curve(df, y, score).select("score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), _ratio(F.col("tp"), F.lit(total)).alias("recall"))
 
 

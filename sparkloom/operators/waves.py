@@ -133,8 +133,9 @@ def keep_harmonics(xs: Column, frequencies: list[float], rate: float) -> Column:
 
 
 def envelope(xs: Column, shape: Column) -> Column:
-    """The signal under an amplitude envelope (of its length), made positive and brought to a maximum of 1."""
-    return V.let(V.norm(shape, math.inf), lambda top: F.zip_with(xs, shape, lambda x, e: F.signum(dbl(x)) * F.least(F.abs(dbl(x)) * F.abs(dbl(e)) / top, F.abs(dbl(x)))))
+    """The signal under an amplitude envelope, brought to its length by straight lines, made positive and brought to a maximum of 1."""
+    shape = F.when(F.size(shape) == F.size(xs), F.transform(shape, dbl)).otherwise(V.stretch(shape, F.size(xs)))
+    return V.let(shape, lambda own: V.let(V.norm(own, math.inf), lambda top: F.zip_with(xs, own, lambda x, e: F.signum(dbl(x)) * F.least(F.abs(dbl(x)) * F.abs(e) / top, F.abs(dbl(x))))))
 
 
 # Blocks of a series, as rows with a place ``i`` from 0

@@ -8,9 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.vector import total
+
 
 def rolling(df: DataFrame, key: list[str], order: list[str], value: str, width: int = 5, stride: int = 1) -> DataFrame:
-    """Mean, population deviation, least, greatest and slope of each window of ``width`` rows, named by its last row."""
+    """Mean, population deviation, least, greatest and slope of each window of ``width`` rows, named by its last row.
+
+    Slopes use places inside the window, so they are as exact at the end of a long series as at its beginning; nulls count as 0 there.
+    """
     w = Window.partitionBy(*key).orderBy(*order)
     frame, x = w.rowsBetween(-(width - 1), 0), F.col(value).cast("double")
     n = df.withColumn("__n", F.row_number().over(w))
@@ -18,7 +23,7 @@ def rolling(df: DataFrame, key: list[str], order: list[str], value: str, width:
     out = n.select(
         "*",
         F.avg(x).over(frame).alias("mean"), F.stddev_pop(x).over(frame).alias("std"), F.min(x).over(frame).alias("min"), F.max(x).over(frame).alias("max"),
-        ((F.sum(x * F.col("__n")).over(frame) - F.sum(x).over(frame) * (F.col("__n") - width + 1 + mid)) / spread).alias("slope"),
+        (total(F.transform(F.collect_list(F.coalesce(x, F.lit(0.0))).over(frame), lambda v, i: v * (i - mid))) / spread).alias("slope"),
     )
     return out.where((F.col("__n") >= width) & ((F.col("__n") - width) % stride == 0)).drop("__n")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.plans import blocks, elementwise, layers, signals, tables  # noqa: F401  they register their queries
+from sparkloom.plans import blocks, elementwise, large, layers, signals, tables  # noqa: F401  they register their queries
 from sparkloom.plans.base import QUERIES, SQL
 
 

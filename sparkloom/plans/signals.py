@@ -1,8 +1,6 @@
 """Queries of vectors, similarity, spectra, waves and streams."""
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,6 +8,7 @@ from sparkloom.functions import vector as V
 from sparkloom.operators import models as N
 from sparkloom.operators import signal as S
 from sparkloom.plans.base import named, query, r, table
+from sparkloom.sources import shared
 from sparkloom.streaming import stride
 
 C = F.col
@@ -166,16 +165,8 @@ def attention_softmax(spark, sf_dir):
 @query("""WITH s AS (SELECT user_id::VARCHAR AS key, row_number() OVER w - 1 AS start, list(value) OVER (w ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT key, stride, start, round(list_avg(x), 6) AS mean, round(list_sum(list_transform(x, lambda v: v * v)), 4) AS energy FROM s, (VALUES (1), (3)) AS t(stride) WHERE len(x) = 5 AND start % stride = 0""")
 def stream_stride_state(spark, sf_dir):
-    folder = _checkpoint(spark)
+    folder = shared.folder(spark, "stream")
     stream = stride.in_order(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "event_id", f"{folder}/events")
     out = stride.strided(stream, "user_id", "event_id", "value", 5, [1, 3])
     got = stride.drain(out, f"{folder}/windows", f"{folder}/state")
     return got.select("key", "stride", "start", F.round("mean", 6).alias("mean"), F.round("energy", 4).alias("energy"))
-
-
-def _checkpoint(spark) -> str:
-    """A new folder that all executors share; a temporary one for local sessions that have none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='sparkloom-')).rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
