@@ -61,8 +61,8 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The labels know one category.  Two finer ones are silver labels: toxic documents that
 #: hold one of a few plain English terms (fixed values, nouns and adjectives).
 CATEGORIES = {
-    "insult": "toxic = 1 AND arrays_overlap(words, array('idiot', 'moron', 'loser', 'clown', 'scum', 'trash'))",
-    "demeaning": "toxic = 1 AND arrays_overlap(words, array('stupid', 'worthless', 'pathetic', 'disgusting'))",
+    "silver_insult": "toxic = 1 AND arrays_overlap(words, array('idiot', 'moron', 'loser', 'clown', 'scum', 'trash'))",
+    "silver_demeaning": "toxic = 1 AND arrays_overlap(words, array('stupid', 'worthless', 'pathetic', 'disgusting'))",
     "toxic": "toxic = 1",
 }
 

@@ -6,14 +6,16 @@ log-odds that the chain gave the categories before.  In training those come from
 that had not seen the document (out-of-fold), so that a later link learns from earlier
 probabilities as they will be on new texts.
 
-The chain is fitted on a bounded sample: up to ``per_class`` labelled documents with and
-without the last category.  Their features are counted in Spark, the ``keep`` with the
-largest chi-square of any category are selected, and only those come to the driver.
-Scoring reads whole texts in one pass, without a shuffle.
+The chain is fitted on a bounded sample: up to ``per_class`` different labelled documents
+with and up to as many without the last category, chosen by a hash after ids and texts have
+met, so that an id on many rows adds no more than it may.  Their features are counted in
+Spark, the ``keep`` with the largest chi-square of any category are selected, and only those
+come to the driver.  Scoring reads whole texts in one pass, without a shuffle.
 
 Defined cases: a null or empty text has no features and gets the chain's prior; without
-labelled rows, or rows of both kinds, every probability is 0 and nothing is flagged;
-labels that are null count as 0; rows are independent.
+labelled rows, or rows of both kinds, every probability is 0 and nothing is flagged.  Of
+several labels of one id the largest counts; an id whose last label is null everywhere is
+unlabelled.  Different texts of a labelled id each carry its label; repeated rows count once.
 """
 
 from __future__ import annotations
@@ -140,11 +142,13 @@ def learn(docs: DataFrame, labels: DataFrame, categories: list[str], per_class:
     rules = categories if isinstance(categories, dict) else {c: c for c in categories}
     last = names[-1]
     numeric = [c for c, t in labels.dtypes if c not in (id_col, "doc_id", "text", "feats", "words") and t in ("int", "bigint", "boolean", "smallint", "tinyint")]
-    rows = labels.select(labels[id_col].cast("long").alias("doc_id"), *[labels[c] for c in numeric]).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    rows = rows.withColumn("__y", F.expr(f"coalesce(cast({rules[last]} as int), 0)"))
+    rows = labels.select(labels[id_col].cast("long").alias("doc_id"), *[labels[c] for c in numeric]).where("doc_id IS NOT NULL")
+    rows = rows.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in numeric])
+    rows = rows.withColumn("__y", F.expr(f"cast({rules[last]} as int)"))
     chosen = spread_sample(rows, "__y", per_class, F.xxhash64("doc_id"))
     # At most 2 * per_class rows of a few numbers: a proven bound for a broadcast.
-    drawn = texts(docs, id_col, text_col).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    met = texts(docs, id_col, text_col).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    drawn = spread_sample(Scratch(spark, "toxicity").write(met.distinct()), "__y", per_class, F.xxhash64("doc_id", "text"))
 
     def run(batch: pa.RecordBatch) -> list:
         found = [set(WORDS.findall(t.lower())) for t in batch.column("text").to_pylist()]
