@@ -19,7 +19,8 @@ adjacency and the codes are checkpointed as dealt out by node, so no hop shuffle
 
 Defined cases: a vector that is null, all zero, or has a null or non-finite component
 takes no part, nor does a null id.  Vectors of another length than most have no inner
-product with these: they are left out too, with a warning.  Equal vectors are one node;
+product with these: they are left out too, with a warning.  An id that stands on several
+vectors has the one that comes first, component by component.  Equal vectors are one node;
 its ids come in order.  Ties go to the smaller id.  Repeated rows count once.
 """
 
@@ -54,10 +55,10 @@ def valid(rows: DataFrame) -> DataFrame:
     sizes = good.groupBy(F.size(e).alias("d")).agg(F.count("*").alias("n"))
     most = sizes.orderBy(F.desc("n"), "d").first()
     if not most:
-        return good.distinct()
+        return good
     if odd := sizes.where(F.col("d") != most["d"]).agg(F.sum("n")).first()[0]:
         warnings.warn(f"{odd} vectors do not have {most['d']} components and take no part", stacklevel=2)
-    return good.where(F.size(e) == most["d"]).distinct()
+    return good.where(F.size(e) == most["d"])
 
 
 def _unpack(col: pa.Array, scale: pa.Array) -> np.ndarray:
@@ -199,7 +200,7 @@ class Index:
     def __init__(self, rows: DataFrame, k: int = 30, sample: int = 10, rounds: int = 6, trees: int = 4, leaf: int = 1000, seed: int = 5):
         self.spark, self.k = rows.sparkSession, k
         self.scratch = Scratch(self.spark, "ann")  # also makes sure that there is a folder for checkpoints
-        rows = valid(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
+        rows = valid(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
         self.nodes = self.scratch.write(rows.groupBy("embedding").agg(F.min("vec_id").alias("node")).select("node", "embedding"))
         self.members = self.scratch.write(rows.join(self.nodes, "embedding").select("node", "vec_id"))
         coded = map_rows(self.nodes, _codes, "node long, code binary, scale float")
