@@ -7,14 +7,16 @@ probability of each language, also where a text switches between languages.  A t
 language is the one with the largest mean probability over its words; that mean is the
 score.
 
-The field is fitted on a bounded sample of labelled rows: ``per_lang`` for each of the
-``most_langs`` commonest languages, chosen by a hash of id and text, and of each
+The field is fitted on a bounded sample of labelled rows: ``per_lang`` for each language,
+every one that occurs, chosen by a hash of id and text, and of each
 ``per_text`` segments of 16 words from hashed places of the whole text.  Words that fill
 no segment of their own are in one that overlaps the one before; a text of fewer words
 is one segment, repeated to its length.  A third of the training sequences are
 code-switched, put together from segments of different languages.  Prediction reads whole
-texts, in one pass without a shuffle; the weights it ships hold about 65,000 numbers for
-each language, and fewer beyond 64 languages, 4 million in all at most.
+texts, in one pass without a shuffle; the weights it ships hold ``2 ** bits`` numbers for each
+language (a parameter, 65,536 unless told otherwise: choose fewer for hundreds of languages).
+Training takes up to ``CELLS`` over the squared number of languages sequences of each, and
+two at least, which bounds its time.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is
 every text if nothing could be learned; rows are independent.  Labelled rows that are
@@ -31,12 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import map_rows, spread_sample, texts
+from sparkloom.llm.common import Scratch, map_rows, spread_sample, texts
 
 UND = "und"
-BITS = 16  # buckets for each language; the row after them is that of no feature, whose weights stay 0, and lexicon rows follow
-WEIGHTS = 1 << 22  # in all
-CELLS = 1 << 16  # training sequences times languages
+BITS = 16  # of the number of buckets for each language; the row after them is that of no feature, whose weights stay 0, and lexicon rows follow
+CELLS = 1 << 16  # training sequences of a language times the squared number of languages
 WORDS = re.compile(r"[^\W\d_]+")
 UNIT = 16  # words of a segment
 UNITS = 3
@@ -193,13 +194,12 @@ def segments(words: list[str]) -> list[list[str]]:
     return [words[i : i + UNIT] for i in range(0, len(words) - UNIT + 1, UNIT)] + ([words[-UNIT:]] if len(words) % UNIT else [])
 
 
-def fit(passages: list[tuple[str, str]], rounds: int = 40, rate: float = 0.15, decay: float = 1e-4, seed: int = 7) -> Model:
+def fit(passages: list[tuple[str, str]], rounds: int = 40, rate: float = 0.15, decay: float = 1e-4, seed: int = 7, bits: int = BITS) -> Model:
     """The field from (language, passage) pairs."""
     langs = sorted({lang for lang, _ in passages})
     place, rng, k = {x: i for i, x in enumerate(langs)}, np.random.default_rng(seed), len(langs)
     listed = [(place[lang], WORDS.findall(text.lower())) for lang, text in passages]
     units = [(lang, part) for lang, words in listed for part in segments(words)]
-    bits = min(BITS, (WEIGHTS // max(1, k)).bit_length() - 1)
     none = 1 << bits
     model = Model(langs, np.zeros((none + 1 + k, k), dtype=np.float32), np.zeros((k, k)), np.zeros(k), lexicons(listed, k), bits)
     if k < 2 or not units:
@@ -249,13 +249,12 @@ def drawn(text: str, mark: int, per_text: int) -> list[str]:
     return [" ".join(parts[i]) for i in sorted(some)]
 
 
-def sample(docs: DataFrame, per_lang: int, per_text: int, most_langs: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """Segments with their languages: at most ``per_text`` of each of ``per_lang`` rows of ``most_langs`` languages."""
+def sample(docs: DataFrame, per_lang: int, per_text: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
+    """Segments with their languages: at most ``per_text`` of each of ``per_lang`` rows of every language."""
     rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"), F.xxhash64(F.lit("passage"), docs[id_col].cast("long"), docs[text_col].cast("string")).alias("mark")).where("lang IS NOT NULL AND text IS NOT NULL")
     marks = rows.select("lang", "mark").distinct()
-    common = marks.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).select("lang")
-    picked = spread_sample(marks.join(F.broadcast(common), "lang"), "lang", per_lang, F.col("mark"))  # at most ``most_langs`` rows
-    once = rows.join(F.broadcast(picked), ["lang", "mark"]).groupBy("lang", "mark").agg(F.min("text").alias("text"))  # at most ``per_lang`` rows for each of them
+    picked = Scratch(docs.sparkSession, "langid").write(spread_sample(marks, "lang", per_lang, F.col("mark")))  # written, so that Spark knows its size
+    once = rows.join(picked, ["lang", "mark"]).groupBy("lang", "mark").agg(F.min("text").alias("text"))
 
     def run(batch: pa.RecordBatch) -> list:
         lang, text, mark = (batch.column(c).to_pylist() for c in ("lang", "text", "mark"))
@@ -264,9 +263,9 @@ def sample(docs: DataFrame, per_lang: int, per_text: int, most_langs: int, id_co
     return sorted((r["lang"], part) for r in map_rows(once, run, "lang string, parts array<string>").collect() for part in r["parts"])
 
 
-def learn(docs: DataFrame, per_lang: int = 400, per_text: int = 6, most_langs: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def learn(docs: DataFrame, per_lang: int = 400, per_text: int = 6, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model fitted on a bounded sample of the labelled rows of ``docs``."""
-    return fit(sample(docs, per_lang, per_text, most_langs, id_col, text_col, lang_col))
+    return fit(sample(docs, per_lang, per_text, id_col, text_col, lang_col), bits=bits)
 
 
 def words_of(text: str | None) -> list[str]:
