@@ -20,8 +20,14 @@ def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + dbl(x))
 
 
+def length(xs: Column) -> Column:
+    """The number of entries; null for a null or empty array, so that what is divided by it is null as well."""
+    return F.when(F.size(xs) > 0, F.size(xs))
+
+
 def mean(xs: Column) -> Column:
-    return total(xs) / F.size(xs)
+    """Null for a null or empty array, or one with a null entry; so are the measures built on it."""
+    return total(xs) / length(xs)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -57,7 +63,7 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 def variance(xs: Column) -> Column:
     """Population variance."""
-    return let(mean(xs), lambda m: total(F.transform(xs, lambda x: (dbl(x) - m) * (dbl(x) - m)))) / F.size(xs)
+    return let(mean(xs), lambda m: total(F.transform(xs, lambda x: (dbl(x) - m) * (dbl(x) - m)))) / length(xs)
 
 
 def one_hot(index: Column, classes: int) -> Column:

@@ -20,7 +20,7 @@ COMPLEX = "array<struct<re:double,im:double>>"
 
 
 def rms(xs: Column) -> Column:
-    return F.sqrt(V.energy(xs) / F.size(xs))
+    return F.sqrt(V.energy(xs) / V.length(xs))
 
 
 def peak(xs: Column) -> Column:
@@ -28,14 +28,20 @@ def peak(xs: Column) -> Column:
 
 
 def crest_factor(xs: Column) -> Column:
-    return F.when(rms(xs) == 0, 0.0).otherwise(peak(xs) / F.when(rms(xs) != 0, rms(xs)))
+    return F.when(rms(xs) == 0, 0.0).otherwise(peak(xs) / F.when(rms(xs) != 0, rms(xs)))  # null where the rms is
+
+
+def _steps(xs: Column) -> tuple[Column, Column]:
+    """All entries but the last, and all but the first; none of fewer than two."""
+    n = F.greatest(F.size(xs) - 1, F.lit(0))
+    return F.slice(xs, 1, n), F.slice(xs, 2, n)
 
 
 def zero_crossings(xs: Column) -> Column:
     """Share of neighbours whose signs differ."""
     signs = F.transform(xs, lambda x: (dbl(x) >= 0).cast("int"))
-    pairs = F.zip_with(F.slice(signs, 1, F.size(xs) - 1), F.slice(signs, 2, F.size(xs) - 1), lambda a, b: F.abs(a - b))
-    return F.aggregate(pairs, F.lit(0), lambda a, x: a + x) / F.size(xs)
+    pairs = F.zip_with(*_steps(signs), lambda a, b: F.abs(a - b))
+    return F.aggregate(pairs, F.lit(0), lambda a, x: a + x) / V.length(xs)
 
 
 def dft_rows(df: DataFrame, key: str, xs: str, n: int) -> DataFrame:
@@ -134,8 +140,7 @@ def binary_interference(a: Column, b: Column, mode: str = "xor") -> Column:
 
 def binary_features(xs: Column) -> Column:
     """Density of ones, number of changes, and likeness to the mirror image."""
-    n = F.size(xs)
-    change = F.zip_with(F.slice(xs, 1, n - 1), F.slice(xs, 2, n - 1), lambda a, b: F.abs(a - b))
+    change = F.zip_with(*_steps(xs), lambda a, b: F.abs(a - b))
     return F.struct(V.mean(xs).alias("density"), V.total(change).alias("transitions"), V.pattern_similarity(xs, F.reverse(xs)).alias("symmetry"))
 
 
@@ -183,14 +188,22 @@ def _unpack(xs) -> np.ndarray:
     return np.array([complex(x["re"], x["im"]) if isinstance(x, dict) or hasattr(x, "keys") else x for x in xs])
 
 
+def _some(fn):
+    """``fn`` of an array; nothing for a null or empty one, or one with a null entry."""
+    return lambda x: None if x is None or not len(x) or any(v is None or v != v for v in x) else fn(x)
+
+
 def fft(xs: Column, inverse: bool = False, real: bool = False, n: int | None = None) -> Column:
-    """Of any length, in Arrow batches.  Forward ones take numbers; inverse ones take structs."""
+    """Of any length, in Arrow batches.  Forward ones take numbers; inverse ones take structs.
+
+    Null for a null or empty array, and where an entry is null or NaN, as for all transforms here.
+    """
 
     @F.pandas_udf(COMPLEX if not (inverse and real) else "array<double>")
     def run(col: pd.Series) -> pd.Series:
         fn = {(False, False): np.fft.fft, (False, True): np.fft.rfft, (True, False): np.fft.ifft, (True, True): np.fft.irfft}[inverse, real]
-        out = [fn(_unpack(x) if inverse else np.asarray(x, dtype=float), n) for x in col]
-        return pd.Series([x.tolist() if inverse and real else _pack(x) for x in out])
+        one = _some(lambda x: (lambda y: y.tolist() if inverse and real else _pack(y))(fn(_unpack(x) if inverse else np.asarray(x, dtype=float), n)))
+        return pd.Series([one(x) for x in col], dtype=object)
 
     return run(xs if inverse else xs.cast("array<double>"))
 
@@ -201,7 +214,8 @@ def fft_nd(xs: Column, shape: tuple[int, ...], inverse: bool = False, real: bool
     @F.pandas_udf(COMPLEX)
     def run(col: pd.Series) -> pd.Series:
         fn = np.fft.ifftn if inverse else (np.fft.rfftn if real else np.fft.fftn)
-        return pd.Series([_pack(fn((_unpack(x) if inverse else np.asarray(x, dtype=float)).reshape(shape))) for x in col])
+        one = _some(lambda x: _pack(fn((_unpack(x) if inverse else np.asarray(x, dtype=float)).reshape(shape))))
+        return pd.Series([one(x) for x in col], dtype=object)
 
     return run(xs if inverse else xs.cast("array<double>"))
 
@@ -217,7 +231,8 @@ def stft(xs: Column, width: int = 64, hop: int = 16) -> Column:
     @F.pandas_udf("array<array<double>>")
     def run(col: pd.Series) -> pd.Series:
         hann = np.hanning(width + 1)[:-1]
-        return pd.Series([[np.abs(np.fft.rfft(np.asarray(x[i : i + width], dtype=float) * hann)).tolist() for i in range(0, len(x) - width + 1, hop)] for x in col])
+        one = _some(lambda x: [np.abs(np.fft.rfft(np.asarray(x[i : i + width], dtype=float) * hann)).tolist() for i in range(0, len(x) - width + 1, hop)])
+        return pd.Series([one(x) for x in col], dtype=object)
 
     return run(xs.cast("array<double>"))
 
@@ -236,13 +251,13 @@ def mfcc(xs: Column, rate: float = 44100, n_mfcc: int = 13, n_mels: int = 26) ->
 
     @F.pandas_udf("array<double>")
     def run(col: pd.Series) -> pd.Series:
-        out = []
-        for x in col:
+        def one(x) -> list[float]:
             power = np.abs(np.fft.rfft(np.asarray(x, dtype=float))) ** 2
             energy = np.log(np.maximum(mel_filters(len(power), rate, n_mels) @ power, 1e-10))
             k, m = np.arange(n_mfcc)[:, None], np.arange(n_mels)
-            out.append((np.cos(np.pi * k * (m + 0.5) / n_mels) @ energy).tolist())
-        return pd.Series(out)
+            return (np.cos(np.pi * k * (m + 0.5) / n_mels) @ energy).tolist()
+
+        return pd.Series([_some(one)(x) for x in col], dtype=object)
 
     return run(xs.cast("array<double>"))
 
@@ -250,15 +265,15 @@ def mfcc(xs: Column, rate: float = 44100, n_mfcc: int = 13, n_mels: int = 26) ->
 def phase_coherence(a: Column, b: Column) -> Column:
     """Length of the mean unit vector of the phase differences."""
     d = F.zip_with(phases(a), phases(b), lambda x, y: x - y)
-    n = F.size(a)
+    n = V.length(a)
     return F.sqrt(F.pow(V.total(F.transform(d, F.cos)) / n, F.lit(2.0)) + F.pow(V.total(F.transform(d, F.sin)) / n, F.lit(2.0)))
 
 
 def correlation(a: Column, b: Column) -> Column:
     means = F.struct(V.mean(a).alias("a"), V.mean(b).alias("b"))
-    cov = V.let(means, lambda m: V.total(F.zip_with(a, b, lambda x, y: (dbl(x) - m["a"]) * (dbl(y) - m["b"])))) / F.size(a)
+    cov = V.let(means, lambda m: V.total(F.zip_with(a, b, lambda x, y: (dbl(x) - m["a"]) * (dbl(y) - m["b"])))) / V.length(a)
     s = F.sqrt(V.variance(a) * V.variance(b))
-    return F.when(s > 0, cov / F.when(s > 0, s)).otherwise(0.0)
+    return F.when(s > 0, cov / F.when(s > 0, s)).when(s.isNotNull(), 0.0)
 
 
 def interference_strength(a: Column, b: Column) -> Column:

@@ -289,12 +289,13 @@ def delta_sigma(xs: Column) -> Column:
         out = []
         for x in col:
             one, two, bits = 0.0, 0.0, []
-            for v in x if x is not None else []:
+            known = x is not None and not any(v is None or v != v for v in x)
+            for v in x if known else []:
                 v = v + 1.5 * one - 0.5 * two
                 bits.append(int(v > 0))
                 one, two = v - bits[-1], one + 0.5 * (v - bits[-1])
-            out.append(None if x is None else bits)
-        return pd.Series(out)
+            out.append(bits if known else None)
+        return pd.Series(out, dtype=object)
 
     return run(xs.cast("array<double>"))
 

@@ -2,8 +2,10 @@
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators import attention as A
 from sparkloom.operators import chunks as K
 from sparkloom.operators import dense as D
 from sparkloom.operators import groups as G
@@ -154,3 +156,16 @@ def slope_by_tree(spark, sf_dir):
     """The regression through the origin, from the factor of a QR."""
     q = LA.qr(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax"])
     return spark.createDataFrame([(round(float(q[0, 1] / q[0, 0]), 9),)], "slope double")
+
+
+@query("""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS t, ln(1 + value) AS x, event_type <> 'error' AS known FROM events),
+s AS (SELECT q.user_id, q.t, k.x AS v, (q.x * k.x + sin(q.t) * cos(k.t)) / sqrt(2) AS s FROM e q JOIN e k ON q.user_id = k.user_id AND k.t <= q.t AND k.t > q.t - 8 AND k.known),
+w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY user_id, t)) AS w FROM s), a AS (SELECT user_id, t, sum(w * v) / sum(w) AS y, count(*) AS n FROM w GROUP BY ALL)
+SELECT e.user_id, e.t, round(y, 7) + 0.0 AS y, coalesce(n, 0) AS n FROM e LEFT JOIN a USING (user_id, t)""")
+def masked_attention(spark, sf_dir):
+    """Each event looks at the last eight of its user, errors left out."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    df = table(spark, sf_dir, "events").select("user_id", place.alias("t"), F.ln(1 + C("value")).alias("x"), (C("event_type") != "error").alias("known"))
+    df = df.select("user_id", "t", "known", F.array("x", F.sin("t")).alias("q"), F.array("x", F.cos("t")).alias("k"), F.array("x").alias("v"))
+    got = A.masked(df, ["user_id"], "t", "q", "k", "v", 8, known="known")
+    return got.select("user_id", "t", r(C("attended")[0], 7).alias("y"), "n")

@@ -243,3 +243,66 @@ def test_curves_without_labels(spark):
 def test_slopes_keep_their_digits_along_a_series(spark):
     df = spark.range(0, 200_000, 1, 4).select(F.lit(1).alias("k"), "id", (F.lit(1000.0) + F.col("id") % 2 * 0).alias("x"))
     assert W.rolling(df, ["k"], ["id"], "x", 5).agg(F.max(F.abs("slope"))).first()[0] == 0
+
+
+def test_null_and_empty_arrays(spark):
+    from sparkloom.operators import layers as L
+    from sparkloom.operators import signal as S
+
+    df = spark.createDataFrame([(None,), ([],), ([1.0, None, 2.0],), ([3.0, -1.0, 2.0, 0.5],)], "x array<double>")
+    x = F.col("x")
+    measures = [S.rms(x), S.crest_factor(x), S.zero_crossings(x), S.binary_features(x)["density"], S.correlation(x, F.reverse(x)), V.mean(x), V.variance(x), S.phase_coherence(x, x), S.fft(x), S.fft(x, real=True), S.stft(x, 2, 1), S.mfcc(x, 8.0), S.magnitudes(x), H.delta_sigma(x)]
+    rows = df.select(*[m.alias(f"m{k}") for k, m in enumerate(measures)]).collect()
+    for k in range(len(measures) - 1):
+        assert rows[0][k] is None and rows[1][k] is None, k
+        assert rows[3][k] is not None, k
+    assert rows[0][-1] is None and rows[1][-1] == [] and rows[2][-1] is None
+    assert all(rows[2][k] is None for k in (0, 1, 4, 5, 6, 8, 9, 11))
+    block = df.where(F.size("x") != 3).select(S.fft_nd(x, (2, 2)).alias("z"), L.layer_norm(x).alias("n")).collect()
+    assert block[0]["z"] is None and block[0]["n"] == []  # a layer of nothing is nothing
+
+
+def test_masked_attention_by_loops(spark):
+    from sparkloom.operators import attention as A
+
+    random.seed(11)
+    rows = [(k, 3 * t % 50 - 20, [random.gauss(0, 1), random.gauss(0, 1)], [random.gauss(0, 1), random.gauss(0, 9)], [random.random(), float(t)], random.random() < 0.8) for k in ("a", None) for t in range(50)]
+    rows.append(("alone", 5, [1.0, 1.0], None, [1.0, 2.0], True))
+    df = spark.createDataFrame(rows, "k string, t int, q array<double>, w array<double>, v array<double>, known boolean").repartition(5)
+    plain = lambda q, w: float(np.dot(q, w)) / math.sqrt(2)
+    added = lambda q, w: 0.5 * math.tanh(q[0] + w[0]) - 2 * math.tanh(q[1] + w[1])
+    for score, fn, width, ahead, block in ((plain, A.scaled, 8, 0, None), (added, A.additive([0.5, -2]), 5, 3, 2), (plain, A.scaled, 1000, 0, 7)):
+        got = {(r["k"], r["t"]): r for r in A.masked(df, ["k"], "t", "q", "w", "v", width, fn, "known", ahead, block).collect()}
+        assert len(got) == len(rows)
+        for k, t, q, *_ in rows:
+            near = [(score(q, w), v) for k2, u, _, w, v, known in rows if k2 == k and known and w is not None and t - width < u <= t + ahead]
+            assert got[k, t]["n"] == len(near)
+            if near:
+                weights = np.exp(np.array([s for s, _ in near]) - max(s for s, _ in near))
+                assert got[k, t]["attended"] == pytest.approx((weights @ np.array([v for _, v in near]) / weights.sum()).tolist())
+            else:
+                assert got[k, t]["attended"] is None
+
+
+def test_zipped_csv_equals_plain_files(spark, tmp_path):
+    import zipfile
+
+    from sparkloom.sources import archives, io
+
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "zips").mkdir()
+    texts = [f"id,name,x\n{k},\"a, {k}\",{k / 4}\n{k + 10},,oops\n" for k in range(5)] + ["id,name,x\n"]
+    for k, t in enumerate(texts):
+        (tmp_path / "plain" / f"{k}.csv").write_text(t)
+    for n, own in enumerate((texts[:4], texts[4:])):
+        with zipfile.ZipFile(tmp_path / "zips" / f"{n}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("read.me", "not a table")
+            for k, t in enumerate(own):
+                z.writestr(f"part/{k}.csv", t)
+    schema = "id long, name string, x double"
+    got = archives.load_zipped_csv(spark, str(tmp_path / "zips"), schema)
+    want = io.load_csv(spark, str(tmp_path / "plain"), schema)
+    assert got.rdd.getNumPartitions() == 6 and got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    one = archives.load_zipped_csv(spark, str(tmp_path / "zips" / "0.zip"))
+    assert one.columns == ["id", "name", "x"] and one.count() == 8 and one.schema["x"].dataType.typeName() == "string"
