@@ -44,7 +44,7 @@ def words(text: str | None) -> list[bytes]:
 
 def suffix_array(ids: np.ndarray, top: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the known words (ids 1 to ``top``) by what follows up to the next 0, ``depth`` words at least, and their first sort key."""
-    bits = top.bit_length()
+    bits = max(1, top.bit_length())
     per, n = max(1, 63 // bits), len(ids)
     ahead = np.concatenate([ids, np.zeros(per, dtype=ids.dtype)])
     key, alive = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
@@ -106,7 +106,7 @@ class Benchmark:
     def find(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
         """The suffix array of ``ids``; for every suffix the range of its window, the length of its longest match and the range of that (0 where the window is nowhere)."""
         order, first = suffix_array(ids, self.top, self.depth)
-        bits = self.top.bit_length()
+        bits = max(1, self.top.bit_length())
         per = max(1, 63 // bits)
         key, some = np.zeros(len(self.place), dtype=np.int64), np.minimum(self.width, per)
         for k in range(per):
