@@ -26,15 +26,15 @@ its ids come in order.  Ties go to the smaller id.  Repeated rows count once.
 
 from __future__ import annotations
 
-import gc
 import math
+import uuid
 import warnings
 from functools import reduce
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Scratch, map_rows, slices
@@ -194,6 +194,16 @@ def best(rows: DataFrame, by: str, n: int, score: str = "s", tie: str = "u") ->
     return rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
 
 
+def _in_session(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """The same rows as a DataFrame of another session of this application, by a global view that goes at once."""
+    name = f"ann_{uuid.uuid4().hex}"
+    df.createGlobalTempView(name)
+    try:
+        return spark.table(f"global_temp.{name}")
+    finally:
+        spark.catalog.dropGlobalTempView(name)
+
+
 class Index:
     """The graph over the distinct vectors of ``rows`` (``vec_id``, ``embedding``)."""
 
@@ -206,10 +216,11 @@ class Index:
         coded = map_rows(self.nodes, _codes, "node long, code binary, scale float")
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.codes = self._dealt(coded, "node")
+        self.size = self.codes.count()
         graph = self._fill(self._start(trees, leaf, seed), leaf, seed)
         for i in range(rounds):
             graph, moved = self._descend(graph, sample, i)
-            if moved <= 0.001 * k * max(1, self.codes.count()):
+            if moved <= 0.001 * k * max(1, self.size):
                 break
         self.graph = graph
         self.adjacency = self._adjacency()
@@ -217,27 +228,25 @@ class Index:
     def _dealt(self, df: DataFrame, key: str) -> DataFrame:
         """Checkpointed in the folder all executors share, as dealt out and sorted by ``key``.
 
-        Adaptive plans don't tell their partitioning, so the checkpoint is made without: joins on
-        ``key`` then move only their other side.
+        Adaptive plans don't tell their partitioning, so the checkpoint is made in a session of
+        its own that has none: joins on ``key`` then move only their other side, and the
+        caller's session keeps its settings.
         """
-        conf, name = self.spark.conf, "spark.sql.adaptive.enabled"
-        before = conf.get(name)
-        conf.set(name, "false")
-        try:
-            return df.repartition(self.parts, key).sortWithinPartitions(key).checkpoint()
-        finally:
-            conf.set(name, before)
+        plain = self.spark.newSession()
+        for name, value in self.spark.conf.getAll.items():
+            if self.spark.conf.isModifiable(name):
+                plain.conf.set(name, value)
+        plain.conf.set("spark.sql.adaptive.enabled", "false")
+        held = _in_session(df, plain).repartition(self.parts, key).sortWithinPartitions(key).checkpoint()
+        return _in_session(held, self.spark)
 
     def _forget(self, *tables: DataFrame) -> None:
-        """Old rounds' files go; their shuffle files do once the JVM has collected the handles."""
+        """Old rounds' files go; Spark drops their shuffle files itself."""
         for t in tables:
             self.scratch.drop(t)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
 
     def _start(self, trees: int, leaf: int, seed: int) -> DataFrame:
-        n = self.codes.count()
-        bits = max(0, int(math.log2(max(1, n / leaf))))
+        bits = max(0, int(math.log2(max(1, self.size / leaf))))
 
         def side(batch: pa.RecordBatch) -> list:
             x = _unpack(batch.column("code"), batch.column("scale"))
@@ -254,7 +263,7 @@ class Index:
 
     def _fill(self, graph: DataFrame, leaf: int, seed: int) -> DataFrame:
         """The graph with at least ``k`` neighbours for every node, or all others where there are fewer."""
-        n = self.codes.count()
+        n = self.size
         have = graph.groupBy("v").agg(F.count("*").alias("have"))
         short = self.codes.join(have, self.codes["node"] == have["v"], "left").where(F.coalesce("have", F.lit(0)) < min(self.k, n - 1))
         poor = self.scratch.write(short.select("node", F.lit(True).alias("poor")))
@@ -302,29 +311,25 @@ class Index:
         both = ahead.union(behind).select("v", "u").distinct()
         held = both.join(self.codes.withColumnRenamed("node", "u"), "u")
         lists = held.groupBy("v").agg(F.collect_list(F.struct("u", "code", "scale")).alias("near"))  # at most 2 k
-        out = self._dealt(lists, "v")
-        self._forget()
-        return out
+        return self._dealt(lists, "v")
 
     def search(self, queries: DataFrame, n: int = 20, beam: int = 320, width: int = 64, hops: int = 60) -> DataFrame:
         """``query_id, rank, vec_id, score`` for the ids of ``queries`` (column ``query_id``), all of them indexed."""
         asked = self.scratch.write(queries.join(self.members, queries["query_id"] == self.members["vec_id"]).select("query_id", "node").distinct())
         who = asked.select(F.col("node").alias("q")).distinct()
         coded = self._dealt(who.join(self.codes, who["q"] == self.codes["node"]).select("q", F.col("code").alias("qcode"), F.col("scale").alias("qscale")), "q")
-        state = self.scratch.write(self.graph.join(who, self.graph["v"] == who["q"], "left_semi").select(F.col("v").alias("q"), "u", "s", F.lit(False).alias("done")))
+        near = self.graph.join(who, self.graph["v"] == who["q"], "left_semi").select(F.col("v").alias("q"), "u", "s", F.lit(False).alias("done"))
+        state = self.scratch.write(self._planned(near, beam, width))
         for _ in range(hops):
-            order = Window.partitionBy("q").orderBy(F.desc("s"), "u")
-            floor = F.when(F.count("*").over(Window.partitionBy("q")) >= beam, F.min("s").over(Window.partitionBy("q"))).otherwise(F.lit(float("-inf"))).cast("float")
-            ahead = state.withColumn("floor", floor).where("NOT done").withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= width).select("q", "u", "s", "floor")
-            front = self.scratch.write(ahead)
+            front = state.where("go").select("q", "u", "floor")
             if not front.head(1):
                 break
             near = front.join(coded, "q").join(self.adjacency, F.col("u") == self.adjacency["v"]).select("q", "floor", "qcode", "qscale", "near")
             met = near.mapInArrow(_expand, PAIRS).select(F.col("v").alias("q"), "u", "s", F.lit(False).alias("done"))
-            told = front.select("q", "u", "s", F.lit(True).alias("done"))
-            merged = state.union(told).union(met).groupBy("q", "u").agg(F.max("s").alias("s"), F.max("done").alias("done"))
-            new = self.scratch.write(best(merged, "q", beam))
-            self._forget(state, front)
+            known = state.select("q", "u", "s", (F.col("done") | F.col("go")).alias("done"))
+            merged = known.union(met).groupBy("q", "u").agg(F.max("s").alias("s"), F.max("done").alias("done"))
+            new = self.scratch.write(self._planned(merged, beam, width))
+            self._forget(state)
             state = new
         else:
             open_ = state.where("NOT done").select("q").distinct().count()
@@ -332,6 +337,16 @@ class Index:
                 warnings.warn(f"{open_} searches ended after {hops} hops with candidates left", stacklevel=2)
         return self._completed(asked, state, n)
 
+    def _planned(self, rows: DataFrame, beam: int, width: int) -> DataFrame:
+        """The best ``beam`` candidates of each query: which are expanded next (``go``) and what their neighbours have to beat (``floor``).
+
+        All of it comes from one sort by query, in the pass that merges a hop.
+        """
+        each = Window.partitionBy("q")
+        waiting = F.sum((~F.col("done")).cast("int")).over(each.orderBy(F.desc("s"), "u").rowsBetween(Window.unboundedPreceding, 0))
+        floor = F.when(F.count("*").over(each) >= beam, F.min("s").over(each)).otherwise(F.lit(float("-inf"))).cast("float")
+        return best(rows, "q", beam).withColumns({"go": ~F.col("done") & (waiting <= width), "floor": floor})
+
     def _completed(self, asked: DataFrame, state: DataFrame, n: int, block: int = 256) -> DataFrame:
         """The rows found; queries with fewer than there are to have are answered by a scan, a block of them at a time."""
         found = self.scratch.write(self._measured(asked, state.select("q", "u"), n))
