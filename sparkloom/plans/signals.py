@@ -9,7 +9,7 @@ from sparkloom.operators import models as N
 from sparkloom.operators import signal as S
 from sparkloom.plans.base import named, query, r, table
 from sparkloom.sources import shared
-from sparkloom.streaming import stride
+from sparkloom.streaming import series, stride
 
 C = F.col
 
@@ -170,3 +170,18 @@ def stream_stride_state(spark, sf_dir):
     out = stride.strided(stream, "user_id", "event_id", "value", 5, [1, 3])
     got = stride.drain(out, f"{folder}/windows", f"{folder}/state")
     return got.select("key", "stride", "start", F.round("mean", 6).alias("mean"), F.round("energy", 4).alias("energy"))
+
+
+@query("""WITH s AS (SELECT user_id::VARCHAR AS key, row_number() OVER w - 1 AS start, list(value) OVER (w ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS x FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL AND value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT key, stride, start, round(list_avg(x), 6) AS mean, round(list_sum(list_transform(x, lambda v: v * v)), 4) AS energy FROM s, (VALUES (1), (3)) AS t(stride) WHERE len(x) = 5 AND start % stride = 0""")
+def stream_late_windows(spark, sf_dir):
+    """Events arrive up to six hours after their time, in an order dealt by a hash; a last row without a user moves the watermark past all."""
+    folder, own = shared.folder(spark, "late"), series.stateful_session(spark)
+    events = table(own, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    closing = own.range(1).select(F.lit(None).cast(events.schema["user_id"].dataType).alias("user_id"), F.lit("2100-01-01").cast(events.schema["ts"].dataType).alias("ts"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("double").alias("value"))
+    moment = F.unix_micros(C("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(6 * 3600 * 1_000_000))
+    stream = stride.in_order(events.union(closing).withColumn("arrival", moment), "arrival", f"{folder}/events", most=1 << 16)
+    out = series.late_windows(stream, "user_id", "ts", "event_id", "value", 5, [1, 3], late="6 hours")
+    shape = stride.drain(out, f"{folder}/windows", f"{folder}/state").schema
+    got = spark.read.schema(shape).parquet(f"{folder}/windows")
+    return got.select("key", "stride", "start", F.round("mean", 6).alias("mean"), F.round("energy", 4).alias("energy"))
