@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.activation import sigmoid, softmax
 from sparkloom.functions.ieee import clip, dbl
-from sparkloom.functions.vector import total
+from sparkloom.functions.vector import let, total
 
 EPS = 1e-7
 
@@ -42,6 +42,24 @@ def sparse_categorical_crossentropy(y: Column, p: Column, from_logits: bool = Fa
     return _reduce(-F.ln(clip(F.element_at(q, (y + 1).cast("int")), EPS, 1 - EPS)), reduction)
 
 
+def smoothed_crossentropy(y: Column, logits: Column, ignored: int = -100, smoothing: float = 0.0, reduction: str = "mean") -> Column:
+    """Of class numbers and an array of logits; rows labelled ``ignored``, or null, have no part in the mean or sum.
+
+    ``smoothing`` moves that share of the label's weight evenly to all classes.  By rows
+    (``none``) an ignored row is 0.  A label outside the classes, or a null or empty array, is null.
+    """
+
+    def term(z: Column) -> Column:
+        top = F.array_max(z)
+        log_sum = F.ln(total(F.transform(z, lambda x: F.exp(x - top)))) + top
+        own = F.when((y >= 0) & (y < F.size(z)), F.get(z, y.cast("int")))
+        return log_sum - (1 - smoothing) * own - smoothing * total(z) / F.size(z)
+
+    loss = F.when(F.size(logits) > 0, let(F.transform(logits, dbl), term))
+    counted = y.isNotNull() & (y != ignored)
+    return F.when(counted, loss).otherwise(0.0) if reduction == "none" else _reduce(F.when(counted, loss), reduction)
+
+
 def huber(y: Column, p: Column, delta: float = 1.0, reduction: str = "mean") -> Column:
     e = F.abs(dbl(p) - dbl(y))
     q = F.least(e, F.lit(delta))

@@ -87,23 +87,31 @@ def hebbian(df: DataFrame, xs: list[str], ys: list[str], rate: float = 0.01) ->
 
 @dataclass
 class Optimizer:
-    """Gradient steps on a small parameter vector: sgd (with momentum) or adam."""
+    """Gradient steps on a small parameter vector: sgd (momentum, also Nesterov's) or adam (also amsgrad).
+
+    ``decay`` adds that share of the parameters to the gradient.  Amsgrad divides by the largest
+    second moment so far.
+    """
 
     kind: str = "adam"
     rate: float = 0.1
     momentum: float = 0.0
     betas: tuple[float, float] = (0.9, 0.999)
+    nesterov: bool = False
+    amsgrad: bool = False
+    decay: float = 0.0
     state: dict = field(default_factory=dict)
 
     def step(self, w: np.ndarray, g: np.ndarray) -> np.ndarray:
-        s = self.state
+        s, g = self.state, g + self.decay * w
         if self.kind == "sgd":
             s["v"] = self.momentum * s.get("v", np.zeros_like(w)) - self.rate * g
-            return w + s["v"]
+            return w + (self.momentum * s["v"] - self.rate * g if self.nesterov else s["v"])
         s["t"] = s.get("t", 0) + 1
         s["m"] = self.betas[0] * s.get("m", np.zeros_like(w)) + (1 - self.betas[0]) * g
         s["v"] = self.betas[1] * s.get("v", np.zeros_like(w)) + (1 - self.betas[1]) * g * g
-        return w - self.rate * (s["m"] / (1 - self.betas[0] ** s["t"])) / (np.sqrt(s["v"] / (1 - self.betas[1] ** s["t"])) + 1e-8)
+        s["top"] = np.maximum(s.get("top", s["v"]), s["v"]) if self.amsgrad else s["v"]
+        return w - self.rate * (s["m"] / (1 - self.betas[0] ** s["t"])) / (np.sqrt(s["top"] / (1 - self.betas[1] ** s["t"])) + 1e-8)
 
 
 def train_logistic(df: DataFrame, xs: list[str], y: str, optimizer: Optimizer, epochs: int = 10) -> np.ndarray:
