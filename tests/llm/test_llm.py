@@ -11,6 +11,7 @@ import warnings
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -185,6 +186,28 @@ def test_gray_levels_prune_the_data_of_the_query(spark):
     assert n > 500 and simhash.block_pairs(cut).count() < 0.25 * n * (n + 1) / 2
 
 
+@pytest.mark.parametrize("copied", [False, True])
+def test_even_bits_lead_the_gray_order(spark, copied):
+    """48 high bits that are nearly always zero, or copies of one bit, say little: the 16 others cut the blocks."""
+    rng = np.random.default_rng(3)
+    bits = rng.random((1 << 15, 64)) < 0.5
+    bits[:, 16:] = rng.random((1 << 15, 48)) < 0.01
+    if copied:
+        bits[:, 16:] ^= (rng.random(1 << 15) < 0.5)[:, None]
+    codes = np.unique(np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel())
+    df = spark.createDataFrame(pd.DataFrame({"fp": codes}))
+    n, order = simhash.bit_order(df)
+    assert n == len(codes) and sorted(order) == list(range(64))
+    assert sum(b < 16 for b in order[:17]) == 16  # and one bit of those copied
+    cut = Scratch(spark, "test").write(simhash.blocks(df, 128))
+    many = cut.count()
+    pairs = simhash.block_pairs(cut).count()
+    assert many > 200 and pairs < 0.35 * many * (many + 1) / 2
+    held = sorted(np.frombuffer(b"".join(r["codes"] for r in cut.select("codes").collect()), dtype="<i8").tolist())
+    assert held == codes.tolist()
+    assert simhash.bit_order(df.limit(0)) == (0, list(range(63, -1, -1)))
+
+
 def test_simhash_query_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     codes = [slow_fingerprint(r["text"]) for r in docs]
