@@ -17,6 +17,7 @@ from sparkloom.functions.ieee import dbl
 from sparkloom.functions.random import keyed_uniform
 from sparkloom.operators.features import fit_standard
 from sparkloom.operators.linalg import linear
+from sparkloom.operators.ordering import gathered_bits
 
 
 def batch_norm(df: DataFrame, columns: list[str], gain: float = 1.0, shift: float = 0.0, eps: float = 1e-5) -> DataFrame:
@@ -217,3 +218,50 @@ def detect_interference(a: Column, b: Column) -> Column:
 def resonance(xs: Column, shifts: int = 8) -> Column:
     """Mean product of a wave with itself shifted by 0, 1, ... steps."""
     return F.transform(F.sequence(F.lit(0), F.lit(shifts - 1)), lambda s: V.dot(xs, V.roll(xs, s)) / F.size(xs))
+
+
+@dataclass
+class WaveNetwork:
+    """A layer whose rows leave bits in a memory of up to 64 cells, one long for each state.
+
+    The hidden values are linear in ``columns`` (``inward``: columns x hidden) and give the
+    outputs (``outward``: hidden x outputs) and the wave (``cells``: hidden x cells), which
+    has the bits of the cells above ``threshold``.  Of a wave only what both gates let
+    through (bits as whole numbers) is added to the memory.
+    """
+
+    columns: list[str]
+    inward: np.ndarray
+    cells: np.ndarray
+    outward: np.ndarray
+    memory_gate: int
+    update_gate: int
+    threshold: float = 0.5
+
+    def wave(self) -> Column:
+        """The cells as bits; null where an input is null."""
+        weights = self.inward @ self.cells
+        if weights.shape[1] > 64:
+            raise ValueError("at most 64 cells")
+        out = F.lit(0).cast("long")
+        for c in range(weights.shape[1]):
+            out = out + F.shiftleft((linear(self.columns, weights[:, c]) > self.threshold).cast("long"), c)
+        return out
+
+    def outputs(self, prefix: str = "y") -> dict[str, Column]:
+        weights = self.inward @ self.outward
+        return {f"{prefix}_{j}": linear(self.columns, weights[:, j]) for j in range(weights.shape[1])}
+
+    def forward(self, df: DataFrame, key: list[str], order: list[str], memory: int | None = None, parts: int | None = None) -> DataFrame:
+        """Adds the outputs, ``wave`` and ``memory``, the state after each row of a series.
+
+        Without a ``memory`` to begin with, the first wave of a series is its memory, whole.
+        Bits are only ever added, so ranges of a series are folded apart and chained.
+        """
+        let = _long(self.memory_gate & self.update_gate)
+        rows = df.withColumns({**self.outputs(), "wave": self.wave()})
+        return gathered_bits(rows, key, order, F.col("wave").bitwiseAND(F.lit(let)), "memory", F.col("wave") if memory is None else F.lit(_long(memory)), parts)
+
+
+def _long(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits

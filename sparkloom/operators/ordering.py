@@ -95,6 +95,21 @@ def cumulative(df: DataFrame, key: list[str], order: list[str], value: str, name
     return out.withColumn(name, F.col("__before") + F.col("__x")).drop("__before", "__x", "__part", "__at")
 
 
+def gathered_bits(df: DataFrame, key: list[str], order: list[str], bits: Column, name: str = "bits", first: Column | None = None, parts: int | None = None) -> DataFrame:
+    """Adds the bits met so far along each series (a long); a null has none.
+
+    ``first`` are bits that only the first row of a series adds, for all its rows.
+    """
+    made = {"__c": F.coalesce(bits.cast("long"), F.lit(0)), "__f": F.lit(0).cast("long") if first is None else F.coalesce(first.cast("long"), F.lit(0))}
+    rows, inside, across = _series(df.withColumns(made), key, order, parts)
+    rows = rows.withColumn("__x", F.bit_or("__c").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    out = _carried(rows, key, [F.bit_or("__c").alias("__all"), F.min_by("__f", "__at").alias("__head")], {
+        "__before": F.coalesce(F.bit_or("__all").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "__start": F.first("__head").over(across.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    return out.withColumn(name, F.col("__start").bitwiseOR(F.col("__before")).bitwiseOR(F.col("__x"))).drop("__c", "__f", "__x", "__before", "__start", "__part", "__at")
+
+
 def level(df: DataFrame, key: list[str], order: list[str], change: Column, name: str = "level", start: float = 0.0, least: float = 0.0, parts: int | None = None) -> DataFrame:
     """Adds ``max(least, level before + change)`` along each series, beginning at ``start``.
 

@@ -1,5 +1,6 @@
 """Queries of layers, training steps, geometry and pattern memory."""
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,6 @@ def dropout(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, round(0.5 * l_discount + 0.2 * l_tax + 0.1, 8) AS y_0, round(-0.3 * l_discount + 0.8 * l_tax, 8) + 0.0 AS y_1 FROM lineitem")
 def dense_layer(spark, sf_dir):
-    import numpy as np
-
     out = N.dense(["l_discount", "l_tax"], np.array([[0.5, -0.3], [0.2, 0.8]]), np.array([0.1, 0.0]))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *[r(e, 8).alias(n) for n, e in out.items()])
 
@@ -100,3 +99,19 @@ def pattern_retrieval(spark, sf_dir):
     bits = table(spark, sf_dir, "embeddings").select("vec_id", S.to_binary(C("embedding")).alias("pattern"))
     asked = bits.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
     return L.recall_patterns(bits.withColumnRenamed("vec_id", "pattern_id"), asked, 0.7).withColumn("similarity", F.round("similarity", 6))
+
+
+_CELLS = np.array([[((7 * i + 5 * c) % 13 - 6) / 7 for c in range(16)] for i in range(3)])
+_NET = L.WaveNetwork(["x0", "x1"], np.array([[0.9, -0.4, 0.3], [0.2, 0.7, -0.8]]), _CELLS, np.array([[0.5], [-0.25], [1.0]]), 0b1011011101101101, 0b1101111011010110)
+_WAVE = " + ".join(f"CASE WHEN {a!r} * x0 + {b!r} * x1 > 0.5 THEN {1 << c} ELSE 0 END" for c, (a, b) in enumerate((_NET.inward @ _CELLS).T.tolist()))
+_OUT = (_NET.inward @ _NET.outward)[:, 0].tolist()
+
+
+@query(f"""WITH x AS (SELECT event_id, user_id, ln(1 + value) AS x0, (event_id % 11) / 5 AS x1 FROM events),
+w AS (SELECT *, ({_WAVE})::BIGINT AS wave FROM x)
+SELECT event_id, wave, round({_OUT[0]!r} * x0 + {_OUT[1]!r} * x1, 6) + 0.0 AS y_0,
+first_value(wave) OVER s | bit_or(wave & {_NET.memory_gate & _NET.update_gate}) OVER s AS memory FROM w WINDOW s AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def wave_network(spark, sf_dir):
+    """What the events of a user leave in a memory of 16 cells."""
+    df = table(spark, sf_dir, "events").select("event_id", "user_id", F.ln(1 + C("value")).alias("x0"), (C("event_id") % 11 / 5).alias("x1"))
+    return _NET.forward(df, ["user_id"], ["event_id"]).select("event_id", "wave", r(C("y_0")).alias("y_0"), "memory")

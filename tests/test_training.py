@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import loss
-from sparkloom.operators.layers import Optimizer
+from sparkloom.operators.layers import Optimizer, WaveNetwork
 
 
 def test_smoothed_crossentropy(spark):
@@ -47,3 +47,25 @@ def test_nesterov_and_amsgrad():
         got = best.step(got, g)
         assert got == pytest.approx(w)
     assert (top > v).all()
+
+
+@pytest.mark.parametrize("memory", [None, 0, (1 << 63) | 5])
+def test_wave_network(spark, memory):
+    """One hot series over many ranges, a short one, nulls, and all 64 cells, against a loop."""
+    rng = np.random.default_rng(2)
+    net = WaveNetwork(["a", "b"], rng.normal(size=(2, 3)), rng.normal(size=(3, 64)), rng.normal(size=(3, 2)), int(rng.integers(1 << 62)) | 1 << 63, int(rng.integers(1 << 62)) | 1 << 63, 2.5)
+    rows = [(None if i % 50 == 7 else int(i >= 290), i, None if i in (0, 33, 295) else float(rng.normal()), float(rng.normal()), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, t int, a double, b double, wave_of int")
+    got = {r["t"]: r for r in net.forward(df, ["k"], ["t"], memory, 7).collect()}
+    state = {}
+    for k, t, a, b, _ in rows:
+        x = None if a is None else np.array([a, b])
+        wave = None if x is None else sum(1 << c for c, v in enumerate(x @ net.inward @ net.cells) if v > 2.5)
+        state.setdefault(k, (wave or 0) if memory is None else memory)
+        state[k] |= (wave or 0) & net.memory_gate & net.update_gate
+        r = got[t]
+        assert r["memory"] & (1 << 64) - 1 == state[k]
+        assert (r["wave"] is None) == (wave is None) and (wave is None or r["wave"] & (1 << 64) - 1 == wave)
+        assert wave is None or [r["y_0"], r["y_1"]] == pytest.approx(x @ net.inward @ net.outward)
+    assert len(got) == 300 and len({bin(s) for s in state.values()}) > 1
+    assert net.forward(df.limit(0), ["k"], ["t"], memory, 3).count() == 0
