@@ -297,6 +297,46 @@ def solve_large(a: DataFrame, b: DataFrame, n: int, size: int = 256) -> DataFram
     return _cells(blocks, used, size, n, 1).select("i", "v")
 
 
+def solve_bordered(a: DataFrame, b: DataFrame, n: int, border: int, size: int = 256) -> DataFrame:
+    """``i, v`` for ``i < n``: the solution of a system whose first ``n`` unknowns meet only in diagonal blocks of ``size``, all else in ``border`` last rows and columns.
+
+    ``a`` has rows ``i, j, v`` with numbers below ``n + border``, ``b`` rows ``i, v``; absent ones are 0 and cells given twice are added.  A diagonal plus a product
+    ``u w'`` of ``border`` columns is such a system of few cells: its border holds ``u``, ``w'`` and minus the unit matrix.  Each block is eliminated by a task with the
+    cells of its rows and columns alone; what the blocks add up to, and the driver solves, is ``border`` squared numbers.
+    A cell between two blocks, or a singular block or rest, is an error.
+    """
+    if border < 1:
+        raise ValueError("a border of one or more is wanted")
+    inside = a.where(F.col("i").between(0, n + border - 1) & F.col("j").between(0, n + border - 1)).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), dbl(F.col("v")).alias("v"))
+    right = b.where(F.col("i").between(0, n + border - 1)).select(F.col("i").cast("long").alias("i"), F.lit(n + border).cast("long").alias("j"), dbl(F.col("v")).alias("v"))
+    both = inside.unionByName(right).unionByName(a.sparkSession.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("v")))  # each block is met
+    corner, most = np.zeros((border, border + 1)), n + border
+    in_block = F.least("i", "j") < n
+    for r in both.where(~in_block).groupBy("i", "j").agg(F.sum("v").alias("v")).collect():  # border squared at most
+        corner[r["i"] - n, r["j"] - n] = r["v"]
+    cells = both.where(in_block).withColumn("block", F.floor(F.when(F.col("i") < n, F.col("i")).otherwise(F.col("j")) / size).cast("long"))
+
+    def run(key, t):
+        first = int(key[0]) * size
+        width = min(size, n - first)
+        m = np.zeros((width + border, width + border + 1))
+        i, j = (np.where(x >= n, x - n + width, x - first) for x in (t["i"].to_numpy(), t["j"].to_numpy()))
+        if (i < 0).any() or (j < 0).any() or ((t["j"].to_numpy() < n) & (j >= width)).any():
+            raise ValueError("a cell lies between two blocks")
+        np.add.at(m, (i, j), t["v"].to_numpy())
+        solved = np.linalg.solve(m[:width, :width], m[:width, width:])  # of the border's columns and the right side
+        rest = m[width:, :width] @ solved
+        out = [(first + k, x.tolist()) for k, x in enumerate(solved)] + [(most + k, x.tolist()) for k, x in enumerate(rest)]
+        return pa.Table.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.float64()))], names=["i", "x"])
+
+    done = stored(cells.groupBy("block").applyInArrow(run, "i long, x array<double>"), "bordered")
+    sums = done.where(F.col("i") >= most).select("i", F.posexplode("x").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    for r in sums.collect():  # border squared at most
+        corner[r["i"] - most, r["j"]] -= r["v"]
+    last = np.linalg.solve(corner[:, :border], corner[:, border])
+    return done.where(F.col("i") < most).select("i", (F.element_at("x", border + 1) - dot(F.slice("x", 1, border), F.lit(last.tolist()))).alias("v"))
+
+
 def inverse_large(a: DataFrame, n: int, size: int = 256) -> DataFrame:
     """``i, j, v`` of the inverse of one large matrix."""
     one = a.sparkSession.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))

@@ -16,6 +16,7 @@ from sparkloom.operators import metrics as X
 from sparkloom.operators import ordering as O
 from sparkloom.operators import waves as H
 from sparkloom.operators import windows as W
+from sparkloom.plans import large as L
 from sparkloom.sources.shared import folder
 
 
@@ -170,6 +171,34 @@ def test_large_systems(spark):
     assert D.log_det_large(cells(spark, np.ones((5, 5))), 5, 5)[0] == 0 or D.log_det_large(cells(spark, np.ones((5, 5))), 5, 5)[1] < -30
 
 
+def test_bordered_systems(spark):
+    rng = np.random.default_rng(5)
+    m, n = np.zeros((53, 53)), 50
+    for k in range(0, n, 16):
+        m[k : min(k + 16, n), k : min(k + 16, n)] = rng.normal(size=(min(16, n - k),) * 2)
+    m[:, n:], m[n:, :] = rng.normal(size=(53, 3)), rng.normal(size=(3, 53))
+    b = rng.normal(size=53)
+    right = spark.createDataFrame([(i, float(v)) for i, v in enumerate(b)], "i long, v double")
+    x = D.solve_bordered(cells(spark, m).unionByName(cells(spark, m)), right, n, 3, 16).orderBy("i").collect()
+    assert [r["i"] for r in x] == list(range(n)) and [r["v"] for r in x] == pytest.approx((np.linalg.solve(m, b)[:n] / 2).tolist())
+    m[3, 40] = 1.0
+    with pytest.raises(Exception, match="between two blocks"):
+        D.solve_bordered(cells(spark, m), right, n, 3, 16).count()
+
+
+def test_large_system_is_made_of_few_cells(spark, tmp_path, monkeypatch):
+    """Cells in proportion to the suppliers: 3,000 of them make 9,001, not nine million."""
+    spark.range(3000).select(F.col("id").alias("s_suppkey"), (F.sin("id") * 900).alias("s_acctbal")).write.parquet(str(tmp_path / "supplier.parquet"))
+    seen, real = [], D.solve_bordered
+    monkeypatch.setattr(D, "solve_bordered", lambda a, *more: (seen.append(a.count()), real(a, *more))[1])
+    got = {r["i"]: r["x"] for r in L.large_system(spark, str(tmp_path)).collect()}
+    k = np.arange(3000)
+    y = np.sin(k) * 900
+    d, u, w = 100 + np.abs(y), 1.0 + k % 3, 1 / (1.0 + k % 5)
+    want = (y - u * (w * y / d).sum() / (1 + (w * u / d).sum())) / d
+    assert seen == [9001] and [got[i] for i in range(3000)] == pytest.approx(want.tolist(), abs=1e-6)
+
+
 def test_two_thousand_unknowns(spark):
     """Off-diagonal cells of two thousand rows; the residual is tested with joins."""
     n = 2000
