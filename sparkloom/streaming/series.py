@@ -1,23 +1,22 @@
 """Windows of series whose rows come late and out of order: list state and timers in event time.
 
-A row waits in a map under its key and millisecond, with a timer for that moment.  Once the watermark
-has passed it, the timers of a key fire in the order of time, and each takes the rows of one
-millisecond to the end of the series.  So windows are those of the series in order, whatever the
-order of arrival, and a call holds ``BATCH`` arriving rows, or one millisecond's rows and ``width``
-values; the rest lies in the state store.
+Keys are dealt to shards, and a shard's rows wait in a list in the pieces in which they came, with a timer for the latest of each piece.
+When a timer fires, all waiting rows that the watermark has passed are put in order and advance the series of the
+shard together, in arrays.  So windows are those of the series in order, whatever the order of arrival, and
+the state store is asked for pieces, not for rows.  A call holds a shard's waiting rows (those of a batch and of the lateness) and the ends of its series.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-WINDOWS = "key string, stride int, start long, mean double, energy double"
-BATCH = 1024
+from sparkloom.streaming.stride import SHARDS, TAILS, WINDOWS, advanced, shard_of
 
 
 def stateful_session(spark: SparkSession) -> SparkSession:
@@ -29,59 +28,65 @@ def stateful_session(spark: SparkSession) -> SparkSession:
     return own
 
 
+COLUMNS = (("key", object), ("us", np.int64), ("at", np.int64), ("value", float))
+
+
+def _packed(keys: np.ndarray, *numbers: np.ndarray) -> tuple:
+    return (keys.tolist(), *(x.tobytes() for x in numbers))
+
+
 class Series(StatefulProcessor):
-    """Mean and energy of the whole windows of a key that start at multiples of the strides."""
+    """Mean and energy of the whole windows of a shard's keys that start at multiples of the strides."""
 
     def __init__(self, width: int, strides: list[int], idle_ms: int | None):
         self.width, self.strides, self.idle = width, strides, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms long", "rows array<struct<us:long,at:long,value:double>>")
-        self.tail = handle.getListState("tail", "value double")
-        self.place = handle.getValueState("place", "seen long, last long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        while some := list(islice(rows, BATCH)):
-            by: dict[int, list[tuple]] = {}
-            for r in some:
-                by.setdefault(r["ms"], []).append((r["us"], r["at"], r["value"]))
-            for ms, new in by.items():
-                held = self.waiting.getValue((ms,))
-                if held is None:
-                    self.handle.registerTimer(ms)
-                self.waiting.updateValue((ms,), ([*(tuple(x) for x in (held[0] if held else [])), *new],))
+        self.waiting = handle.getListState("waiting", "keys array<string>, us binary, at binary, value binary")
+        self.tails = handle.getValueState("tails", TAILS)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for some in rows:
+            self.waiting.appendValue(_packed(*(some[c].to_numpy(dtype=t) for c, t in COLUMNS)))
+            self.handle.registerTimer(-(-int(some["us"].max()) // 1000))
         return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        seen, last = self.place.get() or (0, now)
-        held = self.waiting.getValue((now,))
-        if held is None:  # a timer of idleness
-            if self.idle is not None and last + self.idle <= now:
-                self.tail.clear()
-                self.place.clear()
-            elif self.idle is not None and seen:
-                self.handle.registerTimer(last + self.idle)
-            return
-        self.waiting.removeKey((now,))
-        tail = [v[0] for v in self.tail.get()]
-        if self.idle is not None:
-            if seen and last + self.idle <= now:
-                seen, tail = 0, []
-            if not seen:
-                self.handle.registerTimer(now + self.idle)
-        for _, _, value in sorted(tuple(x) for x in held[0]):
-            tail, seen = [*tail[-(self.width - 1) :], value] if self.width > 1 else [value], seen + 1
-            start = seen - self.width
-            for s in self.strides if start >= 0 else ():
-                if start % s == 0:
-                    yield Row(key=key[0], stride=s, start=start, mean=sum(tail) / self.width, energy=sum(x * x for x in tail))
-        self.tail.put([(x,) for x in tail])
-        self.place.update((seen, now))
-
-
-def late_windows(events: DataFrame, key: str, time: str, order: str, value: str, width: int, strides: list[int], late: str = "0 seconds", idle_ms: int | None = None) -> DataFrame:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        held = list(self.waiting.get())
+        columns = [np.concatenate([np.frombuffer(h[c], dtype=t) if c else np.array(h[0], dtype=object) for h in held]) if held else np.zeros(0, dtype=t) for c, (_, t) in enumerate(COLUMNS)]
+        due = columns[1] <= passed * 1000
+        state = self.tails.get() if due.any() or self.idle is not None else None
+        if due.any():
+            keys, us, at, value = (x[due] for x in columns)
+            order = np.lexsort((value, at, us))
+            state, out = advanced(state, keys[order], value[order], us[order] // 1000, self.width, self.strides, self.idle)
+            if due.all():
+                self.waiting.clear()
+            else:
+                self.waiting.put([_packed(*(x[~due] for x in columns))])
+            if len(out):
+                yield out
+        if state is not None and self.idle is not None:
+            state = _without_idle(state, passed - self.idle)
+            if state[0]:
+                self.handle.registerTimer(int(np.frombuffer(state[3], dtype=np.int64).min()) + self.idle)
+        if state is not None and state[0]:
+            self.tails.update(state)
+        elif state is not None:
+            self.tails.clear()
+
+
+def _without_idle(state: tuple, last: int) -> tuple:
+    """The state of the keys that have had a row after ``last``."""
+    seen, held, ms = (np.frombuffer(x, dtype=np.int64) for x in state[1:4])
+    keep = ms > last
+    tail = np.frombuffer(state[4], dtype=float)[np.repeat(keep, held)]
+    return [k for k, some in zip(state[0], keep) if some], seen[keep].tobytes(), held[keep].tobytes(), ms[keep].tobytes(), tail.tobytes()
+
+
+def late_windows(events: DataFrame, key: str, time: str, order: str, value: str, width: int, strides: list[int], late: str = "0 seconds", idle_ms: int | None = None, shards: int = SHARDS) -> DataFrame:
     """``key, stride, start, mean, energy`` of every whole window of ``width`` values of a key, in the order of ``time``, then ``order`` (a long).
 
     ``events`` is a stream of a :func:`stateful_session`.  Rows may come ``late`` by that much behind
@@ -92,5 +97,5 @@ def late_windows(events: DataFrame, key: str, time: str, order: str, value: str,
     slim = events.select(F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias("time"), F.col(order).cast("long").alias("at"), F.col(value).cast("double").alias("value"))
     # The moment is null for rows outside any series.  As it needs the time, Spark leaves this filter above the watermark.
     whole = F.col("key").isNotNull() & F.col("at").isNotNull() & F.col("value").isNotNull()
-    placed = slim.withWatermark("time", late).withColumn("us", F.unix_micros("time")).withColumn("ms", F.when(whole, F.floor(F.col("us") / 1000).cast("long"))).where("ms IS NOT NULL")
-    return placed.groupBy("key").transformWithState(Series(width, strides, idle_ms), WINDOWS, "append", "EventTime")
+    placed = slim.withWatermark("time", late).withColumn("us", F.when(whole, F.unix_micros("time"))).where("us IS NOT NULL").withColumn("shard", shard_of("key", shards))
+    return placed.groupBy("shard").transformWithStateInPandas(Series(width, strides, idle_ms), WINDOWS, "append", "EventTime")

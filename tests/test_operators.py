@@ -308,6 +308,19 @@ def test_stream_of_many_batches(spark, tmp_path):
     assert sorted((r["key"], r["stride"], r["start"], r["mean"]) for r in got.collect()) == sorted(want)
 
 
+def test_stream_state_of_shards(spark, tmp_path):
+    """Many keys, one of them null, share few states; null values are part of a series."""
+    rows = [(i, None if i % 50 == 7 else f"k{i % 50}", None if i == 407 else float(i)) for i in range(1000)]
+    stream = stride.in_order(spark.createDataFrame(rows, "at long, key string, v double"), "at", str(tmp_path / "in"), most=300)
+    got = stride.drain(stride.strided(stream, "key", "at", "v", 4, [1, 3], shards=3), str(tmp_path / "out"), str(tmp_path / "state")).collect()
+    want = set()
+    for key in {k for _, k, _ in rows}:
+        x = [v for _, k, v in rows if k == key]
+        want |= {(key, s, i, None if None in x[i : i + 4] else sum(x[i : i + 4]) / 4) for s in (1, 3) for i in range(0, len(x) - 3, s)}
+    found = [(r["key"], r["stride"], r["start"], None if r["mean"] is None or r["mean"] != r["mean"] else r["mean"]) for r in got]
+    assert len(found) == len(want) and set(found) == want
+
+
 def test_type_table(spark):
     rows = [(i, f"n{i}", f"u{i}", "ab"[i % 2], f"w{i} x y", f"{i} " + "long text " * 15, bool(i % 2), i % 5, float(i) if i % 3 else None, f"c{i % 40}", [i]) for i in range(150)]
     df = spark.createDataFrame(rows, "k int, name string, user_id string, c string, t string, l string, b boolean, few int, x double, mid string, a array<int>")

@@ -36,3 +36,14 @@ def test_idle_series_end(spark, tmp_path):
     got = _run(spark, tmp_path, rows, 3, width=3, strides=[1], idle_ms=50_000)
     assert [(s, m) for _, _, s, m, _ in got] == [(0, 1.0), (0, 5.0), (1, 2.0)]
     assert len(_run(spark, tmp_path / "whole", rows, 3, width=3, strides=[1])) == 5
+
+
+def test_keys_share_the_state_of_a_shard(spark, tmp_path):
+    """A thousand keys in one state, over batches: the windows of each."""
+    rows = [(i, f"k{i % 1000}", (i * 7) % 97, float(i)) for i in range(4000)] + [(4000, None, 9000, 0.0)]
+    got = _run(spark, tmp_path, rows, 1500, width=3, strides=[1], late="100 seconds", shards=1)
+    want = []
+    for k in range(1000):
+        x = [v for _, v in sorted((s, v) for _, key, s, v in rows if key == f"k{k}")]
+        want += [(f"k{k}", 1, i, sum(x[i : i + 3]) / 3, sum(v * v for v in x[i : i + 3])) for i in range(2)]
+    assert got == sorted(want)
