@@ -61,23 +61,20 @@ def floor_divide(a: Column, b: Column) -> Column:
 
 
 def mod(a: Column, b: Column) -> Column:
-    """Remainder with the sign of the divisor."""
-    r = F.try_mod(dbl(a), dbl(b))
+    """Remainder with the sign of the divisor; a remainder of zero has none, as in a - b * floor(a / b)."""
+    r = F.try_mod(dbl(a), dbl(b)) + 0.0
     return F.when(dbl(b) == 0, NAN).when((r != 0) & ((r < 0) != (dbl(b) < 0)), r + dbl(b)).otherwise(r)
 
 
-def _whole(fn, x: Column) -> Column:
-    """Spark's own goes through a long; larger numbers, infinities and NaN are whole already."""
-    x = dbl(x)
-    return F.when(F.abs(x) < float(1 << 52), fn(x).cast("double")).otherwise(x)
-
-
 def floor(x: Column) -> Column:
-    return _whole(F.floor, x)
+    """Of any double: Spark's own goes through a long, which large numbers leave and in which zero loses its sign."""
+    x = dbl(x)
+    near = F.rint(x)
+    return near - F.when(near > x, 1.0).otherwise(0.0)
 
 
 def ceil(x: Column) -> Column:
-    return _whole(F.ceil, x)
+    return -floor(-dbl(x))
 
 
 def clip(x: Column, lo=None, hi=None) -> Column:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,15 @@ def test_activations_and_losses(spark):
     b = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, 0.8), (0, 0.3)], "y int, p double")
     want = -(2 * math.log(0.9) + math.log(0.8) + math.log(0.7)) / 4
     assert b.select(L.binary_crossentropy(F.col("y"), F.col("p"))).first()[0] == pytest.approx(want)
+
+
+def test_zeros_of_floor_ceil_and_mod_have_the_signs_of_the_sql(spark):
+    """Also of numbers beyond a long, infinities and NaN."""
+    xs = [-0.0, 0.0, -0.3, 0.3, -0.7, 0.7, -2.5, 2.5, -3.0, 1e300, -1e300, 4503599627370497.5, INF, -INF, float("nan")]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = df.select(M.floor(F.col("x")), M.ceil(F.col("x")), M.floor(F.lit(None).cast("double"))).collect()
+    assert [repr(r[0]) for r in got] == [repr(float(np.floor(x))) for x in xs] and [repr(r[1]) for r in got] == [repr(float(np.ceil(x))) for x in xs]
+    assert all(r[2] is None for r in got)
+    pairs = [(-8.0, -2.0), (8.0, -2.0), (0.0, -3.0), (-8.0, 2.0), (-7.0, 2.0), (7.0, -2.0)]
+    got = spark.createDataFrame(pairs, "a double, b double").select(M.mod(F.col("a"), F.col("b"))).collect()
+    assert [repr(r[0]) for r in got] == [repr(a - b * float(np.floor(a / b))) for a, b in pairs]
