@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,9 +64,9 @@ def dft_rows(df: DataFrame, key: str, xs: str, n: int) -> DataFrame:
 def magnitudes(xs: Column) -> Column:
     """Of the non-negative frequencies."""
 
-    @F.pandas_udf("array<double>")
-    def run(col: pd.Series) -> pd.Series:
-        return pd.Series([np.abs(np.fft.rfft(np.asarray(x, dtype=float))) if x is not None and len(x) else None for x in col])
+    @F.arrow_udf("array<double>")
+    def run(col: pa.Array) -> pa.Array:
+        return _by_length(col, lambda m: np.abs(np.fft.rfft(m, axis=1)), real=True)
 
     return run(xs.cast("array<double>"))
 
@@ -180,12 +181,8 @@ def peaks(df: DataFrame, key: list[str], order: str, value: str, share: float =
 # Arrow batches
 
 
-def _pack(z: np.ndarray) -> list[dict]:
-    return [{"re": float(a), "im": float(b)} for a, b in zip(z.real.ravel(), z.imag.ravel())]
-
-
-def _unpack(xs) -> np.ndarray:
-    return np.array([complex(x["re"], x["im"]) if isinstance(x, dict) or hasattr(x, "keys") else x for x in xs])
+#: Numbers of a batch that one step of a transform turns into complex ones at once.
+STEP = 1 << 18
 
 
 def _some(fn):
@@ -193,17 +190,46 @@ def _some(fn):
     return lambda x: None if x is None or not len(x) or any(v is None or v != v for v in x) else fn(x)
 
 
+def _by_length(xs: pa.Array, fn, real: bool = False) -> pa.Array:
+    """Arrays of numbers, or of structs ``re, im``, as the transforms ``fn(matrix)`` of those of one length, without an object for a number.
+
+    Null for a null or empty array and for one with a null or NaN entry.  Matrices hold ``STEP`` numbers, or one array, at most.
+    """
+    flat, inner = xs.flatten(), np.asarray(xs.value_lengths().fill_null(0), dtype=np.int64)
+    parts = flat.flatten() if pa.types.is_struct(flat.type) else [flat]
+    numbers = [np.asarray(p.cast(pa.float64()).fill_null(np.nan)) for p in parts]
+    starts, many = np.cumsum(inner) - inner, np.zeros(len(xs), dtype=np.int64)
+    found = []
+    for length in np.unique(inner[inner > 0]):
+        rows = np.flatnonzero(inner == length)
+        for some in np.array_split(rows, max(1, -(-len(rows) * int(length) // STEP))):
+            at = starts[some][:, None] + np.arange(length)
+            cells = [n[at] for n in numbers]
+            whole = ~np.any([np.isnan(c).any(axis=1) for c in cells], axis=0)
+            if whole.any():
+                y = np.asarray(fn(np.stack([c[whole] for c in cells], axis=-1).view(complex)[..., 0] if len(cells) > 1 else cells[0][whole]))
+                y = y.reshape(len(y), -1)
+                many[some[whole]] = y.shape[1]
+                found.append((some[whole], y))
+    ends = np.cumsum(many)
+    out = np.zeros(int(many.sum()), dtype=float if real else complex)
+    for rows, y in found:
+        out[(ends - many)[rows][:, None] + np.arange(y.shape[1])] = y
+    values = pa.array(out) if real else pa.StructArray.from_arrays([pa.array(out.real), pa.array(out.imag)], names=["re", "im"])
+    offsets = np.append(0, ends).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(many == 0, False)), values)
+
+
 def fft(xs: Column, inverse: bool = False, real: bool = False, n: int | None = None) -> Column:
     """Of any length, in Arrow batches.  Forward ones take numbers; inverse ones take structs.
 
     Null for a null or empty array, and where an entry is null or NaN, as for all transforms here.
     """
 
-    @F.pandas_udf(COMPLEX if not (inverse and real) else "array<double>")
-    def run(col: pd.Series) -> pd.Series:
+    @F.arrow_udf(COMPLEX if not (inverse and real) else "array<double>")
+    def run(col: pa.Array) -> pa.Array:
         fn = {(False, False): np.fft.fft, (False, True): np.fft.rfft, (True, False): np.fft.ifft, (True, True): np.fft.irfft}[inverse, real]
-        one = _some(lambda x: (lambda y: y.tolist() if inverse and real else _pack(y))(fn(_unpack(x) if inverse else np.asarray(x, dtype=float), n)))
-        return pd.Series([one(x) for x in col], dtype=object)
+        return _by_length(col, lambda m: fn(m, n, axis=1), inverse and real)
 
     return run(xs if inverse else xs.cast("array<double>"))
 
@@ -211,11 +237,10 @@ def fft(xs: Column, inverse: bool = False, real: bool = False, n: int | None = N
 def fft_nd(xs: Column, shape: tuple[int, ...], inverse: bool = False, real: bool = False) -> Column:
     """Over several axes: the array holds a row-major block of ``shape``, as does the result."""
 
-    @F.pandas_udf(COMPLEX)
-    def run(col: pd.Series) -> pd.Series:
+    @F.arrow_udf(COMPLEX)
+    def run(col: pa.Array) -> pa.Array:
         fn = np.fft.ifftn if inverse else (np.fft.rfftn if real else np.fft.fftn)
-        one = _some(lambda x: _pack(fn((_unpack(x) if inverse else np.asarray(x, dtype=float)).reshape(shape))))
-        return pd.Series([one(x) for x in col], dtype=object)
+        return _by_length(col, lambda m: fn(m.reshape(-1, *shape), axes=tuple(range(1, len(shape) + 1))))
 
     return run(xs if inverse else xs.cast("array<double>"))
 
