@@ -323,13 +323,15 @@ def _terms(column: str) -> Column:
 def tfidf(df: DataFrame, key: str, column: str, most: int = 100) -> DataFrame:
     """``key, term, weight`` for the ``most`` commonest terms: counts times smooth idf, of length 1 for each row.
 
-    One explode of the texts; what is joined back is a list of at most ``most`` terms, and
-    one length for each row.
+    The commonest terms are counted first, which moves a number for each term and task; only their counts are then kept by row,
+    ``most`` at most for each.
     """
     n_docs = df.count()
-    counts = df.select(key, F.explode(_terms(column)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-    top = counts.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df")).orderBy(F.desc("tf"), "term").limit(most)
-    idf = F.broadcast(top.select("term", (F.ln((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")))  # at most ``most`` rows
+    terms = df.select(key, F.explode(_terms(column)).alias("term"))
+    top = terms.groupBy("term").agg(F.count("*").alias("tf")).orderBy(F.desc("tf"), "term").limit(most).select("term")
+    counts = terms.join(F.broadcast(top), "term").groupBy(key, "term").agg(F.count("*").alias("n"))  # ``most`` rows are broadcast
+    found = counts.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.broadcast(found.select("term", (F.ln((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")))  # at most ``most`` rows
     raw = counts.join(idf, "term").select(key, "term", (F.col("n") * F.col("idf")).alias("w"))
     return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).drop("w")
 

@@ -308,6 +308,49 @@ def test_stream_of_many_batches(spark, tmp_path):
     assert sorted((r["key"], r["stride"], r["start"], r["mean"]) for r in got.collect()) == sorted(want)
 
 
+def test_tfidf_moves_no_rare_terms(spark):
+    """Ids on two rows are one; the exchange by row and term lies above the join with the commonest terms."""
+    rows = [(i % 30, f"common{i % 3} common{i % 4} rare{i}") for i in range(60)] + [(None, "common1 x"), (90, None)]
+    out = E.tfidf(spark.createDataFrame(rows, "k int, t string"), "k", "t", 3)
+    by: dict = {}
+    for k, t in rows:
+        for w in (t or "").split():
+            if len(w) > 1:
+                by.setdefault((k, w), []).append(w)
+    tf: dict = {}
+    for (_, w), some in by.items():
+        tf[w] = tf.get(w, 0) + len(some)
+    top = sorted(tf, key=lambda w: (-tf[w], w))[:3]
+    raw = {(k, w): len(n) * (math.log(63 / (1 + sum(v == w for _, v in by))) + 1) for (k, w), n in by.items() if w in top}
+    want = {(k, w): x / math.sqrt(sum(y * y for (j, _), y in raw.items() if j == k)) for (k, w), x in raw.items()}
+    assert {(r["k"], r["term"]): r["weight"] for r in out.collect()} == pytest.approx(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    first = next(line for line in plan.splitlines() if "Aggregate [k" in line)
+    below = plan[plan.index(first) :]
+    assert "Join" in below and below.index("Join") < below.index("Generate")
+
+
+def test_transforms_of_whole_batches(spark):
+    """Arrays of several lengths, null and broken ones; a batch costs numbers, not objects."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    xs = [[1.0, 2.0, 4.0], None, [], [1.0, None, 2.0], [3.0, 1.0], [float("nan"), 1.0], [0.0, -1.0, 5.0], [7.0]]
+    got = S._by_length(pa.array(xs, pa.list_(pa.float64())), lambda m: np.fft.fft(m, axis=1)).to_pylist()
+    for x, z in zip(xs, got):
+        fine = x and not any(v is None or v != v for v in x)
+        assert (z is not None) == bool(fine) and (not fine or [complex(v["re"], v["im"]) for v in z] == pytest.approx(np.fft.fft(x).tolist()))
+    df = spark.createDataFrame([(x,) for x in xs], "x array<double>").withColumn("z", S.fft(F.col("x"))).withColumn("h", S.fft(F.col("x"), real=True))
+    for x, back, half in df.select("x", S.fft(F.col("z"), inverse=True), S.fft(F.col("h"), inverse=True, real=True, n=3)).collect():
+        assert (back is None) == (half is None) and (back is None or [v["re"] for v in back] == pytest.approx(x) and (len(x) != 3 or half == pytest.approx(x)))
+    many = pa.array(np.random.default_rng(0).normal(size=(20000, 64)).tolist(), pa.list_(pa.float64()))
+    tracemalloc.start()
+    S._by_length(many, lambda m: np.fft.fft(m, axis=1))
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
 def test_stream_state_of_shards(spark, tmp_path):
     """Many keys, one of them null, share few states; null values are part of a series."""
     rows = [(i, None if i % 50 == 7 else f"k{i % 50}", None if i == 407 else float(i)) for i in range(1000)]
