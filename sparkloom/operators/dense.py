@@ -121,7 +121,7 @@ def wide_svd(rows: DataFrame, d: int, k: int, centre: bool = False, more: int =
     """The first ``k`` singular values of rows ``x`` of ``d`` numbers, by a random range finder.
 
     ``k + more`` random directions are turned ``rounds`` times towards the leading ones: each round is one
-    pass that adds up ``x.T (x V)`` in blocks.  The values come from the tree QR of ``x V``, so they are not
+    pass that adds up ``x.T (x V)`` in blocks, and none follows once the span stays the same.  The values come from the tree QR of ``x V``, so they are not
     squared.  What a task passes on and the driver holds is ``d`` times ``k + more`` numbers; with ``k + more >= d`` the result is exact.
     """
     width = min(k + more, d)
@@ -136,7 +136,10 @@ def wide_svd(rows: DataFrame, d: int, k: int, centre: bool = False, more: int =
         turned = _collected(tree(rows, d, lambda held, x, v=v: (x - mean).T @ ((x - mean) @ v) + (0 if held is None else held), _added), width)
         if not len(turned) or not turned.any():
             break
+        settled = np.linalg.norm(turned - v @ (v.T @ turned)) <= 1e-14 * np.linalg.norm(turned)
         v = np.linalg.qr(turned)[0]
+        if settled:  # the directions span what they are turned to: more rounds would give the same span
+            break
     r = triangle(rows, d, lambda x: (x - mean) @ v)
     if not len(r):
         return Wide(np.zeros(0), np.zeros((0, d)), mean, n)

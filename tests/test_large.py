@@ -126,6 +126,16 @@ def test_wide_singular_values(spark):
         D.wide_svd(df, 3, 1)
 
 
+def test_range_finder_stops_when_its_span_stays(spark, monkeypatch):
+    """Rows of rank two take two rounds and the last pass, as many as there are trees."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(200, 2)) @ rng.normal(size=(2, 40))
+    df, seen, real = spark.createDataFrame([(x.tolist(),) for x in a], "x array<double>"), [], D.tree
+    monkeypatch.setattr(D, "tree", lambda *x, **y: (seen.append(1), real(*x, **y))[1])
+    got = D.wide_svd(df, 40, 2)
+    assert got.values == pytest.approx(np.linalg.svd(a, compute_uv=False)[:2], rel=1e-10) and len(seen) <= 3
+
+
 def test_moments_of_batches_equal_one_pass_and_replays_count_once(spark):
     names = ["a", "b", "c"]
     df = spark.range(600).select((F.col("id") % 13).cast("double").alias("a"), F.sin("id").alias("b"), F.when(F.col("id") % 9 > 0, F.col("id") % 5).alias("c"), "id")
