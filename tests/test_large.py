@@ -86,6 +86,49 @@ def test_interpolation_follows_lines(spark):
     assert list(grid.values()) == pytest.approx(np.interp(list(grid), points, values).tolist())
 
 
+def test_resampling_orders_points_and_not_what_it_makes(spark, monkeypatch):
+    placed, stored = [], O.stored
+    monkeypatch.setattr(O, "stored", lambda df, name: placed.append(df.count()) or stored(df, name) if name == "placed" else stored(df, name))
+    df = spark.createDataFrame([("a", 0, 0.0), ("a", 100_000, 1.0), ("b", -7, 3.0)], "k string, t long, x double")
+    got = O.resampled(df, ["k"], "t", "x", 1, 4)
+    assert placed == [3]
+    assert {r["k"]: (r["n"], r["x"]) for r in got.groupBy("k").agg(F.count("t").alias("n"), F.sum("x").alias("x")).collect()} == {"a": (100_001, pytest.approx(50_000.5)), "b": (1, 3.0)}
+
+
+def test_ranges_follow_the_rows_and_series_may_end_anywhere(spark, monkeypatch):
+    monkeypatch.setattr(O, "ROWS", 25)
+    random.seed(5)
+    keys = [None, "long", *[f"k{j}" for j in range(60)]]
+    points = {k: sorted(random.sample(range(-3000, 3000), 700 if k == "long" else random.choice((1, 2, 9)))) for k in keys}
+    rows = [(k, t, random.random()) for k in keys for t in points[k]]
+    df = spark.createDataFrame(rows, "k string, t long, x double").repartition(5)
+    assert O.placed(df, [F.col("k"), F.col("t")]).groupBy("__part").count().agg(F.max("count")).first()[0] <= 75
+    got = {(r["k"], r["t"]): r["x"] for r in O.resampled(df, ["k"], "t", "x", 10).collect()}
+    want, sums, levels, bits = {}, {}, {}, {}
+    for k in keys:
+        mine = [(t, x) for key, t, x in rows if key == k]
+        grid = [t for t in range(-3000, 3000, 10) if mine[0][0] <= t <= mine[-1][0]]
+        want |= {(k, t): v for t, v in zip(grid, np.interp(grid, *zip(*mine)))}
+        total, level, met = 0.0, 0.0, 1 << (int(mine[0][1] * 1000) % 7)
+        for t, x in mine:
+            total, level, met = total + x, max(0.0, level + x - 0.5), met | 1 << (int(x * 1000) % 40)
+            sums[k, t], levels[k, t], bits[k, t] = total, level, met
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=1e-12) for p in want)
+    assert {(r["k"], r["t"]): r["cumsum"] for r in O.cumulative(df, ["k"], ["t"], "x").collect()} == pytest.approx(sums)
+    assert {(r["k"], r["t"]): r["level"] for r in O.level(df, ["k"], ["t"], F.col("x") - 0.5).collect()} == pytest.approx(levels)
+    one = lambda n: F.expr(f"shiftleft(1L, cast(int(x * 1000) % {n} as int))")
+    assert {(r["k"], r["t"]): r["bits"] for r in O.gathered_bits(df, ["k"], ["t"], one(40), first=one(7)).collect()} == bits
+
+
+def test_resampling_is_exact_at_large_times(spark):
+    at = 1 << 60
+    df = spark.createDataFrame([(at, 0.0), (at + 100, 100.0), (-(1 << 63), 7.0)], "t long, x double")
+    near = O.resampled(df.where("t > 0"), [], "t", "x", 1, 3)
+    assert [r["x"] for r in near.orderBy("t").collect()] == pytest.approx(list(range(101)))
+    far = O.resampled(df.where("x in (7, 100)"), [], "t", "x", 1 << 61, 3)
+    assert [(r["t"] >> 61, r["x"]) for r in far.orderBy("t").collect()] == [(k, pytest.approx(7 + 93 * (k + 4) / 4.5)) for k in range(-4, 1)]
+
+
 def test_stretch_and_envelopes(spark):
     df = spark.createDataFrame([([1.0, 2.0, 4.0], 6), ([5.0], 3), ([], 2), (None, 2), ([1.0, 3.0], 0), ([1.0, 2.0, 3.0, 4.0], 2)], "x array<double>, n int")
     got = [r[0] for r in df.select(V.stretch(F.col("x"), F.col("n"))).collect()]
