@@ -26,9 +26,9 @@ def _nans(out: Column, *args: Column) -> Column:
 
 
 def divide(a: Column, b: Column) -> Column:
+    """By zero: the infinity of a's sign, and for zero by zero the machine's own NaN, whose sign bit is that of the SQL."""
     a, b = dbl(a), dbl(b)
-    at_zero = F.when((a == 0) | F.isnan(a), NAN).when(a > 0, INF).otherwise(-INF)
-    return F.when(b == 0, F.when(a.isNull(), F.lit(None)).otherwise(at_zero)).otherwise(F.try_divide(a, b))
+    return F.when(b == 0, a * INF).otherwise(F.try_divide(a, b))
 
 
 def _log(fn, x: Column) -> Column:
@@ -67,10 +67,10 @@ def mod(a: Column, b: Column) -> Column:
 
 
 def floor(x: Column) -> Column:
-    """Of any double: Spark's own goes through a long, which large numbers leave and in which zero loses its sign."""
+    """Of any double: Spark's own goes through a long, which large numbers leave and in which zero loses its sign.  NaN stays the NaN it is."""
     x = dbl(x)
     near = F.rint(x)
-    return near - F.when(near > x, 1.0).otherwise(0.0)
+    return F.when(F.isnan(x), x).otherwise(near - F.when(near > x, 1.0).otherwise(0.0))
 
 
 def ceil(x: Column) -> Column:

@@ -135,3 +135,14 @@ def test_zeros_of_floor_ceil_and_mod_have_the_signs_of_the_sql(spark):
     pairs = [(-8.0, -2.0), (8.0, -2.0), (0.0, -3.0), (-8.0, 2.0), (-7.0, 2.0), (7.0, -2.0)]
     got = spark.createDataFrame(pairs, "a double, b double").select(M.mod(F.col("a"), F.col("b"))).collect()
     assert [repr(r[0]) for r in got] == [repr(a - b * float(np.floor(a / b))) for a, b in pairs]
+
+
+def test_zero_by_zero_is_the_nan_of_the_sql(spark, duck):
+    """To the sign bit, as text shows it; infinities keep the sign of the dividend."""
+    pairs = [(0.0, 0.0), (-0.0, 0.0), (3.0, 0.0), (-3.0, 0.0), (None, 0.0), (1.0, None), (-7.0, 2.0), (INF, 0.0), (-INF, 0.0)]
+    df = spark.createDataFrame(pairs, "a double, b double")
+    got = df.select(M.divide(F.col("a"), F.col("b")).alias("q"), M.floor_divide(F.col("a"), F.col("b")).alias("f")).toArrow()
+    duck.register("zero_by_zero", got)
+    want = "SELECT (a / b)::VARCHAR, floor(a / b)::VARCHAR FROM (VALUES " + ", ".join(f"({'NULL' if a is None else repr(str(a))}::DOUBLE, {'NULL' if b is None else repr(str(b))}::DOUBLE)" for a, b in pairs) + ") AS t(a, b)"
+    assert sorted(map(str, duck.execute("SELECT q::VARCHAR, f::VARCHAR FROM zero_by_zero").fetchall())) == sorted(map(str, duck.execute(want).fetchall()))
+    duck.unregister("zero_by_zero")
