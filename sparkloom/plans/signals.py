@@ -180,7 +180,7 @@ def stream_late_windows(spark, sf_dir):
     events = table(own, sf_dir, "events").select("user_id", "ts", "event_id", "value")
     closing = own.range(1).select(F.lit(None).cast(events.schema["user_id"].dataType).alias("user_id"), F.lit("2100-01-01").cast(events.schema["ts"].dataType).alias("ts"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("double").alias("value"))
     moment = F.unix_micros(C("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(6 * 3600 * 1_000_000))
-    stream = stride.in_order(events.union(closing).withColumn("arrival", moment), "arrival", f"{folder}/events", most=1 << 16)
+    stream = stride.in_order(events.union(closing).withColumn("arrival", moment), "arrival", f"{folder}/events", several=8)
     out = series.late_windows(stream, "user_id", "ts", "event_id", "value", 5, [1, 3], late="6 hours")
     shape = stride.drain(out, f"{folder}/windows", f"{folder}/state").schema
     got = spark.read.schema(shape).parquet(f"{folder}/windows")

@@ -20,10 +20,15 @@ from sparkloom.streaming.stride import SHARDS, TAILS, WINDOWS, advanced, shard_o
 
 
 def stateful_session(spark: SparkSession) -> SparkSession:
-    """A session of this application whose streams keep their state in RocksDB, which timers need; the caller's is left as it is."""
+    """A session of this application whose streams keep their state in RocksDB, which timers need; the caller's is left as it is.
+
+    Every batch opens and commits the store of every partition, with rows or without, so a stream has as many as tasks run at a time.
+    """
     own = spark.newSession()
+    at_once = max(spark.sparkContext.defaultParallelism, SHARDS // 8)
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    own.conf.set("spark.sql.shuffle.partitions", min(int(spark.conf.get("spark.sql.shuffle.partitions")), at_once))
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     return own
 

@@ -88,13 +88,18 @@ def strided(events: DataFrame, key: str, order: str, value: str, width: int, str
     return slim.withColumn("__shard", shard_of(key, shards)).groupBy("__shard").applyInPandasWithState(run, WINDOWS, TAILS, "append", "NoTimeout")
 
 
-def in_order(rows: DataFrame, order: str, path: str, most: int = 1 << 20) -> DataFrame:
-    """A stream over ``rows`` in batches of about ``most``, each after the one before it in ``order``.
+def batches_of(rows: int, most: int, several: int, worth: int = 1 << 16) -> int:
+    """Batches of at most ``most`` rows; of fewer, down to those ``worth`` the fixed cost of a batch, if there would not be ``several``."""
+    return max(1, -(-rows // most), min(several, -(-rows // worth)))
+
+
+def in_order(rows: DataFrame, order: str, path: str, most: int = 1 << 20, several: int = 1) -> DataFrame:
+    """A stream over ``rows`` in batches of about ``most`` (fewer, for ``several`` batches of enough rows), each after the one before it in ``order``.
 
     The rows are written to ``path`` in ranges of ``order``; file sources read by time of
     modification, so the files are given theirs in the order of the ranges.
     """
-    spark, parts = rows.sparkSession, max(1, -(-rows.count() // most))
+    spark, parts = rows.sparkSession, batches_of(rows.count(), most, several)
     rows.repartitionByRange(parts, F.col(order).asc_nulls_last()).write.parquet(path)
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)

@@ -47,3 +47,22 @@ def test_keys_share_the_state_of_a_shard(spark, tmp_path):
         x = [v for _, v in sorted((s, v) for _, key, s, v in rows if key == f"k{k}")]
         want += [(f"k{k}", 1, i, sum(x[i : i + 3]) / 3, sum(v * v for v in x[i : i + 3])) for i in range(2)]
     assert got == sorted(want)
+
+
+def test_a_stream_has_as_many_stores_as_tasks(spark, tmp_path):
+    """A session of a hundred shuffle partitions: every batch would open and commit a hundred stores."""
+    wide = spark.newSession()
+    wide.conf.set("spark.sql.shuffle.partitions", "100")
+    rows = [(i, f"k{i % 9}", i, float(i)) for i in range(90)] + [(90, None, 9000, 0.0)]
+    got = _run(wide, tmp_path, rows, 50, width=10, strides=[1])
+    assert sorted(got) == [(f"k{k}", 1, 0, k + 40.5, sum(float(k + 9 * i) ** 2 for i in range(10))) for k in range(9)]
+    stores = len([p for p in (tmp_path / "state" / "state" / "0").iterdir() if p.name.isdigit()])
+    assert stores == max(8, spark.sparkContext.defaultParallelism) and wide.conf.get("spark.sql.shuffle.partitions") == "100"
+
+
+def test_batches_grow_with_their_number(spark, tmp_path):
+    """Small tables in batches worth their cost, larger ones in several, the largest in batches of ``most``."""
+    assert [stride.batches_of(n, 1 << 20, 8) for n in (0, 1, 100_001, 600_001, 6_000_001, 36_000_001)] == [1, 1, 2, 8, 8, 35]
+    assert [stride.batches_of(n, 30, 1) for n in (0, 30, 31, 123)] == [1, 1, 2, 5]
+    stride.in_order(spark.range(1 << 17), "id", str(tmp_path / "in"), several=8)
+    assert len(list((tmp_path / "in").glob("part-*"))) == 2
